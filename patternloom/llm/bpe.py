@@ -39,6 +39,8 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 _UNSAFE = regex.compile(r"\s\s")
 LEXICON_WORDS = 20_000
 _CACHE_WORDS = 400_000
+#: Marks that a letter run ends at; a run of them is one pre-token.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -66,6 +68,7 @@ class Vocabulary:
             x, y = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             self.rank[self.ids[x] << 20 | self.ids[y]] = rank
             self.merged.append(self.ids[x + y])
+        self.pairs = PairTable(self.rank)
         self.bytes = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for b, i in self.ids.items():
             self.bytes[i] = b
@@ -117,6 +120,73 @@ class Vocabulary:
         return tuple(i for i in ids if i >= 0)
 
 
+class PairTable:
+    """Vectorised look-up of merge ranks: a few open tables, each for the keys that the last left over."""
+
+    def __init__(self, rank: dict[int, int]):
+        self.none = len(rank)
+        keys = np.fromiter(rank, np.uint64, len(rank))
+        values = np.fromiter(rank.values(), np.int32, len(rank))
+        self.levels = []
+        while len(keys):
+            bits = max(4, int(len(keys)).bit_length() + 2)
+            factor = np.uint64((0x9E3779B97F4A7C15 + 2 * len(self.levels) * 0x632BE59BD9B4E019) & (2**64 - 1) | 1)
+            slot = (keys * factor) >> np.uint64(64 - bits)
+            _, first = np.unique(slot, return_index=True)
+            k, v = np.full(1 << bits, 2**63, np.uint64), np.zeros(1 << bits, np.int32)
+            k[slot[first]], v[slot[first]] = keys[first], values[first]
+            self.levels.append((factor, np.uint64(64 - bits), k, v))
+            keys, values = np.delete(keys, first), np.delete(values, first)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left.astype(np.uint64) << np.uint64(20)) | right.astype(np.uint64)
+        out = np.full(key.shape, self.none, np.int32)
+        for factor, shift, k, v in self.levels:
+            slot = (key * factor) >> shift
+            hit = k[slot] == key
+            out[hit] = v[slot[hit]]
+        return out
+
+
+def merge_many(vocabulary: Vocabulary, words: list[bytes]) -> list[tuple[int, ...]]:
+    """``Vocabulary.merge`` of many words of similar length at once."""
+    pairs, none = vocabulary.pairs, len(vocabulary.merged)
+    merged = np.asarray(vocabulary.merged, np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    width = int(sizes.max())
+    flat = np.asarray(vocabulary.first, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+    ids = np.full((len(words), width + 1), -1, np.int64)
+    inside = np.arange(width + 1) < sizes[:, None]
+    ids[inside] = flat
+    ranks = np.full((len(words), width), none, np.int32)
+    both = inside[:, 1:]
+    ranks[both] = pairs(ids[:, :-1][both], ids[:, 1:][both])
+    done = np.empty((len(words), width), np.int64)
+    rows, column = np.arange(len(words)), np.arange(width)
+    while len(rows):
+        at = ranks.argmin(1)
+        low = ranks[np.arange(len(rows)), at]
+        live = low < none
+        if not live.all():
+            done[rows[~live]] = ids[~live, :width]
+            rows, ids, ranks, at, low = rows[live], ids[live], ranks[live], at[live], low[live]
+            if not len(rows):
+                break
+        k = np.arange(len(rows))
+        after = column > at[:, None]
+        ids[:, :-1][after] = ids[:, 1:][after]
+        ids[:, -1] = -1
+        ids[k, at] = merged[low]
+        ranks[:, :-1][after[:, :-1]] = ranks[:, 1:][after[:, :-1]]
+        ranks[:, -1] = none
+        right = ids[k, at + 1]
+        ranks[k, at] = np.where(right >= 0, pairs(ids[k, at], np.maximum(right, 0)), none)
+        some = at > 0
+        ranks[k[some], at[some] - 1] = pairs(ids[k[some], at[some] - 1], ids[k[some], at[some]])
+    left = (done >= 0).sum(1)
+    return [tuple(r[:n]) for r, n in zip(done.tolist(), left.tolist(), strict=True)]
+
+
 def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
     """Minimal acyclic automaton over the sorted words; layout: header, arrays, ids.
 
@@ -200,6 +270,32 @@ class Lexicon:
             at += whole[1 + k]
         self.starts, self.ends, self.labels, self.targets, self.skips, self.at, self.outs = parts
 
+        arrays = [np.asarray(x) for x in parts]
+        starts, _, labels, targets, skips, *_ = arrays
+        self._arcs = np.repeat(np.arange(len(starts) - 1, dtype=np.int64), np.diff(starts)) << 8 | labels
+        self._targets, self._skips, self._ends = targets, skips, arrays[1]
+
+    def find_many(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
+        """``get`` of many words: all walk the automaton in step."""
+        out: list[tuple[int, ...] | None] = [None] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(words), np.uint8)
+        rows, state, number = np.arange(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        step = 0
+        while len(rows) and len(self._arcs):
+            ended = sizes[rows] == step
+            for r, n in zip(rows[ended & (self._ends[state] > 0)].tolist(), number[ended & (self._ends[state] > 0)].tolist(), strict=True):
+                out[r] = tuple(self.outs[self.at[n] : self.at[n + 1]])
+            rows, state, number = rows[~ended], state[~ended], number[~ended]
+            key = state << 8 | data[begin[rows] + step]
+            k = np.minimum(np.searchsorted(self._arcs, key), len(self._arcs) - 1)
+            hit = self._arcs[k] == key
+            rows, k = rows[hit], k[hit]
+            state, number = self._targets[k].astype(np.int64), number[hit] + self._skips[k]
+            step += 1
+        return out
+
     def get(self, word: bytes) -> tuple[int, ...] | None:
         state, number = 0, 0
         for label in word:
@@ -233,6 +329,40 @@ class Tokenizer:
                 self._word[word] = ids
         return ids
 
+    def prepare(self, texts: list[str | None]) -> None:
+        """Look up or merge, all at once, the words of these texts that are not cached yet."""
+        spaced: set[str] = set()
+        bare: set[str] = set()
+        for t in texts:
+            for line in t.split("\n") if t else ():
+                first, *rest = line.split(" ")
+                bare.add(first)
+                spaced.update(rest)
+        for lead, pieces, cache in ((" ", spaced, self._spaced), ("", bare, self._bare)):
+            if len(cache) + len(pieces.difference(cache)) > _CACHE_WORDS:
+                cache.clear()
+            new = pieces.difference(cache)
+            heads = {p.rstrip(_MARKS) for p in new}.difference(cache)
+            self._fill([p for p in heads if p.isalpha() and len(p) <= 30], cache, lead)
+            for p in new:
+                head = p.rstrip(_MARKS)
+                if len(head) < len(p) <= 60 and head in cache and head.isalpha():
+                    cache[p] = cache[head] + self.word(p[len(head) :])
+
+    def _fill(self, pieces: list[str], cache: dict, lead: str) -> None:
+        if not pieces:
+            return
+        raw = [(lead + p).encode() for p in pieces]
+        found = self.lexicon.find_many(raw) if self.lexicon else [None] * len(raw)
+        for p, ids in zip(pieces, found, strict=True):
+            if ids is not None:
+                cache[p] = ids
+        left = sorted((k for k, ids in enumerate(found) if ids is None), key=lambda k: len(raw[k]))
+        for at in range(0, len(left), 8192):
+            part = left[at : at + 8192]
+            for k, ids in zip(part, merge_many(self.vocabulary, [raw[k] for k in part]), strict=True):
+                cache[pieces[k]] = ids
+
     def _piece(self, piece: str, cache: dict, lead: str) -> tuple[int, ...]:
         ids = tuple(chain.from_iterable(map(self.word, PATTERN.findall(lead + piece))))
         if len(cache) >= _CACHE_WORDS:
@@ -254,10 +384,10 @@ class Tokenizer:
             if first:
                 out.append(bare.get(first) or self._piece(first, bare, ""))
             if rest:
-                found = list(map(spaced.get, rest))
-                if None in found:
-                    found = [x if x is not None else self._piece(p, spaced, " ") for p, x in zip(rest, found, strict=True)]
-                out += found
+                try:
+                    out += [spaced[p] for p in rest]
+                except KeyError:
+                    out += [spaced[p] if p in spaced else self._piece(p, spaced, " ") for p in rest]
         return list(chain.from_iterable(out))
 
     def encode(self, text: str | None) -> list[int]:
@@ -279,7 +409,7 @@ class Tokenizer:
         return b"".join([token[i] for i in ids]).decode("utf-8", "replace")
 
 
-def word_counts(docs: DataFrame, text: str = "text", flush: int = 200_000) -> DataFrame:
+def word_counts(docs: DataFrame, text: str = "text", flush: int = 600_000) -> DataFrame:
     """Counts of space-separated words over all texts; each task adds up before the shuffle."""
 
     def count(batches):
@@ -332,7 +462,9 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", digests: bo
         for batch in batches:
             for lo, hi, *_ in slices(batch, 1):
                 n, ids_hash, text_hash = [], [], []
-                for x in batch.column(1).slice(lo, hi - lo).to_pylist():
+                texts = batch.column(1).slice(lo, hi - lo).to_pylist()
+                t.prepare(texts)
+                for x in texts:
                     ids = t.encode(x)
                     n.append(len(ids))
                     ids_hash.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
@@ -345,7 +477,9 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", digests: bo
             k = batch.schema.get_field_index(text)
             for lo, hi, *_ in slices(batch, k):
                 part = batch.slice(lo, hi - lo)
-                ids = [t.encode(x) for x in part.column(k).to_pylist()]
+                texts = part.column(k).to_pylist()
+                t.prepare(texts)
+                ids = [t.encode(x) for x in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.string())], [*part.schema.names, "ids", "decoded"])
 
     if digests:
