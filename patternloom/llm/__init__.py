@@ -5,7 +5,11 @@ callables ``(spark, sf_dir) -> DataFrame``; ``ORACLES`` maps those that SQL can
 their DuckDB statement.
 """
 
-from patternloom.llm import bpe
+from patternloom.llm import bpe, ngram, toxicity
 
-QUERIES = {"op4_bpe": bpe.op4_bpe}
+QUERIES = {
+    "op2_ngram_jaccard": ngram.op2_ngram_jaccard,
+    "op4_bpe": bpe.op4_bpe,
+    "op7_toxicity": toxicity.op7_toxicity,
+}
 ORACLES: dict[str, str] = {}

@@ -144,3 +144,39 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if mark == (mark := print_of(now)):
             break
     return now.toDF("id", "component_id").union(now.select("v", "v").distinct().toDF("id", "component_id"))
+
+
+# --------------------------------------------------------------------------- labelled rows and small sums
+
+
+def crc_mod(id: str, modulus: int):
+    """crc32 of the id as text, modulo ``modulus``."""
+    return F.crc32(F.col(id).cast("string").cast("binary")) % modulus
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, most: int) -> DataFrame:
+    """At most ``most`` labelled rows outside the held-out remainder: ``text`` and ``label``.
+
+    Rows are chosen by a hash of the id, so the choice does not depend on the layout.  The ids
+    chosen (``most`` at most) are the only rows that may be broadcast.
+    """
+    ids = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1)).where(crc_mod("doc_id", modulus) != held)
+        .groupBy(F.col("doc_id").alias("_id")).agg(F.max(target).cast("int").alias("label"))
+        .orderBy(F.xxhash64("_id"), "_id").limit(most)
+    )
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+
+
+def summed_arrays(parts: DataFrame, dtype=np.int64) -> dict[int, np.ndarray]:
+    """Add up rows ``(part, data)`` of packed arrays by part on the executors; fixed total size."""
+
+    def add(key: tuple, got: pa.Table) -> pa.Table:
+        whole = None
+        for x in got.column("data"):
+            row = np.frombuffer(x.as_buffer(), dtype)
+            whole = row.copy() if whole is None else whole + row
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([whole.tobytes()], pa.binary())})
+
+    rows = parts.groupBy("part").applyInArrow(add, "part int, data binary").toLocalIterator()
+    return {r.part: np.frombuffer(bytes(r.data), dtype) for r in rows}
