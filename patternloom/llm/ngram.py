@@ -87,10 +87,13 @@ def _prints(batches, k: int, keep: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), _signed(tokens), pa.array(counts), zero, zero], ["kind", "id", "n", "p1", "p2"])
 
 
-def _columns(batches, k: int, percent: int, heavy):
-    """The prefix of each set in the common order: rows (token, id, n)."""
+def _columns(batches, k: int, percent: int, heavy, bits):
+    """The prefix of each set in the common order: rows (token, id, n); columns id, text, bit."""
     late, rank = heavy.value
+    mask = None if bits is None else _mask(bits)
     for batch in batches:
+        if mask is not None:
+            batch = batch.take(pa.array(np.flatnonzero(mask[batch.column(2).to_numpy()])))
         for lo, hi, data, offsets in slices(batch, 1):
             ids = batch.column(0).slice(lo, hi - lo).to_pylist()
             out_t, out_i, out_n = [], [], []
@@ -116,7 +119,7 @@ def _columns(batches, k: int, percent: int, heavy):
 
 def _needed(batches, k: int, bits):
     """Packed sets of the documents whose bit is on; columns id, text, bit."""
-    mask = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
+    mask = _mask(bits)
     for batch in batches:
         part = batch.take(pa.array(np.flatnonzero(mask[batch.column(2).to_numpy()])))
         for lo, hi, data, offsets in slices(part, 1):
@@ -139,28 +142,33 @@ def _verify(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(a_id[keep]), pa.array(b_id[keep])], ["a", "b"])
 
 
-#: Bits of the map of wanted ids: 1 MB, whatever the corpus.
-_BITS = 1 << 23
+def _mask(bits) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
 
 
-def _bit(id: str):
-    return F.pmod(F.xxhash64(id), F.lit(_BITS))
+#: Bits of a map of wanted ids: 1 MB at least and 32 MB at most, whatever the corpus.
+_LEAST_BITS, _MOST_BITS = 1 << 23, 1 << 28
 
 
-def _bits_of(pairs: DataFrame) -> bytes:
-    """A bitmap of fixed size with a bit on for each id in the pairs; a few ids more may pass it."""
-    at = pairs.select("a").union(pairs.select("b")).select((_bit("a") + 1).alias("bit"))
+def _bit(id: str, size: int):
+    return F.pmod(F.xxhash64(id), F.lit(size))
+
+
+def _bits_of(ids: DataFrame, size: int) -> bytes:
+    """A bitmap of fixed size with a bit on for each ``id``; a few other ids may pass it."""
+    at = ids.select((_bit("id", size) + 1).alias("bit"))
     parts = at.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    whole = np.zeros((_BITS // 32768, 4096), np.uint8)
-    for r in parts.collect():
+    whole = np.zeros((size // 32768, 4096), np.uint8)
+    for r in parts.toLocalIterator():
         whole[r.part - 1] = np.frombuffer(r.bits, np.uint8)
     return whole.tobytes()
 
 
 def _links(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The candidate pairs (a, b) that reach the threshold; ``docs`` holds one row per class."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bits_of(pairs))
-    sets = docs.withColumn("bit", _bit("id")).mapInArrow(partial(_needed, k=k, bits=shared), "id long, members binary")
+    """The candidate pairs (a, b) that reach the threshold."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits_of(ids, _LEAST_BITS))
+    sets = docs.withColumn("bit", _bit("id", _LEAST_BITS)).mapInArrow(partial(_needed, k=k, bits=shared), "id long, members binary")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return checkpointed(both.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
 
@@ -185,8 +193,13 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     shared = spark.sparkContext.broadcast((late[order], rank[order]))
 
     classes = checkpointed(sets.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep")))
-    heads = base.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    columns = heads.mapInArrow(partial(_columns, k=k, percent=percent, heavy=shared), T.StructType([T.StructField("token", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType())]))
+    reps = classes.select(F.col("rep").alias("id"))
+    size = max(_LEAST_BITS, 1 << (16 * classes.count()).bit_length())
+    if size <= _MOST_BITS:  # a copy that passes the map by chance only costs its rows
+        heads, bits = base.withColumn("bit", _bit("id", size)), spark.sparkContext.broadcast(_bits_of(reps, size))
+    else:
+        heads, bits = base.join(reps.distinct(), "id", "left_semi"), None
+    columns = heads.mapInArrow(partial(_columns, k=k, percent=percent, heavy=shared, bits=bits), T.StructType([T.StructField("token", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType())]))
     hubs = checkpointed(columns.groupBy("token").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     release(spark)
     rows = checkpointed(columns.join(hubs, "token"))
@@ -197,7 +210,7 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
         rows.where("id <> hub").where(near.format("hub_n")).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
         .groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
     )
-    links = _links(heads, checkpointed(first), k, percent)
+    links = _links(base, checkpointed(first), k, percent)
     parts = connected_components(links, "a", "b")
 
     named = checkpointed(rows.select("token", "id", "n").join(parts.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")))
@@ -209,7 +222,7 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
         mixed.join(outside, "token").where("c <> a_c and (c = main or a < id)").where(near.format("a_n"))
         .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     )
-    links = links.unionByName(_links(heads, checkpointed(more), k, percent))
+    links = links.unionByName(_links(base, checkpointed(more), k, percent))
     parts = connected_components(links, "a", "b")
 
     whole = sets.join(classes, ["n", "p1", "p2"], "left").withColumn("rep", F.coalesce("rep", "id"))
