@@ -180,3 +180,15 @@ def summed_arrays(parts: DataFrame, dtype=np.int64) -> dict[int, np.ndarray]:
 
     rows = parts.groupBy("part").applyInArrow(add, "part int, data binary").toLocalIterator()
     return {r.part: np.frombuffer(bytes(r.data), dtype) for r in rows}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back (compressed, columnar)."""
+    import uuid
+
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="patternloom-checkpoint-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
