@@ -5,13 +5,15 @@ callables ``(spark, sf_dir) -> DataFrame``; ``ORACLES`` maps those that SQL can
 their DuckDB statement.
 """
 
-from patternloom.llm import bpe, decontaminate, embeddings, ngram, toxicity
+from patternloom.llm import bpe, decontaminate, embeddings, licences, lines, ngram, toxicity
 
 QUERIES = {
     "op2_ngram_jaccard": ngram.op2_ngram_jaccard,
     "op4_bpe": bpe.op4_bpe,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op10_embedding_dedup": embeddings.op10_embedding_dedup,
+    "op8_line_dedup": lines.op8_line_dedup,
+    "op9_licence_scan": licences.op9_licence_scan,
     "op7_toxicity": toxicity.op7_toxicity,
 }
 ORACLES: dict[str, str] = {}
