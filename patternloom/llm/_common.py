@@ -154,18 +154,23 @@ def crc_mod(id: str, modulus: int):
     return F.crc32(F.col(id).cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, most: int) -> DataFrame:
-    """At most ``most`` labelled rows outside the held-out remainder: ``text`` and ``label``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, most: int, balanced: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``most`` labelled rows outside the held-out remainder (doc_id, text, label), and
+    the number of training labels of each class before sampling.
 
-    Rows are chosen by a hash of the id, so the choice does not depend on the layout.  The ids
-    chosen (``most`` at most) are the only rows that may be broadcast.
+    Rows are chosen by a hash of the id, so the choice does not depend on the layout; with
+    ``balanced`` each class gets half of the places.  The ids chosen (``most`` at most) are the
+    only rows that may be broadcast.
     """
-    ids = (
+    known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1)).where(crc_mod("doc_id", modulus) != held)
         .groupBy(F.col("doc_id").alias("_id")).agg(F.max(target).cast("int").alias("label"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    pick = lambda df, n: df.orderBy(F.xxhash64("_id"), "_id").limit(n)
+    ids = pick(known.where("label = 0"), most // 2).union(pick(known.where("label = 1"), most // 2)) if balanced else pick(known, most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    return rows, totals
 
 
 def summed_arrays(parts: DataFrame, dtype=np.int64) -> dict[int, np.ndarray]:

@@ -2,7 +2,7 @@
 
 Features are hashed byte n-grams (3, 5 and 7) of the text with A-Z lowered, each as present
 at least once, twice and four times.  On a
-bounded sample of labelled rows each n-gram gets its log-count ratio between the classes; the
+bounded sample of labelled rows, half of each class, each n-gram gets its log-count ratio between the classes; the
 n-grams with the strongest evidence, scaled by that ratio, feed a logistic regression.  The
 whole text is scored.
 
@@ -27,8 +27,8 @@ BUCKET_BITS = 19
 #: An n-gram that stands this often in a text is a feature of its own.
 LEVELS = (1, 2, 4)
 #: Labelled rows that the model is fitted on, at most, and n-grams that it keeps.
-MAX_TRAINING_ROWS = 20_000
-KEPT_FEATURES = 20_000
+MAX_TRAINING_ROWS = 10_000
+KEPT_FEATURES = 12_000
 _PARTS = 64
 _TABLE = np.random.Generator(np.random.PCG64(11)).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 _STEP = np.uint32(0x9E3779B1)
@@ -103,13 +103,14 @@ def _vectors(batches, slot):
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int = 5, held: int = 0, most: int = MAX_TRAINING_ROWS, kept: int = KEPT_FEATURES) -> dict:
     """Bucket slots, weights and intercept, fitted on at most ``most`` labelled rows."""
-    sample = labelled_sample(docs, labels, target, modulus, held, most)
+    sample, known = labelled_sample(docs, labels, target, modulus, held, most, balanced=True)
     parts = summed_arrays(sample.mapInArrow(_count, "part int, data binary"), np.int32)
     none = {"slot": np.full(len(LEVELS) << BUCKET_BITS, -1, np.int16), "weights": np.zeros(1), "bias": -30.0}
     if len(parts) < _PARTS:
         return none
     counts = np.concatenate([parts[k].reshape(2, -1) for k in range(_PARTS)], axis=1).astype(float)
-    totals = np.asarray([sample.where(f"label = {y}").count() for y in (0, 1)], float)
+    seen = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    totals = np.asarray([seen.get(y, 0) for y in (0, 1)], float)
     if not totals.all():
         return none | {"bias": 30.0 if totals[1] else -30.0}
     share = (counts + 0.5) / (totals[:, None] + 1)
@@ -120,21 +121,24 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int
     slot = np.full(len(LEVELS) << BUCKET_BITS, -1, np.int16)
     slot[best] = np.arange(len(best))
     rows = sample.mapInArrow(partial(_vectors, slot=slot), "label int, features array<int>").toArrow()
-    y = rows.column("label").to_numpy().astype(float)
+    y = rows.column("label").to_numpy().astype(np.float32)
     lists = rows.column("features").combine_chunks()
     at, of = lists.offsets.to_numpy(), lists.values.to_numpy()
-    row = np.repeat(np.arange(len(y)), np.diff(at))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at))
+    del rows, lists
     r, w, bias = ratio[best], np.zeros(len(best)), float(np.log(totals[1] / totals[0]))
     m, v, t, lr = np.zeros(len(best) + 1), np.zeros(len(best) + 1), 0, 0.05
     for _ in range(150):
-        z = np.bincount(row, (w * r)[of], len(y)) + bias
+        z = np.bincount(row, (w * r).astype(np.float32)[of], len(y)) + bias
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         grad = np.append(r * np.bincount(of, g[row], len(best)) / len(y) + 1e-3 * w, g.mean())
         t += 1
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    return {"slot": slot, "weights": w * r, "bias": float(bias)}
+    # the sample is balanced: shift the odds back to those of all training labels
+    shift = np.log(known[1] / known[0]) - np.log(totals[1] / totals[0])
+    return {"slot": slot, "weights": w * r, "bias": float(bias + shift)}
 
 
 def _score(batches, model):
