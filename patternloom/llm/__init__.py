@@ -5,15 +5,18 @@ callables ``(spark, sf_dir) -> DataFrame``; ``ORACLES`` maps those that SQL can
 their DuckDB statement.
 """
 
-from patternloom.llm import bpe, decontaminate, embeddings, licences, lines, ngram, toxicity
+from patternloom.llm import bpe, decontaminate, embeddings, licences, lines, ngram, pii, quality, toxicity, urls
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_ngram_jaccard": ngram.op2_ngram_jaccard,
+    "op3_quality": quality.op3_quality,
     "op4_bpe": bpe.op4_bpe,
     "op5_decontamination": decontaminate.op5_decontamination,
-    "op10_embedding_dedup": embeddings.op10_embedding_dedup,
+    "op6_url_filter": urls.op6_url_filter,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_licence_scan": licences.op9_licence_scan,
-    "op7_toxicity": toxicity.op7_toxicity,
+    "op10_embedding_dedup": embeddings.op10_embedding_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_url_filter": urls.ORACLE}

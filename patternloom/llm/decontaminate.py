@@ -19,7 +19,7 @@ rows are judged each; an empty benchmark marks nothing; further columns are igno
 from __future__ import annotations
 
 import re
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,33 +150,43 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n), owner
 
 
+def _search(x: Index, data: np.ndarray, offsets: np.ndarray, threshold: float, coverage: float) -> dict[int, dict[int, float]]:
+    """Verified items of each text and their best score."""
+    size, stride = max(128, 2 * x.longest), max(64, x.longest)
+    h, at = tokens(data, offsets)
+    found: dict[int, dict[int, float]] = {}
+    if not len(h) or not len(x.terms):
+        return found
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = np.arange(len(h)) - at[text]
+    # windows of a text begin at 0, stride, 2 * stride ...; a word lies in two of them
+    per = np.maximum(1, -(-(np.diff(at) - (size - stride)) // stride))
+    base = np.cumsum(per) - per
+    last = np.minimum(place // stride, per[text] - 1)
+    before = np.flatnonzero((last > 0) & (place - (last - 1) * stride < size))
+    w = np.concatenate((base[text] + last, (base[text] + last - 1)[before]))
+    window, item, score = x.retrieve(np.concatenate((h, h[before])), w, int(per.sum()), threshold)
+    owner = np.searchsorted(base, window, side="right") - 1
+    shingles: dict[int, np.ndarray] = {}
+    for win, k, s, d in zip(window.tolist(), item.tolist(), score.tolist(), owner.tolist(), strict=True):
+        if win not in shingles:
+            begin = at[d] + (win - base[d]) * stride
+            shingles[win] = _shingles(h[begin : min(begin + size, at[d + 1])])
+        if all(np.isin(p, shingles[win]).mean() >= coverage for p in x.parts[k] if len(p)):
+            got = found.setdefault(d, {})
+            got[k] = max(s, got.get(k, 0.0))
+    return found
+
+
+def _lowered(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(k))], ["text"])
+
+
 def _judge(batches, index, threshold: float, coverage: float):
     x: Index = index.value
-    size, stride = max(128, 2 * x.longest), max(64, x.longest)
     for batch in batches:
-        batch = pa.RecordBatch.from_arrays([batch.column(0), pc.utf8_lower(batch.column(1))], ["doc_id", "text"])
-        for lo, hi, data, offsets in slices(batch, 1):
-            h, at = tokens(data, offsets)
-            found: dict[int, dict[int, float]] = {}
-            if len(h) and len(x.terms):
-                text = np.repeat(np.arange(hi - lo), np.diff(at))
-                place = np.arange(len(h)) - at[text]
-                # windows of a text begin at 0, stride, 2 * stride ...; a word lies in two of them
-                per = np.maximum(1, -(-(np.diff(at) - (size - stride)) // stride))
-                base = np.cumsum(per) - per
-                last = np.minimum(place // stride, per[text] - 1)
-                before = np.flatnonzero((last > 0) & (place - (last - 1) * stride < size))
-                w = np.concatenate((base[text] + last, (base[text] + last - 1)[before]))
-                window, item, score = x.retrieve(np.concatenate((h, h[before])), w, int(per.sum()), threshold)
-                owner = np.searchsorted(base, window, side="right") - 1
-                shingles: dict[int, np.ndarray] = {}
-                for win, k, s, d in zip(window.tolist(), item.tolist(), score.tolist(), owner.tolist(), strict=True):
-                    if win not in shingles:
-                        begin = at[d] + (win - base[d]) * stride
-                        shingles[win] = _shingles(h[begin : min(begin + size, at[d + 1])])
-                    if all(np.isin(p, shingles[win]).mean() >= coverage for p in x.parts[k] if len(p)):
-                        got = found.setdefault(d, {})
-                        got[k] = max(s, got.get(k, 0.0))
+        for lo, hi, data, offsets in slices(_lowered(batch, 1), 0):
+            found = _search(x, data, offsets, threshold, coverage)
             rows = [found.get(d, {}) for d in range(hi - lo)]
             items = [sorted(int(x.ids[k]) for k in r) for r in rows]
             yield pa.RecordBatch.from_arrays(
@@ -185,24 +195,48 @@ def _judge(batches, index, threshold: float, coverage: float):
             )
 
 
+def _clean(batches, index, text: int, threshold: float, coverage: float):
+    x: Index = index.value
+    for batch in batches:
+        for lo, hi, data, offsets in slices(_lowered(batch, text), 0):
+            found = _search(x, data, offsets, threshold, coverage)
+            yield batch.slice(lo, hi - lo).filter(pa.array([d not in found for d in range(hi - lo)], pa.bool_()))
+
+
+def _indexes(benchmark: DataFrame):
+    """Broadcast indexes of the items, each over at most about MAX_ITEM_BYTES of text."""
+    from pyspark.sql import functions as F
+
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    pieces = -(-int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // MAX_ITEM_BYTES) or 1
+    for k in range(pieces):
+        part = items if pieces == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == k)
+        rows = sorted((r.item_id, r.text) for r in part.toLocalIterator())
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, unchanged."""
+    for index in _indexes(benchmark):
+        docs = docs.mapInArrow(partial(_clean, index=index, text=docs.columns.index("text"), threshold=threshold, coverage=coverage), docs.schema)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id``, ``n_items``, ``item_ids`` (ascending, comma-joined) and the best score, per row."""
     from pyspark.sql import functions as F
 
-    items = benchmark.where("item_id is not null and text is not null").groupBy("item_id", "text").count().select("item_id", "text")
-    bytes_ = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = -(-int(bytes_) // MAX_ITEM_BYTES) or 1
-    out = None
-    for k in range(pieces):  # a larger benchmark is searched in parts, each of a bounded size
-        part = items if pieces == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == k)
-        rows = sorted((r.item_id, r.text) for r in part.toLocalIterator())
-        shared = docs.sparkSession.sparkContext.broadcast(Index(rows))
-        got = docs.select("doc_id", "text").mapInArrow(partial(_judge, index=shared, threshold=threshold, coverage=coverage), f"doc_id {kind}, n_items long, item_ids string, max_score double")
-        out = got if out is None else out.unionByName(got)
-    if pieces > 1:
-        out = out.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), F.concat_ws(",", F.collect_list(F.nullif("item_ids", F.lit("")))).alias("item_ids"), F.max("max_score").alias("max_score"))
-    return out
+    parts = [
+        docs.select("doc_id", "text").mapInArrow(partial(_judge, index=index, threshold=threshold, coverage=coverage), f"doc_id {kind}, n_items long, item_ids string, max_score double")
+        for index in _indexes(benchmark)
+    ]
+    if len(parts) == 1:
+        return parts[0]
+    # a larger benchmark is searched in pieces; repeated rows of an id then yield one row
+    out = reduce(DataFrame.unionByName, parts)
+    ids = F.array_join(F.transform(F.array_sort(F.transform(F.flatten(F.collect_set(F.when(F.col("item_ids") != "", F.split("item_ids", ",")))), lambda x: x.cast("long"))), lambda x: x.cast("string")), ",")
+    return out.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), ids.alias("item_ids"), F.max("max_score").alias("max_score"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

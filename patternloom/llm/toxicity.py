@@ -158,6 +158,22 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _clean(batches, model, text: int, cut: float):
+    slot, weights, bias = (model.value[k] for k in ("slot", "weights", "bias"))
+    for batch in batches:
+        for lo, hi, data, offsets in slices(batch, text):
+            at, feature = present(data, offsets, slot) if slot.max() >= 0 else (np.zeros(0, np.int64),) * 2
+            z = np.bincount(at, weights[feature], hi - lo) + bias
+            keep = 1 / (1 + np.exp(-np.clip(z, -30, 30))) < cut
+            yield batch.slice(lo, hi - lo).filter(pa.array(keep))
+
+
+def clean_documents(docs: DataFrame, model: dict, cut: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``cut``, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_clean, model=shared, text=docs.columns.index("text"), cut=cut), docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
