@@ -4,12 +4,15 @@ The overlap of two documents is an entry of the product of the document by n-gra
 matrix with its transpose.  The product is taken in steps:
 
 1. Documents with the same set are one class (a 128-bit print of the set); only the least id
-   of a class goes on, so copies cost one row each.
+   of a class goes on, so copies cost one row each.  A sketch of the set keeps, for each of
+   2048 parts of the hash range, whether its number of shingles is odd; sets differ in at least
+   as many shingles as their sketches differ in bits, which rules out most pairs exactly.
 2. Columns of the product: with n shingles and threshold t, two sets can only reach t if they
    share one of the first ``n - ceil(t*n) + 1`` of each in any common order.  The order puts
    shingles that occur all over the corpus last, so boilerplate rarely is among the columns.
 3. Rows of one column (n-gram) are first multiplied with one hub only, the least id.  Overlaps
-   are accumulated per pair, and each document's best hub is verified on full sets.
+   are accumulated per pair, and each document's best hub is verified: by sizes, by sketches,
+   then on full sets.
 4. After components are known, a column that lies in one component is done.  In the others
    every document outside the column's largest component meets all documents of other
    components; pairs that sizes rule out are discarded, the rest verified on full sets.
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patternloom.llm._common import U64, checkpointed, connected_components, mix64, release, slices, table, words
+from patternloom.llm._common import U64, checkpointed, connected_components, mix64, release, slices, table, words, written
 
 #: Most frequent shingles that are ordered last; bounds what is broadcast (8 bytes each).
 HEAVY = 1 << 16
@@ -61,6 +64,27 @@ def _signed(x) -> pa.Array:
     return pa.array(np.asarray(x, U64).view(np.int64))
 
 
+_PRINT = ["kind", "id", "n", "p1", "p2", "sketch"]
+_SKETCH_BITS = 2048
+
+
+def _sketch(u: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((u & U64(_SKETCH_BITS - 1)).astype(np.int64), minlength=_SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def _possible(batches, percent: int):
+    """Pairs whose sketches leave the threshold possible; columns a, b, a_n, b_n and sketches."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+        differ = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+        total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        # overlap is at most (total - differ) / 2; overlap / (total - overlap) must reach the threshold
+        keep = (100 + percent) * (total - differ) >= 2 * percent * total
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+
+
 def _prints(batches, k: int, keep: int):
     """Kind 0: id, size and print of a document's set.  Kind 1: shingle and count, the task's most frequent."""
     tokens, counts = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -71,7 +95,7 @@ def _prints(batches, k: int, keep: int):
             with np.errstate(over="ignore"):
                 a = [mix64(u).sum(dtype=U64) for u in sets]
                 b = [mix64(u ^ _FACTOR[1]).sum(dtype=U64) for u in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), rows.cast(pa.int64()), pa.array([len(u) for u in sets], pa.int64()), _signed(a), _signed(b)], ["kind", "id", "n", "p1", "p2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), rows.cast(pa.int64()), pa.array([len(u) for u in sets], pa.int64()), _signed(a), _signed(b), pa.array(list(map(_sketch, sets)), pa.binary())], _PRINT)
             new, c = np.unique(np.concatenate(sets), return_counts=True)
             some = c > 1
             tokens, at = np.unique(np.concatenate((tokens, new[some])), return_inverse=True)
@@ -84,7 +108,7 @@ def _prints(batches, k: int, keep: int):
         tokens, counts = tokens[best], counts[best]
     if len(tokens):
         zero = pa.array(np.zeros(len(tokens), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), _signed(tokens), pa.array(counts), zero, zero], ["kind", "id", "n", "p1", "p2"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), _signed(tokens), pa.array(counts), zero, zero, pa.nulls(len(tokens), pa.binary())], _PRINT)
 
 
 def _columns(batches, k: int, percent: int, heavy, bits):
@@ -164,13 +188,20 @@ def _bits_of(ids: DataFrame, size: int) -> bytes:
     return whole.tobytes()
 
 
-def _links(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, prints: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that reach the threshold."""
+    short = prints.select("id", "n", "sketch")
+    near = pairs.join(short.toDF("a", "a_n", "a_sketch"), "a").join(short.toDF("b", "b_n", "b_sketch"), "b")
+    near = near.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+    pairs = checkpointed(near.mapInArrow(partial(_possible, percent=percent), "a long, b long"))
+    release(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     shared = docs.sparkSession.sparkContext.broadcast(_bits_of(ids, _LEAST_BITS))
     sets = docs.withColumn("bit", _bit("id", _LEAST_BITS)).mapInArrow(partial(_needed, k=k, bits=shared), "id long, members binary")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return checkpointed(both.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
+    out = checkpointed(both.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
+    release(docs.sparkSession)
+    return out
 
 
 def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, heavy: int = HEAVY) -> DataFrame:
@@ -182,8 +213,8 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     kind = docs.schema[id].dataType
     base = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    prints = checkpointed(base.mapInArrow(partial(_prints, k=k, keep=heavy // 2), "kind int, id long, n long, p1 long, p2 long"))
-    sets = prints.where("kind = 0").select("id", "n", "p1", "p2")
+    prints = written(base.mapInArrow(partial(_prints, k=k, keep=heavy // 2), "kind int, id long, n long, p1 long, p2 long, sketch binary"))
+    sets = prints.where("kind = 0")
 
     # bound: `heavy` rows of two longs
     top = prints.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n > 4").orderBy(F.desc("n"), "id").limit(heavy).collect()
@@ -210,7 +241,7 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
         rows.where("id <> hub").where(near.format("hub_n")).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
         .groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
     )
-    links = _links(base, checkpointed(first), k, percent)
+    links = _links(base, sets, checkpointed(first), k, percent)
     parts = connected_components(links, "a", "b")
 
     named = checkpointed(rows.select("token", "id", "n").join(parts.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")))
@@ -222,10 +253,10 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
         mixed.join(outside, "token").where("c <> a_c and (c = main or a < id)").where(near.format("a_n"))
         .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     )
-    links = links.unionByName(_links(base, checkpointed(more), k, percent))
+    links = links.unionByName(_links(base, sets, checkpointed(more), k, percent))
     parts = connected_components(links, "a", "b")
 
-    whole = sets.join(classes, ["n", "p1", "p2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    whole = sets.drop("sketch").join(classes, ["n", "p1", "p2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     out = whole.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     return out.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id")).select(F.col("id").cast(kind).alias(id), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))
 
