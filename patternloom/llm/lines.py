@@ -4,7 +4,8 @@ Each text is a sequence of line ids (a 64-bit hash of the trimmed line; blank li
 out of the sequence).  Prefix doubling names the runs of 1, 2, 4, ... lines that begin at each
 line: the name of a run of 2n lines is the hash of the names of its halves.  A hash stands for
 the rank that a round of the suffix-array construction would assign, so no round needs a
-shuffle, and any run has a name made of two overlapping doubled runs.  The suffixes that share
+shuffle of its own (all are window functions over one sort per text), and any run has a name
+made of two overlapping doubled runs: the one that begins it and the one that ends it.  The suffixes that share
 a run's name are its interval of the suffix array (a common prefix of at least the run).
 
 A run counts when it has at least ``min_words`` words.  Every such run is covered by its
@@ -14,13 +15,13 @@ least (id, line) stays and the lines of the others are deleted.  So every line o
 run of at least ``min_words`` words whose run also stands earlier is deleted, and no other.
 
 Words of a line are its spaces plus one after trimming.  Defined results: null and empty texts
-lose nothing; repeated rows of one id are one document and lose the same lines; rows without an
+lose nothing; repeated rows of one id and text are one document and lose the same lines; rows without an
 id lose nothing and count as no copy; an empty table yields no rows; other columns are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patternloom.llm._common import table, written
@@ -28,62 +29,59 @@ from patternloom.llm._common import table, written
 MIN_WORDS = 50
 
 
-def _doubled(name: str, half: int) -> Column:
-    """Names of the runs of ``2 * half`` lines from those of ``half`` lines; null past the end."""
-    return F.transform(name, lambda x, i: F.when(i + 2 * half <= F.col("m"), F.xxhash64(x, F.get(name, i + half))))
-
-
 def _runs(docs: DataFrame, id: str, text: str, min_words: int) -> DataFrame:
-    """Rows ``id, name, n, start, stop``: the shortest runs of enough words, in line numbers."""
-    line = F.split(F.col(text), "\n", -1)
-    trimmed = F.transform(line, lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")))
-    base = docs.where(F.col(id).isNotNull() & (F.length(text) > 0)).select(F.col(id).alias("id"), trimmed.alias("lines"))
-    entry = lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int").alias("w"), (F.length(x) > 0).alias("full"))
-    base = base.select("id", F.filter(F.transform("lines", entry), lambda x: x["full"]).alias("seq"))
-    base = base.select("id", F.col("seq.at").alias("at"), F.col("seq.h").alias("n0"), F.col("seq.w").alias("w"), F.size("seq").alias("m"))
+    """Rows ``id, t, name, n, start, stop``: the shortest runs of enough words, in line numbers.
+
+    ``t`` tells texts of one id apart.  A null line after the last one marks the text's end.
+    """
+    line = F.posexplode(F.concat(F.split(F.col(text), "\n", -1), F.array(F.lit(None).cast("string"))))
+    base = docs.where(F.col(id).isNotNull() & (F.length(text) > 0)).select(F.col(id).alias("id"), F.xxhash64(text).alias("t"), line.alias("at", "line"))
+    base = base.select("id", "t", "at", F.trim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).where("line is null or length(line) > 0")
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    base = base.select("id", "t", "at", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("n0"), F.coalesce(spaces + 1, F.lit(0)).alias("w"))
+
+    by_line = Window.partitionBy("id", "t").orderBy("at")
+    base = base.withColumn("same", F.lag("at").over(by_line)).where("same is null or same <> at")  # repeated rows
+    base = base.withColumn("b", F.coalesce(F.sum("w").over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # b, the words before a line, orders lines like their numbers; frames of min_words words are ranges of b
+    order = Window.partitionBy("id", "t").orderBy("b")
+    base = base.withColumn("i", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("id", "t")))
     names = ["n0"]
     while 1 << len(names) <= min_words:  # a run of enough words has at most min_words lines
-        base = base.withColumn(f"n{len(names)}", _doubled(names[-1], 1 << (len(names) - 1)))
+        half, last = 1 << (len(names) - 1), names[-1]
         names.append(f"n{len(names)}")
-
-    def grown(part: Column) -> Column:
-        """Lines of the shortest prefix of ``part`` with enough words, or null."""
-        start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("k"))
-        step = lambda a, w: F.when(a["s"] >= min_words, a).otherwise(F.struct((a["s"] + w).alias("s"), (a["k"] + 1).alias("k")))
-        return F.aggregate(part, start, step, lambda a: F.when(a["s"] >= min_words, a["k"]))
-
-    ahead = F.transform("w", lambda w, i: F.when(w >= min_words, F.lit(1)).otherwise(grown(F.slice("w", i + 1, F.lit(min_words)))))
-    behind = F.transform(
-        "w",
-        lambda w, i: F.when(w >= min_words, F.lit(1)).otherwise(
-            grown(F.reverse(F.slice("w", F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words)))))
-        ),
+        base = base.withColumn(names[-1], F.xxhash64(last, F.lead(last, half).over(order)))
+    begun = F.struct("at", *names)  # names of the runs that begin at a line ...
+    ended = F.struct("at", *[F.lag(x, (1 << k) - 1).over(order).alias(x) for k, x in enumerate(names)])  # ... and that end there
+    base = base.select("id", "t", "at", "b", "i", "m", begun.alias("begun"), ended.alias("ended"))
+    base = base.withColumn("begun_before", F.lag("begun").over(order)).withColumn("ended_before", F.lag("ended").over(order))
+    ahead, behind = order.rangeBetween(0, min_words - 1), order.rangeBetween(1 - min_words, 0)
+    base = base.select(
+        "id", "t", "i", "m", "begun", "ended_before",
+        F.count(F.lit(1)).over(ahead).alias("n_ahead"), F.last("ended").over(ahead).alias("ended"),
+        F.count(F.lit(1)).over(behind).alias("n_behind"), F.first("begun_before").over(behind).alias("begun_before"),
     )
-    base = base.withColumn("ahead", ahead).withColumn("behind", behind)
-    first = F.transform("ahead", lambda n, i: F.struct(i.alias("i"), n.alias("n")))
-    last = F.transform("behind", lambda n, i: F.struct((i + 1 - n).alias("i"), n.alias("n")))
-    base = base.withColumn("runs", F.array_distinct(F.filter(F.concat(first, last), lambda r: r["n"].isNotNull())))
 
-    def name(r: Column) -> Column:
-        out = None
-        for k in reversed(range(len(names))):
-            pair = F.xxhash64(F.get(names[k], r["i"]), F.get(names[k], r["i"] + r["n"] - (1 << k)))
-            out = pair if out is None else F.when(r["n"] < 2 << k, pair).otherwise(out)
-        return out
+    def run(first: str, last: str, n: str, valid: Column) -> Column:
+        pair = None
+        for k, x in reversed(list(enumerate(names))):
+            own = F.xxhash64(F.col(first)[x], F.col(last)[x])
+            pair = own if pair is None else F.when(F.col(n) < 2 << k, own).otherwise(pair)
+        return F.when(valid, F.struct(pair.alias("name"), F.col(n).alias("n"), F.col(first)["at"].alias("start"), (F.col(last)["at"] + 1).alias("stop")))
 
-    run = F.transform("runs", lambda r: F.struct(name(r).alias("name"), r["n"].alias("n"), F.get("at", r["i"]).alias("start"), (F.get("at", r["i"] + r["n"] - 1) + 1).alias("stop")))
-    return base.where(F.size("runs") > 0).select("id", F.inline(run))
+    both = F.array(run("begun", "ended", "n_ahead", F.col("i") + F.col("n_ahead") <= F.col("m")), run("begun_before", "ended_before", "n_behind", F.col("i") > F.col("n_behind")))
+    return base.select("id", "t", F.inline(F.array_compact(both)))
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines to delete: ``id`` and ``cuts``, ascending disjoint [start, stop) line numbers."""
+    """Lines to delete: ``id``, ``t`` (hash of the text) and ``cuts``, ascending disjoint [start, stop) line numbers."""
     runs = written(_runs(docs, id, text, min_words))
-    place = F.struct("id", "start")
-    first = written(runs.groupBy("name", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    later = runs.join(first, ["name", "n"]).where(F.struct("id", "start") > F.col("first")).groupBy("id", "start").agg(F.max("stop").alias("stop"))
+    place = F.struct("id", "t", "start")
+    first = written(runs.groupBy("name", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
+    later = runs.join(first, ["name", "n"]).where(F.struct("id", "t", "start") > F.col("first")).groupBy("id", "t", "start").agg(F.max("stop").alias("stop"))
     return (
-        later.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("all"))
-        .select("id", _merged("all").alias("cuts"))
+        later.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("all"))
+        .select("id", "t", _merged("all").alias("cuts"))
     )
 
 
@@ -102,8 +100,8 @@ def _merged(intervals: str) -> Column:
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies cut from ``text``, and the column ``cuts`` (null: nothing cut)."""
-    cuts = repeated_lines(docs, id, text, min_words).withColumnRenamed("id", "_cut_id")
-    both = docs.drop("cuts").join(cuts, F.col(id) == F.col("_cut_id"), "left").drop("_cut_id")
+    cuts = repeated_lines(docs, id, text, min_words).toDF("_id", "_t", "cuts")
+    both = docs.drop("cuts").join(cuts, (F.col(id) == F.col("_id")) & (F.xxhash64(text) == F.col("_t")), "left").drop("_id", "_t")
     lines = F.split(F.col(text), "\n", -1)
     both = both.withColumn("_lines", F.when(F.col("cuts").isNotNull(), lines))
 
