@@ -1,14 +1,107 @@
-"""Registered queries and their DuckDB statements."""
+"""Registered queries and their DuckDB statements.
+
+``Query`` names an operator, its inputs and the columns it returns; the Spark plan and the
+oracle text come from it.  Columns marked ``~`` are rounded to four digits by the same double
+arithmetic on both sides (the engines' own ``round`` treat ties differently).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patternloom.operators import features as fx
+from patternloom.plans.dual import DUCKDB, SPARK, Dialect, Operator
+from patternloom.sources import bars as src
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TABLES = ("events", "lineitem", "orders", "customer", "nation", "region", "part", "supplier")
+
+
+def columns(spec: str) -> str:
+    return ", ".join(f"floor({c[1:]} * 1e4 + 0.5e0) / 1e4 AS {c[1:]}" if c[0] == "~" else c for c in spec.split())
+
+
+def hourly(d: Dialect, **t: str) -> str:
+    return f"({src.tick_bars(d, t['events'])})"
+
+
+def quarter(d: Dialect, **t: str) -> str:
+    return f"({src.tick_bars(d, t['events'], 900_000)})"
+
+
+def daily(d: Dialect, **t: str) -> str:
+    return f"({src.daily_bars(d, t['lineitem'])})"
+
+
+def spoken(build: Callable[..., str], d: Dialect, spec: str, **t: str) -> str:
+    return f"SELECT {columns(spec)} FROM ({build(d, **t)}) q"
+
+
+def _run(build: Callable[..., str], spec: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = spoken(build, SPARK, spec, **{t: "{" + t + "}" for t in TABLES})
+    used = [t for t in TABLES if "{" + t + "}" in body]
+    return spark.sql(body, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
+def add(name: str, spec: str, build: Callable[..., str]) -> None:
+    """Register a query from a function of a dialect and the tables."""
+    QUERIES[name] = partial(_run, build, spec)
+    ORACLES[name] = spoken(build, DUCKDB, spec, **{t: t for t in TABLES})
+
+
+def bar_query(name: str, spec: str, operator: Operator, source=hourly, **options) -> None:
+    add(name, spec, lambda d, **t: operator(d, source(d, **t) + " bb", **options))
+
+
+bar_query("s3_dataset_bars", "dataset_id bar_index ts_ms open high low close volume ~avg_value users", lambda d, b: f"SELECT * FROM {b}")
+bar_query("s3_daily_bars", "dataset_id bar_index ts_ms ~open ~high ~low ~close volume", lambda d, b: f"SELECT * FROM {b}", daily)
+bar_query("s8_resample", "dataset_id bar_index ts_ms open high low close volume", src.resample)
+bar_query("s11_rescale", "dataset_id bar_index ts_ms ~open ~high ~low ~close volume", src.rescale)
+bar_query("s11_calibration", "dataset_id ~return_sd ~mean_tr_pct ~median_tr_pct ~gap_sd", src.calibration)
+bar_query("s16_preview", "dataset_id bar_index ts_ms open high low close volume", src.preview)
+bar_query("s17_facts", "dataset_id row_count first_ms last_ms interval_ms", src.facts)
+bar_query("s17_timeframe", "dataset_id interval_ms timeframe", lambda d, b: src.timeframe(d, f"({src.facts(d, b)})"))
+bar_query("b1_candle", "dataset_id bar_index ~candle_upper_wick_pct ~candle_lower_wick_pct ~candle_body_pct ~candle_body_size ~candle_range", fx.candle)
+bar_query("b2_candle_direction", "dataset_id bar_index candle_direction", fx.candle)
+for _name, _spec in {"b3_pivot_event": "pivot_event", "b4_swing_sequence": "swing_sequence", "b5_structure_state": "structure_state", "b6_break_of_structure": "break_of_structure", "b7_liquidity_sweep": "liquidity_sweep", "b8_structure_event_sequence": "structure_event_sequence"}.items():
+    bar_query(_name, f"dataset_id bar_index {_spec}", fx.structure)
+bar_query("b9_vwap", "dataset_id bar_index ~vwap_distance_pct vwap_side", fx.vwap)
+bar_query("b10_time_of_day", "dataset_id bar_index time_of_day", fx.calendar, quarter)
+bar_query("b11_session_phase", "dataset_id bar_index session_phase", fx.calendar, quarter)
+bar_query("b12_weekday_month", "dataset_id bar_index weekday month", fx.calendar, daily)
+bar_query("b13_trading_day", "dataset_id bar_index day minute_of_day", fx.clocked)
+bar_query("b14_day_index", "dataset_id day_no first_bar last_bar day_open day_high day_low day_close", fx.days)
+bar_query("b15_relative_volume", "dataset_id bar_index rvol_bucket volume_spike", fx.volume)
+bar_query("b16_atr14", "dataset_id bar_index ~true_range ~atr_14 ~current_atr", fx.atr)
+bar_query("b17_atr_percentile", "dataset_id bar_index ~atr_percentile", fx.atr_percentile)
+bar_query("b18_range_percentile", "dataset_id bar_index ~range_percentile", fx.range_percentile)
+bar_query("b19_prev_day_location", "dataset_id bar_index ~prev_day_location prev_day_level_state", fx.previous_day)
+bar_query("b20_prev_day_distance_atr", "dataset_id bar_index ~distance_to_pdh_atr ~distance_to_pdl_atr ~distance_to_pds_mid_atr", fx.previous_day)
+bar_query("b21_adjusted_pds_box", "dataset_id bar_index adjusted_pds_box_state ~adjusted_pds_box_position ~distance_to_adjusted_pds_mid_atr adjusted_pds_level_event", fx.adjusted_box)
+bar_query("b22_prev_day_level_event", "dataset_id bar_index prev_day_level_event", fx.previous_day)
+bar_query("b23_prev_hour_location", "dataset_id bar_index ~prev_hour_location", fx.previous_hour, quarter)
+bar_query("b24_box", "dataset_id bar_index ~box_position box_event", fx.box)
+bar_query("b25_gap", "dataset_id bar_index ~gap_size_pct gap_direction", fx.gap)
+bar_query("b26_opening_range", "dataset_id bar_index ~or_size_pct or_breakout", fx.opening_range)
+bar_query("b27_bollinger", "dataset_id bar_index bb_location ~bb_bandwidth ~bb_percent_b", fx.bollinger)
+bar_query("b28_bandwidth_regime", "dataset_id bar_index ~bb_bandwidth_percentile bb_regime", fx.bollinger)
+bar_query("b29_trend_slope", "dataset_id bar_index ~trend_slope", fx.trend)
+bar_query("b30_trend_strength", "dataset_id bar_index trend_strength", fx.trend)
+bar_query("b31_consecutive_direction", "dataset_id bar_index consecutive_direction", fx.streak)
+bar_query("b32_sweep_reclaim", "dataset_id bar_index sweep_reclaim_sequence", fx.sequences)
+bar_query("b33_break_retest", "dataset_id bar_index break_retest_sequence", fx.sequences)
+bar_query("b34_custom_columns", "dataset_id bar_index ~avg_value users ~k", lambda d, b: f"SELECT dataset_id, bar_index, CASE WHEN NOT isnan(avg_value) THEN avg_value END AS avg_value, users, k FROM {b}")
+bar_query("b35_exit_levels_day", "dataset_id bar_index ~exit_pdh ~exit_pdl ~exit_pd_mid", fx.previous_day)
+bar_query("b35_exit_levels_bands", "dataset_id bar_index ~exit_bb_mid ~exit_bb_upper ~exit_bb_lower", fx.bollinger)
+bar_query("b35_exit_levels_box", "dataset_id bar_index ~exit_box_high ~exit_box_low ~exit_box_mid", fx.box)
+bar_query("b35_exit_levels_opening", "dataset_id bar_index ~exit_or_high ~exit_or_low ~exit_or_mid", fx.opening_range)
+bar_query("b35_exit_levels_vwap", "dataset_id bar_index ~exit_vwap", fx.vwap)
+bar_query("b35_exit_levels_swings", "dataset_id bar_index swing_high swing_low", fx.pivots)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return QUERIES["b24_box"](spark, sf_dir)
