@@ -4,9 +4,10 @@ The overlap of two documents is an entry of the product of the document by n-gra
 matrix with its transpose.  The product is taken in steps:
 
 1. Documents with the same set are one class (a 128-bit print of the set); only the least id
-   of a class goes on, so copies cost one row each.  A sketch of the set keeps, for each of
-   2048 parts of the hash range, whether its number of shingles is odd; sets differ in at least
-   as many shingles as their sketches differ in bits, which rules out most pairs exactly.
+   of a class goes on, so copies cost one row each.  A sketch of the set keeps, for each
+   part of the hash range (about two parts a shingle), whether its number of shingles is odd;
+   sets differ in at least as many shingles as their sketches differ in bits, which rules out
+   most pairs exactly.
 2. Columns of the product: with n shingles and threshold t, two sets can only reach t if they
    share one of the first ``n - ceil(t*n) + 1`` of each in any common order.  The order puts
    shingles that occur all over the corpus last, so boilerplate rarely is among the columns.
@@ -65,24 +66,32 @@ def _signed(x) -> pa.Array:
 
 
 _PRINT = ["kind", "id", "n", "p1", "p2", "sketch"]
-_SKETCH_BITS = 2048
 
 
 def _sketch(u: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((u & U64(_SKETCH_BITS - 1)).astype(np.int64), minlength=_SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    """Parity of the number of shingles in each part of the hash range; about two parts a shingle."""
+    parts = 1 << max(9, (2 * len(u)).bit_length())
+    return np.packbits((np.bincount((u & U64(parts - 1)).astype(np.int64), minlength=parts) & 1).astype(np.uint8)).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the longer is folded to the shorter, which keeps parities."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _possible(batches, percent: int):
     """Pairs whose sketches leave the threshold possible; columns a, b, a_n, b_n and sketches."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
-        differ = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
         total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        differ = np.asarray([_differ(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
         # overlap is at most (total - differ) / 2; overlap / (total - overlap) must reach the threshold
         keep = (100 + percent) * (total - differ) >= 2 * percent * total
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
 
 def _prints(batches, k: int, keep: int):
