@@ -111,8 +111,8 @@ def recency(d: Dialect, events: str, event: str) -> str:
     """Bars since an event column was last active: Now, up to 3, up to 10 or Not recent."""
     active = f"NOT ({event} LIKE 'No %' OR {event} LIKE 'None%' OR {event} LIKE 'Off%' OR {event} LIKE 'Flat%' OR {event} LIKE 'Middle%')"
     return f"""
-    SELECT dataset_id, bar_index, CASE WHEN bar_index = at THEN 'Now' WHEN bar_index - at <= 3 THEN '1-3 bars' WHEN bar_index - at <= 10 THEN '4-10 bars' ELSE 'Not recent' END AS recency
-    FROM (SELECT dataset_id, bar_index, {d.last(f'CASE WHEN {active} THEN bar_index END', _ALL)} AS at FROM ({events}) e) f"""
+    SELECT dataset_id, bar_index, CASE WHEN bar_index = seen THEN 'Now' WHEN bar_index - seen <= 3 THEN '1-3 bars' WHEN bar_index - seen <= 10 THEN '4-10 bars' ELSE 'Not recent' END AS recency
+    FROM (SELECT dataset_id, bar_index, {d.last(f'CASE WHEN {active} THEN bar_index END', _ALL)} AS seen FROM ({events}) e) f"""
 
 
 def bands(d: Dialect, bars: str, upper: str, lower: str) -> str:

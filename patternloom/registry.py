@@ -12,7 +12,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patternloom.operators import align, semantic as sem
 from patternloom.operators import features as fx
+from patternloom.operators import patterns as pt
 from patternloom.plans.dual import DUCKDB, SPARK, Dialect, Operator
 from patternloom.sources import bars as src
 
@@ -22,7 +24,7 @@ TABLES = ("events", "lineitem", "orders", "customer", "nation", "region", "part"
 
 
 def columns(spec: str) -> str:
-    return ", ".join(f"floor({c[1:]} * 1e4 + 0.5e0) / 1e4 AS {c[1:]}" if c[0] == "~" else c for c in spec.split())
+    return ", ".join(f"floor({c[1:]} * 1e4 + 0.50001e0) / 1e4 AS {c[1:]}" if c[0] == "~" else c for c in spec.split())
 
 
 def hourly(d: Dialect, **t: str) -> str:
@@ -102,6 +104,117 @@ bar_query("b35_exit_levels_opening", "dataset_id bar_index ~exit_or_high ~exit_o
 bar_query("b35_exit_levels_vwap", "dataset_id bar_index ~exit_vwap", fx.vwap)
 bar_query("b35_exit_levels_swings", "dataset_id bar_index swing_high swing_low", fx.pivots)
 
+# ------------------------------------------------------------------ uploaded columns
+
+bar_query("c4_rolling_percentile", "dataset_id bar_index ~percentile", sem.rolling_percentile, x="avg_value")
+bar_query("c5_rolling_z", "dataset_id bar_index ~z", sem.rolling_z, x="avg_value")
+bar_query("c6_early_atr", "dataset_id bar_index ~tr ~atr", sem.early_atr)
+bar_query("c7_quantiles", "dataset_id ~q20 ~q50 ~q80", sem.quantiles, x="users")
+bar_query("c8_event_state", "dataset_id bar_index state", sem.event_state, x="(users - 3)")
+bar_query("c9_direction", "dataset_id bar_index direction", sem.direction, x="users")
+bar_query("c10_slope", "dataset_id bar_index ~slope", sem.slope, x="users")
+bar_query("c11_acceleration", "dataset_id bar_index ~acceleration", sem.slope, x="users")
+bar_query("c12_persistence", "dataset_id bar_index persistence", sem.persistence, x="users")
+bar_query("c13_regime_transition", "dataset_id bar_index regime transition", sem.regime, x="users")
+bar_query("c14_price_level", "dataset_id bar_index ~distance_pct ~distance_atr relation cross_event touch rejection breakout", sem.price_level, x="avg_value")
+bar_query("c15_confirmed_pivots", "dataset_id bar_index pivot_index ~value kind", sem.confirmed_pivots, x="users")
+bar_query("c16_divergence", "dataset_id bar_index divergence", sem.divergence, x="users")
+bar_query("c17_recency", "dataset_id bar_index recency", lambda d, b: sem.recency(d, sem.regime(d, b, "users"), "transition"))
+bar_query("c18_band_width", "dataset_id bar_index ~width_pct ~width_atr expansion", sem.bands, upper="high", lower="low")
+bar_query("c19_width_ratio", "dataset_id bar_index ~width_ratio", sem.width_ratio, a="high - low", b="close - open")
+bar_query("c20_pair", "dataset_id bar_index relation cross_event ~spread_z", sem.pair, a="users", b="volume")
+bar_query("c21_zone", "dataset_id bar_index zone", sem.zone, x="users")
+bar_query("c22_change_score", "dataset_id bar_index ~z", sem.change_score, x="users")
+bar_query("c23_band_acceleration", "dataset_id bar_index ~acceleration", sem.bands, upper="(high + 1)", lower="low")
+bar_query("c24_column_summary", "dataset_id n lo hi ~mean ~sd kinds", sem.summary, x="users")
+
+# ------------------------------------------------------------------ alignment
+
+H, Q = src.HOUR, 900_000
+
+
+def two(name: str, spec: str, operator: Operator, **options) -> None:
+    """A query over quarter-hour (lower) and hourly (higher) bars."""
+    add(name, spec, lambda d, **t: operator(d, quarter(d, **t) + " ql", hourly(d, **t) + " hb", **options))
+
+
+two("j1_asof_completed", "dataset_id bar_index ts_ms src_index", lambda d, lo, hi: align.completed(d, lo, hi, Q, H))
+two("j2_asof_context", "dataset_id bar_index src_index mtf_close mtf_volume", lambda d, lo, hi: align.context(d, lo, hi, Q, H, "close volume"))
+two("j3_exit_levels", "dataset_id bar_index ~mtf_exit_box_high ~mtf_exit_box_low", lambda d, lo, hi: align.context(d, lo, f"(SELECT h.*, x.exit_box_high, x.exit_box_low FROM {hi.removesuffix(' hb')} h LEFT JOIN ({fx.box(d, hi)}) x ON h.dataset_id = x.dataset_id AND h.bar_index = x.bar_index) hx", Q, H, "exit_box_high exit_box_low"))
+two("j4_developing_candle", "dataset_id bar_index ~progress ~body_pct ~range_pct ~location", lambda d, lo, hi: align.developing(d, lo, hi, Q, H))
+two("j5_intrabar_path", "dataset_id bar_index intrabars ~coverage ~efficiency turns ~up_excursion ~down_excursion", lambda d, lo, hi: align.intrabar(d, hi, lo, H, Q))
+two("j7_contained_bars", "dataset_id src_index n", lambda d, lo, hi: f"SELECT dataset_id, src_index, count(*) AS n FROM ({align.covering(d, lo, hi, H)}) c GROUP BY dataset_id, src_index")
+two("j8_covering_bar", "dataset_id bar_index src_index", lambda d, lo, hi: align.covering(d, lo, hi, H))
+two("j9_prior_bar", "dataset_id bar_index src_index", align.prior_daily)
+two("j12_alignment_audit", "dataset_id bars aligned leaks irregular ~coverage", lambda d, lo, hi: align.audit(d, lo, hi, Q, H))
+
+
+def crossings(d: Dialect, bars: str, dataset: str, k: float = 1.0) -> str:
+    """Events of one dataset: the close crosses its mean plus or minus k deviations."""
+    return f"""SELECT bar_index AS event_id, ts_ms AS moment, dataset_id, CASE WHEN close > hi AND p <= hi THEN 'cross above' ELSE 'cross below' END AS kind
+      FROM (SELECT b.*, lag(close) OVER ({src.ORDER}) AS p, m + {k}e0 * s AS hi, m - {k}e0 * s AS lo FROM (SELECT *, avg(close) OVER (PARTITION BY dataset_id) AS m, stddev_pop(close) OVER (PARTITION BY dataset_id) AS s FROM {bars}) b) c
+      WHERE dataset_id = '{dataset}' AND ((close > hi AND p <= hi) OR (close < lo AND p >= lo))"""
+
+
+bar_query("j6_coincidences", "event_id other_id distance", lambda d, b: align.nearest(d, f"({crossings(d, b, 'click')}) ea", f"({crossings(d, b, 'view')}) eb", 2 * H))
+bar_query("j11_dataset_selection", "dataset_id bar_index close", lambda d, b: f"SELECT * FROM (SELECT * FROM {b}) s WHERE dataset_id IN (SELECT k FROM {d.values([('click',), ('view',)], 'k')} w)")
+bar_query("j13_prev_day_join", "dataset_id day_no pdh pdl pdc", fx.days)
+bar_query("r1_series_facts", "dataset_id n ~mean ~sd usable", lambda d, b: f"SELECT dataset_id, count(*) AS n, avg(close) AS mean, CASE WHEN stddev_pop(close) = 0 THEN 1e0 ELSE stddev_pop(close) END AS sd, count(close) = count(*) AS usable FROM {b} GROUP BY dataset_id")
+bar_query("r2_cross_events", "event_id moment dataset_id kind", lambda d, b: crossings(d, b, "click"))
+_PAIRS = lambda d, b: align.nearest(d, f"({crossings(d, b, 'click')}) ea", f"({crossings(d, b, 'view')}) eb", 2 * H)
+bar_query("r4_correlation_strength", "matched ~strength band", lambda d, b: f"""
+    SELECT matched, s AS strength, CASE WHEN s >= 0.66e0 THEN 'strong' WHEN s >= 0.33e0 THEN 'moderate' ELSE 'weak' END AS band FROM (
+      SELECT matched, greatest(least(0.45e0 * (1 - coalesce(mean_distance, {2 * H}) / {2 * H}) + 0.4e0 * matched / drivers + 0.15e0 * (1 - least(drivers * 1e0 / bars, 1e0)), 1e0), 0.1e0) AS s
+      FROM (SELECT count(*) AS matched, avg(distance) AS mean_distance FROM ({_PAIRS(d, b)}) p) m CROSS JOIN (SELECT count(*) AS drivers FROM ({crossings(d, b, 'click')}) e) n CROSS JOIN (SELECT count(*) AS bars FROM {b} WHERE dataset_id = 'click') o) a""")
+bar_query("r6_first_contribution", "other_id event_id", lambda d, b: f"SELECT other_id, min(event_id) AS event_id FROM ({_PAIRS(d, b)}) p GROUP BY other_id")
+
+# ------------------------------------------------------------------ patterns
+
+bar_query("p1_condition_matches", "dataset_id bar_index cond", pt.matches)
+bar_query("p2_conjunctions", "pattern_id n", lambda d, b: f"SELECT pattern_id, count(*) AS n FROM ({pt.matched(d, b)}) m GROUP BY pattern_id")
+bar_query("p5_quantile_thresholds", "dataset_id q20 q40 q60 q80", pt.thresholds, x="users")
+bar_query("p11_screening", "dataset_id ~close_strength ~volume_strength ~avg_value_strength ~users_strength", pt.screening)
+bar_query("p11_group_spread", "cond ~spread", pt.group_spread)
+bar_query("a1_forward_return", "dataset_id bar_index ~ret", pt.outcomes)
+bar_query("a2_excursions", "dataset_id bar_index ~mfe ~mae", pt.outcomes)
+bar_query("a3_outcomes_h5", "dataset_id bar_index ~ret ~mfe ~mae", pt.outcomes, h=5)
+bar_query("a4_pattern_eval", "pattern_id n direction ~win_rate ~avg_move ~mfe ~mae", pt.evaluate)
+bar_query("a5_baseline", "dataset_id n ~bullish ~bearish", pt.baseline)
+bar_query("a6_excursion_ratio", "pattern_id ~excursion_ratio", pt.evaluate)
+bar_query("a7_trade_summary", "pattern_id n ~win_pct ~mean_move ~median_move", pt.trades)
+bar_query("a8_non_overlapping", "pattern_id dataset_id n first_at last_at", pt.spaced)
+bar_query("a9_drawdown", "pattern_id ~sd ~max_drawdown", pt.drawdown)
+bar_query("a10_horizon_curve", "pattern_id horizon n ~win_rate ~mean_move", pt.horizons)
+bar_query("a11_outcome_profile", "pattern_id n ~median_mfe ~median_mae ~target_rate ~stop_rate ~median_bars ~target_first", pt.profile)
+bar_query("a12_p_value", "pattern_id n ~z ~p", pt.p_values)
+bar_query("a13_bh_qvalue", "pattern_id ~p ~q", pt.q_values)
+bar_query("a14_frozen_direction", "pattern_id ~win_rate", pt.frozen)
+bar_query("a15_adds_value", "pattern_id ~win_rate ~best_part adds_value", pt.adds_value)
+bar_query("a16_similarity", "a b ~jaccard", pt.similarity)
+bar_query("a17_score_confidence", "pattern_id n ~score confidence", pt.scores)
+bar_query("a18_filter_audit", "reason patterns", pt.filtered)
+bar_query("a20_ratio_search", "~threshold patterns ~set_score", pt.ratio_search)
+bar_query("a21_rank", "pattern_id rk ~score n", pt.ranked)
+bar_query("a22_coverage", "pattern_id n first_ms last_ms ~early_win ~late_win", pt.coverage)
+bar_query("a23_cross_symbol", "pattern_id symbols ~pooled ~equal broad", pt.by_symbol)
+bar_query("a24_histogram", "pattern_id bin n", pt.histogram)
+bar_query("a25_wilson", "pattern_id n ~lo ~hi", pt.wilson)
+bar_query("a26_costs", "pattern_id ~net_move ~cost_multiple cushion", pt.costs)
+bar_query("a27_attribution", "dataset_id n ~share ~win", pt.attribution)
+bar_query("v1_split", "dataset_id bar_index side", pt.split)
+bar_query("v3_out_of_sample", "pattern_id n_in n_out ~win_in ~win_out", pt.out_of_sample)
+bar_query("v4_walk_forward", "pattern_id fold n ~win_rate passed", pt.walk_forward)
+bar_query("v5_market_side", "pattern_id market n ~win_rate", pt.market_side)
+bar_query("v6_by_year", "pattern_id y n ~win_rate", pt.by_year)
+bar_query("v8_degradation", "pattern_id degraded", pt.out_of_sample)
+bar_query("v9_survival", "pattern_id evaluated ~survival", pt.survival)
+bar_query("v10_held_up", "pattern_id passed ~mean_win status", pt.held_up)
+bar_query("v12_summary", "patterns ~pass_rate ~mean_survival ~mean_ratio", pt.validation_summary)
+bar_query("o3_ranked", "pattern_id rk", pt.ranked)
+bar_query("o4_top_ten", "pattern_id rk", lambda d, b: f"SELECT * FROM ({pt.ranked(d, b)}) r WHERE rk <= 10")
+bar_query("o5_balanced_selection", "pattern_id family turn pos", pt.balanced)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["b24_box"](spark, sf_dir)
+    """Win rate, baseline and lift of every single and paired condition over hourly bars."""
+    return QUERIES["a4_pattern_eval"](spark, sf_dir)
