@@ -12,7 +12,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patternloom.operators import align, semantic as sem
+from patternloom.operators import align, hygiene, simulate
+from patternloom.operators import semantic as sem
 from patternloom.operators import features as fx
 from patternloom.operators import patterns as pt
 from patternloom.plans.dual import DUCKDB, SPARK, Dialect, Operator
@@ -215,6 +216,56 @@ bar_query("o4_top_ten", "pattern_id rk", lambda d, b: f"SELECT * FROM ({pt.ranke
 bar_query("o5_balanced_selection", "pattern_id family turn pos", pt.balanced)
 
 
+# ------------------------------------------------------------------ simulation
+
+bar_query("x1_first_exit", "dataset_id signal_index ~entry exit_index result ~gross_pct", simulate.first_exit)
+bar_query("x2_wilder_atr", "dataset_id ~atr", simulate.wilder_atr)
+bar_query("x3_exit_triggers", "dataset_id bar_index cross_above cross_below newly_equal", simulate.exit_triggers)
+bar_query("x5_exit_states", "dataset_id cond n", simulate.exit_states)
+bar_query("x8_objective", "dataset_id n ~score", lambda d, b: simulate.objective(d, simulate.first_exit(d, b)))
+bar_query("x13_sessions", "dataset_id bar_index bar_no oh ol known_high known_low", simulate.sessions, quarter)
+bar_query("x14_reversal_signals", "dataset_id bar_index side ~entry ~stop ~target", simulate.reversal_signals, quarter)
+bar_query("x14_reversal_trades", "dataset_id signal_index side result ~gross_r", simulate.reversal_trades, quarter)
+bar_query("x15_r_metrics", "dataset_id n ~win_rate ~expectancy ~profit_factor ~net_r ~max_drawdown", lambda d, b: simulate.metrics(d, simulate.first_exit(d, b)))
+bar_query("x16_parameter_grid", "manipulation wick body location inside entry", lambda d, b: f"SELECT g.* FROM ({simulate.grid(d)}) g JOIN (SELECT count(*) AS c FROM {b}) x ON x.c >= 0")
+bar_query("x18_source_choice", "dataset_id interval_ms", lambda d, b: f"SELECT dataset_id, interval_ms FROM (SELECT *, row_number() OVER (ORDER BY interval_ms, dataset_id) AS rn FROM ({src.facts(d, b)}) f) g WHERE rn = 1")
+
+
+def x1_simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every setting of the grid on every dataset (ordered fold; rows only)."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bars = spark.sql(src.tick_bars(SPARK, "{events}"), events=events)
+    signals = spark.sql(pt.matches(SPARK, "{bars}"), bars=bars).where("cond = 0")
+    return simulate.simulate(bars, signals, simulate.configurations())
+
+
+QUERIES["x1_simulate"] = x1_simulate
+
+# ------------------------------------------------------------------ hygiene and catalogue
+
+bar_query("h2_presence", "dataset_id feature present kept", hygiene.presence)
+bar_query("h3_duplicates", "dataset_id a b", lambda d, b: hygiene.duplicates(d, f"(SELECT *, open AS again FROM {b}) w"))
+bar_query("h6_statistics", "dataset_id lo hi ~mean p25 p50 p75", hygiene.statistics, x="users")
+bar_query("h7_distribution", "bucket n ~pct", lambda d, b: hygiene.distribution(d, fx.volume(d, b), "rvol_bucket", ("Low", "Normal", "High", "Extreme")))
+bar_query("h9_observed", "feature lo hi", lambda d, b: hygiene.observed(d, f"(SELECT open, close, volume, floor(avg_value * 100) / 100e0 AS avg_value, users, floor(k * 100) / 100e0 AS k FROM {b}) w"))
+bar_query("a28_universe", "~rows_total datasets", lambda d, b: f"SELECT cast(count(*) AS double) AS rows_total, count(DISTINCT dataset_id) AS datasets FROM {b}")
+bar_query("j10_lookup", "pattern_id win_rate_in status", lambda d, b: f"SELECT e.pattern_id, e.n AS win_rate_in, h.status FROM ({pt.evaluate(d, b)}) e LEFT JOIN ({pt.held_up(d, b)}) h ON e.pattern_id = h.pattern_id")
+bar_query("o1_result_order", "pattern_id rk", lambda d, b: f"SELECT pattern_id, row_number() OVER (ORDER BY coalesce(floor(excursion_ratio * 1e6), -1) DESC, pattern_id) AS rk FROM ({pt.evaluate(d, b)}) e".replace("row_number()", "cast(1 AS bigint) * row_number()"))
+bar_query("o7_union", "pattern_id source", lambda d, b: f"SELECT pattern_id, 'bullish' AS source FROM ({pt.evaluate(d, b)}) e WHERE direction = 'bullish' UNION ALL SELECT pattern_id, 'bearish' FROM ({pt.evaluate(d, b)}) f WHERE direction = 'bearish'")
+bar_query("o8_distinct", "candle_direction box_event", lambda d, b: f"SELECT DISTINCT candle_direction, box_event FROM ({pt.feature_row(d, b)}) f")
+bar_query("o9_exclusion", "pattern_id", lambda d, b: f"SELECT pattern_id FROM ({pt.evaluate(d, b)}) e EXCEPT SELECT pattern_id FROM ({pt.ranked(d, b)}) r WHERE rk <= 10")
+bar_query("o10_intersection", "dataset_id bar_index", lambda d, b: f"SELECT dataset_id, bar_index FROM ({pt.matches(d, b)}) m WHERE cond = 0 INTERSECT SELECT dataset_id, bar_index FROM ({pt.matches(d, b)}) n WHERE cond = 2")
+bar_query("o11_top_rejections", "reason patterns", lambda d, b: f"SELECT reason, patterns FROM ({pt.filtered(d, b)}) f WHERE reason <> 'kept' ORDER BY patterns DESC, reason LIMIT 3")
+
+# ------------------------------------------------------------------ saved runs (orders stand for runs: the customer is the owner)
+
+_RUNS = lambda d, t: f"(SELECT o_orderkey AS id, o_custkey AS owner, {d.epoch_ms('o_orderdate')} AS saved_ms, o_orderpriority AS config, o_totalprice AS size FROM {t['orders']})"
+add("d2_list_runs", "id owner saved_ms", lambda d, **t: f"SELECT * FROM {_RUNS(d, t)} r WHERE owner = 42 ORDER BY saved_ms DESC")
+add("d3_run_summaries", "id summary", lambda d, **t: f"SELECT id, config || ' / ' || cast(saved_ms AS {d.text_type}) AS summary FROM {_RUNS(d, t)} r WHERE owner = 42")
+add("d4_get_runs", "pos id config", lambda d, **t: f"SELECT w.pos, r.id, r.config FROM {d.values([(k, i) for k, i in enumerate((7, 99999999, 3, 11, 5))], 'pos, id')} w JOIN {_RUNS(d, t)} r ON w.id = r.id")
+add("d7_run_page", "id saved_ms more", lambda d, **t: f"SELECT id, saved_ms, c > 5 AS more FROM (SELECT *, count(*) OVER () AS c, row_number() OVER (ORDER BY saved_ms DESC, id) AS rn FROM {_RUNS(d, t)} r WHERE owner = 42) x WHERE rn <= 5")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Win rate, baseline and lift of every single and paired condition over hourly bars."""
     return QUERIES["a4_pattern_eval"](spark, sf_dir)
