@@ -65,7 +65,8 @@ def _signed(x) -> pa.Array:
     return pa.array(np.asarray(x, U64).view(np.int64))
 
 
-_PRINT = ["kind", "id", "n", "p1", "p2", "sketch"]
+_FOLD = [f"f{k}" for k in range(8)]
+_PRINT = ["kind", "id", "n", "p1", "p2", "sketch", *_FOLD]
 
 
 def _sketch(u: np.ndarray) -> bytes:
@@ -74,6 +75,14 @@ def _sketch(u: np.ndarray) -> bytes:
     return np.packbits((np.bincount((u & U64(parts - 1)).astype(np.int64), minlength=parts) & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(x: bytes) -> np.ndarray:
+    """The sketch folded to 512 bits, as eight words."""
+    a = np.frombuffer(x, np.uint64)
+    while len(a) > len(_FOLD):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a
+
+
 def _differ(x: bytes, y: bytes) -> int:
     """Bits in which two sketches differ; the longer is folded to the shorter, which keeps parities."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -101,10 +110,11 @@ def _prints(batches, k: int, keep: int):
         for lo, hi, data, offsets in slices(batch, 1):
             sets = list(shingle_sets(data, offsets, k))
             rows = batch.column(0).slice(lo, hi - lo)
+            sketches = list(map(_sketch, sets))
             with np.errstate(over="ignore"):
                 a = [mix64(u).sum(dtype=U64) for u in sets]
                 b = [mix64(u ^ _FACTOR[1]).sum(dtype=U64) for u in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), rows.cast(pa.int64()), pa.array([len(u) for u in sets], pa.int64()), _signed(a), _signed(b), pa.array(list(map(_sketch, sets)), pa.binary())], _PRINT)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), rows.cast(pa.int64()), pa.array([len(u) for u in sets], pa.int64()), _signed(a), _signed(b), pa.array(sketches, pa.binary()), *map(_signed, np.asarray(list(map(_folded, sketches)), U64).T)], _PRINT)
             new, c = np.unique(np.concatenate(sets), return_counts=True)
             some = c > 1
             tokens, at = np.unique(np.concatenate((tokens, new[some])), return_inverse=True)
@@ -117,7 +127,7 @@ def _prints(batches, k: int, keep: int):
         tokens, counts = tokens[best], counts[best]
     if len(tokens):
         zero = pa.array(np.zeros(len(tokens), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), _signed(tokens), pa.array(counts), zero, zero, pa.nulls(len(tokens), pa.binary())], _PRINT)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), _signed(tokens), pa.array(counts), zero, zero, pa.nulls(len(tokens), pa.binary()), *[zero] * len(_FOLD)], _PRINT)
 
 
 def _columns(batches, k: int, percent: int, heavy, bits):
@@ -222,7 +232,7 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     kind = docs.schema[id].dataType
     base = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    prints = written(base.mapInArrow(partial(_prints, k=k, keep=heavy // 2), "kind int, id long, n long, p1 long, p2 long, sketch binary"))
+    prints = written(base.mapInArrow(partial(_prints, k=k, keep=heavy // 2), "kind int, id long, n long, p1 long, p2 long, sketch binary, " + ", ".join(f"{f} long" for f in _FOLD)))
     sets = prints.where("kind = 0")
 
     # bound: `heavy` rows of two longs
@@ -256,16 +266,17 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     named = checkpointed(rows.select("token", "id", "n").join(parts.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")))
     per = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
     main = checkpointed(per.groupBy("token").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
-    mixed = checkpointed(named.join(main, "token"))
-    outside = mixed.where("c <> main").select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"))
-    more = (
-        mixed.join(outside, "token").where("c <> a_c and (c = main or a < id)").where(near.format("a_n"))
-        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    )
+    # the folded sketches go along, so that a pair the bound rules out is never made
+    mixed = checkpointed(named.join(main, "token").join(sets.select("id", *_FOLD), "id"))
+    outside = mixed.where("c <> main").select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"), *[F.col(f).alias(f"a_{f}") for f in _FOLD])
+    differ = " + ".join(f"bit_count({f} ^ a_{f})" for f in _FOLD)
+    bound = f"{100 + percent} * (n + a_n - ({differ})) >= {2 * percent} * (n + a_n)"
+    meets = F.expr(f"x.token = y.token AND c <> a_c AND (c = main OR a < id) AND {near.format('a_n')} AND {bound}")
+    more = mixed.alias("x").join(outside.alias("y"), meets).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     links = links.unionByName(_links(base, sets, checkpointed(more), k, percent))
     parts = connected_components(links, "a", "b")
 
-    whole = sets.drop("sketch").join(classes, ["n", "p1", "p2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    whole = sets.select("id", "n", "p1", "p2").join(classes, ["n", "p1", "p2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     out = whole.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     return out.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id")).select(F.col("id").cast(kind).alias(id), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))
 
