@@ -93,7 +93,7 @@ class Duck(Dialect):
         return f"(make_timestamp(({ms}) * 1000) AT TIME ZONE 'UTC' AT TIME ZONE '{zone}')"
 
     def epoch_ms(self, ts):
-        return f"epoch_ms({ts})"
+        return f"(epoch_us({ts}) // 1000)"
 
     def div(self, a, b):
         return f"({a} // {b})"

@@ -266,6 +266,57 @@ add("d4_get_runs", "pos id config", lambda d, **t: f"SELECT w.pos, r.id, r.confi
 add("d7_run_page", "id saved_ms more", lambda d, **t: f"SELECT id, saved_ms, c > 5 AS more FROM (SELECT *, count(*) OVER () AS c, row_number() OVER (ORDER BY saved_ms DESC, id) AS rn FROM {_RUNS(d, t)} r WHERE owner = 42) x WHERE rn <= 5")
 
 
+# ------------------------------------------------------------------ parsing and typing (texts made from the tables)
+
+
+def _digits(d: Dialect, x: str) -> str:
+    return f"regexp_matches({x}, '^[0-9]+$')" if d.duck else f"{x} RLIKE '^[0-9]+$'"
+
+
+def _iso(d: Dialect, x: str) -> str:
+    return f"epoch_ms(try_cast({x} AS timestamp))" if d.duck else f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', try_cast({x} AS timestamp_ntz))"
+
+
+def _number(d: Dialect, x: str) -> str:
+    return f"try_cast(nullif(regexp_replace(trim({x}), ',', ''{', ' + chr(39) + 'g' + chr(39) if d.duck else ''}), '') AS double)"
+
+
+def _texts(d: Dialect, **t: str) -> str:
+    ms = d.epoch_ms("ts")
+    v = f"cast(event_id AS {d.text_type})"
+    return f"""(SELECT event_id, CASE event_id % 4 WHEN 0 THEN cast({d.div(ms, '1000')} AS {d.text_type}) WHEN 1 THEN cast({ms} AS {d.text_type}) WHEN 2 THEN '2024-01-02 03:04:05' ELSE 'no time' END AS t,
+      CASE event_id % 4 WHEN 0 THEN concat(' ', {v}, ',000.5 ') WHEN 1 THEN {v} WHEN 2 THEN '' ELSE concat('x', {v}) END AS n FROM {t['events']})"""
+
+
+add("s4_timestamp_parse", "event_id ms", lambda d, **t: f"SELECT event_id, CASE WHEN {_digits(d, 't')} THEN CASE WHEN try_cast(t AS bigint) < 100000000000 THEN try_cast(t AS bigint) * 1000 ELSE try_cast(t AS bigint) END ELSE {_iso(d, 't')} END AS ms FROM {_texts(d, **t)} x")
+add("s5_number_parse", "event_id v", lambda d, **t: f"SELECT event_id, {_number(d, 'n')} AS v FROM {_texts(d, **t)} x")
+add("s6_column_typing", "t_numeric n_numeric", lambda d, **t: f"SELECT max(CASE WHEN {_number(d, 't')} IS NOT NULL THEN 1 ELSE 0 END) = 1 AS t_numeric, max(CASE WHEN {_number(d, 'n')} IS NOT NULL THEN 1 ELSE 0 END) = 1 AS n_numeric FROM (SELECT * FROM {_texts(d, **t)} y WHERE event_id < 200) x")
+
+# ------------------------------------------------------------------ more of search, validation and selection
+
+bar_query("p4_state_detection", "dataset_id ~flag_kinds is_state", lambda d, b: f"SELECT dataset_id, cast(count(DISTINCT sign(close - open)) AS double) AS flag_kinds, count(DISTINCT sign(close - open)) <= 3 AS is_state FROM {b} WHERE bar_index % 2 = 0 GROUP BY dataset_id")
+add("p6_manual_thresholds", "lo hi", lambda d, **t: f"SELECT 20 + 60 * k / 5e0 AS lo, 20 + 60 * (k + 1) / 5e0 AS hi FROM {d.values([(k,) for k in range(5)], 'k')} g")
+add("p7_distinct_conditions", "feature op v", lambda d, **t: f"SELECT DISTINCT feature, op, v FROM {d.values([('a', '<', 1.5), ('a', '<', 1.5), ('a', '>', 1.5), ('b', '=', 2.5)], 'feature, op, v')} c")
+_FAMILY = "CASE WHEN {0} IN (0, 1, 11) THEN 'candle' WHEN {0} IN (2, 3, 4, 9, 10) THEN 'box' WHEN {0} IN (5, 6) THEN 'volume' ELSE 'structure' END"
+bar_query("p12_confluence", "pattern_id sources accepted", lambda d, b: f"SELECT pattern_id, count(DISTINCT family) AS sources, count(DISTINCT family) >= 2 AS accepted FROM (SELECT pattern_id, {_FAMILY.format(d.div('(pattern_id - 100)', '20'))} AS family FROM ({pt.evaluate(d, b)}) e WHERE pattern_id >= 100 UNION ALL SELECT pattern_id, {_FAMILY.format('(pattern_id - 100) % 20')} FROM ({pt.evaluate(d, b)}) f WHERE pattern_id >= 100) g GROUP BY pattern_id")
+bar_query("v2_discovery_prefix", "dataset_id n", lambda d, b: f"SELECT dataset_id, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY dataset_id) AS c FROM {b}) x WHERE bar_index < greatest({pt.HORIZON + 2}, floor(c * 0.7e0)) GROUP BY dataset_id")
+bar_query("v7_per_condition", "pattern_id n ~win_rate", lambda d, b: f"SELECT pattern_id, n, win_rate FROM ({pt.evaluate(d, b)}) e WHERE pattern_id < 100")
+bar_query("v11_final_status", "pattern_id final confidence", lambda d, b: f"SELECT s.pattern_id, coalesce(h.status, 'not-tested') AS final, CASE WHEN h.status = 'degraded' THEN 'low' ELSE s.confidence END AS confidence FROM ({pt.scores(d, b)}) s LEFT JOIN (SELECT * FROM ({pt.held_up(d, b)}) w WHERE pattern_id % 3 <> 0) h ON s.pattern_id = h.pattern_id")
+bar_query("o2_validation_order", "pattern_id pos", lambda d, b: f"SELECT pattern_id, row_number() OVER (ORDER BY passed DESC, pattern_id) * cast(1 AS bigint) AS pos FROM ({pt.held_up(d, b)}) h")
+bar_query("o6_priority", "pattern_id ~priority", lambda d, b: f"SELECT s.pattern_id, s.score + 0.1e0 * h.passed AS priority FROM ({pt.scores(d, b)}) s JOIN ({pt.held_up(d, b)}) h ON s.pattern_id = h.pattern_id")
+bar_query("x9_system_folds", "dataset_id fold n ~mean_r", lambda d, b: f"SELECT dataset_id, fold, count(*) AS n, avg(gross_pct / 20) AS mean_r FROM (SELECT t.*, cast(least(floor(t.signal_index * 4e0 / c), 3) AS bigint) AS fold FROM ({simulate.first_exit(d, b)}) t JOIN (SELECT dataset_id AS ds, count(*) AS c FROM {b} GROUP BY dataset_id) n ON t.dataset_id = n.ds) f GROUP BY dataset_id, fold")
+bar_query("x11_candidate_labels", "best_expectancy lowest_drawdown most_frequent", lambda d, b: "SELECT {m}(dataset_id, floor(expectancy * 1e6) + ascii(dataset_id) / 1e3) AS best_expectancy, {m}(dataset_id, ascii(dataset_id) / 1e3 - floor(max_drawdown * 1e6)) AS lowest_drawdown, {m}(dataset_id, n + ascii(dataset_id) / 1e3) AS most_frequent FROM (".format(m="arg_max" if d.duck else "max_by") + simulate.metrics(d, simulate.first_exit(d, b)) + ") m")
+add("x17_stable_neighbours", "manipulation wick body neighbours", lambda d, **t: f"SELECT a.manipulation, a.wick, a.body, count(*) AS neighbours FROM ({simulate.grid(d)}) a JOIN ({simulate.grid(d)}) b ON a.location = b.location AND a.inside = b.inside AND a.entry = b.entry AND abs(a.manipulation - b.manipulation) / 5 + abs(a.wick - b.wick) / 10 + abs(a.body - b.body) / 10 = 1 GROUP BY a.manipulation, a.wick, a.body")
+bar_query("x19_shortlist", "pattern_id pos", lambda d, b: f"SELECT h.pattern_id, row_number() OVER (ORDER BY r.rk) * cast(1 AS bigint) AS pos FROM ({pt.held_up(d, b)}) h JOIN ({pt.ranked(d, b)}) r ON h.pattern_id = r.pattern_id WHERE h.status = 'held'")
+add("c2_resolve_definition", "label definition", lambda d, **t: f"SELECT l.label, CASE WHEN count(x.id) = 1 THEN max(x.id) ELSE 'inferred' END AS definition FROM {d.values([('rsi 14',), ('atr',), ('macd',)], 'label')} l LEFT JOIN {d.values([('d1', 'rsi'), ('d2', 'atr'), ('d3', 'atr')], 'id, alias')} x ON l.label LIKE x.alias || '%' GROUP BY l.label")
+add("c3_merge_definitions", "id body", lambda d, **t: "SELECT id, {m}(body, updated) AS body FROM {v} x GROUP BY id".format(m="arg_max" if d.duck else "max_by", v=d.values([("a", "old", 1), ("a", "new", 3), ("b", "only", 2)], "id, body, updated")))
+add("h8_catalogue_search", "category n", lambda d, **t: f"SELECT category, count(*) AS n FROM {d.values([('candle_body_pct', 'Candle'), ('box_event', 'Box'), ('BOX_position', 'Box'), ('vwap_side', 'VWAP')], 'name, category')} c WHERE lower(name) LIKE '%box%' OR lower(category) LIKE '%candle%' GROUP BY category")
+bar_query("r7_column_union", "label", lambda d, b: f"SELECT DISTINCT label FROM (SELECT 'close' AS label FROM {b} WHERE dataset_id = 'click' UNION ALL SELECT 'users' FROM {b} WHERE users IS NOT NULL) u")
+bar_query("r5_event_order", "other_id first_event", lambda d, b: f"SELECT other_id, CASE WHEN event_id <= other_id THEN 'driver first' ELSE 'other first' END AS first_event FROM ({_PAIRS(d, b)}) p")
+add("d1_next_run_id", "next_id", lambda d, **t: f"SELECT max(id) + 1 AS next_id FROM {_RUNS(d, t)} r")
+add("d5_delete_run", "id owner", lambda d, **t: f"SELECT id, owner FROM {_RUNS(d, t)} r WHERE owner = 42 AND NOT (id = (SELECT min(id) FROM {_RUNS(d, t)} q WHERE owner = 42))")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Win rate, baseline and lift of every single and paired condition over hourly bars."""
     return QUERIES["a4_pattern_eval"](spark, sf_dir)
