@@ -183,7 +183,10 @@ def summed_arrays(parts: DataFrame, dtype=np.int64) -> dict[int, np.ndarray]:
             whole = row.copy() if whole is None else whole + row
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([whole.tobytes()], pa.binary())})
 
-    rows = parts.groupBy("part").applyInArrow(add, "part int, data binary").toLocalIterator()
+    # two levels, so that no group holds an array of every task
+    salted = parts.withColumn("salt", F.spark_partition_id() % 64)
+    some = salted.groupBy("part", "salt").applyInArrow(add, "part int, data binary")
+    rows = some.groupBy("part").applyInArrow(add, "part int, data binary").toLocalIterator()
     return {r.part: np.frombuffer(bytes(r.data), dtype) for r in rows}
 
 

@@ -104,7 +104,8 @@ def _vectors(batches, slot):
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int = 5, held: int = 0, most: int = MAX_TRAINING_ROWS, kept: int = KEPT_FEATURES) -> dict:
     """Bucket slots, weights and intercept, fitted on at most ``most`` labelled rows."""
     sample, known = labelled_sample(docs, labels, target, modulus, held, most, balanced=True)
-    parts = summed_arrays(sample.mapInArrow(_count, "part int, data binary"), np.int32)
+    # the sample is small: few tasks count it, each with an array of fixed size
+    parts = summed_arrays(sample.repartition(16).mapInArrow(_count, "part int, data binary"), np.int32)
     none = {"slot": np.full(len(LEVELS) << BUCKET_BITS, -1, np.int16), "weights": np.zeros(1), "bias": -30.0}
     if len(parts) < _PARTS:
         return none
