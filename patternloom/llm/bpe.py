@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm._common import slices, table
+from patternloom.llm._common import most_frequent, slices, table, written
 
 #: Fixed value: the byte-level pre-tokenization pattern of the vocabulary.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", regex.V1)
@@ -428,8 +428,8 @@ def word_counts(docs: DataFrame, text: str = "text", flush: int = 600_000) -> Da
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS, text: str = "text") -> bytes:
-    """Compile the ``size`` most frequent words; that many rows at most reach the driver."""
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(size).collect()
+    """Compile the most frequent words; ``size`` rows at most reach the driver."""
+    top = most_frequent(written(word_counts(docs, text).where("n > 1")), "n", size)
     seen = {w for r in top for w in PATTERN.findall(" " + r.word)}
     return compile_lexicon({w.encode(): vocabulary.merge(w.encode()) for w in seen})
 

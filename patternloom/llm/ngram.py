@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patternloom.llm._common import U64, checkpointed, connected_components, mix64, release, slices, table, words, written
+from patternloom.llm._common import U64, checkpointed, connected_components, mix64, most_frequent, release, slices, table, words, written
 
 #: Most frequent shingles that are ordered last; bounds what is broadcast (8 bytes each).
 HEAVY = 1 << 16
@@ -236,7 +236,7 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     sets = prints.where("kind = 0")
 
     # bound: `heavy` rows of two longs
-    top = prints.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n > 4").orderBy(F.desc("n"), "id").limit(heavy).collect()
+    top = most_frequent(prints.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n > 4"), "n", heavy)
     late = np.asarray([r.id for r in top], np.int64).view(U64)
     order = np.argsort(late)
     rank = np.asarray([r.n for r in top], np.int64)
