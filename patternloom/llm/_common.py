@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+# freed batches go back to the system; an executor's memory is shared by its workers and the JVM
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

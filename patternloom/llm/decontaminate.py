@@ -178,14 +178,18 @@ def _search(x: Index, data: np.ndarray, offsets: np.ndarray, threshold: float, c
     return found
 
 
-def _lowered(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(k))], ["text"])
+def _lowered(batch: pa.RecordBatch, k: int):
+    """Pieces of about 1 MB of lower-case text, like ``slices``; memory does not follow the batch."""
+    for lo, hi, *_ in slices(batch, k, 1 << 20):
+        part = pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(k).slice(lo, hi - lo))], ["text"])
+        for a, b, data, offsets in slices(part, 0, 1 << 40):
+            yield lo + a, lo + b, data, offsets
 
 
 def _judge(batches, index, threshold: float, coverage: float):
     x: Index = index.value
     for batch in batches:
-        for lo, hi, data, offsets in slices(_lowered(batch, 1), 0):
+        for lo, hi, data, offsets in _lowered(batch, 1):
             found = _search(x, data, offsets, threshold, coverage)
             rows = [found.get(d, {}) for d in range(hi - lo)]
             items = [sorted(int(x.ids[k]) for k in r) for r in rows]
@@ -198,7 +202,7 @@ def _judge(batches, index, threshold: float, coverage: float):
 def _clean(batches, index, text: int, threshold: float, coverage: float):
     x: Index = index.value
     for batch in batches:
-        for lo, hi, data, offsets in slices(_lowered(batch, text), 0):
+        for lo, hi, data, offsets in _lowered(batch, text):
             found = _search(x, data, offsets, threshold, coverage)
             yield batch.slice(lo, hi - lo).filter(pa.array([d not in found for d in range(hi - lo)], pa.bool_()))
 

@@ -71,7 +71,7 @@ def _contexts(batches):
     dims, signs = index_vectors()
     whole = np.zeros(BUCKETS * DIMENSIONS)
     for batch in batches:
-        for _, _, data, offsets in slices(batch, 0):
+        for _, _, data, offsets in slices(batch, 0, 1 << 20):
             b, _, _, at = tokens(data, offsets)
             text = np.repeat(np.arange(len(at) - 1), np.diff(at))
             for d in range(1, WINDOW + 1):
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, target: str = "quality", mo
 def _score(batches, net, vectors):
     model, v = net.value, vectors.value
     for batch in batches:
-        for lo, hi, data, offsets in slices(batch, 1, 2 << 20):
+        for lo, hi, data, offsets in slices(batch, 1, 1 << 20):
             if "constant" in model:
                 p = np.full(hi - lo, model["constant"])
             else:

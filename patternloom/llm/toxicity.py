@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int
 def _score(batches, model):
     slot, weights, bias = (model.value[k] for k in ("slot", "weights", "bias"))
     for batch in batches:
-        for lo, hi, data, offsets in slices(batch, 1):
+        for lo, hi, data, offsets in slices(batch, 1, 1 << 20):
             text, feature = present(data, offsets, slot) if slot.max() >= 0 else (np.zeros(0, np.int64),) * 2
             z = np.bincount(text, weights[feature], hi - lo) + bias
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def _clean(batches, model, text: int, cut: float):
     slot, weights, bias = (model.value[k] for k in ("slot", "weights", "bias"))
     for batch in batches:
-        for lo, hi, data, offsets in slices(batch, text):
+        for lo, hi, data, offsets in slices(batch, text, 1 << 20):
             at, feature = present(data, offsets, slot) if slot.max() >= 0 else (np.zeros(0, np.int64),) * 2
             z = np.bincount(at, weights[feature], hi - lo) + bias
             keep = 1 / (1 + np.exp(-np.clip(z, -30, 30))) < cut
