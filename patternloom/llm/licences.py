@@ -44,6 +44,8 @@ TEMPLATES = [
 #: Rarest template words of a text that are looked up, and the share of a template's that must agree.
 RARE_WORDS = 12
 AGREEMENT = 0.6
+#: Rarest words by which each template is known, however frequent they are.
+LEAST_WORDS = 3
 
 
 def _padded(text: str) -> Column:
@@ -95,11 +97,15 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     marked = _marked(docs, id, text)
     vocabulary = _vocabulary()
     total, df = word_frequencies(docs.select(_padded(text).alias("p")))
-    # rare: in at most a hundredth of the documents, or in ten; the rarest of each template name it
-    rare = sorted((w for w in vocabulary if df[w] <= max(10, total // 100)), key=lambda w: (df[w], w))
-    if not rare:
-        rare = sorted(vocabulary, key=lambda w: (df[w], w))[:RARE_WORDS]
-    postings = [(w, t, k) for t, (x, *_) in enumerate(TEMPLATES) for k, w in enumerate(x.split(" ")) if w in rare]
+    # each template is known by its own words in at most a hundredth of the documents, or in ten,
+    # and by its rarest words in any case
+    rank = lambda ws: sorted(ws, key=lambda w: (df[w], w))
+    known = []
+    for x, *_ in TEMPLATES:
+        ranked = rank(set(x.split(" ")))
+        known.append(ranked[: max(LEAST_WORDS, sum(df[w] <= max(10, total // 100) for w in ranked))])
+    rare = rank({w for ws in known for w in ws})
+    postings = [(w, t, k) for t, (x, *_) in enumerate(TEMPLATES) for k, w in enumerate(x.split(" ")) if w in known[t]]
     by_word = {w: [(t, k) for x, t, k in postings if x == w] for w in rare}
     expected = {t: sum(p[1] == t for p in postings) for t in range(len(TEMPLATES))}
 

@@ -288,6 +288,13 @@ def test_licence_scan_equals_brute_force(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_licence_template_of_frequent_words_keeps_its_label(spark):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    texts = [gpl] * 15 + ["released beside the mit license"] * 15 + ["other words"] * 10  # every word in more than ten documents
+    rows = licences.scan(frame(spark, texts)).collect()
+    assert {(texts[r.doc_id], r.labels) for r in rows} == {(gpl, "gpl-3"), ("released beside the mit license", "mit"), ("other words", "")}
+
+
 # ------------------------------------------------------------------ 10
 
 
