@@ -2,8 +2,8 @@
 
 Words are runs of a-z, digits and non-ASCII characters after A-Z are lowered.  Base labels come
 from three phrases.  The method adds labels of its own: licence templates are indexed as
-postings (word -> template, position).  In each text the template words that occur and are
-rarest over all documents (inverse document frequency) are looked up; postings that agree on
+postings (word -> template, position) of the words of each that are rarest over all documents
+(inverse document frequency).  Every such word of a text is looked up; postings that agree on
 the offset text position - template position vote for that template there; a template that
 collects enough of its rare words and whose mandatory phrases all stand in the text is a label.
 
@@ -41,7 +41,7 @@ TEMPLATES = [
     ("licensed under cc by sa 4 0", "cc-by-sa", ["cc by sa"]),
     ("licensed under a creative commons attribution 4 0 international license", "cc-by", ["creative commons attribution", "international license"]),
 ]
-#: Rarest template words of a text that are looked up, and the share of a template's that must agree.
+#: Rarest words of a template that are looked up, at most, and the share of them that must agree.
 RARE_WORDS = 12
 AGREEMENT = 0.6
 #: Rarest words by which each template is known, however frequent they are.
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     known = []
     for x, *_ in TEMPLATES:
         ranked = rank(set(x.split(" ")))
-        known.append(ranked[: max(LEAST_WORDS, sum(df[w] <= max(10, total // 100) for w in ranked))])
+        known.append(ranked[: min(RARE_WORDS, max(LEAST_WORDS, sum(df[w] <= max(10, total // 100) for w in ranked)))])
     rare = rank({w for ws in known for w in ws})
     postings = [(w, t, k) for t, (x, *_) in enumerate(TEMPLATES) for k, w in enumerate(x.split(" ")) if w in known[t]]
     by_word = {w: [(t, k) for x, t, k in postings if x == w] for w in rare}
@@ -116,16 +116,16 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     any_phrase = reduce(Column.__or__, [F.contains("p", F.lit(f" {must[0]} ")) for *_, must in TEMPLATES])
     # one pass over the texts; words are kept only where a template's mandatory phrase stands
     marked = written(marked.withColumn("verified", F.when(any_phrase, verified)).withColumn("words", F.when(any_phrase, F.split(F.trim("p"), " "))).drop("p"))
-    order = F.array(*map(F.lit, rare))  # rarest first, so the intersection keeps the highest IDF first
-    some = marked.where("size(verified) > 0").withColumn("rare", F.slice(F.array_intersect(order, "words"), 1, RARE_WORDS)).where(F.size("rare") > 0)
-    hits = some.select("id", "verified", F.explode(F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())).alias("hit"))
+    order = F.array(*map(F.lit, rare))
+    some = marked.where("size(verified) > 0")
+    hits = some.select("id", "verified", F.explode(F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(order, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())).alias("hit"))
     posts = F.create_map(*[c for w, ps in by_word.items() for c in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in ps]))])
     votes = hits.select("id", "verified", F.col("hit.w").alias("w"), F.col("hit.i").alias("i"), F.explode(F.element_at(posts, F.col("hit.w"))).alias("post")).where(F.array_contains("verified", F.col("post.t")))
     placed = votes.groupBy("id", F.col("post.t").alias("t"), (F.col("i") - F.col("post.k")).alias("offset")).agg(F.countDistinct("post.k").alias("votes"))
     need = F.element_at(F.create_map(*[F.lit(x) for t, n in expected.items() for x in (t, n)]), F.col("t"))
     label = F.element_at(F.array(*[F.lit(x[1]) for x in TEMPLATES]), F.col("t") + 1)
-    added = placed.select("id", label.alias("label"), (F.col("votes") / F.least(need, F.lit(RARE_WORDS))).alias("share")).where(F.col("share") >= AGREEMENT)
-    added = added.groupBy("id").agg(F.collect_set("label").alias("added"), F.least(F.max("share"), F.lit(1.0)).alias("share")).withColumnRenamed("id", "_id")
+    added = placed.select("id", label.alias("label"), (F.col("votes") / need).alias("share")).where(F.col("share") >= AGREEMENT)
+    added = added.groupBy("id").agg(F.collect_set("label").alias("added"), F.max("share").alias("share")).withColumnRenamed("id", "_id")
     out = marked.drop("words", "verified").join(added, F.col("id") == F.col("_id"), "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("added", F.array().cast("array<string>")))))
     return out.select(

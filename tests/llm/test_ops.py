@@ -295,6 +295,14 @@ def test_licence_template_of_frequent_words_keeps_its_label(spark):
     assert {(texts[r.doc_id], r.labels) for r in rows} == {(gpl, "gpl-3"), ("released beside the mit license", "mit"), ("other words", "")}
 
 
+def test_licence_texts_in_one_document_keep_their_labels(spark):
+    mit, bsd = (next(t for t, label, _ in licences.TEMPLATES if label == x) for x in ("mit", "bsd"))
+    gpl = "this work is licensed under the gnu general public license version 3"
+    texts = [f"{mit} x {bsd}", f"{mit} x {gpl}", *[gpl] * 4]  # the words of the short sentence are the most frequent
+    rows = licences.scan(frame(spark, texts)).collect()
+    assert {r.doc_id: r.labels for r in rows} == {0: "bsd,mit", 1: "gpl-3,mit", **dict.fromkeys(range(2, 6), "gpl-3")}
+
+
 # ------------------------------------------------------------------ 10
 
 
