@@ -156,6 +156,6 @@ def change_score(d: Dialect, bars: str, x: str) -> str:
     return rolling_z(d, changed, "change")
 
 
-def summary(d: Dialect, bars: str, x: str, stride: int = 4) -> str:
-    """Facts of a strided sample of a column."""
-    return f"SELECT dataset_id, count({x}) AS n, min({x}) AS lo, max({x}) AS hi, avg({x}) AS mean, stddev_pop({x}) AS sd, count(DISTINCT {x}) AS kinds FROM {bars} WHERE bar_index % {stride} = 0 GROUP BY dataset_id"
+def summary(d: Dialect, bars: str, x: str) -> str:
+    """Facts of a column over all bars."""
+    return f"SELECT dataset_id, count({x}) AS n, min({x}) AS lo, max({x}) AS hi, avg({x}) AS mean, stddev_pop({x}) AS sd, count(DISTINCT {x}) AS kinds FROM {bars} GROUP BY dataset_id"

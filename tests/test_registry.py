@@ -38,3 +38,8 @@ def test_every_query_plans_and_has_an_oracle(spark):
     for name, query in registry.QUERIES.items():
         if name != "x1_simulate":
             assert query(spark, SF).columns and name in registry.ORACLES
+
+
+def test_column_summary_counts_every_bar(spark):
+    bars = {r.dataset_id: r.n for r in registry.QUERIES["r1_series_facts"](spark, SF).collect()}
+    assert {r.dataset_id: r.n for r in registry.QUERIES["c24_column_summary"](spark, SF).collect()} == bars
