@@ -1,11 +1,13 @@
 """PII spans: candidate generation and gradient-boosted trees.  DataFrame functions only.
 
 Base spans (email, ip, card, phone) are regular expressions with value checks.  For the added
-spans, high-recall generators propose overlapping candidates of each kind; each candidate gets
+spans, high-recall generators propose overlapping candidates of each kind, from every start and
+with shorter readings of each; each candidate gets
 format features (length, digits, separators, groups, check digit ...) and context features
 (cue words before it, neighbouring characters); boosted trees, compiled to one SQL expression,
 give a score, a logistic link fitted on held-out candidates calibrates it, and candidates at or
-above their kind's threshold become spans unless they overlap a base span of their kind.
+above their kind's threshold become spans unless they overlap a base span of their kind or a
+candidate of their kind with a higher score (then the longer, then the first).
 
 The trees are fitted in numpy on the driver from generated examples (seeded, ``EXAMPLES`` of
 them); no corpus rows reach the driver.  Offsets count code points, ends are exclusive.
@@ -37,12 +39,19 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NEEDED = {"email": "@", "ip": ".", "phone": "+"}
-#: Generators of candidates besides the base spans.
+#: Generators of candidates besides the base spans: the longest reading from each start.
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+\x20?(?:@|\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]{2,24}+){1,4}+",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){2,7}+:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+)?+::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+)?+|(?:[0-9A-Fa-f]{1,4}:){2,7}+[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f]|:[0-9A-Fa-f:]|\.[0-9])",
     "card": r"(?<![0-9])[0-9]{4}[\x20./_-]{1,2}[0-9]{4,6}[\x20./_-]{1,2}[0-9]{4,5}(?:[\x20./_-]{1,2}[0-9]{1,4})?(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:00[0-9]{1,3}[\x20.-]?)?+\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9A-Za-z])",
+}
+#: Shorter readings of a candidate from the same start, as patterns of its value.
+SHORTER = {
+    "email": tuple(rf"^.+?(?:@|\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\.|\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]{{2,24}}+){{{n}}}" for n in (1, 2, 3)),
+    "ip": (),
+    "card": (r"^[0-9]{4}[\x20./_-]{1,2}[0-9]{4,6}[\x20./_-]{1,2}[0-9]{4,5}(?![0-9])",),
+    "phone": (r"^\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9A-Za-z])",),
 }
 CUES = {
     "email": ("mail", "contact", "write", "reach"),
@@ -74,6 +83,31 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, step, lambda a: a["out"])
 
 
+def _candidates(text: Column, kind: str) -> Column:
+    """Array of (start, stop, value) of overlapping candidates: every start, and shorter readings."""
+    ahead = f"(?=({GENERATORS[kind]}))"
+    # empty matches cut the text at the starts; the line break keeps the first piece from being left out
+    padded = F.concat(F.lit("\n"), text)
+    value = F.regexp_extract_all(padded, F.lit(ahead), F.lit(1))
+    gaps = F.split(padded, ahead, -1)
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out"))
+
+    def step(a, x):
+        begin = a["at"] + F.length(x["g"])
+        return F.struct(begin.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), (begin + F.length(x["v"])).alias("stop"), x["v"].alias("value")))).alias("out"))
+
+    pairs = F.zip_with(value, F.slice(gaps, 1, F.size(value)), lambda v, g: F.struct(v.alias("v"), g.alias("g")))
+    longest = F.aggregate(pairs, start, step, lambda a: a["out"])
+    if not SHORTER[kind]:
+        return longest
+
+    def readings(m):
+        values = F.array_distinct(F.array(m["value"], *[F.regexp_extract(m["value"], p, 0) for p in SHORTER[kind]]))
+        return F.transform(F.filter(values, lambda v: v != ""), lambda v: F.struct(m["start"].alias("start"), (m["start"] + F.length(v)).alias("stop"), v.alias("value")))
+
+    return F.flatten(F.transform(longest, readings))
+
+
 def luhn(value: Column) -> Column:
     """Whether the digits of a text pass the Luhn check."""
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -133,10 +167,15 @@ def examples(kind: str, n: int, seed: int = 5) -> list[tuple[str, str, str, int]
         elif kind == "ip":
             if yes:
                 v = ":".join(f"{int(r.integers(4096, 65536)):x}" for _ in range(pick([7, 8, 8, 8])))
-                v = v if r.random() < 0.7 else "2001:db8::" + f"{int(r.integers(4096, 65536)):x}"
+                if r.random() < 0.5:  # compressed: up to four groups before '::' and one to four after it
+                    part = lambda k: ":".join(f"{int(r.integers(1, 65536)) >> pick([0, 0, 4, 12]):x}" for _ in range(k))
+                    v = f"{pick(['', 'fe80', '2001:db8', '2a02:' + part(1), 'fd00:' + part(2), part(4)])}::{pick([str(int(r.integers(1, 10))), part(1), part(2), part(3), part(4)])}"
                 before += pick(["ip ", "host ", "", ""])
             else:
                 v = ":".join(num(2) for _ in range(3)) if r.random() < 0.6 else ":".join(f"{int(r.integers(0, 60)):02d}" for _ in range(4))
+                if r.random() < 0.3:  # names joined by '::', whole or as part of a longer name
+                    v = f"{pick(['', 'a', 'bad', 'face', 'd', 'ace'])}::{pick(['a', 'bad', 'add', 'c', 'feed', 'be'])}"
+                    before, after = pick([(before, after), (before + word(), after), (before, word())])
         elif kind == "card":
             groups = pick([(4, 4, 4, 4), (4, 6, 5)])
             digits = [int(c) for c in num(sum(groups) - 1)]
@@ -248,7 +287,7 @@ def find_spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
         raw = F.when(there, _matches(whole, BASE[kind]))
         found = F.transform(_kept(raw, kind), _spanned(rank, kind))
         out = out.withColumn(f"_b{rank}", found)
-        maybe = F.when(_possible(kind, whole, digit), _matches(whole, GENERATORS[kind]))
+        maybe = F.when(_possible(kind, whole, digit), _candidates(whole, kind))
         out = out.withColumn(f"_c{rank}", maybe)
         out = out.withColumn(f"_c{rank}", F.transform(f"_c{rank}", _described(kind, whole)))
         out = out.withColumn(f"_c{rank}", _accepted(rank, kind, threshold))
@@ -270,7 +309,7 @@ def _spanned(rank: int, kind: str):
 def _possible(kind: str, whole: Column, digit: Column) -> Column:
     if kind == "email":
         return whole.rlike(r"@|\[at\]|\(at\)|\x20at\x20[^\n]{1,80}(?:\.|dot)")
-    return whole.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]") if kind == "ip" else digit
+    return whole.rlike(":[0-9A-Fa-f]{0,4}:") if kind == "ip" else digit
 
 
 def _described(kind: str, whole: Column):
@@ -283,11 +322,13 @@ def _described(kind: str, whole: Column):
 
 
 def _accepted(rank: int, kind: str, threshold: float) -> Column:
-    def fits(m):
-        clear = ~F.exists(F.coalesce(f"_b{rank}", F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")), lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
-        return (score(kind, m["x"]) >= threshold) & clear
-
-    return F.transform(F.filter(f"_c{rank}", fits), _spanned(rank, kind))
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
+    apart = lambda spans, m: ~F.exists(spans, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
+    scored = F.transform(f"_c{rank}", lambda m: F.struct((-score(kind, m["x"])).alias("loss"), (m["start"] - m["stop"]).alias("short"), m["start"].alias("start"), m["stop"].alias("stop")))
+    fit_in = F.filter(scored, lambda m: (m["loss"] <= -threshold) & apart(F.coalesce(f"_b{rank}", none), m))
+    # best first; each stays unless it overlaps a better one
+    step = lambda kept, m: F.when(apart(kept, m), F.concat(kept, F.array(_spanned(rank, kind)(m)))).otherwise(kept)
+    return F.aggregate(F.array_sort(fit_in), none, step)
 
 
 def _written(spans: Column) -> Column:

@@ -78,6 +78,17 @@ def test_pii_features_agree_and_added_spans(spark):
     assert rows[0].text == "please mail [email] today" and rows[1].text == "nothing at all"
 
 
+def test_pii_candidates_overlap_and_the_best_stay(spark):
+    want = {
+        "paid 2023 4111.1111.1111.1111 today": ["4111.1111.1111.1111"], "card 3782.822463.10005 2023": ["3782.822463.10005"],
+        "host fe80::1 is up": ["fe80::1"], "ping ::1 now": ["::1"], "from 2001:db8::8a2e:370:7334.": ["2001:db8::8a2e:370:7334"], "see std::add and 12:34:56": [],
+    }
+    texts = list(want)
+    for r in pii.find_spans(frame(spark, texts)).collect():
+        t = texts[r.doc_id]
+        assert [t[s.start : s.stop] for s in r.added_spans if s.kind in ("card", "ip")] == want[t], t
+
+
 # ------------------------------------------------------------------ 2
 
 
