@@ -4,7 +4,7 @@ The items (a small, size-checked set) become an inverted index.  A posting's imp
 weight divided by the item's own total, so an item scores 1 on a passage that holds all of its
 words and one threshold serves all items.  Items lie in blocks; each term stores its greatest
 impact per block.  Every training passage (overlapping windows of the whole text, longer than
-any item) is a query: terms' overall maxima first rule out passages, block maxima then rule out
+any item of the whole benchmark) is a query: terms' overall maxima first rule out passages, block maxima then rule out
 blocks, and only the postings of the blocks left are summed.  All items at or above the
 threshold are retrieved; none is cut by rank.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from patternloom.llm._common import U64, _BYTE, _power_tables, mix64, slices, table
+from patternloom.llm._common import U64, _BYTE, _power_tables, mix64, slices, table, written
 
 THRESHOLD = 0.5
 COVERAGE = 0.5
@@ -82,14 +82,47 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (q, a) if q.strip() and a.strip() else (text, text)
 
 
+class Facts:
+    """Items, words, longest item and document frequencies of a benchmark, added up item by item."""
+
+    def __init__(self):
+        self.items = self.words = self.longest = 0
+        self.terms, self.df, self._new = np.zeros(0, U64), np.zeros(0, np.int64), []
+
+    @classmethod
+    def of(cls, texts) -> Facts:
+        facts = cls()
+        for text in texts:
+            facts.add(text)
+        return facts.settle()
+
+    def add(self, text: str) -> None:
+        h = _of(text)
+        self.items, self.words, self.longest = self.items + 1, self.words + len(h), max(self.longest, len(h))
+        self._new.append(np.unique(h))
+        if len(self._new) >= 4096:
+            self.settle()
+
+    def settle(self) -> Facts:
+        terms, at = np.unique(np.concatenate([self.terms, *self._new]), return_inverse=True)
+        counts = np.concatenate([self.df, np.ones(len(at) - len(self.df), np.int64)])
+        self.terms, self.df, self._new = terms, np.bincount(at, counts, len(terms)).astype(np.int64), []
+        return self
+
+
 class Index:
-    """Impact-ordered terms of the items with block maxima, in flat arrays."""
+    """Impact-ordered terms of the items with block maxima, in flat arrays.
+
+    Weights and window size come from ``facts`` of the whole benchmark (the items, if not given), so they do not depend
+    on how its items are split over indexes.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], facts: Facts | None = None):
+        facts = facts or Facts.of(t for _, t in items)
         self.ids = np.asarray([i for i, _ in items], np.int64)
         docs = [_of(t) for _, t in items]
         lengths = np.asarray([len(d) for d in docs] or [0])
-        self.longest = int(lengths.max())
+        self.longest = facts.longest
         self.parts = []
         for _, t in items:  # a part of a few words is judged with the words next to it
             q, a = (_of(p) for p in question_and_answer(t))
@@ -101,9 +134,10 @@ class Index:
             term.append(u), item.append(np.full(len(u), k)), tf.append(c)
         term = np.concatenate([*term, np.zeros(0, U64)])
         item, tf = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (item, tf))
-        self.terms, t, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-        impact = idf[t] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * lengths[item] / max(1.0, lengths.mean())))
+        self.terms, t = np.unique(term, return_inverse=True)
+        df = facts.df[np.searchsorted(facts.terms, self.terms)]
+        idf = np.log1p((facts.items - df + 0.5) / (df + 0.5))
+        impact = idf[t] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * lengths[item] / max(1.0, facts.words / max(1, facts.items))))
         impact /= np.bincount(item, impact, len(items))[item]
         block = item // BLOCK
         order = np.lexsort((item, block, t))
@@ -213,10 +247,11 @@ def _indexes(benchmark: DataFrame):
 
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     pieces = -(-int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // MAX_ITEM_BYTES) or 1
+    facts = None if pieces == 1 else Facts.of(r.text for r in items.toLocalIterator())
     for k in range(pieces):
         part = items if pieces == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == k)
         rows = sorted((r.item_id, r.text) for r in part.toLocalIterator())
-        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows, facts))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, coverage: float = COVERAGE) -> DataFrame:
@@ -231,16 +266,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     from pyspark.sql import functions as F
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = [
-        docs.select("doc_id", "text").mapInArrow(partial(_judge, index=index, threshold=threshold, coverage=coverage), f"doc_id {kind}, n_items long, item_ids string, max_score double")
-        for index in _indexes(benchmark)
-    ]
-    if len(parts) == 1:
-        return parts[0]
-    # a larger benchmark is searched in pieces; repeated rows of an id then yield one row
-    out = reduce(DataFrame.unionByName, parts)
-    ids = F.array_join(F.transform(F.array_sort(F.transform(F.flatten(F.collect_set(F.when(F.col("item_ids") != "", F.split("item_ids", ",")))), lambda x: x.cast("long"))), lambda x: x.cast("string")), ",")
-    return out.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), ids.alias("item_ids"), F.max("max_score").alias("max_score"))
+    indexes = list(_indexes(benchmark))
+    judged = lambda docs, key, index: docs.select(key, "text").mapInArrow(partial(_judge, index=index, threshold=threshold, coverage=coverage), f"doc_id {kind if key == 'doc_id' else 'long'}, n_items long, item_ids string, max_score double")
+    if len(indexes) == 1:
+        return judged(docs, "doc_id", indexes[0])
+    # a larger benchmark is searched in pieces, put together by a number of each row, not by its id
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    out = reduce(DataFrame.unionByName, [judged(rows, "row", index) for index in indexes]).withColumnRenamed("doc_id", "row")
+    # an id may stand in several items of a piece, so lists are joined whole; a piece holds all items of its ids
+    ids = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list(F.when(F.col("item_ids") != "", F.transform(F.split("item_ids", ","), lambda x: x.cast("long")))))), lambda x: x.cast("string")), ",")
+    found = out.groupBy("row").agg(F.sum("n_items").alias("n_items"), ids.alias("item_ids"), F.max("max_score").alias("max_score"))
+    return rows.select("row", "doc_id").join(found, "row").drop("row")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

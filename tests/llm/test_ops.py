@@ -216,6 +216,17 @@ def test_block_max_pruning_loses_nothing():
     assert got == want and (1, 60) in got and (0, 5) in got
 
 
+def test_contamination_does_not_depend_on_the_size_of_pieces(spark, monkeypatch):
+    items = [(k, " ".join(passage(60 + k, 12 + 5 * k) + ["common", "words"])) for k in range(12)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"before {items[k][1]} after {items[(k * 5 + 1) % 12][1]}" for k in range(12)] + [" ".join(items[3][1].split()[:14]), None, "nothing"]
+    docs = frame(spark, texts, [(2, texts[2], 0), (2, "nothing", 0), (None, texts[4], 0), (None, "nothing", 0)])
+    result = lambda: sorted(((r.doc_id, r.n_items, r.item_ids, r.max_score and round(r.max_score, 9)) for r in decontaminate.contamination(docs, benchmark).collect()), key=str)
+    whole = result()
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 600)
+    assert len(whole) == len(texts) + 4 and result() == whole
+
+
 # ------------------------------------------------------------------ 6
 
 
