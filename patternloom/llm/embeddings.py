@@ -9,6 +9,7 @@ never its pairs.  Blocks have a fixed size; each unordered pair of blocks is one
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link
 with nothing; vectors of different length never link; equal vectors link with each other;
+float components are kept as float, all others as double;
 rows without an id are left out and repeated rows of an id yield one row; an empty table
 yields no rows; further columns are ignored.
 """
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from patternloom.llm._common import checkpointed, connected_components, table
 
@@ -35,15 +37,15 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, error
 
 
-def _pack(key: tuple, got: pa.Table) -> pa.Table:
-    """One block as packed arrays: ids, multiplicities and float64 rows."""
+def _pack(key: tuple, got: pa.Table, dtype: type) -> pa.Table:
+    """One block as packed arrays: ids, multiplicities and rows of the input's own precision."""
     got = got.sort_by("rep")
     rows = np.stack([np.asarray(r, np.float64) for r in got.column("vector").to_numpy()])
     return pa.table({
         "dim": pa.array([rows.shape[1]], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()),
         "ids": pa.array([got.column("rep").to_numpy().astype(np.int64).tobytes()], pa.binary()),
         "copies": pa.array([got.column("copies").to_numpy().astype(np.int64).tobytes()], pa.binary()),
-        "rows": pa.array([rows.astype(np.float32).tobytes()], pa.binary()),
+        "rows": pa.array([rows.astype(dtype).tobytes()], pa.binary()),
     })
 
 
@@ -52,13 +54,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _tile(batches, threshold: float):
+def _tile(batches, threshold: float, dtype: type):
     for batch in batches:
         for k in range(batch.num_rows):
             dim, same = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
             read = lambda c, t: np.frombuffer(batch.column(c)[k].as_buffer(), t)  # noqa: B023, E731
-            a_id, a_n, a = read(2, np.int64), read(3, np.int64), _unit(read(4, np.float32).reshape(-1, dim).astype(np.float64))
-            b_id, b_n, b = (a_id, a_n, a) if same else (read(5, np.int64), read(6, np.int64), _unit(read(7, np.float32).reshape(-1, dim).astype(np.float64)))
+            a_id, a_n, a = read(2, np.int64), read(3, np.int64), _unit(read(4, dtype).reshape(-1, dim).astype(np.float64))
+            b_id, b_n, b = (a_id, a_n, a) if same else (read(5, np.int64), read(6, np.int64), _unit(read(7, dtype).reshape(-1, dim).astype(np.float64)))
             qa, sa, ea = _quantised(a)
             qb, sb, eb = (qa, sa, ea) if same else _quantised(b)
             # int8 values in float32: sums stay below 2**24, so the products are exact integers
@@ -108,10 +110,11 @@ def _tile(batches, threshold: float):
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per vector ``vec_id``, ``n_links``, ``component_id`` and ``kept``: links are cosines >= threshold."""
     kind = vectors.schema[id].dataType
-    base = vectors.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    number, dtype = ("float", np.float32) if vectors.schema[vector].dataType.elementType == FloatType() else ("double", np.float64)
+    base = vectors.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast(f"array<{number}>").alias("vector"))
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", odd) & F.exists("vector", lambda x: x != 0)
-    plain = F.transform("vector", lambda x: x + F.lit(0.0).cast("float"))  # -0.0 and 0.0 alike
+    plain = F.transform("vector", lambda x: x + F.lit(0.0).cast(number))  # -0.0 and 0.0 alike
     marked = base.withColumn("vector", F.when(F.coalesce(usable, F.lit(False)), plain))
     marked = marked.withColumn("print", F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256))
     good = marked.where("vector is not null")
@@ -124,7 +127,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
         part = heads.where(F.size("vector") == dim).withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)))
         packed = checkpointed(
             part.select(F.lit(dim).alias("dim"), "block", "rep", "copies", "vector").groupBy("dim", "block")
-            .applyInArrow(_pack, "dim int, block long, ids binary, copies binary, rows binary")
+            .applyInArrow(lambda key, got: _pack(key, got, dtype), "dim int, block long, ids binary, copies binary, rows binary")
         )
         spark = vectors.sparkSession
         tiles = blocks * (blocks + 1) // 2
@@ -135,7 +138,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
         same = F.col("i") == F.col("j")
         none = F.lit(None).cast("binary")
         tile = dealt.select("dim", same.alias("same"), "a_ids", "a_copies", "a_rows", *[F.when(same, none).otherwise(F.col(c)).alias(c) for c in ("b_ids", "b_copies", "b_rows")])
-        got = tile.mapInArrow(partial(_tile, threshold=threshold), "id long, links long, other long")
+        got = tile.mapInArrow(partial(_tile, threshold=threshold, dtype=dtype), "id long, links long, other long")
         out = got if out is None else out.unionByName(got)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "id long, links long, other long")

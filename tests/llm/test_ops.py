@@ -372,3 +372,11 @@ def test_pipeline_stages(spark, tmp_path):
     last = cp.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count() > 0 and "ids_sha256" in last.columns
     assert ngram.near_duplicate_groups(spark.read.parquet(str(tmp_path / "ngram_jaccard"))).where("doc_id <> component_id").isEmpty()
+
+
+def test_embedding_links_keep_double_precision(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.95, (1 - 0.95**2) ** 0.5 * (1 + 1e-9)]), (2, [0.0, -1e300]), (3, [0.0, -2e300]), (4, [-1.0, 0.0]), (5, [-1.0, 1e-12])]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.95).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
+    apart = embeddings.near_duplicates(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1e-50])], "vec_id long, embedding array<double>"), threshold=1.1)
+    assert {r.n_links for r in apart.collect()} == {0}  # not one class
