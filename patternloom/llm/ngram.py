@@ -11,19 +11,27 @@ matrix with its transpose.  The product is taken in steps:
 2. Columns of the product: with n shingles and threshold t, two sets can only reach t if they
    share one of the first ``n - ceil(t*n) + 1`` of each in any common order.  The order puts
    shingles that occur all over the corpus last, so boilerplate rarely is among the columns.
-3. Rows of one column (n-gram) are first multiplied with one hub only, the least id.  Overlaps
-   are accumulated per pair, and each document's best hub is verified: by sizes, by sketches,
-   then on full sets.
-4. After components are known, a column that lies in one component is done.  In the others
-   every document outside the column's largest component meets all documents of other
-   components; pairs that sizes rule out are discarded, the rest verified on full sets.
+3. Rows of one column (n-gram) are first multiplied with one hub only, the least id; each
+   document's hub of greatest accumulated overlap is verified.
+4. After components are known, a column that lies in one component is done.  The product of
+   the others is taken for all pairs of different components: overlaps are accumulated per
+   pair, and a pair is discarded whose overlap in these columns plus all shingles of the larger
+   set outside them (``ceil(t*n) - 1``) stays below the overlap that its sizes ask for.
+5. The pairs left are multiplied in full, in blocks of the hash range (``_overlaps``): overlaps
+   are accumulated block by block, and a pair goes as soon as what is left of its smaller set
+   cannot make up the overlap that its sizes ask for.
 
 No link between different sets is lost: a pair of rows in a column is skipped only when both
-are already in one component.  Nothing is capped.
+are already in one component.  Nothing is capped.  A column that very many components share
+costs the square of their number in comparisons (joins split such a column over tasks).
+
+The rows of wanted ids (class heads, members of candidate pairs) are picked from the texts by a
+bitmap while one of 32 MB suits their number, by a semi-join beyond; both give the same result.
 
 Defined results: null, empty and white-space texts have no shingles and stand alone; equal
-texts share a class; repeated rows of an id yield one row; rows without an id are left out;
-an empty table yields no rows; further columns are ignored.
+texts share a class; repeated rows of an id yield one row, which links as any of its texts does
+and counts the shingles of the largest; rows without an id are left out; ids are whole numbers
+(others raise a TypeError); an empty table yields no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +40,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +49,8 @@ from patternloom.llm._common import U64, checkpointed, connected_components, mix
 
 #: Most frequent shingles that are ordered last; bounds what is broadcast (8 bytes each).
 HEAVY = 1 << 16
+#: Bytes of text, or of packed sets, that a task works on at a time.
+PIECE = 1 << 20
 _FACTOR = (np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 64, dtype=np.int64).astype(U64) << U64(1)) | U64(1)
 
 
@@ -107,7 +118,7 @@ def _prints(batches, k: int, keep: int):
     """Kind 0: id, size and print of a document's set.  Kind 1: shingle and count, the task's most frequent."""
     tokens, counts = np.zeros(0, U64), np.zeros(0, np.int64)
     for batch in batches:
-        for lo, hi, data, offsets in slices(batch, 1):
+        for lo, hi, data, offsets in slices(batch, 1, PIECE):
             sets = list(shingle_sets(data, offsets, k))
             rows = batch.column(0).slice(lo, hi - lo)
             sketches = list(map(_sketch, sets))
@@ -133,11 +144,8 @@ def _prints(batches, k: int, keep: int):
 def _columns(batches, k: int, percent: int, heavy, bits):
     """The prefix of each set in the common order: rows (token, id, n); columns id, text, bit."""
     late, rank = heavy.value
-    mask = None if bits is None else _mask(bits)
-    for batch in batches:
-        if mask is not None:
-            batch = batch.take(pa.array(np.flatnonzero(mask[batch.column(2).to_numpy()])))
-        for lo, hi, data, offsets in slices(batch, 1):
+    for batch in _wanted(batches, bits):
+        for lo, hi, data, offsets in slices(batch, 1, PIECE):
             ids = batch.column(0).slice(lo, hi - lo).to_pylist()
             out_t, out_i, out_n = [], [], []
             for i, u in zip(ids, shingle_sets(data, offsets, k), strict=True):
@@ -161,32 +169,54 @@ def _columns(batches, k: int, percent: int, heavy, bits):
 
 
 def _needed(batches, k: int, bits):
-    """Packed sets of the documents whose bit is on; columns id, text, bit."""
-    mask = _mask(bits)
-    for batch in batches:
-        part = batch.take(pa.array(np.flatnonzero(mask[batch.column(2).to_numpy()])))
-        for lo, hi, data, offsets in slices(part, 1):
+    """Packed sets of the wanted documents; columns id, text, bit."""
+    for part in _wanted(batches, bits):
+        for lo, hi, data, offsets in slices(part, 1, PIECE):
             sets = [u.tobytes() for u in shingle_sets(data, offsets, k)]
             yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "members"])
 
 
+#: Blocks of the hash range by which a product is accumulated, as a power of two.
+_BLOCK_BITS = 3
+
+
+def _overlaps(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which pairs of sets share ``need`` members or more.
+
+    ``x`` and ``y`` hold the sets of all pairs end to end, ``nx`` and ``ny`` their sizes: two
+    sparse matrices, whose row products are accumulated one block of columns at a time.
+    """
+    row_x, row_y = (np.repeat(np.arange(len(n), dtype=np.int32), n) for n in (nx, ny))
+    block_x, block_y = (z >> U64(64 - _BLOCK_BITS) for z in (x, y))
+    shared, left_x, left_y = np.zeros(len(need), np.int64), nx.astype(np.int64), ny.astype(np.int64)
+    live = np.minimum(left_x, left_y) >= need
+    for block in range(1 << _BLOCK_BITS):
+        in_x, in_y = (block_x == U64(block)) & live[row_x], (block_y == U64(block)) & live[row_y]
+        row, column = np.concatenate((row_x[in_x], row_y[in_y])), np.concatenate((x[in_x], y[in_y]))
+        order = np.lexsort((column, row))
+        row, column = row[order], column[order]
+        both = np.flatnonzero((column[1:] == column[:-1]) & (row[1:] == row[:-1]))
+        shared += np.bincount(row[both], minlength=len(need))
+        left_x -= np.bincount(row_x[in_x], minlength=len(need))
+        left_y -= np.bincount(row_y[in_y], minlength=len(need))
+        live &= shared + np.minimum(left_x, left_y) >= need
+    return live
+
+
 def _verify(batches, percent: int):
-    """Pairs whose full overlap reaches the threshold."""
+    """Pairs whose full overlap reaches the threshold; columns a, b and the packed sets of both."""
     for batch in batches:
         a_id, b_id = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        keep = np.zeros(len(a_id), bool)
-        for i in range(len(a_id)):
-            x = np.frombuffer(batch.column(2)[i].as_buffer(), U64)
-            y = np.frombuffer(batch.column(3)[i].as_buffer(), U64)
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([pa.array(a_id[keep]), pa.array(b_id[keep])], ["a", "b"])
-
-
-def _mask(bits) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
+        size = [pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) // 8 for c in (2, 3)]
+        ends = np.cumsum(8 * (size[0] + size[1]))
+        at = 0
+        while at < len(a_id):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+            x, y = (np.frombuffer(b"".join(batch.column(c).slice(at, to - at).to_pylist()), U64) for c in (2, 3))
+            nx, ny = size[0][at:to], size[1][at:to]
+            keep = _overlaps(x, nx, y, ny, -(-percent * (nx + ny) // (100 + percent)))
+            yield pa.RecordBatch.from_arrays([pa.array(a_id[at:to][keep]), pa.array(b_id[at:to][keep])], ["a", "b"])
+            at = to
 
 
 #: Bits of a map of wanted ids: 1 MB at least and 32 MB at most, whatever the corpus.
@@ -197,6 +227,25 @@ def _bit(id: str, size: int):
     return F.pmod(F.xxhash64(id), F.lit(size))
 
 
+def _picked(docs: DataFrame, ids: DataFrame, count: int) -> tuple[DataFrame, object]:
+    """``docs`` with the bit of each id, and the map of the wanted ones; beyond its greatest size
+    only their rows, and no map."""
+    size = max(_LEAST_BITS, 1 << (16 * count).bit_length())
+    if size > _MOST_BITS:
+        return docs.join(ids.distinct(), "id", "left_semi").withColumn("bit", F.lit(0).cast("long")), None
+    return docs.withColumn("bit", _bit("id", size)), docs.sparkSession.sparkContext.broadcast(_bits_of(ids, size))
+
+
+def _wanted(batches, bits):
+    """The rows whose bit (third column) is on; a few others may pass, which only cost their work."""
+    for batch in batches:
+        if bits is not None:
+            at = batch.column(2).to_numpy()
+            on = np.frombuffer(bits.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1
+            batch = batch.take(pa.array(np.flatnonzero(on)))
+        yield batch
+
+
 def _bits_of(ids: DataFrame, size: int) -> bytes:
     """A bitmap of fixed size with a bit on for each ``id``; a few other ids may pass it."""
     at = ids.select((_bit("id", size) + 1).alias("bit"))
@@ -215,8 +264,8 @@ def _links(docs: DataFrame, prints: DataFrame, pairs: DataFrame, k: int, percent
     pairs = checkpointed(near.mapInArrow(partial(_possible, percent=percent), "a long, b long"))
     release(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    shared = docs.sparkSession.sparkContext.broadcast(_bits_of(ids, _LEAST_BITS))
-    sets = docs.withColumn("bit", _bit("id", _LEAST_BITS)).mapInArrow(partial(_needed, k=k, bits=shared), "id long, members binary")
+    some, bits = _picked(docs, ids, 2 * pairs.count())
+    sets = some.select("id", "text", "bit").mapInArrow(partial(_needed, k=k, bits=bits), "id long, members binary")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     out = checkpointed(both.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
     release(docs.sparkSession)
@@ -231,6 +280,8 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     """
     spark = docs.sparkSession
     kind = docs.schema[id].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id} must hold whole numbers, not {kind.simpleString()}")
     base = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     prints = written(base.mapInArrow(partial(_prints, k=k, keep=heavy // 2), "kind int, id long, n long, p1 long, p2 long, sketch binary, " + ", ".join(f"{f} long" for f in _FOLD)))
     sets = prints.where("kind = 0")
@@ -243,12 +294,8 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     shared = spark.sparkContext.broadcast((late[order], rank[order]))
 
     classes = checkpointed(sets.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep")))
-    reps = classes.select(F.col("rep").alias("id"))
-    size = max(_LEAST_BITS, 1 << (16 * classes.count()).bit_length())
-    if size <= _MOST_BITS:  # a copy that passes the map by chance only costs its rows
-        heads, bits = base.withColumn("bit", _bit("id", size)), spark.sparkContext.broadcast(_bits_of(reps, size))
-    else:
-        heads, bits = base.join(reps.distinct(), "id", "left_semi"), None
+    heads, bits = _picked(base, classes.select(F.col("rep").alias("id")), classes.count())
+    heads = heads.select("id", "text", "bit")
     columns = heads.mapInArrow(partial(_columns, k=k, percent=percent, heavy=shared, bits=bits), T.StructType([T.StructField("token", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType())]))
     hubs = checkpointed(columns.groupBy("token").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     release(spark)
@@ -272,11 +319,17 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     differ = " + ".join(f"bit_count({f} ^ a_{f})" for f in _FOLD)
     bound = f"{100 + percent} * (n + a_n - ({differ})) >= {2 * percent} * (n + a_n)"
     meets = F.expr(f"x.token = y.token AND c <> a_c AND (c = main OR a < id) AND {near.format('a_n')} AND {bound}")
-    more = mixed.alias("x").join(outside.alias("y"), meets).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    met = mixed.alias("x").join(outside.alias("y"), meets).select(
+        F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), (F.col("n") + F.col("a_n")).alias("total"), F.greatest("n", "a_n").alias("most")
+    )
+    shared = met.groupBy("a", "b", "total", "most").agg(F.count(F.lit(1)).alias("shared"))
+    more = shared.where(f"{100 + percent} * (shared + ({percent} * most + 99) div 100 - 1) >= {percent} * total").select("a", "b").distinct()
     links = links.unionByName(_links(base, sets, checkpointed(more), k, percent))
-    parts = connected_components(links, "a", "b")
+    # an id with several texts joins their classes
+    whole = checkpointed(sets.select("id", "n", "p1", "p2").join(classes, ["n", "p1", "p2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    one = whole.where("n > 0").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("id", "a")
+    parts = connected_components(links.unionByName(whole.join(one, "id").where("rep <> a").select("a", F.col("rep").alias("b"))), "a", "b")
 
-    whole = sets.select("id", "n", "p1", "p2").join(classes, ["n", "p1", "p2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     out = whole.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     return out.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id")).select(F.col("id").cast(kind).alias(id), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))
 
