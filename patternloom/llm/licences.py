@@ -1,18 +1,20 @@
 """Licence scans by a positional rare-token index.  DataFrame functions only.
 
 Words are runs of a-z, digits and non-ASCII characters after A-Z are lowered.  Base labels come
-from three phrases.  The method adds labels of its own: licence templates are indexed as
-postings (word -> template, position) of the words of each that are rarest over all documents
-(inverse document frequency).  Every such word of a text is looked up; postings that agree on
-the offset text position - template position vote for that template there; a template that
-collects enough of its rare words and whose mandatory phrases all stand in the text is a label.
+from three phrases.  The method adds labels of its own: every template of the list is known by
+the words of it that are rarest over all documents (inverse document frequency; a rank, so it
+holds however frequent a licence is), indexed as postings (word -> template, position).  A
+file's words that the index holds are its highest-IDF licence words; all of them are looked up.
+Postings that agree on the offset text position - template position vote for that template
+there; a template that collects enough of its words and whose mandatory phrases all stand in
+the text is a label.
 
 The templates are a fixed list, so postings and frequencies that are broadcast or inlined have
-a fixed size.  Rows with the same id and text vote once.
+a fixed size.  Votes are counted per row, so rows that share an id or have none keep apart.
 
 Defined results: null and empty texts have no words, no labels and score 0; rows without an id
-keep base results and get no added labels; repeated rows are reported each; an empty table
-yields no rows; further columns are ignored.
+and repeated rows are scanned and reported each; of words equally rare the first by name counts
+as rarer; an empty table yields no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,26 +28,35 @@ from patternloom.llm._common import table, written
 
 #: Phrases of the base result and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Template text, label, phrases that must stand in the text.
+#: Template text (public licence wordings), label, phrases that must stand in the text.
 TEMPLATES = [
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", ["permission is hereby granted free of charge"]),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "mit", ["permission is hereby granted free of charge"]),
     ("released under the mit license", "mit", ["mit license"]),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc", ["permission to use copy modify and or distribute this software"]),
     ("licensed under the apache license version 2 0", "apache-2", ["apache license version 2"]),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2", ["apache license version 2"]),
     ("this work is licensed under the gnu general public license version 3", "gpl-3", ["gnu general public license", "version 3"]),
     ("this work is licensed under the gnu general public license version 2", "gpl-2", ["gnu general public license", "version 2"]),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gpl-3", ["gnu general public license as published by", "version 3"]),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gpl-2", ["gnu general public license as published by", "version 2"]),
     ("licensed under the gnu lesser general public license", "lgpl", ["gnu lesser general public license"]),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl", ["gnu lesser general public license"]),
     ("licensed under the gnu affero general public license", "agpl", ["gnu affero general public license"]),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice", "bsd", ["redistribution and use in source and binary forms"]),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd", ["redistribution and use in source and binary forms"]),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2", ["mozilla public license"]),
     ("subject to the terms of the mozilla public license v 2 0", "mpl-2", ["mozilla public license"]),
+    ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unlicense", ["free and unencumbered software released into the public domain"]),
+    ("distributed under the boost software license version 1 0", "bsl-1", ["boost software license"]),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose", "zlib", ["in no event will the authors be held liable"]),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0", ["waived all copyright and related or neighboring rights"]),
     ("licensed under cc by nc 4 0", "cc-by-nc", ["cc by nc"]),
     ("licensed under cc by sa 4 0", "cc-by-sa", ["cc by sa"]),
     ("licensed under a creative commons attribution 4 0 international license", "cc-by", ["creative commons attribution", "international license"]),
 ]
-#: Rarest words of a template that are looked up, at most, and the share of them that must agree.
+#: Words by which each template is known, its rarest, and the share of them that must agree.
 RARE_WORDS = 12
 AGREEMENT = 0.6
-#: Rarest words by which each template is known, however frequent they are.
-LEAST_WORDS = 3
 
 
 def _padded(text: str) -> Column:
@@ -66,17 +77,9 @@ def _vocabulary() -> list[str]:
     return sorted({w for t, *_ in TEMPLATES for w in t.split(" ")})
 
 
-def word_frequencies(padded: DataFrame) -> tuple[int, dict[str, int]]:
-    """Documents, and documents that hold each template word, over all rows of ``padded``: one row in all."""
-    vocabulary = _vocabulary()
-    hits = [F.sum(F.contains("p", F.lit(f" {w} ")).cast("long")).alias(f"w{k}") for k, w in enumerate(vocabulary)]
-    row = padded.agg(F.count(F.lit(1)).alias("n"), *hits).first()
-    return row.n, {w: row[f"w{k}"] or 0 for k, w in enumerate(vocabulary)}
-
-
 def _marked(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """Padded words and base results of every row."""
-    base = docs.select(F.col(id).alias("id"), _padded(text).alias("p"))
+    """Padded words and base results of every row, with a number of its own."""
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), _padded(text).alias("p"))
     base = base.withColumn("n_words", F.when(F.length("p") > 2, _spaces(F.col("p")) - 1).otherwise(F.lit(0).cast("long")))
     for k, phrase in enumerate(PHRASES):
         gaps = F.when(F.contains("p", F.lit(f" {phrase} ")), F.split("p", f" {phrase}(?= )", -1))
@@ -87,46 +90,37 @@ def _marked(docs: DataFrame, id: str, text: str) -> DataFrame:
     ks = range(len(PHRASES))
     found = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"g{k}").isNotNull(), F.lit(v)) for k, v in enumerate(PHRASES.values())])))
     return base.select(
-        "id", "p", "n_words", reduce(Column.__add__, map(size, ks)).alias("n_base"),
+        "row", "id", "p", "n_words", reduce(Column.__add__, map(size, ks)).alias("n_base"),
         F.least(*map(first, ks)).alias("first_word"), F.greatest(*[last(k, x) for k, x in enumerate(PHRASES)]).alias("last_word"), found.alias("base"),
     )
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: words, base places and labels, all labels, and a score from 0 to 1."""
-    marked = _marked(docs, id, text)
-    vocabulary = _vocabulary()
-    total, df = word_frequencies(docs.select(_padded(text).alias("p")))
-    # each template is known by its own words in at most a hundredth of the documents, or in ten,
-    # and by its rarest words in any case
-    rank = lambda ws: sorted(ws, key=lambda w: (df[w], w))
-    known = []
-    for x, *_ in TEMPLATES:
-        ranked = rank(set(x.split(" ")))
-        known.append(ranked[: min(RARE_WORDS, max(LEAST_WORDS, sum(df[w] <= max(10, total // 100) for w in ranked)))])
-    rare = rank({w for ws in known for w in ws})
-    postings = [(w, t, k) for t, (x, *_) in enumerate(TEMPLATES) for k, w in enumerate(x.split(" ")) if w in known[t]]
-    by_word = {w: [(t, k) for x, t, k in postings if x == w] for w in rare}
-    expected = {t: sum(p[1] == t for p in postings) for t in range(len(TEMPLATES))}
-
     verified = F.filter(
         F.array(*[F.when(reduce(Column.__and__, [F.contains("p", F.lit(f" {m} ")) for m in must]), F.lit(t)) for t, (_, _, must) in enumerate(TEMPLATES)]),
         lambda t: t.isNotNull(),
     )
-    any_phrase = reduce(Column.__or__, [F.contains("p", F.lit(f" {must[0]} ")) for *_, must in TEMPLATES])
-    # one pass over the texts; words are kept only where a template's mandatory phrase stands
-    marked = written(marked.withColumn("verified", F.when(any_phrase, verified)).withColumn("words", F.when(any_phrase, F.split(F.trim("p"), " "))).drop("p"))
-    order = F.array(*map(F.lit, rare))
-    some = marked.where("size(verified) > 0")
-    hits = some.select("id", "verified", F.explode(F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(order, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())).alias("hit"))
+    vocabulary = F.array(*map(F.lit, _vocabulary()))
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(vocabulary, x["w"]))
+    # one pass over the texts: template words of every row, and their places where a mandatory phrase stands
+    marked = _marked(docs, id, text).withColumn("words", F.split(F.trim("p"), " ")).withColumn("seen", F.array_intersect("words", vocabulary)).withColumn("verified", verified)
+    marked = written(marked.withColumn("hits", F.when(F.size("verified") > 0, placed)).drop("p", "words"))
+    df = {r.w: r.n for r in marked.select(F.explode("seen").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    known = [sorted(set(x.split(" ")), key=lambda w: (df.get(w, 0), w))[:RARE_WORDS] for x, *_ in TEMPLATES]
+    postings = [(w, t, k) for t, (x, *_) in enumerate(TEMPLATES) for k, w in enumerate(x.split(" ")) if w in known[t]]
+    by_word = {w: [(t, k) for x, t, k in postings if x == w] for w in sorted({p[0] for p in postings})}
+    expected = {t: sum(p[1] == t for p in postings) for t in range(len(TEMPLATES))}
     posts = F.create_map(*[c for w, ps in by_word.items() for c in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in ps]))])
-    votes = hits.select("id", "verified", F.col("hit.w").alias("w"), F.col("hit.i").alias("i"), F.explode(F.element_at(posts, F.col("hit.w"))).alias("post")).where(F.array_contains("verified", F.col("post.t")))
-    placed = votes.groupBy("id", F.col("post.t").alias("t"), (F.col("i") - F.col("post.k")).alias("offset")).agg(F.countDistinct("post.k").alias("votes"))
+    hits = marked.where("size(hits) > 0").select("row", "verified", F.explode("hits").alias("hit"))
+    votes = hits.select("row", "verified", F.col("hit.i").alias("i"), F.explode(F.element_at(posts, F.col("hit.w"))).alias("post")).where(F.array_contains("verified", F.col("post.t")))
+    agreed = votes.groupBy("row", F.col("post.t").alias("t"), (F.col("i") - F.col("post.k")).alias("offset")).agg(F.countDistinct("post.k").alias("votes"))
     need = F.element_at(F.create_map(*[F.lit(x) for t, n in expected.items() for x in (t, n)]), F.col("t"))
     label = F.element_at(F.array(*[F.lit(x[1]) for x in TEMPLATES]), F.col("t") + 1)
-    added = placed.select("id", label.alias("label"), (F.col("votes") / need).alias("share")).where(F.col("share") >= AGREEMENT)
-    added = added.groupBy("id").agg(F.collect_set("label").alias("added"), F.max("share").alias("share")).withColumnRenamed("id", "_id")
-    out = marked.drop("words", "verified").join(added, F.col("id") == F.col("_id"), "left")
+    added = agreed.select("row", label.alias("label"), (F.col("votes") / need).alias("share")).where(F.col("share") >= AGREEMENT)
+    added = added.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
+    out = marked.drop("hits", "verified", "seen").join(added, "row", "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("added", F.array().cast("array<string>")))))
     return out.select(
         F.col("id").alias(id), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),

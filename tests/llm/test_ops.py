@@ -310,19 +310,26 @@ def test_licence_scan_equals_brute_force(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
-def test_licence_template_of_frequent_words_keeps_its_label(spark):
-    gpl = "This work is licensed under the GNU General Public License, version 3."
-    texts = [gpl] * 15 + ["released beside the mit license"] * 15 + ["other words"] * 10  # every word in more than ten documents
-    rows = licences.scan(frame(spark, texts)).collect()
-    assert {(texts[r.doc_id], r.labels) for r in rows} == {(gpl, "gpl-3"), ("released beside the mit license", "mit"), ("other words", "")}
+GPL = "This work is licensed under the GNU General Public License, version 3."
+
+
+def test_licence_labels_of_frequent_words_shared_and_missing_ids(spark):
+    texts = [GPL] * 400 + ["released beside the mit license"] * 300 + ["other words"] * 300  # no template word is rare
+    rows = [(i, t, 0) for i, t in enumerate(texts)] + [(5, "plain words only here", 0), (None, GPL, 0), (None, "plain words", 0), (7, GPL, 0)]
+    got = defaultdict(list)
+    for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect():
+        got[r.doc_id].append(r.labels)
+    label = {GPL: "gpl-3", "released beside the mit license": "mit", "other words": ""}
+    assert sorted(got.pop(None)) == ["", "gpl-3"] and sorted(got.pop(5)) == ["", "gpl-3"] and got.pop(7) == ["gpl-3"] * 2
+    assert all(v == [label[texts[k]]] for k, v in got.items()) and len(got) == 998
 
 
 def test_licence_texts_in_one_document_keep_their_labels(spark):
-    mit, bsd = (next(t for t, label, _ in licences.TEMPLATES if label == x) for x in ("mit", "bsd"))
-    gpl = "this work is licensed under the gnu general public license version 3"
-    texts = [f"{mit} x {bsd}", f"{mit} x {gpl}", *[gpl] * 4]  # the words of the short sentence are the most frequent
-    rows = licences.scan(frame(spark, texts)).collect()
-    assert {r.doc_id: r.labels for r in rows} == {0: "bsd,mit", 1: "gpl-3,mit", **dict.fromkeys(range(2, 6), "gpl-3")}
+    template = {label: text for text, label, _ in licences.TEMPLATES}
+    texts = [f"{template['mit']} x {template['bsd']}", f"{template['mit']} x {GPL}", *[GPL] * 4, *[t.upper().replace(" ", ", ") for t in template.values()]]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licences.scan(frame(spark, texts)).collect()}
+    assert got[0] == {"bsd", "mit"} and got[1] == {"gpl-3", "mit"} and all(got[k] == {"gpl-3"} for k in range(2, 6))
+    assert all(label in got[6 + k] for k, label in enumerate(template))
 
 
 # ------------------------------------------------------------------ 10
