@@ -1,22 +1,25 @@
 """Line dedup: later copies of repeated line runs are deleted.  DataFrame functions only.
 
-Each text is a sequence of line ids (a 64-bit hash of the trimmed line; blank lines are left
-out of the sequence).  Prefix doubling names the runs of 1, 2, 4, ... lines that begin at each
-line: the name of a run of 2n lines is the hash of the names of its halves.  A hash stands for
-the rank that a round of the suffix-array construction would assign, so no round needs a
-shuffle of its own (all are window functions over one sort per text), and any run has a name
-made of two overlapping doubled runs: the one that begins it and the one that ends it.  The suffixes that share
-a run's name are its interval of the suffix array (a common prefix of at least the run).
+Each text is a sequence of line ids (128 bits of the trimmed line; blank lines are left out of
+the sequence).  A suffix begins at each line.  Distributed prefix doubling ranks the suffixes by
+their first 1, 2, 4, ... lines: a round joins the rank of a line's run with that of the run
+behind it and ranks the sorted pairs (``suffix_ranks``).  Suffixes alone in their interval are
+settled and drop out, so after the first round only lines that stand twice are moved.
 
 A run counts when it has at least ``min_words`` words.  Every such run is covered by its
-shortest long-enough runs: the one that begins at each line and the one that ends at each
-line.  Those are named and grouped; in each interval with two members or more the member of the
-least (id, line) stays and the lines of the others are deleted.  So every line of a repeated
-run of at least ``min_words`` words whose run also stands earlier is deleted, and no other.
+shortest long-enough runs: the one that begins at each line and the one that ends at each line.
+The suffixes that share the first n lines of a run are an interval of the suffix array whose
+common prefix is n lines or longer; the ranks of the two doubled runs that overlap to n lines,
+the one that begins it and the one that ends it, name that interval.  In each interval with two
+places or more the place of the least (id, line) stays and the lines of the others are deleted;
+overlapping and touching deletions merge to the maximal repeated runs.  So every line of a
+repeated run of at least ``min_words`` words whose run also stands earlier is deleted, and no
+other.
 
 Words of a line are its spaces plus one after trimming.  Defined results: null and empty texts
-lose nothing; repeated rows of one id and text are one document and lose the same lines; rows without an
-id lose nothing and count as no copy; an empty table yields no rows; other columns are kept.
+lose nothing; repeated rows of one id and text are one document and lose the same lines; of two
+texts of one id the one of the lesser hash comes first; rows without an id lose nothing and
+count as no copy; an empty table yields no rows; all columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,94 +27,124 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patternloom.llm._common import table, written
+from patternloom.llm._common import free_name, table, written
 
 MIN_WORDS = 50
 
 
-def _runs(docs: DataFrame, id: str, text: str, min_words: int) -> DataFrame:
-    """Rows ``id, t, name, n, start, stop``: the shortest runs of enough words, in line numbers.
+def _line_ids(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Rows ``id, t, i, at, w, h, g``: the i-th non-blank line of a text, its line number ``at``,
+    words ``w`` and 128 bits ``h, g``; ``t`` tells texts of one id apart."""
+    trimmed = F.transform(F.split(F.col(text), "\n", -1), lambda x, k: F.struct(k.alias("at"), F.trim(x, F.lit(" \t\r\x0b\x0c")).alias("line")))
+    base = docs.where(F.col(id).isNotNull() & (F.length(text) > 0)).select(F.col(id).alias("id"), F.xxhash64(text).alias("t"), F.posexplode(F.filter(trimmed, lambda x: F.length(x["line"]) > 0)).alias("i", "x"))
+    line = F.col("x.line")
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return base.select("id", "t", "i", F.col("x.at").alias("at"), (spaces + 1).alias("w"), F.xxhash64(line).alias("h"), F.xxhash64(F.lit("line"), line).alias("g"))
+
+
+def _ranked(keys: DataFrame, *by: str) -> DataFrame:
+    """A rank for each key that occurs twice or more: its place in their sorted order."""
+    shared = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*by)
+    return written(shared.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()))
+
+
+def suffix_ranks(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, list[str]]:
+    """Lines that stand twice or more, with the ranks of their suffixes, and the ranks' names.
 
-    ``t`` tells texts of one id apart.  A null line after the last one marks the text's end.
+    Rows ``id, t, i, at, w, part, r0, r1, ...``: ``part`` numbers stretches of such lines and
+    ``rK`` ranks the suffix by its first 2^K lines (null: no other suffix shares them).
     """
-    line = F.posexplode(F.concat(F.split(F.col(text), "\n", -1), F.array(F.lit(None).cast("string"))))
-    base = docs.where(F.col(id).isNotNull() & (F.length(text) > 0)).select(F.col(id).alias("id"), F.xxhash64(text).alias("t"), line.alias("at", "line"))
-    base = base.select("id", "t", "at", F.trim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).where("line is null or length(line) > 0")
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    base = base.select("id", "t", "at", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("n0"), F.coalesce(spaces + 1, F.lit(0)).alias("w"))
-
-    by_line = Window.partitionBy("id", "t").orderBy("at")
-    base = base.withColumn("same", F.lag("at").over(by_line)).where("same is null or same <> at")  # repeated rows
-    base = base.withColumn("b", F.coalesce(F.sum("w").over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # b, the words before a line, orders lines like their numbers; frames of min_words words are ranges of b
-    order = Window.partitionBy("id", "t").orderBy("b")
-    base = base.withColumn("i", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("id", "t")))
-    names = ["n0"]
+    lines = _line_ids(docs, id, text)
+    ranks = _ranked(lines.select("h", "g"), "h", "g").withColumnRenamed("rank", "r0")
+    shared = lines.join(ranks, ["h", "g"]).select("id", "t", "i", "at", "w", "r0").dropDuplicates(["id", "t", "i"])
+    rows = written(shared.withColumn("part", F.col("i") - F.row_number().over(Window.partitionBy("id", "t").orderBy("i"))))
+    names, order = ["r0"], Window.partitionBy("id", "t", "part").orderBy("i")
     while 1 << len(names) <= min_words:  # a run of enough words has at most min_words lines
-        half, last = 1 << (len(names) - 1), names[-1]
-        names.append(f"n{len(names)}")
-        base = base.withColumn(names[-1], F.xxhash64(last, F.lead(last, half).over(order)))
-    begun = F.struct("at", *names)  # names of the runs that begin at a line ...
-    ended = F.struct("at", *[F.lag(x, (1 << k) - 1).over(order).alias(x) for k, x in enumerate(names)])  # ... and that end there
-    base = base.select("id", "t", "at", "b", "i", "m", begun.alias("begun"), ended.alias("ended"))
-    base = base.withColumn("begun_before", F.lag("begun").over(order)).withColumn("ended_before", F.lag("ended").over(order))
-    ahead, behind = order.rangeBetween(0, min_words - 1), order.rangeBetween(1 - min_words, 0)
-    base = base.select(
-        "id", "t", "i", "m", "begun", "ended_before",
-        F.count(F.lit(1)).over(ahead).alias("n_ahead"), F.last("ended").over(ahead).alias("ended"),
-        F.count(F.lit(1)).over(behind).alias("n_behind"), F.first("begun_before").over(behind).alias("begun_before"),
-    )
-
-    def run(first: str, last: str, n: str, valid: Column) -> Column:
-        pair = None
+        half, last, name = 1 << (len(names) - 1), names[-1], f"r{len(names)}"
+        pairs = rows.withColumn("behind", F.lead(last, half).over(order))
+        ranks = _ranked(pairs.where(F.col(last).isNotNull() & F.col("behind").isNotNull()).select(last, "behind"), last, "behind")
+        rows = written(pairs.join(ranks.withColumnRenamed("rank", name), [last, "behind"], "left").select("id", "t", "i", "at", "w", "part", *names, name))
+        names.append(name)
+    return rows, names
+
+
+def _runs(docs: DataFrame, id: str, text: str, min_words: int) -> DataFrame:
+    """Rows ``id, t, n, a, z, start, stop``: the shortest runs of enough words that may stand twice.
+
+    ``n, a, z`` name the interval of the suffix array: the number of lines and the ranks of the
+    doubled runs that begin and end the run.
+    """
+    rows, names = suffix_ranks(docs, id, text, min_words)
+    order = Window.partitionBy("id", "t", "part").orderBy("i")
+    rows = rows.withColumn("e", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.col("e") - F.col("w"))
+    begun = F.struct("at", "b", *names)  # ranks of the doubled runs that begin at a line ...
+    ended = F.struct("at", "e", *[F.lag(x, (1 << k) - 1).over(order).alias(x) for k, x in enumerate(names)])  # ... and that end there
+    rows = rows.select("id", "t", "part", "b", "e", begun.alias("begun"), ended.alias("ended"))
+    # words before and up to a line grow with it, so frames of min_words words are ranges of them
+    ahead = Window.partitionBy("id", "t", "part").orderBy("b").rangeBetween(0, min_words - 1)
+    behind = Window.partitionBy("id", "t", "part").orderBy("e").rangeBetween(1 - min_words, 0)
+    rows = rows.withColumn("n_ahead", F.count(F.lit(1)).over(ahead)).withColumn("last", F.last("ended").over(ahead))
+    rows = rows.withColumn("n_behind", F.count(F.lit(1)).over(behind)).withColumn("first", F.first("begun").over(behind))
+
+    def run(first: str, last: str, n: str) -> Column:
+        a = z = None
         for k, x in reversed(list(enumerate(names))):
-            own = F.xxhash64(F.col(first)[x], F.col(last)[x])
-            pair = own if pair is None else F.when(F.col(n) < 2 << k, own).otherwise(pair)
-        return F.when(valid, F.struct(pair.alias("name"), F.col(n).alias("n"), F.col(first)["at"].alias("start"), (F.col(last)["at"] + 1).alias("stop")))
+            a, z = ((F.col(c)[x] if own is None else F.when(F.col(n) < 2 << k, F.col(c)[x]).otherwise(own)) for c, own in ((first, a), (last, z)))
+        valid = (F.col(last)["e"] - F.col(first)["b"] >= min_words) & a.isNotNull() & z.isNotNull()
+        return F.when(valid, F.struct(F.col(n).alias("n"), a.alias("a"), z.alias("z"), F.col(first)["at"].alias("start"), (F.col(last)["at"] + 1).alias("stop")))
 
-    both = F.array(run("begun", "ended", "n_ahead", F.col("i") + F.col("n_ahead") <= F.col("m")), run("begun_before", "ended_before", "n_behind", F.col("i") > F.col("n_behind")))
-    return base.select("id", "t", F.inline(F.array_compact(both)))
+    return rows.select("id", "t", F.inline(F.array_compact(F.array(run("begun", "last", "n_ahead"), run("first", "ended", "n_behind")))))
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Lines to delete: ``id``, ``t`` (hash of the text) and ``cuts``, ascending disjoint [start, stop) line numbers."""
     runs = written(_runs(docs, id, text, min_words))
     place = F.struct("id", "t", "start")
-    first = written(runs.groupBy("name", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
-    later = runs.join(first, ["name", "n"]).where(F.struct("id", "t", "start") > F.col("first")).groupBy("id", "t", "start").agg(F.max("stop").alias("stop"))
-    return (
-        later.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("all"))
-        .select("id", "t", _merged("all").alias("cuts"))
-    )
-
-
-def _merged(intervals: str) -> Column:
-    """Sorted intervals merged where they touch; the list is one document's own."""
-    none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"))
-    state = F.struct(F.lit(None).cast("array<struct<start:int,stop:int>>").alias("done"), none.alias("open"))
+    first = written(runs.groupBy("n", "a", "z").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
+    later = runs.join(first, ["n", "a", "z"]).where(place > F.col("first")).groupBy("id", "t", "start").agg(F.max("stop").alias("stop"))
+    # runs that overlap or touch merge; a window over one document's own runs
+    order = Window.partitionBy("id", "t").orderBy("start")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    merged = later.withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("g", F.sum("opens").over(order))
+    merged = merged.groupBy("id", "t", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return merged.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+
+
+def _cut(docs: DataFrame, id: str, text: str, min_words: int) -> DataFrame:
+    """Rows ``row`` (a struct of the columns), ``cuts`` and ``left`` (the text without them)."""
+    cuts = repeated_lines(docs, id, text, min_words).withColumnRenamed("id", "cut_id").withColumnRenamed("t", "cut_t")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own, whole = F.col("row")[id], F.col("row")[text]
+    both = rows.join(cuts, (own == F.col("cut_id")) & (F.xxhash64(whole) == F.col("cut_t")), "left")
+    lines = F.split(whole, "\n", -1)
 
-    def step(a, x):
-        joined = F.struct(a["open"]["start"].alias("start"), F.greatest(a["open"]["stop"], x["stop"]).alias("stop"))
-        closed = F.when(a["open"]["start"] < 0, a["done"]).otherwise(F.concat(F.coalesce(a["done"], F.array().cast("array<struct<start:int,stop:int>>")), F.array(a["open"])))
-        return F.when(x["start"] <= a["open"]["stop"], F.struct(a["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(closed.alias("done"), F.struct(x["start"].alias("start"), x["stop"].alias("stop")).alias("open")))
+    def kept(k: Column) -> Column:
+        begin = F.when(k == 0, F.lit(0)).otherwise(F.get("cuts", k - 1)["stop"])
+        stop = F.when(k == F.size("cuts"), F.size("lines")).otherwise(F.get("cuts", k)["start"])
+        return F.slice("lines", begin + 1, stop - begin)
 
-    return F.aggregate(intervals, state, step, lambda a: F.concat(F.coalesce(a["done"], F.array().cast("array<struct<start:int,stop:int>>")), F.array(a["open"])))
+    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts")), kept)), "\n")
+    both = both.withColumn("lines", F.when(F.col("cuts").isNotNull(), lines))
+    return both.select("row", "cuts", F.when(F.col("cuts").isNull(), whole).otherwise(left).alias("left"))
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies cut from ``text``, and the column ``cuts`` (null: nothing cut)."""
-    cuts = repeated_lines(docs, id, text, min_words).toDF("_id", "_t", "cuts")
-    both = docs.drop("cuts").join(cuts, (F.col(id) == F.col("_id")) & (F.xxhash64(text) == F.col("_t")), "left").drop("_id", "_t")
-    lines = F.split(F.col(text), "\n", -1)
-    both = both.withColumn("_lines", F.when(F.col("cuts").isNotNull(), lines))
+    """``docs`` with later copies cut from ``text``, and the column ``cuts`` (null: nothing cut;
+    named ``cuts_`` where ``docs`` has a column ``cuts``)."""
+    out = _cut(docs, id, text, min_words)
+    whole = [F.col("left" if c == text else f"row.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*whole, F.col("cuts").alias(free_name(docs, "cuts")))
 
-    def kept(k: Column) -> Column:
-        begin = F.when(k == 0, F.lit(0)).otherwise(F.get("cuts", k - 1)["stop"])
-        stop = F.when(k == F.size("cuts"), F.size("_lines")).otherwise(F.get("cuts", k)["start"])
-        return F.slice("_lines", begin + 1, stop - begin)
 
-    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts")), kept)), "\n")
-    return both.withColumn(text, F.when(F.col("cuts").isNull(), F.col(text)).otherwise(left)).drop("_lines")
+def clean_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", length: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without the later copies, and without texts of which nothing but white space is
+    left; a column ``length`` gets the new number of characters of texts that were cut."""
+    out = _cut(docs, id, text, min_words).where("cuts is null or left rlike '\\\\S'")
+    new = {text: F.col("left")}
+    if length:
+        kind = docs.schema[length].dataType
+        new[length] = F.when(F.col("cuts").isNull(), F.col("row")[length]).otherwise(F.length("left").cast(kind))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +154,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     and ``text_sha256``.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs.withColumn("n_lines", F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long")))
+    n_lines = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long")
+    out = dedup_lines(docs.withColumn("n_lines", n_lines))
     spans = F.transform("cuts", lambda c: F.concat_ws("-", c["start"].cast("string"), c["stop"].cast("string")))
     cut = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + (c["stop"] - c["start"]))
     return out.select("doc_id", "n_lines", F.coalesce(cut, F.lit(0).cast("long")).alias("n_cut"), F.coalesce(F.array_join(spans, ","), F.lit("")).alias("cuts"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

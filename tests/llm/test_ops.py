@@ -291,6 +291,25 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    run = "\n".join(" ".join(passage(40 + k, 20)) for k in range(3))
+    rows = [(i, t, 1, 2, 3, 4, 5, 6) for i, t in enumerate([run, f"own line\n{run}", "x\n" + run.replace("w", "v"), run])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _t int, cuts int, _lines int, `a.b` int, id int")
+    out = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert [out[k].text for k in range(4)] == [run, "own line", rows[2][1], ""]
+    assert all(tuple(out[k])[2:8] == (1, 2, 3, 4, 5, 6) for k in range(4)) and out[0].cuts_ is None and [tuple(c) for c in out[1].cuts_] == [(1, 4)]
+    assert sorted(r.doc_id for r in lines.clean_documents(docs, length="cuts").collect()) == [0, 1, 2]
+
+
+def test_suffix_ranks_order_and_settle(spark):
+    texts = ["a\nb\nc\nd", "b\nc\nd\nx", "y\nb\nc\nz"]
+    rows, names = lines.suffix_ranks(frame(spark, texts), min_words=4)
+    got = {(r.id, r.i): [r[n] for n in names] for r in rows.collect()}
+    assert names == ["r0", "r1", "r2"] and set(got) == {(0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2), (2, 1), (2, 2)}
+    assert got[0, 1][1] == got[1, 0][1] == got[2, 1][1] is not None and got[0, 2][1] == got[1, 1][1] is not None and got[2, 2][1] is None
+    assert all(v[2] is None for v in got.values())
+
+
 # ------------------------------------------------------------------ 9
 
 
