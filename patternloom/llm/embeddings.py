@@ -3,15 +3,17 @@
 Equal vectors are one class with a multiplicity.  Each unit vector is stored as int8 with its
 own scale; the norm of what quantisation lost is kept with it.  For a tile (block against
 block) the integer product, scaled, is within ``|y_q| e_x + |x_q| e_y + e_x e_y`` of the
-cosine, so only pairs whose upper bound reaches the threshold are recomputed in double
-precision.  A tile returns the number of links per vector and the edges of a spanning forest,
-never its pairs.  Blocks have a fixed size; each unordered pair of blocks is one tile task.
+cosine: pairs whose upper bound stays below the threshold are no links, pairs whose lower bound
+reaches it are links, and only those between are recomputed in double precision, a bounded
+number at a time.  A tile is worked off in strips of rows; it returns the number of links per
+vector and the edges of a spanning forest, never its pairs, so its memory does not depend on
+how many pairs link.  Blocks have a fixed size; each unordered pair of blocks is one tile task.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link
 with nothing; vectors of different length never link; equal vectors link with each other;
 float components are kept as float, all others as double;
-rows without an id are left out and repeated rows of an id yield one row; an empty table
-yields no rows; further columns are ignored.
+rows without an id are left out; an id yields one row, and of its different vectors the usable
+one of the least SHA-256 print counts; an empty table yields no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql.types import FloatType
 from patternloom.llm._common import checkpointed, connected_components, table
 
 BLOCK_ROWS = 4096
+#: Rows of a strip, and pairs recomputed at a time.
+_STRIP, _RECHECK = 256, 1 << 14
 
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,6 +58,55 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _certain(fa, sa, ea, fb, sb, eb, threshold: float, dim: int):
+    """Strips of a tile: first row, sure links and pairs to recompute (Boolean matrices)."""
+    # float32 sums of int8 products are exact below 2**24; longer ones get their rounding error as slack
+    slack = 1e-6 + (0 if dim <= 1024 else dim * 2.0**-23)
+    na, nb = np.linalg.norm(fa, axis=1) * sa, np.linalg.norm(fb, axis=1) * sb
+    for lo in range(0, len(fa), _STRIP):
+        rows = slice(lo, min(lo + _STRIP, len(fa)))
+        product = fa[rows] @ fb.T
+        product *= sb.astype(np.float32)
+        product *= sa[rows].astype(np.float32)[:, None]
+        bound = (nb.max() * ea[rows] + na[rows] * eb.max() + ea[rows] * eb.max() + slack).astype(np.float32)[:, None]
+        sure = product >= threshold + bound
+        yield lo, sure, (product >= threshold - bound) & ~sure
+
+
+def _links_of_tile(a_id, a_n, a, b_id, b_n, b, same: bool, threshold: float):
+    """Links of each row of ``a`` and ``b`` (copies counted) and the edges of a spanning forest."""
+    qa, sa, ea = _quantised(a)
+    qb, sb, eb = (qa, sa, ea) if same else _quantised(b)
+    links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    off = 0 if same else len(a)
+    part = np.arange(len(a) + (0 if same else len(b)))
+    src, dst = [], []
+    column = np.arange(len(b))
+    for lo, hit, maybe in _certain(qa.astype(np.float32), sa, ea, qb.astype(np.float32), sb, eb, threshold, a.shape[1]):
+        if same:
+            below = column[None, :] <= np.arange(lo, lo + len(hit))[:, None]
+            hit[below] = maybe[below] = False
+        i, j = np.nonzero(maybe)
+        for at in range(0, len(i), _RECHECK):
+            x, y = i[at : at + _RECHECK], j[at : at + _RECHECK]
+            hit[x, y] = np.einsum("ij,ij->i", a[lo + x], b[y]) >= threshold
+        rows = np.flatnonzero(hit.any(1))
+        if not len(rows):
+            continue
+        links_a[lo : lo + len(hit)] += (hit @ b_n.astype(float)).astype(np.int64)
+        links_b += (a_n[lo : lo + len(hit)].astype(float) @ hit).astype(np.int64)
+        for r in rows.tolist():  # join the parts that the row links; one edge for each part but its own
+            k = np.flatnonzero(hit[r])
+            other = part[k + off]
+            new = other != part[lo + r]
+            if new.any():
+                other, at = np.unique(other[new], return_index=True)
+                src += [int(a_id[lo + r])] * len(at)
+                dst += b_id[k[new][at]].tolist()
+                part[np.isin(part, other)] = part[lo + r]
+    return links_a, links_b, src, dst
+
+
 def _tile(batches, threshold: float, dtype: type):
     for batch in batches:
         for k in range(batch.num_rows):
@@ -61,49 +114,14 @@ def _tile(batches, threshold: float, dtype: type):
             read = lambda c, t: np.frombuffer(batch.column(c)[k].as_buffer(), t)  # noqa: B023, E731
             a_id, a_n, a = read(2, np.int64), read(3, np.int64), _unit(read(4, dtype).reshape(-1, dim).astype(np.float64))
             b_id, b_n, b = (a_id, a_n, a) if same else (read(5, np.int64), read(6, np.int64), _unit(read(7, dtype).reshape(-1, dim).astype(np.float64)))
-            qa, sa, ea = _quantised(a)
-            qb, sb, eb = (qa, sa, ea) if same else _quantised(b)
-            # int8 values in float32: sums stay below 2**24, so the products are exact integers
-            fa, fb = qa.astype(np.float32), qb.astype(np.float32)
-            na, nb = np.linalg.norm(fa, axis=1) * sa, np.linalg.norm(fb, axis=1) * sb
-            links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-            parent = np.arange(len(a) + len(b))
-
-            def root(x, parent=parent):
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            src, dst = [], []
-            for lo in range(0, len(a), 512):
-                hi = min(lo + 512, len(a))
-                # threshold minus the bound, taken at the block's greatest terms first
-                loose = threshold - (nb.max() * ea[lo:hi] + na[lo:hi] * eb.max() + ea[lo:hi] * eb.max()) - 1e-6
-                product = fa[lo:hi] @ fb.T
-                product *= sb.astype(np.float32)
-                i, j = np.nonzero(product >= (loose / sa[lo:hi] * (1 - 1e-6)).astype(np.float32)[:, None])
-                i += lo
-                if same:
-                    i, j = i[i < j], j[i < j]
-                true = np.einsum("ij,ij->i", a[i], b[j]) >= threshold if len(i) else np.zeros(0, bool)
-                i, j = i[true], j[true]
-                np.add.at(links_a, i, b_n[j])
-                np.add.at(links_b, j, a_n[i])
-                off = 0 if same else len(a)
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    rx, ry = root(x), root(y + off)
-                    if rx != ry:
-                        parent[rx] = ry
-                        src.append(a_id[x])
-                        dst.append(b_id[y])
+            links_a, links_b, src, dst = _links_of_tile(a_id, a_n, a, b_id, b_n, b, same, threshold)
             got_a, got_b = np.flatnonzero(links_a), np.flatnonzero(links_b)
             n = len(got_a) + len(got_b)
             if n:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate((a_id[got_a], b_id[got_b], np.asarray(src, np.int64)))),
                     pa.array(np.concatenate((links_a[got_a], links_b[got_b], np.zeros(len(src), np.int64)))),
-                    pa.array([None] * n + [int(x) for x in dst], pa.int64()),
+                    pa.array([None] * n + dst, pa.int64()),
                 ], ["id", "links", "other"])
 
 
@@ -117,9 +135,11 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     plain = F.transform("vector", lambda x: x + F.lit(0.0).cast(number))  # -0.0 and 0.0 alike
     marked = base.withColumn("vector", F.when(F.coalesce(usable, F.lit(False)), plain))
     marked = marked.withColumn("print", F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256))
-    good = marked.where("vector is not null")
-    classes = checkpointed(good.groupBy("print").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"), F.max(F.size("vector")).alias("dim")))
+    usable_print = F.when(F.col("vector").isNotNull(), F.struct("print", F.size("vector").alias("dim")))
+    ids = checkpointed(marked.groupBy("id").agg(F.min(usable_print).alias("x")).select("id", "x.print", "x.dim"))
+    classes = checkpointed(ids.where("print is not null").groupBy("print", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     shape = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    good = marked.where("vector is not null")
     heads = good.select(F.col("id").alias("rep"), "print", "vector").join(classes.drop("dim"), ["print", "rep"]).dropDuplicates(["rep"])
     out = None
     for dim, n in sorted(shape.items()):
@@ -145,8 +165,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     out = checkpointed(out)
     links = out.where("other is null").groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
     parts = connected_components(out.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), "a", "b").withColumnRenamed("id", "rep")
-    whole = marked.select("id", F.when(F.col("vector").isNotNull(), F.col("print")).alias("print")).dropDuplicates(["id"])
-    done = whole.join(classes.join(links, "rep", "left").join(parts, "rep", "left"), "print", "left")
+    done = ids.select("id", "print").join(classes.drop("dim").join(links, "rep", "left").join(parts, "rep", "left"), "print", "left")
     component = F.coalesce("component_id", "rep", "id")
     return done.select(
         F.col("id").cast(kind).alias(id),

@@ -406,3 +406,30 @@ def test_embedding_links_keep_double_precision(spark):
     assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
     apart = embeddings.near_duplicates(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1e-50])], "vec_id long, embedding array<double>"), threshold=1.1)
     assert {r.n_links for r in apart.collect()} == {0}  # not one class
+
+
+def test_dense_tile_is_bounded():
+    import time
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    x = embeddings._unit(np.ones((4096, 64)) + 0.01 * r.normal(size=(4096, 64)))
+    ids, one = np.arange(4096), np.ones(4096, np.int64)
+    tracemalloc.start()
+    begin = time.time()
+    links, more, src, dst = embeddings._links_of_tile(ids, one, x, ids, one, x, True, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links + more == 4095).all() and len(src) == len(dst) == 4095
+    assert peak < 300 << 20 and time.time() - begin < 20
+    border = np.stack([[1.0, 0.0], [0.95, (1 - 0.95**2) ** 0.5]] * 2000)  # every pair of two kinds is recomputed
+    a, b, src, _ = embeddings._links_of_tile(ids[:4000], one[:4000], embeddings._unit(border), ids[:4000], one[:4000], embeddings._unit(border), True, 0.95)
+    near = embeddings._unit(border) @ embeddings._unit(border).T >= 0.95
+    assert ((a + b) == near.sum(1) - 1).all()
+
+
+def test_embedding_ids_with_several_vectors_and_ties(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (4, [1.0, 0.0]), (None, [1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    own = 2 if got[1] == (2, 1, True) else 3  # one of the two vectors of id 1 counts, on both sides
+    assert got == ({1: (2, 1, True), 2: (2, 1, False), 4: (2, 1, False), 3: (0, 3, True)} if own == 2 else {1: (1, 1, True), 3: (1, 1, False), 2: (1, 2, True), 4: (1, 2, False)})
