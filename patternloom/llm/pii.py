@@ -1,13 +1,14 @@
 """PII spans: candidate generation and gradient-boosted trees.  DataFrame functions only.
 
 Base spans (email, ip, card, phone) are regular expressions with value checks.  For the added
-spans, high-recall generators propose overlapping candidates of each kind, from every start and
-with shorter readings of each; each candidate gets
+spans (the same kinds in other forms, and secrets), high-recall generators propose overlapping
+candidates of each kind, from every start and with shorter readings of each; each candidate gets
 format features (length, digits, separators, groups, check digit ...) and context features
-(cue words before it, neighbouring characters); boosted trees, compiled to one SQL expression,
-give a score, a logistic link fitted on held-out candidates calibrates it, and candidates at or
-above their kind's threshold become spans unless they overlap a base span of their kind or a
-candidate of their kind with a higher score (then the longer, then the first).
+(cue and decoy words before it, neighbouring characters); boosted trees, compiled to one SQL
+expression, give a score, a logistic link fitted on held-out candidates calibrates it, and
+candidates at or above their kind's threshold (the least that keeps ``PRECISION`` on held-out
+candidates) become spans unless they overlap a base span of their kind or a candidate of their
+kind with a higher score (then the longer, then the first).
 
 The trees are fitted in numpy on the driver from generated examples (seeded, ``EXAMPLES`` of
 them); no corpus rows reach the driver.  Offsets count code points, ends are exclusive.
@@ -17,7 +18,7 @@ see the same leftmost matches.  Patterns are possessive and anchored to the star
 to the last match, which keeps the matches and avoids quadratic backtracking.
 
 Defined results: null and empty texts have no spans; repeated rows are reported each; an empty
-table yields no rows; further columns are ignored.
+table yields no rows; columns of any name are kept (see ``free_name`` for those added).
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm._common import table
+from patternloom.llm._common import free_name, table
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of base spans, and all kinds in their order.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: Base patterns.  ``\G|`` lets a match begin where the last one ended, inside a run.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -45,6 +48,7 @@ GENERATORS = {
     "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+)?+::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+)?+|(?:[0-9A-Fa-f]{1,4}:){2,7}+[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f]|:[0-9A-Fa-f:]|\.[0-9])",
     "card": r"(?<![0-9])[0-9]{4}[\x20./_-]{1,2}[0-9]{4,6}[\x20./_-]{1,2}[0-9]{4,5}(?:[\x20./_-]{1,2}[0-9]{1,4})?(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,512}+={0,2}+|(?<=(?i:passw|password|passwd|pwd|secret|token|key)[\"']?\x20?[:=]\x20?[\"']?)[^\s\"',;:=]{6,128}+",
 }
 #: Shorter readings of a candidate from the same start, as patterns of its value.
 SHORTER = {
@@ -52,52 +56,94 @@ SHORTER = {
     "ip": (),
     "card": (r"^[0-9]{4}[\x20./_-]{1,2}[0-9]{4,6}[\x20./_-]{1,2}[0-9]{4,5}(?![0-9])",),
     "phone": (r"^\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9A-Za-z])",),
+    "secret": (),
 }
 CUES = {
     "email": ("mail", "contact", "write", "reach"),
     "ip": ("ip", "host", "server", "addr"),
     "card": ("card", "visa", "credit", "iban", "account"),
     "phone": ("phone", "tel", "call", "fax", "mobile"),
+    "secret": ("token", "secret", "passw", "pwd", "api", "auth", "bearer", "key", "credential"),
 }
-FEATURES = ("length", "digits", "letters", "separators", "spaces", "groups", "brackets", "cue", "luhn", "before", "after", "words")
+#: Words that announce a lookalike.
+DECOYS = {
+    "email": ("dine", "lunch", "open"),
+    "ip": ("time", "std", "clock"),
+    "card": ("isbn", "order", "tracking", "part", "no"),
+    "phone": ("isbn", "page", "item", "order", "room"),
+    "secret": ("commit", "sha", "md5", "etag", "checksum", "rev", "file", "class", "see"),
+}
+FEATURES = ("length", "digits", "letters", "separators", "spaces", "groups", "brackets", "cue", "luhn", "before", "after", "words", "decoy", "capitals", "hex", "assigned", "changes", "domain")
+_DOMAIN = r"(?i:\b(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu|example))$"
+_CHANGE = "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
 EXAMPLES = 4_000
-TREES, DEPTH, RATE, THRESHOLD = 24, 3, 0.3, 0.9
+TREES, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.98
 _CONTEXT = 24
 
 
 # ------------------------------------------------------------------ columns
 
 
+def _let(x: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+_NONE = "array<int>"
+
+
+def _running(steps: Column) -> Column:
+    """Running sums of an array of numbers, in blocks, so that appending stays cheap in long texts."""
+    block = 256
+
+    def sums(b: Column, shifted: bool) -> Column:
+        start = F.struct(F.lit(0).alias("s"), F.array().cast(_NONE).alias("out"))
+        step = lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["out"], F.array(a["s"] if shifted else a["s"] + x)).alias("out"))
+        return F.aggregate(b, start, step, lambda a: a["out"])
+
+    def blocks(x: Column) -> Column:
+        count = F.ceil(F.size(x) / block).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: sums(F.slice(x, k * block + 1, F.lit(block)), False))).otherwise(F.array().cast("array<array<int>>"))
+
+    def joined(parts: Column) -> Column:
+        base = sums(F.transform(parts, lambda w: F.element_at(w, -1)), True)
+        return F.flatten(F.zip_with(parts, base, lambda w, b: F.transform(w, lambda y: y + b)))
+
+    return _let(steps, lambda x: _let(blocks(x), joined))
+
+
+def _found(text: Column, pattern: str, group: int) -> Column:
+    """The matches of a pattern and the texts between them, as a struct (v, g)."""
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"), F.split(text, pattern, -1).alias("g"))
+
+
+def _spans_from(starts: Column, values: Column) -> Column:
+    return F.zip_with(starts, values, lambda s, v: F.struct(s.alias("start"), (s + F.length(v)).alias("stop"), v.alias("value")))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (start, stop, value) of the leftmost non-overlapping matches."""
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out"))
 
-    def step(a, x):
-        begin = a["at"] + F.length(x["g"])
-        end = begin + F.length(x["v"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("stop"), x["v"].alias("value")))).alias("out"))
+    def placed(x: Column) -> Column:
+        n = F.size(x["v"])
+        gaps = F.transform(F.slice(x["g"], 1, n), F.length)
+        before = F.concat(F.array(F.lit(0)), F.transform(F.slice(x["v"], 1, F.greatest(n - 1, F.lit(0))), F.length))
+        steps = F.when(n > 0, F.zip_with(gaps, before, lambda a, b: a + b)).otherwise(F.array().cast(_NONE))
+        return _spans_from(_running(steps), x["v"])
 
-    pairs = F.zip_with(value, F.slice(gaps, 1, F.greatest(F.size(value), F.lit(0))), lambda v, g: F.struct(v.alias("v"), g.alias("g")))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    return _let(_found(text, pattern, 0), placed)
 
 
 def _candidates(text: Column, kind: str) -> Column:
     """Array of (start, stop, value) of overlapping candidates: every start, and shorter readings."""
     ahead = f"(?=({GENERATORS[kind]}))"
-    # empty matches cut the text at the starts; the line break keeps the first piece from being left out
-    padded = F.concat(F.lit("\n"), text)
-    value = F.regexp_extract_all(padded, F.lit(ahead), F.lit(1))
-    gaps = F.split(padded, ahead, -1)
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out"))
 
-    def step(a, x):
-        begin = a["at"] + F.length(x["g"])
-        return F.struct(begin.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), (begin + F.length(x["v"])).alias("stop"), x["v"].alias("value")))).alias("out"))
+    def placed(x: Column) -> Column:
+        gaps = F.transform(F.slice(x["g"], 1, F.size(x["v"])), F.length)
+        return _spans_from(F.transform(_running(gaps), lambda s: s - 1), x["v"])
 
-    pairs = F.zip_with(value, F.slice(gaps, 1, F.size(value)), lambda v, g: F.struct(v.alias("v"), g.alias("g")))
-    longest = F.aggregate(pairs, start, step, lambda a: a["out"])
+    # empty matches cut the text at the starts; the line break keeps the first piece from being left out
+    longest = _let(_found(F.concat(F.lit("\n"), text), ahead, 1), placed)
     if not SHORTER[kind]:
         return longest
 
@@ -133,7 +179,8 @@ def features(kind: str, v: Column, before: Column, after: Column) -> list[Column
     return [
         F.length(v), digits, count("[A-Za-z]"), count("[-./_:@]"), count(" "), F.size(F.split(v, "[^0-9A-Za-z]+")), count(r"[()\[\]]"), cue.cast("int"),
         F.when(digits.between(12, 19), luhn(v)).otherwise(F.lit(False)).cast("int"), F.substring(before, -1, 1).rlike("[0-9A-Za-z.,/-]").cast("int"), F.substring(after, 1, 1).rlike("[0-9A-Za-z/_-]").cast("int"),
-        F.size(F.split(v, r"\b(?:at|dot)\b")) - 1,
+        F.size(F.split(v, r"\b(?:at|dot)\b")) - 1, F.lower(before).rlike(r"\b(?:" + "|".join(DECOYS[kind]) + r")\b").cast("int"), count("[A-Z]"),
+        v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("int"), before.rlike("[=:]\\x20?[\"']?$").cast("int"), F.size(F.split(v, _CHANGE)) - 1, v.rlike(_DOMAIN).cast("int"),
     ]
 
 
@@ -145,6 +192,35 @@ def _luhn_digit(digits: list[int]) -> int:
     return -total % 10
 
 
+def _secret(r: np.random.Generator, yes: int, before: str, after: str) -> tuple[str, str, str]:
+    """A generated secret, or a lookalike, and its surroundings."""
+    pick = lambda xs: xs[int(r.integers(len(xs)))]
+    of = lambda chars, k: "".join(chars[int(i)] for i in r.integers(0, len(chars), k))
+    low, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    hexes, mixed = digit + low[:6], digit + low + low.upper()
+    name = lambda: of(low, int(r.integers(3, 9)))
+    if yes:
+        kind = r.random()
+        if kind < 0.75:
+            v = pick([of(hexes, pick([32, 40, 64])), of(mixed, int(r.integers(20, 48))), pick(["sk_live_", "sk-", "ghp_", "AKIA"]) + of(mixed, int(r.integers(16, 36)))])
+            cue = pick(["token", "api_key", "secret", "auth token", "access key", "credentials"])
+        else:
+            v, cue = of(mixed + "!#$%", int(r.integers(8, 16))), pick(["password", "passwd", "pwd", "secret"])
+        mark = pick([' = "', "=", ": ", ':"', " = '"])
+        return v, before + cue + mark, mark[-1] if mark[-1] in "\"'" else pick([" ", "\n", ""])
+    kind = r.random()
+    if kind < 0.3:  # names of files, classes and links with a number
+        v = pick(["_", "-", "/"]).join([name() for _ in range(int(r.integers(3, 6)))] + [of(digit, int(r.integers(1, 5)))])
+        before += pick(["see ", "file ", "", "class "])
+    elif kind < 0.55:  # hashes that name content
+        v, before = of(hexes, pick([32, 40, 64])), before + pick(["commit ", "sha ", "md5: ", "etag: ", "checksum ", "rev ", 'sha = "'])
+    elif kind < 0.75:  # long numbers with a letter, and words run together
+        v = pick([of(digit, 18) + pick(list(low)), name() + name() + name() + of(digit, 1)])
+    else:  # plain words after a cue
+        v, before = pick([name() + "_" + name(), "none" + name(), name() + "()", name() + "." + name()]), before + pick(["token: ", "key = ", "secret: ", "password: "])
+    return v, before, after
+
+
 def examples(kind: str, n: int, seed: int = 5) -> list[tuple[str, str, str, int]]:
     """Generated candidates (value, before, after, label): true forms of the kind and lookalikes."""
     r = np.random.Generator(np.random.PCG64([seed, KINDS.index(kind)]))
@@ -159,7 +235,7 @@ def examples(kind: str, n: int, seed: int = 5) -> list[tuple[str, str, str, int]
         if kind == "email":
             if yes:
                 at, dot = pick([("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", " [dot] "), (" @ ", ".")])
-                v = f"{word()}{pick(['.', '_', ''])}{num(2)}{at}{word()}{dot}{pick(['com', 'org', 'net', 'example'])}"
+                v = f"{word()}{pick(['.', '_', ''])}{pick([num(2), ''])}{at}{word()}{dot}{pick(['com', 'org', 'net', 'example', 'de', 'fr', 'es', 'co', 'edu'])}"
                 before += pick(["mail ", "contact ", "", ""])
             else:
                 v = f"{word()} at {word()}.{word().capitalize()}" if r.random() < 0.7 else f"{word()} at {word()} dot {word()}s{word()}"
@@ -179,7 +255,8 @@ def examples(kind: str, n: int, seed: int = 5) -> list[tuple[str, str, str, int]
         elif kind == "card":
             groups = pick([(4, 4, 4, 4), (4, 6, 5)])
             digits = [int(c) for c in num(sum(groups) - 1)]
-            digits.append(_luhn_digit(digits) if yes else (_luhn_digit(digits) + int(r.integers(1, 10))) % 10)
+            chance = not yes and r.random() < 0.3  # a lookalike that passes the check by chance
+            digits.append(_luhn_digit(digits) if yes or chance else (_luhn_digit(digits) + int(r.integers(1, 10))) % 10)
             sep = pick([".", "/", "_", "  ", "-", " - "[:2]]) if yes else pick([".", "/", "-", " ", "_"])
             text, at = "".join(map(str, digits)), 0
             parts = []
@@ -187,7 +264,12 @@ def examples(kind: str, n: int, seed: int = 5) -> list[tuple[str, str, str, int]
                 parts.append(text[at : at + g])
                 at += g
             v = sep.join(parts)
-            before += pick(["card ", "visa ", "", ""]) if yes else pick(["no ", "", ""])
+            if chance:  # part of a longer number, or announced as another one
+                before += pick([num(4) + sep, "order ", "isbn ", "tracking ", f"part {num(4)}{sep}", f"order {num(4)}{sep}"])
+            else:
+                before += pick(["card ", "visa ", "", ""]) if yes else pick(["no ", "order ", "", ""])
+        elif kind == "secret":
+            v, before, after = _secret(r, yes, before, after)
         else:
             if yes:
                 v = pick([f"({num(3)}) 555-{num(4)}", f"{num(3)}-555-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"])
@@ -208,7 +290,8 @@ def _numpy_features(kind: str, rows: list[tuple[str, str, str, int]]) -> np.ndar
         digits = [int(c) for c in v if c.isdigit()]
         ok = 12 <= len(digits) <= 19 and _luhn_digit(digits[:-1]) == digits[-1]
         cue = re.search(r"\b(?:" + "|".join(CUES[kind]) + ")", before.lower())
-        return [len(v), len(digits), count("[A-Za-z]"), count("[-./_:@]"), count(" "), len(re.split("[^0-9A-Za-z]+", v)), count(r"[()\[\]]"), bool(cue), ok, bool(re.match("[0-9A-Za-z.,/-]", before[-1:])), bool(re.match("[0-9A-Za-z/_-]", after[:1])), len(re.split(r"\b(?:at|dot)\b", v)) - 1]
+        return [len(v), len(digits), count("[A-Za-z]"), count("[-./_:@]"), count(" "), len(re.split("[^0-9A-Za-z]+", v)), count(r"[()\[\]]"), bool(cue), ok, bool(re.match("[0-9A-Za-z.,/-]", before[-1:])), bool(re.match("[0-9A-Za-z/_-]", after[:1])), len(re.split(r"\b(?:at|dot)\b", v)) - 1,
+                bool(re.search(r"\b(?:" + "|".join(DECOYS[kind]) + r")\b", before.lower())), count("[A-Z]"), bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)), bool(re.search("[=:]\\x20?[\"']?$", before)), len(re.split(_CHANGE, v)) - 1, bool(re.search(_DOMAIN, v))]
 
     return np.asarray([one(*r[:3]) for r in rows], float)
 
@@ -240,8 +323,9 @@ def _apply(tree, x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def fit(kind: str) -> tuple[tuple, float, float]:
-    """Boosted trees of one kind and the calibration (slope, shift) from held-out examples."""
+def fit(kind: str) -> tuple[tuple, float, float, float]:
+    """Boosted trees of one kind, and from held-out examples the calibration (slope, shift) and
+    the least threshold of the precision asked for."""
     rows = examples(kind, EXAMPLES)
     x, y = _numpy_features(kind, rows), np.asarray([r[3] for r in rows], float)
     train = np.arange(len(y)) % 4 != 0
@@ -256,12 +340,14 @@ def fit(kind: str) -> tuple[tuple, float, float]:
         p = 1 / (1 + np.exp(-(a * z[~train] + b)))
         e = p - y[~train]
         a, b = a - 0.05 * float((e * z[~train]).mean()), b - 0.05 * float(e.mean())
-    return tuple(trees), a, b
+    p = 1 / (1 + np.exp(-(a * z[~train] + b)))
+    cuts = [c for c in np.linspace(0.5, 0.99, 50).tolist() if y[~train][p >= c].mean() >= PRECISION] if (p >= 0.99).any() else []
+    return tuple(trees), a, b, min(cuts, default=0.9)
 
 
 def score(kind: str, x: Column) -> Column:
     """Calibrated probability of a candidate whose features are the array ``x``."""
-    trees, a, b = fit(kind)
+    trees, a, b, _ = fit(kind)
 
     def compiled(tree) -> Column:
         if not isinstance(tree, tuple):
@@ -276,26 +362,28 @@ def score(kind: str, x: Column) -> Column:
 # ------------------------------------------------------------------ operator
 
 
-def find_spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``base_spans`` and ``added_spans``: arrays of (start, rank, kind, stop)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     digit = whole.rlike("[0-9]")
-    out = docs
+    out, base, more = docs, [], []
     for rank, kind in enumerate(KINDS):
-        there = F.contains(whole, F.lit(_NEEDED[kind])) if kind in _NEEDED else digit
-        there = there & digit if kind in ("ip", "phone") else there
-        raw = F.when(there, _matches(whole, BASE[kind]))
-        found = F.transform(_kept(raw, kind), _spanned(rank, kind))
-        out = out.withColumn(f"_b{rank}", found)
-        maybe = F.when(_possible(kind, whole, digit), _candidates(whole, kind))
-        out = out.withColumn(f"_c{rank}", maybe)
-        out = out.withColumn(f"_c{rank}", F.transform(f"_c{rank}", _described(kind, whole)))
-        out = out.withColumn(f"_c{rank}", _accepted(rank, kind, threshold))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
-    ranks = range(len(KINDS))
-    out = out.withColumn("base_spans", F.array_sort(F.concat(*[F.coalesce(f"_b{r}", none) for r in ranks])))
-    out = out.withColumn("added_spans", F.array_sort(F.concat(*[F.coalesce(f"_c{r}", none) for r in ranks])))
-    return out.drop(*[f"_b{r}" for r in ranks], *[f"_c{r}" for r in ranks])
+        b, c = free_name(docs, f"_b{rank}"), free_name(docs, f"_c{rank}")
+        if kind in BASE:
+            there = F.contains(whole, F.lit(_NEEDED[kind])) if kind in _NEEDED else digit
+            there = there & digit if kind in ("ip", "phone") else there
+            out = out.withColumn(b, F.transform(_kept(F.when(there, _matches(whole, BASE[kind])), kind), _spanned(rank, kind)))
+            base.append(b)
+        out = out.withColumn(c, F.when(_possible(kind, whole, digit), _candidates(whole, kind)))
+        out = out.withColumn(c, F.transform(c, _described(kind, whole)))
+        out = out.withColumn(c, _accepted(rank, kind, c, b if kind in BASE else None))
+        more.append(c)
+    all_of = lambda names: F.array_sort(F.concat(*[F.coalesce(n, F.array().cast(_SPANS)) for n in names]))
+    named = [all_of(x).alias(free_name(docs, n)) for x, n in ((base, "base_spans"), (more, "added_spans"))]
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *named)
+
+
+_SPANS = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 
 
 def _kept(matches: Column, kind: str) -> Column:
@@ -309,6 +397,8 @@ def _spanned(rank: int, kind: str):
 def _possible(kind: str, whole: Column, digit: Column) -> Column:
     if kind == "email":
         return whole.rlike(r"@|\[at\]|\(at\)|\x20at\x20[^\n]{1,80}(?:\.|dot)")
+    if kind == "secret":
+        return whole.rlike("[A-Za-z0-9+/_-]{16}|(?i:passw|pwd|secret|token|key)[a-z]{0,4}[\"']?\\x20?[:=]")
     return whole.rlike(":[0-9A-Fa-f]{0,4}:") if kind == "ip" else digit
 
 
@@ -321,11 +411,12 @@ def _described(kind: str, whole: Column):
     return one
 
 
-def _accepted(rank: int, kind: str, threshold: float) -> Column:
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
+def _accepted(rank: int, kind: str, candidates: str, base: str | None) -> Column:
+    none = F.array().cast(_SPANS)
     apart = lambda spans, m: ~F.exists(spans, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
-    scored = F.transform(f"_c{rank}", lambda m: F.struct((-score(kind, m["x"])).alias("loss"), (m["start"] - m["stop"]).alias("short"), m["start"].alias("start"), m["stop"].alias("stop")))
-    fit_in = F.filter(scored, lambda m: (m["loss"] <= -threshold) & apart(F.coalesce(f"_b{rank}", none), m))
+    scored = F.transform(candidates, lambda m: F.struct((-score(kind, m["x"])).alias("loss"), (m["start"] - m["stop"]).alias("short"), m["start"].alias("start"), m["stop"].alias("stop")))
+    held = F.coalesce(F.col(base), none) if base else none
+    fit_in = F.filter(scored, lambda m: (m["loss"] <= -fit(kind)[3]) & apart(held, m))
     # best first; each stays unless it overlaps a better one
     step = lambda kept, m: F.when(apart(kept, m), F.concat(kept, F.array(_spanned(rank, kind)(m)))).otherwise(kept)
     return F.aggregate(F.array_sort(fit_in), none, step)
@@ -337,19 +428,20 @@ def _written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[{}]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind's mark; overlapping spans leave one mark."""
-    found = find_spans(docs, text)
-    spans = F.array_sort(F.concat("base_spans", "added_spans"))
+    names = [free_name(docs, n) for n in ("base_spans", "added_spans")]
+    spans = F.array_sort(F.concat(*names))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["stop"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.format_string(mark.replace("{}", "%s"), s["kind"])).alias("out")))
     new = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size(spans) > 0, new).otherwise(F.col(text))).drop("base_spans", "added_spans")
+    return find_spans(docs, text).withColumn(text, F.when(F.size(spans) > 0, new).otherwise(F.col(text))).drop(*names)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of ``documents``."""
     found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    whole = F.concat("base_spans", "added_spans")
     return found.select(
-        "doc_id", *map(n, KINDS), F.sha2(_written(F.col("base_spans")), 256).alias("base_sha256"),
-        _written(F.array_sort(F.concat("base_spans", "added_spans"))).alias("spans"), F.size("added_spans").cast("long").alias("n_added"),
+        "doc_id", *map(n, BASE_KINDS), F.sha2(_written(F.col("base_spans")), 256).alias("base_sha256"), _written(F.array_sort(whole)).alias("spans"),
+        F.size("added_spans").cast("long").alias("n_added"), F.size(F.filter("added_spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"), F.size(whole).cast("long").alias("n_spans"),
     )
