@@ -30,8 +30,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from patternloom.llm._common import most_frequent, slices, table, written
+from patternloom.llm._common import free_name, most_frequent, slices, table, written
 
 #: Fixed value: the byte-level pre-tokenization pattern of the vocabulary.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", regex.V1)
@@ -438,7 +439,7 @@ _workers: dict[str, Tokenizer] = {}
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", digests: bool = False, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """All columns of ``docs`` plus ``ids`` and ``decoded`` or, with ``digests``, their counts and hashes.
+    """All columns of ``docs`` plus ``ids`` and ``decoded`` (see ``free_name``) or, with ``digests``, their counts and hashes.
 
     With ``digests`` the columns are ``doc_id``, ``n_tokens``, ``ids_sha256`` and
     ``decoded_sha256`` and texts leave the worker as hashes only.
@@ -449,6 +450,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", digests: bo
     # bound: the vocabulary file and lexicon_words entries of 64 characters
     shared = spark.sparkContext.broadcast((spec, build_lexicon(docs, vocabulary, lexicon_words, text)))
     name = hashlib.sha256(shared.value[1]).hexdigest()
+    added = [free_name(docs, n) for n in ("ids", "decoded")]
 
     def tokenizer() -> Tokenizer:
         if name not in _workers:
@@ -480,15 +482,12 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", digests: bo
                 texts = part.column(k).to_pylist()
                 t.prepare(texts)
                 ids = [t.encode(x) for x in texts]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.string())], [*part.schema.names, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.string())], [*part.schema.names, *added])
 
     if digests:
         kind = docs.schema["doc_id"].dataType.simpleString()
         return docs.select("doc_id", text).mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    base = docs.drop("ids", "decoded")
-    from pyspark.sql import types as T
-
-    return base.mapInArrow(plain, T.StructType([*base.schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    return docs.mapInArrow(plain, T.StructType([*docs.schema, T.StructField(added[0], T.ArrayType(T.IntegerType())), T.StructField(added[1], T.StringType())]))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

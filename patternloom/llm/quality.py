@@ -134,6 +134,12 @@ def logits(x: np.ndarray, net: dict) -> np.ndarray:
     return hidden @ net["w2"] + net["b2"]
 
 
+def temperature(raw: np.ndarray, wanted: np.ndarray) -> float:
+    """The divisor of logits, of a grid, with the least log loss on rows kept from training."""
+    loss = lambda temp: float(np.logaddexp(0, np.where(wanted > 0, -raw, raw) / temp).mean())
+    return min(np.geomspace(0.25, 8, 60).tolist(), key=loss)
+
+
 def fit(docs: DataFrame, labels: DataFrame, vectors, target: str = "quality", modulus: int = 4, held: int = 2, most: int = MAX_TRAINING_ROWS) -> dict:
     """The network and its temperature, fitted on at most ``most`` labelled rows."""
     sample, known = labelled_sample(docs, labels, target, modulus, held, most)
@@ -162,9 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, target: str = "quality", mo
             for k in names:
                 m[k], v[k] = 0.9 * m[k] + 0.1 * grads[k], 0.999 * v[k] + 0.001 * grads[k] ** 2
                 net[k] = net[k] - (0.003 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    raw, wanted = logits(x[test], net), y[test]
-    loss = lambda temp: float(np.logaddexp(0, np.where(wanted > 0, -raw, raw) / temp).mean())
-    net["temperature"] = min(np.geomspace(0.25, 8, 60).tolist(), key=loss)
+    net["temperature"] = temperature(logits(x[test], net), y[test])
     return net
 
 

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed byte n-grams (3, 5 and 7) of the text with A-Z lowered, each as present
+Features are hashed character (code point) n-grams (3, 5 and 7) of the text with A-Z lowered, each as present
 at least once, twice and four times.  On a
 bounded sample of labelled rows, half of each class, each n-gram gets its log-count ratio between the classes; the
 n-grams with the strongest evidence, scaled by that ratio, feed a logistic regression.  The
@@ -31,12 +31,23 @@ MAX_TRAINING_ROWS = 10_000
 KEPT_FEATURES = 12_000
 _PARTS = 64
 _TABLE = np.random.Generator(np.random.PCG64(11)).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
-_STEP = np.uint32(0x9E3779B1)
+_STEP, _PLANE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
-def grams(data: np.ndarray):
-    """Bucket of the n-gram that begins at each byte, for each order in turn."""
-    t = _TABLE[LOWER[data]]
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts laid end to end, A-Z lowered, and the place of each text's first one."""
+    starts = (data & 0xC0) != 0x80
+    points = np.frombuffer(LOWER[data].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if len(points) != int(starts.sum()):  # not UTF-8: bytes count as characters
+        return LOWER[data].astype(np.uint32), offsets
+    places = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(starts, out=places[1:])
+    return points, places[offsets]
+
+
+def grams(points: np.ndarray):
+    """Bucket of the n-gram that begins at each character, for each order in turn."""
+    t = _TABLE[points & np.uint32(255)] ^ (points >> np.uint32(8)) * _PLANE
     h = np.zeros(len(t), np.uint32)
     factor = np.uint32(1)
     for j in range(max(ORDERS)):
@@ -57,7 +68,8 @@ def present(data: np.ndarray, offsets: np.ndarray, slot: np.ndarray | None) -> t
     """
     texts, buckets = [], []
     wanted = None if slot is None else (slot.reshape(len(LEVELS), -1) >= 0).any(0)
-    for n, bucket in grams(data):
+    points, offsets = characters(data, offsets)
+    for n, bucket in grams(points):
         at = np.arange(len(bucket)) if wanted is None else np.flatnonzero(wanted[bucket])
         text = np.searchsorted(offsets, at, side="right") - 1
         inside = at + n <= offsets[text + 1]
@@ -93,12 +105,43 @@ def _count(batches):
 
 
 def _vectors(batches, slot):
+    """Label and features of each row, two bytes a feature."""
     for batch in batches:
         for lo, hi, data, offsets in slices(batch, 1, 1 << 20):
             text, feature = present(data, offsets, slot)
             cut = np.searchsorted(text, np.arange(hi - lo + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo).cast(pa.int32()), lists], ["label", "features"])
+            packed = [feature[a:b].astype(np.uint16).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo).cast(pa.int32()), pa.array(packed, pa.binary())], ["label", "features"])
+
+
+def log_count_ratio(counts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Naive Bayes log-count ratio of each feature and the strength of its evidence.
+
+    ``counts`` holds the rows of class 0 and 1 with each feature, ``totals`` the rows of each class.
+    """
+    share = (counts + 0.5) / (totals[:, None] + 1)
+    strength = np.abs(share[1] - share[0]) / np.sqrt(share.mean(0) * (1 - share.mean(0)) + 1e-9)
+    return np.log(share[1] / share[0]), np.where(counts.sum(0) >= 3, strength, 0)
+
+
+def _descend(of: np.ndarray, row_at: np.ndarray, y: np.ndarray, r: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """Logistic regression on the features scaled by ``r``; rows go through in blocks of bounded size."""
+    w, edges = np.zeros(len(r)), [0]
+    while edges[-1] < len(y):
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(row_at, row_at[edges[-1]] + (1 << 19), side="right")) - 1))
+    m, v, lr = np.zeros(len(r) + 1), np.zeros(len(r) + 1), 0.05
+    for t in range(1, 151):
+        total, error, scaled = np.zeros(len(r)), 0.0, (w * r).astype(np.float32)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            f, row = of[row_at[a] : row_at[b]], np.repeat(np.arange(b - a, dtype=np.int32), np.diff(row_at[a : b + 1]))
+            g = 1 / (1 + np.exp(-np.clip(np.bincount(row, scaled[f], b - a) + bias, -30, 30))) - y[a:b]
+            total += np.bincount(f, g[row], len(r))
+            error += g.sum()
+        grad = np.append(r * total / len(y) + 1e-3 * w, error / len(y))
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        step = lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, bias = w - step[:-1], bias - step[-1]
+    return w, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int = 5, held: int = 0, most: int = MAX_TRAINING_ROWS, kept: int = KEPT_FEATURES) -> dict:
@@ -114,29 +157,19 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int
     totals = np.asarray([seen.get(y, 0) for y in (0, 1)], float)
     if not totals.all():
         return none | {"bias": 30.0 if totals[1] else -30.0}
-    share = (counts + 0.5) / (totals[:, None] + 1)
-    ratio = np.log(share[1] / share[0])
-    evidence = np.where(counts.sum(0) >= 3, np.abs(share[1] - share[0]) / np.sqrt(share.mean(0) * (1 - share.mean(0)) + 1e-9), 0)
+    ratio, evidence = log_count_ratio(counts, totals)
     best = np.sort(np.argsort(-evidence, kind="stable")[:kept])
     best = best[evidence[best] > 0]
     slot = np.full(len(LEVELS) << BUCKET_BITS, -1, np.int16)
     slot[best] = np.arange(len(best))
-    rows = sample.mapInArrow(partial(_vectors, slot=slot), "label int, features array<int>").toArrow()
+    # bound: `most` rows of at most `kept` features of two bytes
+    rows = sample.mapInArrow(partial(_vectors, slot=slot), "label int, features binary").toArrow()
     y = rows.column("label").to_numpy().astype(np.float32)
-    lists = rows.column("features").combine_chunks()
-    at, of = lists.offsets.to_numpy(), lists.values.to_numpy()
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at))
-    del rows, lists
-    r, w, bias = ratio[best], np.zeros(len(best)), float(np.log(totals[1] / totals[0]))
-    m, v, t, lr = np.zeros(len(best) + 1), np.zeros(len(best) + 1), 0, 0.05
-    for _ in range(150):
-        z = np.bincount(row, (w * r).astype(np.float32)[of], len(y)) + bias
-        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        grad = np.append(r * np.bincount(of, g[row], len(best)) / len(y) + 1e-3 * w, g.mean())
-        t += 1
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
+    lists = rows.column("features").combine_chunks().cast(pa.large_binary())
+    row_at = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(y) + 1] // 2
+    of = np.frombuffer(lists.buffers()[2], np.uint16) if lists.buffers()[2] is not None else np.zeros(0, np.uint16)
+    r = ratio[best]
+    w, bias = _descend(of, row_at, y, r, float(np.log(totals[1] / totals[0])))
     # the sample is balanced: shift the odds back to those of all training labels
     shift = np.log(known[1] / known[0]) - np.log(totals[1] / totals[0])
     return {"slot": slot, "weights": w * r, "bias": float(bias + shift)}

@@ -200,6 +200,100 @@ def test_classifiers_take_odd_inputs(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
 
 
+def test_toxicity_counts_ratios_and_scores_equal_brute_force(spark):
+    texts = ["ab", "", "Ünïcode ñandú 日本語 text", "aaaaaaaaaa", "the cat sat on the mat the cat sat", "THE CAT sat"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    text, feature = toxicity.present(data, offsets, None)
+    got = defaultdict(set)
+    for a, b in zip(text.tolist(), feature.tolist(), strict=True):
+        got[a].add(b)
+    names = {}
+    for k, t in enumerate(texts):
+        grams, low = defaultdict(int), t.translate(LOWER)
+        for n in toxicity.ORDERS:
+            for j in range(len(low) - n + 1):
+                grams[low[j : j + n]] += 1
+        want = set()
+        for g, c in grams.items():
+            one = np.frombuffer(g.encode(), np.uint8)
+            bucket = int(dict(toxicity.grams(toxicity.characters(one, np.asarray([0, len(one)]))[0]))[len(g)][0])
+            names[bucket] = g
+            want |= {bucket | level << toxicity.BUCKET_BITS for level, least in enumerate(toxicity.LEVELS) if c >= least}
+        assert got[k] == want, t
+    counts, totals = np.asarray([[3.0, 0, 9], [1.0, 8, 9]]), np.asarray([10.0, 8.0])
+    ratio, strength = toxicity.log_count_ratio(counts, totals)
+    for f in range(3):
+        p, q = (counts[0, f] + 0.5) / 11, (counts[1, f] + 0.5) / 9
+        assert np.isclose(ratio[f], np.log(q / p)) and np.isclose(strength[f], abs(q - p) / np.sqrt((p + q) / 2 * (1 - (p + q) / 2) + 1e-9))
+    docs = frame(spark, [f"{'vile' if k % 3 == 0 else 'kind'} words number {k}" for k in range(60)])
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    slot, weights = model["slot"], model["weights"]
+    for r in toxicity.score(docs, model).collect():
+        raw = docs.where(F.col("doc_id") == r.doc_id).first().text.encode()
+        _, f = toxicity.present(np.frombuffer(raw, np.uint8), np.asarray([0, len(raw)]), None)
+        z = sum(weights[slot[x]] for x in f.tolist() if slot[x] >= 0) + model["bias"]
+        assert np.isclose(r.score, 1 / (1 + np.exp(-z))) and r.predicted == int(r.doc_id % 3 == 0)
+
+
+def test_quality_vectors_and_pooling_equal_brute_force(spark):
+    texts = ["one two three two", "A b\n12 --", None, "", "two one 😀 three"]
+    vectors = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    dims, signs = quality.index_vectors()
+    sums = np.zeros((quality.BUCKETS, quality.DIMENSIONS))
+    seen = {}
+    for t in texts:
+        raw = (t or "").encode()
+        b, _, _, _ = quality.tokens(np.frombuffer(raw, np.uint8), np.asarray([0, len(raw)]))
+        seen[t] = b
+        for i in range(len(b)):
+            for j in range(max(0, i - quality.WINDOW), min(len(b), i + quality.WINDOW + 1)):
+                if i != j:
+                    np.add.at(sums[b[i]], dims[b[j]], signs[b[j]])
+    unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    unit -= unit.mean(0)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(vectors, unit, atol=1e-5)
+    for t, b in seen.items():
+        raw = (t or "").encode()
+        row = quality.pooled(np.frombuffer(raw, np.uint8), np.asarray([0, len(raw)]), vectors)[0]
+        if len(b):
+            assert np.allclose(row[: quality.DIMENSIONS], vectors[b].mean(0), atol=1e-5)
+            assert np.allclose(row[quality.DIMENSIONS : 2 * quality.DIMENSIONS], vectors[b].std(0), atol=1e-3)
+        else:
+            assert not row[:-1].any()
+
+
+def test_quality_temperature_calibrates():
+    r = np.random.default_rng(1)
+    true = r.normal(0, 2, 40_000)
+    y = (r.random(len(true)) < 1 / (1 + np.exp(-true))).astype(int)
+    for factor in (0.5, 1.0, 3.0):
+        t = quality.temperature(true * factor, y)
+        assert abs(t / factor - 1) < 0.1
+        p = 1 / (1 + np.exp(-true * factor / t))
+        for lo in np.arange(0.1, 0.9, 0.2):  # calibrated: shares of label 1 follow the probability
+            some = (p >= lo) & (p < lo + 0.2)
+            assert abs(p[some].mean() - y[some].mean()) < 0.03
+
+
+def test_empty_tables_of_texts_and_pages(spark):
+    docs = frame(spark, ["a"]).limit(0)
+    labels = spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.score(docs, labels).count() == 0
+    assert bpe.encode_documents(docs, bpe.vocabulary_path()).count() == bpe.encode_documents(docs, bpe.vocabulary_path(), digests=True).count() == 0
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.RULES).count() == 0
+
+
+def test_ids_that_are_no_numbers_and_ids_with_several_texts(spark):
+    with pytest.raises(TypeError):
+        ngram.near_duplicate_groups(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
+    two = [(1, "a b c d e f"), (1, "g h i j k l m"), (2, "g h i j k l m"), (0, "A B c d e f"), (3, "n o p q r")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram.near_duplicate_groups(spark.createDataFrame(two, "doc_id long, text string")).collect()}
+    assert got == {0: (2, 0), 1: (3, 0), 2: (3, 0), 3: (1, 3)}
+
+
 # ------------------------------------------------------------------ 4
 
 
@@ -219,6 +313,12 @@ def test_bpe_equals_the_library(spark):
         assert digests[i].n_tokens == len(ids) and digests[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_bpe_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some text", 7, 8)], "doc_id long, text string, ids int, `Decoded` int")
+    row = bpe.encode_documents(docs, bpe.vocabulary_path()).first()
+    assert tuple(row)[:4] == (1, "some text", 7, 8) and row.decoded_ == "some text" and len(row.ids_) == 2
+
+
 def test_lexicon_is_minimal_and_exact():
     entries = {w.encode(): (i,) for i, w in enumerate(["talking", "walking", "talked", "walked", "a"])}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(entries))
@@ -441,6 +541,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert ngram.near_duplicate_groups(spark.read.parquet(str(tmp_path / "ngram_jaccard"))).where("doc_id <> component_id").isEmpty()
 
 
+def test_pipeline_stages_take_odd_inputs(spark):
+    """Null, empty and long texts, equal rows, rows without an id, further and clashing columns, empty tables."""
+    import corpus_pipeline as cp
+
+    run = "\n".join(" ".join(passage(60 + k, 30)) for k in range(3))
+    long = " ".join(passage(1, 40_000))
+    texts = [None, "", " ", run, run + "\nother words here", long, long, "plain words"]
+    rows = [(k, t, "en", "s", len(t or ""), k, k, k, k, k, k) for k, t in enumerate(texts)]
+    rows += [rows[3], (None, run, "en", "s", 9, 0, 0, 0, 0, 0, 0), (None, None, None, None, None, 0, 0, 0, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id int, t int, cuts int, component_id int, row int, label int")
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "bpe":
+            assert out.columns == docs.columns, name
+        left = out.collect()
+        kept = {r.doc_id for r in left}
+        if name == "line_dedup":
+            by = {r.doc_id: r for r in left if r.doc_id is not None}
+            assert by[4].text == "other words here" and by[4].n_chars == 16 and 6 not in by and len(left) == len(rows) - 1
+        elif name == "ngram_jaccard":
+            assert kept == {0, 1, 2, 3, 5, 7, None} and len(left) == len(rows) - 2
+        else:
+            assert len(left) == len(rows), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
 def test_embedding_links_keep_double_precision(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.95, (1 - 0.95**2) ** 0.5 * (1 + 1e-9)]), (2, [0.0, -1e300]), (3, [0.0, -2e300]), (4, [-1.0, 0.0]), (5, [-1.0, 1e-12])]
     got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.95).collect()}
