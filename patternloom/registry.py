@@ -18,6 +18,7 @@ from patternloom.operators import features as fx
 from patternloom.operators import patterns as pt
 from patternloom.plans.dual import DUCKDB, SPARK, Dialect, Operator
 from patternloom.sources import bars as src
+from patternloom.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +57,48 @@ def add(name: str, spec: str, build: Callable[..., str]) -> None:
     ORACLES[name] = spoken(build, DUCKDB, spec, **{t: t for t in TABLES})
 
 
+_held: dict[str, DataFrame] = {}
+_held_of: list = []
+
+
+def kept_tables(spark: SparkSession, sf_dir: str, body: str) -> dict[str, DataFrame]:
+    """The tables that a text names: the evaluated bars and the stored pattern tables of a folder.
+
+    Each is computed once and written to the shared folder for the queries of the folder, so no
+    query carries another's plan and a lost executor loses none of them; only the last folder's
+    tables are remembered.
+    """
+    if _held_of != [spark.sparkContext.applicationId, sf_dir]:
+        _held.clear()
+        _held_of[:] = [spark.sparkContext.applicationId, sf_dir]
+    got = {}
+    for name in ("ev", *pt.STORED):
+        if "{" + name + "}" in body:
+            if name not in _held:
+                if name == "ev":
+                    whole = spark.sql(pt.evaluated(SPARK, f"({src.tick_bars(SPARK, '{events}')}) hb"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+                else:
+                    text = pt.STORED[name](SPARK, "{ev}")
+                    whole = spark.sql(text, **kept_tables(spark, sf_dir, text))
+                _held[name] = written(whole)
+            got[name] = _held[name]
+    return got
+
+
+def pattern_query(name: str, spec: str, operator: Operator, oracle: str | None = None, **options) -> None:
+    """A query over the evaluated bars; ``oracle`` is a statement written apart from the operator."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        body = f"SELECT {columns(spec)} FROM ({operator(SPARK, '{ev}', **options)}) q"
+        return spark.sql(body, **kept_tables(spark, sf_dir, body))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"WITH ev AS MATERIALIZED ({EVALUATED}) SELECT {columns(spec)} FROM ({oracle or operator(DUCKDB, 'ev', **options)}) q"
+
+
+EVALUATED = pt.evaluated(DUCKDB, f"({src.tick_bars(DUCKDB, 'events')})")
+
+
 def bar_query(name: str, spec: str, operator: Operator, source=hourly, **options) -> None:
     add(name, spec, lambda d, **t: operator(d, source(d, **t) + " bb", **options))
 
@@ -171,50 +214,69 @@ bar_query("r6_first_contribution", "other_id event_id", lambda d, b: f"SELECT ot
 
 # ------------------------------------------------------------------ patterns
 
-bar_query("p1_condition_matches", "dataset_id bar_index cond", pt.matches)
-bar_query("p2_conjunctions", "pattern_id n", lambda d, b: f"SELECT pattern_id, count(*) AS n FROM ({pt.matched(d, b)}) m GROUP BY pattern_id")
+pattern_query("p1_condition_matches", "dataset_id bar_index cond", pt.matches)
+pattern_query("p2_conjunctions", "dataset_id pattern_id depth n", lambda d, ev: f"SELECT dataset_id, pattern_id, cast({pt.depth('pattern_id')} AS bigint) AS depth, count(*) AS n FROM ({pt.matched(d, ev)}) m WHERE pattern_id > 0 GROUP BY dataset_id, pattern_id")
 bar_query("p5_quantile_thresholds", "dataset_id q20 q40 q60 q80", pt.thresholds, x="users")
 bar_query("p11_screening", "dataset_id ~close_strength ~volume_strength ~avg_value_strength ~users_strength", pt.screening)
-bar_query("p11_group_spread", "cond ~spread", pt.group_spread)
-bar_query("a1_forward_return", "dataset_id bar_index ~ret", pt.outcomes)
-bar_query("a2_excursions", "dataset_id bar_index ~mfe ~mae", pt.outcomes)
-bar_query("a3_outcomes_h5", "dataset_id bar_index ~ret ~mfe ~mae", pt.outcomes, h=5)
-bar_query("a4_pattern_eval", "pattern_id n direction ~win_rate ~avg_move ~mfe ~mae", pt.evaluate)
-bar_query("a5_baseline", "dataset_id n ~bullish ~bearish", pt.baseline)
-bar_query("a6_excursion_ratio", "pattern_id ~excursion_ratio", pt.evaluate)
-bar_query("a7_trade_summary", "pattern_id n ~win_pct ~mean_move ~median_move", pt.trades)
-bar_query("a8_non_overlapping", "pattern_id dataset_id n first_at last_at", pt.spaced)
-bar_query("a9_drawdown", "pattern_id ~sd ~max_drawdown", pt.drawdown)
-bar_query("a10_horizon_curve", "pattern_id horizon n ~win_rate ~mean_move", pt.horizons)
-bar_query("a11_outcome_profile", "pattern_id n ~median_mfe ~median_mae ~target_rate ~stop_rate ~median_bars ~target_first", pt.profile)
-bar_query("a12_p_value", "pattern_id n ~z ~p", pt.p_values)
-bar_query("a13_bh_qvalue", "pattern_id ~p ~q", pt.q_values)
-bar_query("a14_frozen_direction", "pattern_id ~win_rate", pt.frozen)
-bar_query("a15_adds_value", "pattern_id ~win_rate ~best_part adds_value", pt.adds_value)
-bar_query("a16_similarity", "a b ~jaccard", pt.similarity)
-bar_query("a17_score_confidence", "pattern_id n ~score confidence", pt.scores)
-bar_query("a18_filter_audit", "reason patterns", pt.filtered)
-bar_query("a20_ratio_search", "~threshold patterns ~set_score", pt.ratio_search)
-bar_query("a21_rank", "pattern_id rk ~score n", pt.ranked)
-bar_query("a22_coverage", "pattern_id n first_ms last_ms ~early_win ~late_win", pt.coverage)
-bar_query("a23_cross_symbol", "pattern_id symbols ~pooled ~equal broad", pt.by_symbol)
-bar_query("a24_histogram", "pattern_id bin n", pt.histogram)
-bar_query("a25_wilson", "pattern_id n ~lo ~hi", pt.wilson)
-bar_query("a26_costs", "pattern_id ~net_move ~cost_multiple cushion", pt.costs)
-bar_query("a27_attribution", "dataset_id n ~share ~win", pt.attribution)
+pattern_query("p11_group_spread", "cond ~spread", pt.group_spread)
+pattern_query("a1_forward_return", "dataset_id bar_index ~r12", lambda d, ev: f"SELECT * FROM {ev} WHERE r12 IS NOT NULL")
+pattern_query("a2_excursions", "dataset_id bar_index ~u12 ~w12", lambda d, ev: f"SELECT * FROM {ev} WHERE r12 IS NOT NULL")
+pattern_query("a3_outcomes_by_horizon", "dataset_id bar_index ~r1 ~u1 ~w1 ~r5 ~u5 ~w5 ~r34 ~u34 ~w34", lambda d, ev: f"SELECT * FROM {ev}")
+pattern_query("a4_pattern_eval", "dataset_id pattern_id n direction ~win_rate ~baseline ~lift ~avg_move ~mfe ~mae", pt.evaluate)
+pattern_query("a5_baseline", "dataset_id n ~bullish ~bearish", pt.baseline)
+pattern_query("a6_excursion_ratio", "dataset_id pattern_id ~excursion_ratio", pt.evaluate)
+pattern_query("a7_trade_summary", "dataset_id pattern_id n ~win_pct ~mean_move ~median_move", pt.trades)
+pattern_query("a8_non_overlapping", "dataset_id pattern_id n first_at last_at", pt.spaced)
+pattern_query("a9_drawdown", "dataset_id pattern_id ~sd ~max_drawdown", pt.drawdown)
+pattern_query("a10_horizon_curve", "dataset_id pattern_id h n ~win_rate ~mean_move trades ~trade_win ~avg_net ~max_drawdown ~delta ~base ~rec eligible", pt.horizons)
+pattern_query("a10_recommended_hold", "dataset_id pattern_id h", lambda d, ev: f"SELECT dataset_id, pattern_id, h FROM ({pt.horizons(d, ev)}) x WHERE choice = 1")
+pattern_query("a11_outcome_profile", "dataset_id pattern_id n ~median_move ~median_mfe ~median_mae ~target_rate ~stop_rate ~median_bars ~target_first ~failure_rate", pt.profile)
+pattern_query("a12_p_value", "dataset_id pattern_id n ~z ~p", pt.p_values)
+pattern_query("a13_bh_qvalue", "dataset_id pattern_id ~p ~q", pt.q_values)
+pattern_query("a14_frozen_direction", "dataset_id pattern_id ~win_rate", pt.frozen)
+pattern_query("a15_adds_value", "dataset_id pattern_id ~win_rate ~best_part adds_value", pt.adds_value)
+pattern_query("a16_similarity", "dataset_id a b ~jaccard", pt.similarity)
+pattern_query("a16_signatures", "dataset_id pattern_id n s1 s2 first_pattern", pt.signatures)
+pattern_query("a17_score_confidence", "dataset_id pattern_id n ~score confidence", pt.scores)
+pattern_query("a18_filter_audit", "dataset_id reason patterns", pt.filtered)
+pattern_query("a20_ratio_search", "dataset_id ~threshold patterns ~set_score best", pt.ratio_search)
+pattern_query("a21_rank", "dataset_id pattern_id h n ~win_rate ~lift ~score rk ~q", pt.ranked)
+pattern_query("a22_coverage", "dataset_id pattern_id n first_ms last_ms ~share ~early_win ~late_win", pt.coverage)
+pattern_query("a23_cross_symbol", "pattern_id symbols ~pooled ~equal ~pooled_move ~equal_move broad", pt.by_symbol)
+pattern_query("a24_histogram", "dataset_id pattern_id bin n", pt.histogram)
+pattern_query("a25_wilson", "dataset_id pattern_id n ~lo ~hi", pt.wilson)
+pattern_query("a26_costs", "dataset_id pattern_id ~net_move ~cost_multiple cushion economic", pt.costs)
+pattern_query("a27_attribution", "dataset_id n ~share ~win ~move passed degraded", pt.attribution)
 bar_query("v1_split", "dataset_id bar_index side", pt.split)
-bar_query("v3_out_of_sample", "pattern_id n_in n_out ~win_in ~win_out", pt.out_of_sample)
-bar_query("v4_walk_forward", "pattern_id fold n ~win_rate passed", pt.walk_forward)
-bar_query("v5_market_side", "pattern_id market n ~win_rate", pt.market_side)
-bar_query("v6_by_year", "pattern_id y n ~win_rate", pt.by_year)
-bar_query("v8_degradation", "pattern_id degraded", pt.out_of_sample)
-bar_query("v9_survival", "pattern_id evaluated ~survival", pt.survival)
-bar_query("v10_held_up", "pattern_id passed ~mean_win status", pt.held_up)
-bar_query("v12_summary", "patterns ~pass_rate ~mean_survival ~mean_ratio", pt.validation_summary)
-bar_query("o3_ranked", "pattern_id rk", pt.ranked)
-bar_query("o4_top_ten", "pattern_id rk", lambda d, b: f"SELECT * FROM ({pt.ranked(d, b)}) r WHERE rk <= 10")
-bar_query("o5_balanced_selection", "pattern_id family turn pos", pt.balanced)
+pattern_query("v3_out_of_sample", "dataset_id pattern_id n_in n_out ~win_in ~win_out ~move_in ~move_out", pt.out_of_sample)
+pattern_query("v4_walk_forward", "dataset_id pattern_id fold n ~win_rate ~move passed", pt.walk_forward)
+pattern_query("v5_market_side", "dataset_id pattern_id market n ~win_rate", pt.market_side)
+pattern_query("v6_by_year", "dataset_id pattern_id y n ~win_rate", pt.by_year)
+pattern_query("v7_per_condition", "dataset_id pattern_id cond side n ~win_rate ~move", pt.per_condition)
+pattern_query("v8_degradation", "dataset_id pattern_id degraded", pt.out_of_sample)
+pattern_query("v9_survival", "dataset_id pattern_id evaluated ~survival", pt.survival)
+pattern_query("v10_held_up", "dataset_id pattern_id passed ~mean_win ~worst_win failure status", pt.held_up)
+pattern_query("v11_final_status", "dataset_id pattern_id final confidence", pt.finalised)
+pattern_query("v12_summary", "patterns ~pass_rate ~mean_survival ~mean_ratio", pt.validation_summary)
+pattern_query("o3_ranked", "dataset_id pattern_id rk", pt.ranked)
+pattern_query("o4_top_ten", "dataset_id pattern_id list place", lambda d, ev: f"SELECT * FROM (SELECT dataset_id, pattern_id, 'rank' AS list, rk AS place FROM ({pt.ranked(d, ev)}) r UNION ALL SELECT dataset_id, pattern_id, 'ratio', row_number() OVER (PARTITION BY dataset_id ORDER BY floor(coalesce(excursion_ratio, 1e9) * 1e6) DESC, n DESC, pattern_id) FROM ({pt.kept(d, ev)}) k) x WHERE place <= 10")
+pattern_query("o5_balanced_selection", "dataset_id pattern_id tier turn pos", pt.balanced)
+pattern_query("o6_priority", "dataset_id pattern_id ~priority", pt.priority)
+pattern_query("x19_shortlist", "dataset_id pattern_id ~priority pos", pt.shortlist)
+
 
+bar_query("v2_discovery_prefix", "dataset_id n", lambda d, b: f"SELECT dataset_id, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY dataset_id) AS c FROM {b}) x WHERE bar_index < greatest({pt.HORIZON + 2}, floor(c * 0.7e0)) GROUP BY dataset_id")
+pattern_query("j10_lookup", "dataset_id pattern_id n status failure", lambda d, ev: f"SELECT e.dataset_id, e.pattern_id, e.n, h.status, h.failure FROM ({pt.evaluate(d, ev)}) e LEFT JOIN ({pt.held_up(d, ev)}) h ON e.dataset_id = h.dataset_id AND e.pattern_id = h.pattern_id")
+_KEYS = {"win_rate": "win_rate", "samples": "n", "move": "avg_move", "net_move": "net_move", "cost_multiple": "cost_multiple", "confidence": "CASE confidence WHEN 'very high' THEN 3 WHEN 'high' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END"}
+pattern_query("o1_result_order", "dataset_id pattern_id sort_key pos", lambda d, ev: " UNION ALL ".join(f"SELECT dataset_id, pattern_id, '{k}' AS sort_key, row_number() OVER (PARTITION BY dataset_id ORDER BY floor({x} * 1e6) DESC NULLS LAST, pattern_id) AS pos FROM (SELECT s.*, c.net_move, c.cost_multiple FROM ({pt.scores(d, ev)}) s JOIN ({pt.costs(d, ev)}) c ON s.dataset_id = c.dataset_id AND s.pattern_id = c.pattern_id) a" for k, x in _KEYS.items()))
+_ORDERS = {"passed": "passed DESC", "mean_win": "floor(mean_win * 1e6) DESC", "status": "status DESC"}
+pattern_query("o2_validation_order", "dataset_id pattern_id sort_key pos", lambda d, ev: " UNION ALL ".join(f"SELECT dataset_id, pattern_id, '{k}' AS sort_key, row_number() OVER (PARTITION BY dataset_id ORDER BY {x}, pattern_id) AS pos FROM ({pt.held_up(d, ev)}) h" for k, x in _ORDERS.items()))
+pattern_query("o7_union", "dataset_id pattern_id source", lambda d, ev: f"SELECT dataset_id, pattern_id, 'bullish' AS source FROM ({pt.evaluate(d, ev)}) e WHERE direction = 'bullish' UNION ALL SELECT dataset_id, pattern_id, 'bearish' FROM ({pt.evaluate(d, ev)}) f WHERE direction = 'bearish'")
+bar_query("o8_distinct", "candle_direction box_event", lambda d, b: f"SELECT DISTINCT candle_direction, box_event FROM ({pt.feature_row(d, b)}) f")
+pattern_query("o9_exclusion", "dataset_id pattern_id", lambda d, ev: f"SELECT dataset_id, pattern_id FROM ({pt.evaluate(d, ev)}) e EXCEPT SELECT dataset_id, pattern_id FROM ({pt.ranked(d, ev)}) r WHERE rk <= 10")
+pattern_query("o10_intersection", "a b dataset_id bar_index", lambda d, ev: f"SELECT x.cond AS a, y.cond AS b, x.dataset_id, x.bar_index FROM ({pt.matches(d, ev)}) x JOIN ({pt.matches(d, ev)}) y ON x.dataset_id = y.dataset_id AND x.bar_index = y.bar_index AND x.cond < y.cond")
+pattern_query("o11_top_rejections", "dataset_id reason patterns", lambda d, ev: f"SELECT dataset_id, reason, patterns FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY patterns DESC, reason) AS rk FROM ({pt.filtered(d, ev)}) f WHERE reason <> 'kept') g WHERE rk <= 3")
+pattern_query("p12_confluence", "dataset_id pattern_id families accepted", lambda d, ev: f"SELECT dataset_id, pattern_id, families, families >= 2 AS accepted FROM (SELECT dataset_id, pattern_id, " + " + ".join(f"max(CASE WHEN k IN ({ks}) THEN 1 ELSE 0 END)" for ks in ("1, 2, 12", "3, 4, 5, 10, 11", "6, 7", "8, 9")) + " AS families FROM (" + " UNION ALL ".join(f"SELECT dataset_id, pattern_id, {x} AS k FROM ({pt.evaluate(d, ev)}) e{n}" for n, x in enumerate(pt.digits(d, "pattern_id"))) + ") a GROUP BY dataset_id, pattern_id) b")
 
 # ------------------------------------------------------------------ simulation
 
@@ -249,13 +311,6 @@ bar_query("h6_statistics", "dataset_id lo hi ~mean p25 p50 p75", hygiene.statist
 bar_query("h7_distribution", "bucket n ~pct", lambda d, b: hygiene.distribution(d, fx.volume(d, b), "rvol_bucket", ("Low", "Normal", "High", "Extreme")))
 bar_query("h9_observed", "feature lo hi", lambda d, b: hygiene.observed(d, f"(SELECT open, close, volume, floor(avg_value * 100) / 100e0 AS avg_value, users, floor(k * 100) / 100e0 AS k FROM {b}) w"))
 bar_query("a28_universe", "~rows_total datasets", lambda d, b: f"SELECT cast(count(*) AS double) AS rows_total, count(DISTINCT dataset_id) AS datasets FROM {b}")
-bar_query("j10_lookup", "pattern_id win_rate_in status", lambda d, b: f"SELECT e.pattern_id, e.n AS win_rate_in, h.status FROM ({pt.evaluate(d, b)}) e LEFT JOIN ({pt.held_up(d, b)}) h ON e.pattern_id = h.pattern_id")
-bar_query("o1_result_order", "pattern_id rk", lambda d, b: f"SELECT pattern_id, row_number() OVER (ORDER BY coalesce(floor(excursion_ratio * 1e6), -1) DESC, pattern_id) AS rk FROM ({pt.evaluate(d, b)}) e".replace("row_number()", "cast(1 AS bigint) * row_number()"))
-bar_query("o7_union", "pattern_id source", lambda d, b: f"SELECT pattern_id, 'bullish' AS source FROM ({pt.evaluate(d, b)}) e WHERE direction = 'bullish' UNION ALL SELECT pattern_id, 'bearish' FROM ({pt.evaluate(d, b)}) f WHERE direction = 'bearish'")
-bar_query("o8_distinct", "candle_direction box_event", lambda d, b: f"SELECT DISTINCT candle_direction, box_event FROM ({pt.feature_row(d, b)}) f")
-bar_query("o9_exclusion", "pattern_id", lambda d, b: f"SELECT pattern_id FROM ({pt.evaluate(d, b)}) e EXCEPT SELECT pattern_id FROM ({pt.ranked(d, b)}) r WHERE rk <= 10")
-bar_query("o10_intersection", "dataset_id bar_index", lambda d, b: f"SELECT dataset_id, bar_index FROM ({pt.matches(d, b)}) m WHERE cond = 0 INTERSECT SELECT dataset_id, bar_index FROM ({pt.matches(d, b)}) n WHERE cond = 2")
-bar_query("o11_top_rejections", "reason patterns", lambda d, b: f"SELECT reason, patterns FROM ({pt.filtered(d, b)}) f WHERE reason <> 'kept' ORDER BY patterns DESC, reason LIMIT 3")
 
 # ------------------------------------------------------------------ saved runs (orders stand for runs: the customer is the owner)
 
@@ -297,17 +352,9 @@ add("s6_column_typing", "t_numeric n_numeric", lambda d, **t: f"SELECT max(CASE
 bar_query("p4_state_detection", "dataset_id ~flag_kinds is_state", lambda d, b: f"SELECT dataset_id, cast(count(DISTINCT sign(close - open)) AS double) AS flag_kinds, count(DISTINCT sign(close - open)) <= 3 AS is_state FROM {b} WHERE bar_index % 2 = 0 GROUP BY dataset_id")
 add("p6_manual_thresholds", "lo hi", lambda d, **t: f"SELECT 20 + 60 * k / 5e0 AS lo, 20 + 60 * (k + 1) / 5e0 AS hi FROM {d.values([(k,) for k in range(5)], 'k')} g")
 add("p7_distinct_conditions", "feature op v", lambda d, **t: f"SELECT DISTINCT feature, op, v FROM {d.values([('a', '<', 1.5), ('a', '<', 1.5), ('a', '>', 1.5), ('b', '=', 2.5)], 'feature, op, v')} c")
-_FAMILY = "CASE WHEN {0} IN (0, 1, 11) THEN 'candle' WHEN {0} IN (2, 3, 4, 9, 10) THEN 'box' WHEN {0} IN (5, 6) THEN 'volume' ELSE 'structure' END"
-bar_query("p12_confluence", "pattern_id sources accepted", lambda d, b: f"SELECT pattern_id, count(DISTINCT family) AS sources, count(DISTINCT family) >= 2 AS accepted FROM (SELECT pattern_id, {_FAMILY.format(d.div('(pattern_id - 100)', '20'))} AS family FROM ({pt.evaluate(d, b)}) e WHERE pattern_id >= 100 UNION ALL SELECT pattern_id, {_FAMILY.format('(pattern_id - 100) % 20')} FROM ({pt.evaluate(d, b)}) f WHERE pattern_id >= 100) g GROUP BY pattern_id")
-bar_query("v2_discovery_prefix", "dataset_id n", lambda d, b: f"SELECT dataset_id, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY dataset_id) AS c FROM {b}) x WHERE bar_index < greatest({pt.HORIZON + 2}, floor(c * 0.7e0)) GROUP BY dataset_id")
-bar_query("v7_per_condition", "pattern_id n ~win_rate", lambda d, b: f"SELECT pattern_id, n, win_rate FROM ({pt.evaluate(d, b)}) e WHERE pattern_id < 100")
-bar_query("v11_final_status", "pattern_id final confidence", lambda d, b: f"SELECT s.pattern_id, coalesce(h.status, 'not-tested') AS final, CASE WHEN h.status = 'degraded' THEN 'low' ELSE s.confidence END AS confidence FROM ({pt.scores(d, b)}) s LEFT JOIN (SELECT * FROM ({pt.held_up(d, b)}) w WHERE pattern_id % 3 <> 0) h ON s.pattern_id = h.pattern_id")
-bar_query("o2_validation_order", "pattern_id pos", lambda d, b: f"SELECT pattern_id, row_number() OVER (ORDER BY passed DESC, pattern_id) * cast(1 AS bigint) AS pos FROM ({pt.held_up(d, b)}) h")
-bar_query("o6_priority", "pattern_id ~priority", lambda d, b: f"SELECT s.pattern_id, s.score + 0.1e0 * h.passed AS priority FROM ({pt.scores(d, b)}) s JOIN ({pt.held_up(d, b)}) h ON s.pattern_id = h.pattern_id")
 bar_query("x9_system_folds", "dataset_id fold n ~mean_r", lambda d, b: f"SELECT dataset_id, fold, count(*) AS n, avg(gross_pct / 20) AS mean_r FROM (SELECT t.*, cast(least(floor(t.signal_index * 4e0 / c), 3) AS bigint) AS fold FROM ({simulate.first_exit(d, b)}) t JOIN (SELECT dataset_id AS ds, count(*) AS c FROM {b} GROUP BY dataset_id) n ON t.dataset_id = n.ds) f GROUP BY dataset_id, fold")
 bar_query("x11_candidate_labels", "best_expectancy lowest_drawdown most_frequent", lambda d, b: "SELECT {m}(dataset_id, floor(expectancy * 1e6) + ascii(dataset_id) / 1e3) AS best_expectancy, {m}(dataset_id, ascii(dataset_id) / 1e3 - floor(max_drawdown * 1e6)) AS lowest_drawdown, {m}(dataset_id, n + ascii(dataset_id) / 1e3) AS most_frequent FROM (".format(m="arg_max" if d.duck else "max_by") + simulate.metrics(d, simulate.first_exit(d, b)) + ") m")
 add("x17_stable_neighbours", "manipulation wick body neighbours", lambda d, **t: f"SELECT a.manipulation, a.wick, a.body, count(*) AS neighbours FROM ({simulate.grid(d)}) a JOIN ({simulate.grid(d)}) b ON a.location = b.location AND a.inside = b.inside AND a.entry = b.entry AND abs(a.manipulation - b.manipulation) / 5 + abs(a.wick - b.wick) / 10 + abs(a.body - b.body) / 10 = 1 GROUP BY a.manipulation, a.wick, a.body")
-bar_query("x19_shortlist", "pattern_id pos", lambda d, b: f"SELECT h.pattern_id, row_number() OVER (ORDER BY r.rk) * cast(1 AS bigint) AS pos FROM ({pt.held_up(d, b)}) h JOIN ({pt.ranked(d, b)}) r ON h.pattern_id = r.pattern_id WHERE h.status = 'held'")
 add("c2_resolve_definition", "label definition", lambda d, **t: f"SELECT l.label, CASE WHEN count(x.id) = 1 THEN max(x.id) ELSE 'inferred' END AS definition FROM {d.values([('rsi 14',), ('atr',), ('macd',)], 'label')} l LEFT JOIN {d.values([('d1', 'rsi'), ('d2', 'atr'), ('d3', 'atr')], 'id, alias')} x ON l.label LIKE x.alias || '%' GROUP BY l.label")
 add("c3_merge_definitions", "id body", lambda d, **t: "SELECT id, {m}(body, updated) AS body FROM {v} x GROUP BY id".format(m="arg_max" if d.duck else "max_by", v=d.values([("a", "old", 1), ("a", "new", 3), ("b", "only", 2)], "id, body, updated")))
 add("h8_catalogue_search", "category n", lambda d, **t: f"SELECT category, count(*) AS n FROM {d.values([('candle_body_pct', 'Candle'), ('box_event', 'Box'), ('BOX_position', 'Box'), ('vwap_side', 'VWAP')], 'name, category')} c WHERE lower(name) LIKE '%box%' OR lower(category) LIKE '%candle%' GROUP BY category")
