@@ -12,6 +12,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patternloom import oracles
 from patternloom.operators import align, hygiene, simulate
 from patternloom.operators import semantic as sem
 from patternloom.operators import features as fx
@@ -228,19 +229,19 @@ pattern_query("a6_excursion_ratio", "dataset_id pattern_id ~excursion_ratio", pt
 pattern_query("a7_trade_summary", "dataset_id pattern_id n ~win_pct ~mean_move ~median_move", pt.trades)
 pattern_query("a8_non_overlapping", "dataset_id pattern_id n first_at last_at", pt.spaced)
 pattern_query("a9_drawdown", "dataset_id pattern_id ~sd ~max_drawdown", pt.drawdown)
-pattern_query("a10_horizon_curve", "dataset_id pattern_id h n ~win_rate ~mean_move trades ~trade_win ~avg_net ~max_drawdown ~delta ~base ~rec eligible", pt.horizons)
+pattern_query("a10_horizon_curve", "dataset_id pattern_id h n ~win_rate ~mean_move trades ~trade_win ~avg_net ~max_drawdown ~delta ~base ~rec eligible", pt.horizons, oracles.HORIZONS)
 pattern_query("a10_recommended_hold", "dataset_id pattern_id h", lambda d, ev: f"SELECT dataset_id, pattern_id, h FROM ({pt.horizons(d, ev)}) x WHERE choice = 1")
 pattern_query("a11_outcome_profile", "dataset_id pattern_id n ~median_move ~median_mfe ~median_mae ~target_rate ~stop_rate ~median_bars ~target_first ~failure_rate", pt.profile)
-pattern_query("a12_p_value", "dataset_id pattern_id n ~z ~p", pt.p_values)
-pattern_query("a13_bh_qvalue", "dataset_id pattern_id ~p ~q", pt.q_values)
+pattern_query("a12_p_value", "dataset_id pattern_id n ~z ~p", pt.p_values, oracles.P_VALUES)
+pattern_query("a13_bh_qvalue", "dataset_id pattern_id ~p ~q", pt.q_values, oracles.Q_VALUES)
 pattern_query("a14_frozen_direction", "dataset_id pattern_id ~win_rate", pt.frozen)
-pattern_query("a15_adds_value", "dataset_id pattern_id ~win_rate ~best_part adds_value", pt.adds_value)
+pattern_query("a15_adds_value", "dataset_id pattern_id ~win_rate ~best_part adds_value", pt.adds_value, oracles.ADDS_VALUE)
 pattern_query("a16_similarity", "dataset_id a b ~jaccard", pt.similarity)
 pattern_query("a16_signatures", "dataset_id pattern_id n s1 s2 first_pattern", pt.signatures)
-pattern_query("a17_score_confidence", "dataset_id pattern_id n ~score confidence", pt.scores)
-pattern_query("a18_filter_audit", "dataset_id reason patterns", pt.filtered)
-pattern_query("a20_ratio_search", "dataset_id ~threshold patterns ~set_score best", pt.ratio_search)
-pattern_query("a21_rank", "dataset_id pattern_id h n ~win_rate ~lift ~score rk ~q", pt.ranked)
+pattern_query("a17_score_confidence", "dataset_id pattern_id n ~score confidence", pt.scores, oracles.SCORES)
+pattern_query("a18_filter_audit", "dataset_id reason patterns", pt.filtered, oracles.FILTERED)
+pattern_query("a20_ratio_search", "dataset_id ~threshold patterns ~set_score best", pt.ratio_search, oracles.RATIO_SEARCH)
+pattern_query("a21_rank", "dataset_id pattern_id h n ~win_rate ~lift ~score rk ~q", pt.ranked, oracles.RANKED)
 pattern_query("a22_coverage", "dataset_id pattern_id n first_ms last_ms ~share ~early_win ~late_win", pt.coverage)
 pattern_query("a23_cross_symbol", "pattern_id symbols ~pooled ~equal ~pooled_move ~equal_move broad", pt.by_symbol)
 pattern_query("a24_histogram", "dataset_id pattern_id bin n", pt.histogram)
@@ -249,20 +250,20 @@ pattern_query("a26_costs", "dataset_id pattern_id ~net_move ~cost_multiple cushi
 pattern_query("a27_attribution", "dataset_id n ~share ~win ~move passed degraded", pt.attribution)
 bar_query("v1_split", "dataset_id bar_index side", pt.split)
 pattern_query("v3_out_of_sample", "dataset_id pattern_id n_in n_out ~win_in ~win_out ~move_in ~move_out", pt.out_of_sample)
-pattern_query("v4_walk_forward", "dataset_id pattern_id fold n ~win_rate ~move passed", pt.walk_forward)
+pattern_query("v4_walk_forward", "dataset_id pattern_id fold n ~win_rate ~move passed", pt.walk_forward, oracles.WALK_FORWARD)
 pattern_query("v5_market_side", "dataset_id pattern_id market n ~win_rate", pt.market_side)
 pattern_query("v6_by_year", "dataset_id pattern_id y n ~win_rate", pt.by_year)
-pattern_query("v7_per_condition", "dataset_id pattern_id cond side n ~win_rate ~move", pt.per_condition)
+pattern_query("v7_per_condition", "dataset_id pattern_id cond side n ~win_rate ~move", pt.per_condition, oracles.PER_CONDITION)
 pattern_query("v8_degradation", "dataset_id pattern_id degraded", pt.out_of_sample)
-pattern_query("v9_survival", "dataset_id pattern_id evaluated ~survival", pt.survival)
-pattern_query("v10_held_up", "dataset_id pattern_id passed ~mean_win ~worst_win failure status", pt.held_up)
+pattern_query("v9_survival", "dataset_id pattern_id evaluated ~survival", pt.survival, oracles.SURVIVAL)
+pattern_query("v10_held_up", "dataset_id pattern_id passed ~mean_win ~worst_win failure status", pt.held_up, oracles.HELD_UP)
 pattern_query("v11_final_status", "dataset_id pattern_id final confidence", pt.finalised)
 pattern_query("v12_summary", "patterns ~pass_rate ~mean_survival ~mean_ratio", pt.validation_summary)
 pattern_query("o3_ranked", "dataset_id pattern_id rk", pt.ranked)
 pattern_query("o4_top_ten", "dataset_id pattern_id list place", lambda d, ev: f"SELECT * FROM (SELECT dataset_id, pattern_id, 'rank' AS list, rk AS place FROM ({pt.ranked(d, ev)}) r UNION ALL SELECT dataset_id, pattern_id, 'ratio', row_number() OVER (PARTITION BY dataset_id ORDER BY floor(coalesce(excursion_ratio, 1e9) * 1e6) DESC, n DESC, pattern_id) FROM ({pt.kept(d, ev)}) k) x WHERE place <= 10")
 pattern_query("o5_balanced_selection", "dataset_id pattern_id tier turn pos", pt.balanced)
-pattern_query("o6_priority", "dataset_id pattern_id ~priority", pt.priority)
-pattern_query("x19_shortlist", "dataset_id pattern_id ~priority pos", pt.shortlist)
+pattern_query("o6_priority", "dataset_id pattern_id ~priority", pt.priority, oracles.PRIORITY)
+pattern_query("x19_shortlist", "dataset_id pattern_id ~priority pos", pt.shortlist, oracles.SHORTLIST)
 
 
 bar_query("v2_discovery_prefix", "dataset_id n", lambda d, b: f"SELECT dataset_id, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY dataset_id) AS c FROM {b}) x WHERE bar_index < greatest({pt.HORIZON + 2}, floor(c * 0.7e0)) GROUP BY dataset_id")
