@@ -310,7 +310,7 @@ def adjusted_box(d: Dialect, bars: str) -> str:
     """Previous-day box whose far side, after a gap beyond it, is replaced by the day's first confirmed pivot."""
     lo = "arg_min" if d.duck else "min_by"
     return f"""
-    SELECT dataset_id, bar_index, state AS adjusted_pds_box_state, (close - al) / (ah - al) * 100 AS adjusted_pds_box_position, CASE WHEN current_atr > 1e-12 THEN (close - (ah + al) / 2) / current_atr END AS distance_to_adjusted_pds_mid_atr,
+    SELECT dataset_id, bar_index, state AS adjusted_pds_box_state, ah AS adjusted_pds_high, al AS adjusted_pds_low, (close - al) / (ah - al) * 100 AS adjusted_pds_box_position, CASE WHEN current_atr > 1e-12 THEN (close - (ah + al) / 2) / current_atr END AS distance_to_adjusted_pds_mid_atr,
       CASE WHEN high > ah AND close < ah THEN 'Rejected Upper' WHEN low < al AND close > al THEN 'Rejected Lower'
            WHEN bar_index > first_bar AND prev_close <= (ah + al) / 2 AND close > (ah + al) / 2 THEN 'Crossed Above Midpoint'
            WHEN bar_index > first_bar AND prev_close >= (ah + al) / 2 AND close < (ah + al) / 2 THEN 'Crossed Below Midpoint' ELSE 'None' END AS adjusted_pds_level_event

@@ -1,79 +1,17 @@
-"""Simulation: first exits, exit triggers, grids, the ordered trade fold, opening reversals.
-
-What one trade does is relational (a bounded range join and a minimum).  Only the fold over
-trades in order (no overlaps, compounding equity) runs as a grouped kernel, one group per
-dataset and configuration.
-"""
+"""Exit triggers, parameter grid and the opening reversal: sessions, signals and their outcomes."""
 
 from __future__ import annotations
 
-import math
-from itertools import product
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from patternloom.operators.features import clocked, OPEN, CLOSE, ranges
-from patternloom.operators import patterns as pt
+from patternloom.operators.features import CLOSE, OPEN, clocked
 from patternloom.plans.dual import Dialect
 from patternloom.sources.bars import ORDER
 
 
-def first_exit(d: Dialect, bars: str, hold: int = 12, stop: float = 20.0, target: float = 20.0, cond: int = 0) -> str:
-    """Long trades of one condition: next-open entry, first bar that touches stop or target, else the last close."""
-    return f"""
-    SELECT dataset_id, signal_index, entry, CASE WHEN hit IS NULL THEN last_index ELSE hit END AS exit_index,
-      CASE WHEN hit IS NULL THEN 'time' WHEN hit = stop_hit AND hit = target_hit THEN 'ambiguous' WHEN hit = stop_hit THEN 'stop' ELSE 'target' END AS result,
-      (CASE WHEN hit IS NULL THEN last_close WHEN hit = stop_hit THEN entry * (1 - {stop / 100}e0) ELSE entry * (1 + {target / 100}e0) END - entry) / abs(entry) * 100 AS gross_pct
-    FROM (
-      SELECT *, least(stop_hit, target_hit) AS hit
-      FROM (
-        SELECT s.dataset_id, s.bar_index AS signal_index, s.entry, min(CASE WHEN f.low <= s.entry * (1 - {stop / 100}e0) THEN f.bar_index END) AS stop_hit, min(CASE WHEN f.high >= s.entry * (1 + {target / 100}e0) THEN f.bar_index END) AS target_hit,
-          max(f.bar_index) AS last_index, {'arg_max' if d.duck else 'max_by'}(f.close, f.bar_index) AS last_close
-        FROM (SELECT b.* FROM (SELECT *, lead(open) OVER ({ORDER}) AS entry FROM {bars}) b JOIN ({pt.matches(d, bars)}) m ON b.dataset_id = m.dataset_id AND b.bar_index = m.bar_index WHERE m.cond = {cond} AND entry > 0) s
-        JOIN (SELECT * FROM {bars}) f ON s.dataset_id = f.dataset_id AND f.bar_index BETWEEN s.bar_index + 1 AND s.bar_index + 1 + {hold}
-        GROUP BY s.dataset_id, s.bar_index, s.entry
-      ) a
-    ) b"""
-
-
-def wilder_atr(d: Dialect, bars: str, n: int = 14) -> str:
-    """Wilder's ATR at the last bar of each dataset: the mean of the first n true ranges, then smoothed."""
-    base = f"SELECT dataset_id, {'list(tr ORDER BY bar_index)' if d.duck else 'transform(sort_array(collect_list(struct(bar_index, tr))), x -> x.tr)'} AS trs FROM ({ranges(d, bars)}) r GROUP BY dataset_id HAVING count(*) > {n}"
-    if d.duck:
-        return f"SELECT dataset_id, list_reduce(list_concat([list_avg(trs[1:{n}])], trs[{n + 1}:]), lambda a, x: (a * {n - 1} + x) / {n}) AS atr FROM ({base}) b"
-    seed = f"aggregate(slice(trs, 1, {n}), 0D, (a, x) -> a + x) / {n}"
-    return f"SELECT dataset_id, aggregate(slice(trs, {n + 1}, size(trs)), {seed}, (a, x) -> (a * {n - 1} + x) / {n}) AS atr FROM ({base}) b"
-
-
 def exit_triggers(d: Dialect, bars: str, x: str = "users", level: float = 5.0) -> str:
     """Bars where a column crosses a level or a state newly begins."""
     return f"SELECT dataset_id, bar_index, coalesce(p <= {level}e0 AND x > {level}e0, false) AS cross_above, coalesce(p >= {level}e0 AND x < {level}e0, false) AS cross_below, coalesce(x = {level}e0 AND p <> {level}e0, false) AS newly_equal FROM (SELECT dataset_id, bar_index, {x} AS x, lag({x}) OVER ({ORDER}) AS p FROM {bars}) a"
 
 
-def exit_states(d: Dialect, bars: str, least: int = 3, share: float = 0.45) -> str:
-    """Condition states frequent enough, and not too frequent, to serve as exits (oldest 80 per cent of bars)."""
-    return f"""
-    SELECT m.dataset_id, m.cond, count(*) AS n FROM ({pt.matches(d, bars)}) m JOIN (SELECT dataset_id, cast(count(*) AS double) AS c FROM {bars} GROUP BY dataset_id) t ON m.dataset_id = t.dataset_id
-    WHERE m.bar_index < floor(t.c * 0.8e0) GROUP BY m.dataset_id, m.cond HAVING count(*) >= {least} AND count(*) <= {share}e0 * max(floor(t.c * 0.8e0))"""
-
-
-def objective(d: Dialect, trades: str, least: int = 15) -> str:
-    """Score of a system from its trades' R: expectancy, profit factor, evidence; null below ``least`` trades."""
-    return f"""
-    SELECT dataset_id, n, CASE WHEN n >= {least} THEN 2.4e0 * er + 0.25e0 * (least(coalesce(gain / CASE WHEN loss > 0 THEN loss END, 3e0), 3e0) - 1) + 0.25e0 * least(ln(n) / ln(10e0) / 2, 1e0) END AS score
-    FROM (SELECT dataset_id, count(*) AS n, avg(r) AS er, sum(CASE WHEN r > 0 THEN r ELSE 0e0 END) AS gain, -sum(CASE WHEN r < 0 THEN r ELSE 0e0 END) AS loss FROM (SELECT dataset_id, gross_pct / 20 AS r FROM ({trades}) t) a GROUP BY dataset_id) b"""
-
-
-def metrics(d: Dialect, trades: str) -> str:
-    """Win rate, expectancy, profit factor, net R and largest drawdown of trades in order."""
-    over = "PARTITION BY dataset_id ORDER BY signal_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    return f"""
-    SELECT dataset_id, count(*) AS n, avg(CASE WHEN r > 0 THEN 100e0 ELSE 0e0 END) AS win_rate, avg(r) AS expectancy, sum(CASE WHEN r > 0 THEN r ELSE 0e0 END) / CASE WHEN sum(CASE WHEN r < 0 THEN r ELSE 0e0 END) < 0 THEN -sum(CASE WHEN r < 0 THEN r ELSE 0e0 END) END AS profit_factor,
-      sum(r) AS net_r, max(greatest(peak, 0e0) - total) AS max_drawdown
-    FROM (SELECT *, max(total) OVER ({over}) AS peak FROM (SELECT *, sum(r) OVER ({over}) AS total FROM (SELECT dataset_id, signal_index, gross_pct / 20 AS r FROM ({trades}) t) a) b) c GROUP BY dataset_id"""
-
-
 #: The opening-reversal grid.
 GRID = {"manipulation": (20, 25, 30, 35, 40, 45, 50), "wick": (30, 40, 50, 60, 70), "body": (30, 40, 50, 60), "location": (25, 35, 45), "inside": (0, 1), "entry": ("confirmation-close", "next-open")}
 
@@ -124,72 +62,3 @@ def reversal_trades(d: Dialect, bars: str) -> str:
       WHERE (s.side = 'long' AND s.entry > s.stop AND s.target > s.entry) OR (s.side = 'short' AND s.entry < s.stop AND s.target < s.entry)
       GROUP BY s.dataset_id, s.local_day, s.side, s.bar_index, s.entry, s.stop, s.target
     ) a"""
-
-
-# ------------------------------------------------------------------ the ordered fold
-
-
-def configurations(stops=(10.0, 20.0), targets=(10.0, 20.0), holds=(6, 12), entries=("next-open", "signal-close"), most: int = 240) -> list[dict]:
-    """Constrained product of settings, thinned evenly to at most ``most``."""
-    out = [{"config": k, "stop_pct": s, "target_pct": t, "hold": h, "entry": e} for k, (s, t, h, e) in enumerate(product(stops, targets, holds, entries)) if t >= s / 2]
-    step = max(1.0, len(out) / most)
-    return [out[int(i * step)] for i in range(min(most, len(out)))]
-
-
-def simulate_trades(bars: pd.DataFrame, signal: list[bool], stop_pct: float, target_pct: float | None, hold: int, entry: str = "next-open", direction: int = 1, cost_bps: float = 0.0, capital: float = 50_000.0, risk_pct: float = 1.0, overlap: bool = False) -> tuple[list[dict], dict]:
-    """Trades in order over one dataset's bars; a target of None leaves only stop and time.
-
-    A bar that touches both levels is charged the stop.  Without ``overlap`` a signal up to the
-    last exit is skipped.  Equity compounds by the risked share.
-    """
-    o, h, lo, c = (bars[x].tolist() for x in ("open", "high", "low", "close"))
-    n, equity, peak, drawdown, blocked = len(c), capital, capital, 0.0, -1
-    trades, skipped = [], 0
-    for i in range(n - 1):
-        if not signal[i]:
-            continue
-        if not overlap and i <= blocked:
-            skipped += 1
-            continue
-        at = i if entry == "signal-close" else i + 1
-        price = c[i] if entry == "signal-close" else o[at]
-        if not math.isfinite(price) or price == 0:
-            continue
-        stop = price * (1 - direction * stop_pct / 100)
-        target = direction * math.inf if target_pct is None else price * (1 + direction * target_pct / 100)
-        last = min(n - 2, at + max(1, hold))
-        exit_at, exit_price, result = last, c[last], "time"
-        for k in range(at + (entry == "signal-close"), last + 1):
-            won = h[k] >= target if direction > 0 else lo[k] <= target
-            lost = lo[k] <= stop if direction > 0 else h[k] >= stop
-            if won or lost:
-                exit_at, exit_price, result = k, stop if lost else target, "ambiguous" if won and lost else "stop" if lost else "target"
-                break
-        net = direction * (exit_price - price) / abs(price) * 100 - cost_bps / 100
-        pnl = equity * risk_pct / 100 * net / stop_pct
-        equity += pnl
-        peak = max(peak, equity)
-        drawdown = max(drawdown, peak - equity)
-        trades.append({"signal_index": i, "entry_index": at, "exit_index": exit_at, "result": result, "r": net / stop_pct, "pnl": pnl, "equity": equity})
-        if not overlap:
-            blocked = exit_at
-    return trades, {"trades": len(trades), "skipped_overlapping": skipped, "net_profit": equity - capital, "max_drawdown": drawdown, "wins": sum(t["pnl"] > 0 for t in trades)}
-
-
-def simulate(bars: DataFrame, signals: DataFrame, settings: list[dict]) -> DataFrame:
-    """Summary of every setting on every dataset; ``signals`` marks bars (dataset_id, bar_index).
-
-    The settings (a few hundred rows) are dealt over the datasets, so groups are (dataset,
-    setting) and run in parallel.
-    """
-    spark = bars.sparkSession
-    marked = bars.join(signals.selectExpr("dataset_id", "bar_index", "true AS hit").distinct(), ["dataset_id", "bar_index"], "left").selectExpr("dataset_id", "bar_index", "open", "high", "low", "close", "coalesce(hit, false) AS hit")
-    dealt = marked.join(spark.createDataFrame(settings, "config long, stop_pct double, target_pct double, hold long, entry string").hint("broadcast"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_index")
-        one = pdf.iloc[0]
-        _, facts = simulate_trades(pdf, pdf["hit"].tolist(), one.stop_pct, one.target_pct, int(one.hold), one.entry)
-        return pd.DataFrame([{"dataset_id": one.dataset_id, "config": int(one.config), **facts}])
-
-    return dealt.groupBy("dataset_id", "config").applyInPandas(fold, "dataset_id string, config long, trades long, skipped_overlapping long, net_profit double, max_drawdown double, wins long")

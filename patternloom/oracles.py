@@ -6,6 +6,10 @@ joins of condition rows, ranks and folds from counting, match sets are compared
 
 from __future__ import annotations
 
+from patternloom.operators import trades as tr
+from patternloom.plans.dual import DUCKDB
+from patternloom.sources.bars import tick_bars
+
 _HITS = """
 one AS (SELECT dataset_id AS ds, bar_index AS b, c, dx, r12 AS r, u12 AS u, w12 AS w, unnest(conds) + 1 AS k FROM ev),
 hit AS (
@@ -109,3 +113,60 @@ PRIORITY = f"""{_SEARCH}, parts AS (SELECT ds, pid, unnest([pid % 21, (pid // 21
 SELECT ds AS dataset_id, pid AS pattern_id, 15 + sum(CASE WHEN k IN (3, 4, 5) THEN 10 WHEN k IN (1, 2) THEN 10 WHEN k BETWEEN 6 AND 9 THEN 2 WHEN k >= 10 THEN -2 ELSE 0 END) + least(20, greatest(0, any_value(score))) AS priority FROM parts JOIN placed USING (ds, pid) GROUP BY ds, pid"""
 SHORTLIST = f"""{_SEARCH}, {_SIDES}, listed AS (SELECT p.ds, p.pid, p.score + log10(p.n + 1) + log10(p.trades + 1) + greatest(0, p.win - p.base) / 20 - 0.08 * CASE WHEN p.pid >= 441 THEN 3 WHEN p.pid >= 21 THEN 2 ELSE 1 END AS v FROM placed p JOIN held h USING (ds, pid) WHERE h.why = 'none')
 SELECT ds AS dataset_id, pid AS pattern_id, v AS priority, row_number() OVER (PARTITION BY ds ORDER BY floor(v * 1e9) DESC, pid) AS pos FROM listed"""
+
+# ------------------------------------------------------------------ trades
+
+_LEVELS = tr.levels(DUCKDB, f"({tick_bars(DUCKDB, 'events')}) b")
+_CFG = DUCKDB.values(tr.SETTINGS, tr.FIELDS)
+_WALK = f"""
+lv AS MATERIALIZED ({_LEVELS}),
+bar AS MATERIALIZED (SELECT lv.*, conds, lag(x) OVER o AS px, lag(conds) OVER o AS pc FROM lv JOIN ev USING (dataset_id, bar_index) WINDOW o AS (PARTITION BY dataset_id ORDER BY bar_index)),
+sys AS MATERIALIZED (SELECT p.ds, p.pid, p.dir FROM placed f JOIN held h USING (ds, pid) JOIN pat p USING (ds, pid) WHERE h.why = 'none'),
+sig AS MATERIALIZED (
+  SELECT s.ds, s.pid, CASE s.dir WHEN 'bullish' THEN 1 ELSE -1 END AS d, x.b AS i, x.c - 2 AS last, CASE s.dir WHEN 'bullish' THEN l.pds_low ELSE l.pds_high END AS lim, (l.pds_low + l.pds_high) / 2 AS mid,
+    CASE s.dir WHEN 'bullish' THEN l.level_low ELSE l.level_high END AS behind, CASE s.dir WHEN 'bullish' THEN l.level_high ELSE l.level_low END AS beyond, [k - 1 FOR k IN [s.pid % 21, (s.pid // 21) % 21, s.pid // 441] IF k > 0] AS need, g.*
+  FROM sys s JOIN hit x USING (ds, pid) JOIN lv l ON l.dataset_id = x.ds AND l.bar_index = x.b CROSS JOIN {_CFG} g WHERE x.b <= x.c - 2),
+filled AS MATERIALIZED (
+  SELECT s.*, CASE entry WHEN 'signal-close' THEN i WHEN 'next-open' THEN i + 1 ELSE f.at END AS ei
+  FROM sig s LEFT JOIN (SELECT s.ds, s.pid, s.cfg, s.i, min(l.bar_index) AS at FROM sig s JOIN lv l ON l.dataset_id = s.ds AND l.bar_index > s.i AND l.bar_index <= least(s.last, s.i + s.expiry) AND l.low <= s.lim AND l.high >= s.lim WHERE s.entry = 'box-boundary-limit' GROUP BY ALL) f USING (ds, pid, cfg, i)),
+priced AS (SELECT f.*, CASE entry WHEN 'signal-close' THEN l.close WHEN 'next-open' THEN l.open ELSE lim END AS price, coalesce(l.atr, abs(CASE entry WHEN 'signal-close' THEN l.close WHEN 'next-open' THEN l.open ELSE lim END) * CASE stop_mode WHEN 'fixed-percent' THEN stop_v ELSE 10 END / 100) AS a FROM filled f LEFT JOIN lv l ON l.dataset_id = f.ds AND l.bar_index = f.ei),
+risked AS (SELECT *, CASE stop_mode WHEN 'fixed-percent' THEN price - d * price * stop_v / 100 WHEN 'atr-multiple' THEN price - d * price * (a * stop_v / abs(price)) ELSE behind END AS stop FROM priced),
+aimed AS (
+  SELECT *, abs(price - stop) / abs(price) * 100 AS pct, CASE target_mode WHEN 'fixed-percent' THEN price + d * price * target_v / 100 WHEN 'risk-multiple' THEN price + d * price * target_v * abs(price - stop) / abs(price) WHEN 'atr-multiple' THEN price + d * a * target_v WHEN 'price-level' THEN beyond WHEN 'box-midpoint' THEN mid END AS goal FROM risked),
+ready AS MATERIALIZED (
+  SELECT *, ei IS NOT NULL AND price IS NOT NULL AND coalesce(stop_mode <> 'price-level' OR ((price - stop) * d > 0 AND pct >= 0.001), false) AND coalesce(target_mode NOT IN ('price-level', 'box-midpoint') OR (goal - price) * d > 0, false) AS ok,
+    CASE entry WHEN 'signal-close' THEN ei + 1 ELSE ei END AS f0, least(last, ei + hold) AS f1 FROM aimed),
+steps AS MATERIALIZED (SELECT r.ds, r.pid, r.cfg, r.i, unnest(range(r.f0, r.f1 + 1)) AS at FROM ready r WHERE r.ok),
+touch AS MATERIALIZED (
+  SELECT r.ds, r.pid, r.cfg, r.i, min(l.bar_index) FILTER (WHERE CASE WHEN d > 0 THEN l.low <= stop ELSE l.high >= stop END) AS s_at, min(l.bar_index) FILTER (WHERE CASE WHEN d > 0 THEN l.high >= goal ELSE l.low <= goal END) AS t_at,
+    min(l.bar_index) FILTER (WHERE CASE WHEN target_mode = 'signal-invalidation' THEN NOT list_has_all(l.conds, need) WHEN target_mode <> 'feature-event' THEN false WHEN event = 'eq' THEN list_contains(l.conds, event_v) AND NOT list_contains(l.pc, event_v) WHEN event = 'cross-above' THEN l.px <= event_v AND l.x > event_v ELSE l.px >= event_v AND l.x < event_v END) AS e_at
+  FROM steps JOIN ready r USING (ds, pid, cfg, i) JOIN bar l ON l.dataset_id = r.ds AND l.bar_index = steps.at GROUP BY r.ds, r.pid, r.cfg, r.i),
+ended AS MATERIALIZED (
+  SELECT r.ds, r.pid, r.cfg, r.i, r.ok, r.d, r.price, r.pct, coalesce(least(s_at, t_at, e_at), f1) AS x_at, CASE WHEN least(s_at, t_at, e_at) IS NULL THEN 'time' WHEN s_at = t_at AND s_at <= coalesce(e_at, s_at) THEN 'ambiguous' WHEN s_at = least(s_at, t_at, e_at) THEN 'stop' WHEN t_at = least(s_at, t_at, e_at) THEN 'target' WHEN target_mode = 'feature-event' THEN 'feature-exit' ELSE 'invalidation' END AS how, stop, goal
+  FROM ready r LEFT JOIN touch t USING (ds, pid, cfg, i)),
+paid AS MATERIALIZED (
+  SELECT e.*, l.ts_ms AS x_ms, (d * (CASE WHEN how IN ('ambiguous', 'stop') THEN stop WHEN how = 'target' THEN goal ELSE l.close END - price) / abs(price) * 100 - 0.05) / pct AS r
+  FROM ended e LEFT JOIN lv l ON l.dataset_id = e.ds AND l.bar_index = e.x_at),
+go AS MATERIALIZED (SELECT a.ds, a.pid, a.cfg, a.i, z.i AS ni FROM (SELECT *, CASE WHEN ok THEN x_at ELSE i END + 1 AS free FROM paid) a ASOF JOIN paid z ON a.ds = z.ds AND a.pid = z.pid AND a.cfg = z.cfg AND a.free <= z.i),
+seen AS (SELECT ds, pid, cfg, min(i) AS i FROM paid GROUP BY ds, pid, cfg UNION ALL SELECT g.ds, g.pid, g.cfg, g.ni FROM seen s JOIN go g ON g.ds = s.ds AND g.pid = s.pid AND g.cfg = s.cfg AND g.i = s.i),
+book AS MATERIALIZED (SELECT p.*, CASE WHEN s.i IS NULL THEN 'overlapping' WHEN p.ok THEN 'trade' ELSE 'unfilled' END AS state FROM paid p LEFT JOIN seen s USING (ds, pid, cfg, i))"""
+_BOOK = f"{_SEARCH}, {_SIDES}, {_WALK}"
+TRADES = f"{_BOOK} SELECT ds AS dataset_id, pid AS pattern_id, cfg, i, x_at AS exit_index, state, how AS result, r FROM book WHERE state = 'trade'"
+_ACCOUNT = """
+cash AS (SELECT *, 50000 * product(1 + r / 100) OVER (PARTITION BY ds, pid, cfg ORDER BY i) AS eq, make_timestamp(x_ms * 1000) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS local FROM book WHERE state = 'trade'),
+gain AS (SELECT *, eq - eq / (1 + r / 100) AS pnl, greatest(50000, max(eq) OVER (PARTITION BY ds, pid, cfg ORDER BY i)) - eq AS fall FROM cash),
+fact AS (
+  SELECT ds, pid, cfg, count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE how = 'ambiguous') AS ambiguous, avg(r) AS er, sum(pnl) FILTER (WHERE pnl > 0) AS g, -sum(pnl) FILTER (WHERE pnl <= 0) AS l, max(100 * fall / (fall + eq)) AS dd, sum(pnl) AS net FROM gain GROUP BY ds, pid, cfg),
+daily AS (SELECT ds, pid, cfg, max(greatest(0, b - low)) AS day_dd FROM (SELECT ds, pid, cfg, local::DATE AS day, arg_min(eq - pnl, i) AS b, min(eq) AS low FROM gain GROUP BY ALL) x GROUP BY ds, pid, cfg),
+sums AS (
+  SELECT b.*, coalesce(trades, 0) AS trades, coalesce(wins, 0) AS wins, coalesce(ambiguous, 0) AS ambiguous, coalesce(100.0 * wins / trades, 0) AS win_rate, coalesce(er, 0) AS er, CASE WHEN l > 0 THEN coalesce(g, 0) / l END AS pf, coalesce(dd, 0) AS dd, coalesce(day_dd, 0) AS day_dd, coalesce(net, 0) AS net
+  FROM (SELECT ds, pid, cfg, count(*) AS signals, count(*) FILTER (WHERE state = 'unfilled') AS unfilled, count(*) FILTER (WHERE state = 'overlapping') AS overlapping FROM book GROUP BY ds, pid, cfg) b LEFT JOIN fact USING (ds, pid, cfg) LEFT JOIN daily USING (ds, pid, cfg))"""
+SIMULATED = f"{_BOOK}, {_ACCOUNT} SELECT ds AS dataset_id, pid AS pattern_id, cfg, signals, unfilled, overlapping, trades, wins, ambiguous, win_rate, er AS expectancy_r, pf AS profit_factor, dd AS max_drawdown_pct, day_dd AS max_daily_drawdown, net AS net_profit FROM sums"
+OBJECTIVE = f"""{_BOOK}, {_ACCOUNT}, cost(kind, mode, v) AS (VALUES ('entry', 'signal-close', 0.08), ('entry', 'box-boundary-limit', 0.08), ('target', 'box-midpoint', 0.04), ('target', 'time-only', -0.03), ('target', 'atr-multiple', 0.02), ('target', 'price-level', 0.03), ('target', 'feature-event', 0.05), ('target', 'signal-invalidation', 0.02), ('stop', 'atr-multiple', 0.02), ('stop', 'price-level', 0.03)),
+hard AS (SELECT g.cfg, coalesce(sum(v), 0) + CASE WHEN hold > 21 THEN 0.04 ELSE 0 END AS v FROM {_CFG} g LEFT JOIN cost c ON (c.kind = 'entry' AND c.mode = g.entry) OR (c.kind = 'target' AND c.mode = g.target_mode) OR (c.kind = 'stop' AND c.mode = g.stop_mode) GROUP BY g.cfg, hold)
+SELECT ds AS dataset_id, pid AS pattern_id, cfg, trades, er AS expectancy_r, dd AS max_drawdown_pct, h.v AS complexity, CASE WHEN trades >= 15 THEN 2.4 * er + 0.25 * (least(4, coalesce(pf, 4)) - 1) + 0.25 * least(1.5, log10(trades + 1) / 1.5) - 0.035 * dd - h.v END AS score FROM sums JOIN hard h USING (cfg)"""
+FIRST_EXIT = f"{_BOOK} SELECT ds AS dataset_id, pid AS pattern_id, cfg, i, ok AS filled, CASE WHEN ok THEN x_at END AS exit_index, CASE WHEN ok THEN how END AS result, CASE WHEN ok THEN r END AS r FROM book"
+FOLDS = f"{_BOOK} SELECT b.ds AS dataset_id, b.pid AS pattern_id, b.cfg, least(3, b.i * 4 // e.c) AS fold, count(*) AS n, avg(r) AS mean_r FROM book b JOIN (SELECT DISTINCT dataset_id AS ds, c FROM ev) e USING (ds) WHERE state = 'trade' GROUP BY ALL"
+R_METRICS = f"""{_BOOK}, run AS (SELECT *, sum(r) OVER (PARTITION BY ds, pid, cfg ORDER BY i) AS t FROM book WHERE state = 'trade'),
+top AS (SELECT *, greatest(0, max(t) OVER (PARTITION BY ds, pid, cfg ORDER BY i)) - t AS fall FROM run)
+SELECT ds AS dataset_id, pid AS pattern_id, cfg, count(*) AS n, 100.0 * count(*) FILTER (WHERE r > 0) / count(*) AS win_rate, avg(r) AS expectancy, coalesce(sum(r) FILTER (WHERE r > 0), 0) / nullif(-sum(r) FILTER (WHERE r < 0), 0) AS profit_factor, sum(r) AS net_r, max(fall) AS max_drawdown, avg(r - 0.05 / pct) AS stressed FROM top GROUP BY ds, pid, cfg"""

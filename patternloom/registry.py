@@ -17,6 +17,7 @@ from patternloom.operators import align, hygiene, simulate
 from patternloom.operators import semantic as sem
 from patternloom.operators import features as fx
 from patternloom.operators import patterns as pt
+from patternloom.operators import trades as tr
 from patternloom.plans.dual import DUCKDB, SPARK, Dialect, Operator
 from patternloom.sources import bars as src
 from patternloom.sources.shared import written
@@ -73,19 +74,22 @@ def kept_tables(spark: SparkSession, sf_dir: str, body: str) -> dict[str, DataFr
         _held.clear()
         _held_of[:] = [spark.sparkContext.applicationId, sf_dir]
     got = {}
-    for name in ("ev", *pt.STORED):
+    for name in pt.STORED:
         if "{" + name + "}" in body:
             if name not in _held:
-                if name == "ev":
-                    whole = spark.sql(pt.evaluated(SPARK, f"({src.tick_bars(SPARK, '{events}')}) hb"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-                else:
-                    text = pt.STORED[name](SPARK, "{ev}")
-                    whole = spark.sql(text, **kept_tables(spark, sf_dir, text))
-                _held[name] = written(whole)
+                text = pt.STORED[name](SPARK, "{ev}")
+                _held[name] = written(spark.sql(text, **kept_tables(spark, sf_dir, text)))
             got[name] = _held[name]
+    if "{events}" in body:
+        got["events"] = spark.read.parquet(f"{sf_dir}/events.parquet")
     return got
 
 
+_BARS = f"({src.tick_bars(SPARK, '{events}')}) b"
+pt.STORED["ev"] = lambda d, ev: pt.evaluated(d, _BARS)
+pt.STORED["paths"] = lambda d, ev: tr.paths(d, _BARS, ev)
+
+
 def pattern_query(name: str, spec: str, operator: Operator, oracle: str | None = None, **options) -> None:
     """A query over the evaluated bars; ``oracle`` is a statement written apart from the operator."""
 
@@ -223,6 +227,7 @@ pattern_query("p11_group_spread", "cond ~spread", pt.group_spread)
 pattern_query("a1_forward_return", "dataset_id bar_index ~r12", lambda d, ev: f"SELECT * FROM {ev} WHERE r12 IS NOT NULL")
 pattern_query("a2_excursions", "dataset_id bar_index ~u12 ~w12", lambda d, ev: f"SELECT * FROM {ev} WHERE r12 IS NOT NULL")
 pattern_query("a3_outcomes_by_horizon", "dataset_id bar_index ~r1 ~u1 ~w1 ~r5 ~u5 ~w5 ~r34 ~u34 ~w34", lambda d, ev: f"SELECT * FROM {ev}")
+pattern_query("a3_outcomes_h5", "dataset_id bar_index ~r5 ~u5 ~w5", lambda d, ev: f"SELECT * FROM {ev} WHERE r5 IS NOT NULL")
 pattern_query("a4_pattern_eval", "dataset_id pattern_id n direction ~win_rate ~baseline ~lift ~avg_move ~mfe ~mae", pt.evaluate)
 pattern_query("a5_baseline", "dataset_id n ~bullish ~bearish", pt.baseline)
 pattern_query("a6_excursion_ratio", "dataset_id pattern_id ~excursion_ratio", pt.evaluate)
@@ -281,28 +286,28 @@ pattern_query("p12_confluence", "dataset_id pattern_id families accepted", lambd
 
 # ------------------------------------------------------------------ simulation
 
-bar_query("x1_first_exit", "dataset_id signal_index ~entry exit_index result ~gross_pct", simulate.first_exit)
-bar_query("x2_wilder_atr", "dataset_id ~atr", simulate.wilder_atr)
 bar_query("x3_exit_triggers", "dataset_id bar_index cross_above cross_below newly_equal", simulate.exit_triggers)
-bar_query("x5_exit_states", "dataset_id cond n", simulate.exit_states)
-bar_query("x8_objective", "dataset_id n ~score", lambda d, b: simulate.objective(d, simulate.first_exit(d, b)))
 bar_query("x13_sessions", "dataset_id bar_index bar_no oh ol known_high known_low", simulate.sessions, quarter)
 bar_query("x14_reversal_signals", "dataset_id bar_index side ~entry ~stop ~target", simulate.reversal_signals, quarter)
 bar_query("x14_reversal_trades", "dataset_id signal_index side result ~gross_r", simulate.reversal_trades, quarter)
-bar_query("x15_r_metrics", "dataset_id n ~win_rate ~expectancy ~profit_factor ~net_r ~max_drawdown", lambda d, b: simulate.metrics(d, simulate.first_exit(d, b)))
 bar_query("x16_parameter_grid", "manipulation wick body location inside entry", lambda d, b: f"SELECT g.* FROM ({simulate.grid(d)}) g JOIN (SELECT count(*) AS c FROM {b}) x ON x.c >= 0")
 bar_query("x18_source_choice", "dataset_id interval_ms", lambda d, b: f"SELECT dataset_id, interval_ms FROM (SELECT *, row_number() OVER (ORDER BY interval_ms, dataset_id) AS rn FROM ({src.facts(d, b)}) f) g WHERE rn = 1")
 
 
-def x1_simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every setting of the grid on every dataset (ordered fold; rows only)."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    bars = spark.sql(src.tick_bars(SPARK, "{events}"), events=events)
-    signals = spark.sql(pt.matches(SPARK, "{bars}"), bars=bars).where("cond = 0")
-    return simulate.simulate(bars, signals, simulate.configurations())
-
+_FACTS = "dataset_id pattern_id cfg signals unfilled overlapping trades wins ambiguous ~win_rate ~expectancy_r ~profit_factor ~max_drawdown_pct ~daily_log ~capital_log"
+_LOGS = f"SELECT *, {pt.log10('(1 + max_daily_drawdown)')} AS daily_log, {pt.log10('(%s + net_profit)' % tr.CAPITAL)} AS capital_log FROM ({{}}) r"
+pattern_query("x1_simulate", _FACTS, lambda d, ev: _LOGS.format(tr.results(d, "SELECT * FROM {simulated}")), _LOGS.format(oracles.SIMULATED))
+pattern_query("x1_trades", "dataset_id pattern_id cfg i exit_index state result ~r", lambda d, ev: "SELECT * FROM {simulated} WHERE state = 'trade'", oracles.TRADES)
+pattern_query("x1_first_exit", "dataset_id pattern_id cfg i filled exit_index result ~r", lambda d, ev: f"SELECT dataset_id, pattern_id, cfg, i, filled, CASE WHEN filled THEN exit_index END AS exit_index, CASE WHEN filled THEN result END AS result, r FROM ({tr.exits(d, ev)}) x", oracles.FIRST_EXIT)
+pattern_query("x5_exit_states", "dataset_id cond n", tr.exit_states)
+pattern_query("x9_system_folds", "dataset_id pattern_id cfg fold n ~mean_r", lambda d, ev: f"SELECT t.dataset_id, t.pattern_id, t.cfg, cast(least(floor(t.i * 4e0 / e.c), 3) AS bigint) AS fold, count(*) AS n, avg(t.r) AS mean_r FROM {{simulated}} t JOIN (SELECT DISTINCT dataset_id, c FROM {ev}) e ON t.dataset_id = e.dataset_id WHERE t.state = 'trade' GROUP BY t.dataset_id, t.pattern_id, t.cfg, cast(least(floor(t.i * 4e0 / e.c), 3) AS bigint)", oracles.FOLDS)
+_METRICS = "dataset_id pattern_id cfg n ~win_rate ~expectancy ~profit_factor ~net_r ~max_drawdown ~stressed"
+pattern_query("x15_r_metrics", _METRICS, lambda d, ev: tr.r_metrics(d), oracles.R_METRICS)
+_BEST = lambda table: " UNION ALL ".join(f"SELECT dataset_id, pattern_id, '{label}' AS label, cfg FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, pattern_id ORDER BY {order}, cfg) AS rk FROM ({table}) o WHERE score IS NOT NULL) w WHERE rk = 1" for label, order in tr.LABELS.items())
+pattern_query("x11_candidate_labels", "dataset_id pattern_id label cfg", lambda d, ev: _BEST(tr.objective(d, tr.results(d, "SELECT * FROM {simulated}"), tr.SETTINGS)), f"WITH judged AS MATERIALIZED ({oracles.OBJECTIVE}) {_BEST('SELECT * FROM judged')}")
+bar_query("x2_wilder_atr", "dataset_id bar_index ~atr", tr.wilder)
+pattern_query("x8_objective", "dataset_id pattern_id cfg trades ~complexity ~score", lambda d, ev: tr.objective(d, tr.results(d, "SELECT * FROM {simulated}"), tr.SETTINGS), oracles.OBJECTIVE)
 
-QUERIES["x1_simulate"] = x1_simulate
 
 # ------------------------------------------------------------------ hygiene and catalogue
 
@@ -353,8 +358,6 @@ add("s6_column_typing", "t_numeric n_numeric", lambda d, **t: f"SELECT max(CASE
 bar_query("p4_state_detection", "dataset_id ~flag_kinds is_state", lambda d, b: f"SELECT dataset_id, cast(count(DISTINCT sign(close - open)) AS double) AS flag_kinds, count(DISTINCT sign(close - open)) <= 3 AS is_state FROM {b} WHERE bar_index % 2 = 0 GROUP BY dataset_id")
 add("p6_manual_thresholds", "lo hi", lambda d, **t: f"SELECT 20 + 60 * k / 5e0 AS lo, 20 + 60 * (k + 1) / 5e0 AS hi FROM {d.values([(k,) for k in range(5)], 'k')} g")
 add("p7_distinct_conditions", "feature op v", lambda d, **t: f"SELECT DISTINCT feature, op, v FROM {d.values([('a', '<', 1.5), ('a', '<', 1.5), ('a', '>', 1.5), ('b', '=', 2.5)], 'feature, op, v')} c")
-bar_query("x9_system_folds", "dataset_id fold n ~mean_r", lambda d, b: f"SELECT dataset_id, fold, count(*) AS n, avg(gross_pct / 20) AS mean_r FROM (SELECT t.*, cast(least(floor(t.signal_index * 4e0 / c), 3) AS bigint) AS fold FROM ({simulate.first_exit(d, b)}) t JOIN (SELECT dataset_id AS ds, count(*) AS c FROM {b} GROUP BY dataset_id) n ON t.dataset_id = n.ds) f GROUP BY dataset_id, fold")
-bar_query("x11_candidate_labels", "best_expectancy lowest_drawdown most_frequent", lambda d, b: "SELECT {m}(dataset_id, floor(expectancy * 1e6) + ascii(dataset_id) / 1e3) AS best_expectancy, {m}(dataset_id, ascii(dataset_id) / 1e3 - floor(max_drawdown * 1e6)) AS lowest_drawdown, {m}(dataset_id, n + ascii(dataset_id) / 1e3) AS most_frequent FROM (".format(m="arg_max" if d.duck else "max_by") + simulate.metrics(d, simulate.first_exit(d, b)) + ") m")
 add("x17_stable_neighbours", "manipulation wick body neighbours", lambda d, **t: f"SELECT a.manipulation, a.wick, a.body, count(*) AS neighbours FROM ({simulate.grid(d)}) a JOIN ({simulate.grid(d)}) b ON a.location = b.location AND a.inside = b.inside AND a.entry = b.entry AND abs(a.manipulation - b.manipulation) / 5 + abs(a.wick - b.wick) / 10 + abs(a.body - b.body) / 10 = 1 GROUP BY a.manipulation, a.wick, a.body")
 add("c2_resolve_definition", "label definition", lambda d, **t: f"SELECT l.label, CASE WHEN count(x.id) = 1 THEN max(x.id) ELSE 'inferred' END AS definition FROM {d.values([('rsi 14',), ('atr',), ('macd',)], 'label')} l LEFT JOIN {d.values([('d1', 'rsi'), ('d2', 'atr'), ('d3', 'atr')], 'id, alias')} x ON l.label LIKE x.alias || '%' GROUP BY l.label")
 add("c3_merge_definitions", "id body", lambda d, **t: "SELECT id, {m}(body, updated) AS body FROM {v} x GROUP BY id".format(m="arg_max" if d.duck else "max_by", v=d.values([("a", "old", 1), ("a", "new", 3), ("b", "only", 2)], "id, body, updated")))
