@@ -11,12 +11,15 @@ compound: overlap is settled inside chains of trades that touch, equity by runni
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
+from pyspark.sql import DataFrame
+
 from patternloom.operators import features as fx
 from patternloom.operators import patterns as pt
 from patternloom.operators.features import frame
-from patternloom.plans.dual import Dialect
+from patternloom.plans.dual import SPARK, Dialect
 from patternloom.sources.bars import ORDER
 
 SPAN = 43
@@ -88,7 +91,7 @@ def levels(d: Dialect, bars: str, x: str = "users") -> str:
     """Bars with ATR, the adjusted session box, the 20-bar box as price levels and an event series ``x``."""
     return f"""
     SELECT b.dataset_id, b.bar_index, b.ts_ms, b.open, b.high, b.low, b.close, {x} AS x, a.atr, p.adjusted_pds_low AS pds_low, p.adjusted_pds_high AS pds_high, q.exit_box_low AS level_low, q.exit_box_high AS level_high
-    FROM {bars} LEFT JOIN ({wilder(d, bars)}) a ON b.dataset_id = a.dataset_id AND b.bar_index = a.bar_index
+    FROM (SELECT * FROM {bars}) b LEFT JOIN ({wilder(d, bars)}) a ON b.dataset_id = a.dataset_id AND b.bar_index = a.bar_index
     LEFT JOIN ({fx.adjusted_box(d, bars)}) p ON b.dataset_id = p.dataset_id AND b.bar_index = p.bar_index LEFT JOIN ({fx.box(d, bars)}) q ON b.dataset_id = q.dataset_id AND b.bar_index = q.bar_index"""
 
 
@@ -259,3 +262,74 @@ def r_metrics(d: Dialect, multiplier: float = 2.0) -> str:
 
 #: Labels of the best candidates, and their order.
 LABELS = {"highest expectancy": "floor(expectancy_r * 1e6) DESC", "lowest drawdown": "floor(max_drawdown_pct * 1e6)", "most frequent": "trades DESC", "simplest": "floor(complexity * 1e6)"}
+
+
+# ------------------------------------------------------------------ the system optimizer
+
+#: The last fifth of the bars is sealed; four folds lie behind the first two fifths of the rest.
+DEVELOPMENT = [("dev", 0.0, 0.8, COST), *[(f"fold{k}", 0.32 + 0.12 * k, 0.44 + 0.12 * k, COST) for k in range(4)]]
+SEALED = [("sealed", 0.8, 1.0, COST), ("stress", 0.8, 1.0, 2 * COST)]
+SEEDS, MOST, FINAL = 16, 240, 12
+MIN_DEVELOPMENT, MIN_SEALED, MIN_EXPECTANCY, MIN_FACTOR = 20, 10, 0.1, 1.3
+
+
+def developed(d: Dialect, results: str, settings: list[tuple]) -> str:
+    """Score of each setting before the sealed segment is opened: objective, mean of the folds, less their spread."""
+    folds = f"SELECT dataset_id, pattern_id, cfg, avg(expectancy_r) AS mean_r, min(expectancy_r) AS worst_r, max(expectancy_r) - min(expectancy_r) AS spread, sum(CASE WHEN expectancy_r > 0 THEN 1 ELSE 0 END) AS good FROM (SELECT r.dataset_id, r.pattern_id, r.cfg, k.win, coalesce(max(CASE WHEN r.win = k.win THEN r.expectancy_r END), 0e0) AS expectancy_r FROM ({results}) r CROSS JOIN {d.values([(w[0],) for w in DEVELOPMENT[1:]], 'win')} k GROUP BY r.dataset_id, r.pattern_id, r.cfg, k.win) f GROUP BY dataset_id, pattern_id, cfg"
+    return f"""
+    SELECT o.dataset_id, o.pattern_id, o.cfg, o.trades, o.expectancy_r, o.max_drawdown_pct, o.complexity, f.good, f.mean_r, o.score + f.mean_r - 0.12e0 * f.spread AS score
+    FROM ({objective(d, f"SELECT * FROM ({results}) r WHERE win = 'dev'", settings, str(MIN_DEVELOPMENT))}) o JOIN ({folds}) f ON o.dataset_id = f.dataset_id AND o.pattern_id = f.pattern_id AND o.cfg = f.cfg"""
+
+
+def refined(seeds: list[tuple], known: list[tuple], most: int = MOST) -> list[tuple]:
+    """Settings around the seeds: other holds, market entries, and values of their own stop and target modes."""
+    seen, out = {s[1:] for s in known}, []
+    for seed in seeds:
+        s = dict(zip(FIELDS.split(", "), seed, strict=True))
+        steps = [{"hold": h, "expiry": max(1, min(8, h))} for h in HOLDS]
+        if s["target_mode"] != "box-midpoint":
+            steps += [{"entry": e} for e in ENTRIES[:2]]
+        for part in ("stop", "target"):
+            values = {"fixed-percent": PERCENTS, "atr-multiple": MULTIPLES, "risk-multiple": MULTIPLES}.get(s[f"{part}_mode"], ())
+            steps += [{f"{part}_v": float(v)} for v in values]
+        for step in steps:
+            row = tuple({**s, **step}[c] for c in FIELDS.split(", "))
+            if row[1:] not in seen and len(out) < most:
+                seen.add(row[1:])
+                out.append((len(known) + len(out), *row[1:]))
+    return out
+
+
+def optimised(run: Callable[..., DataFrame], top: str) -> DataFrame:
+    """Coarse grid, refinement around the best, shortlist, sealed holdout and cost stress of the systems ``top``.
+
+    ``run`` plans a text and keeps its result.  Only settings (a few hundred) and the seeds' scores reach
+    the driver; every trade is made and judged in Spark.  The sealed segment decides pass or fail only.
+    """
+    d = SPARK
+
+    def judged(settings: list[tuple], windows: list[tuple]):
+        return run(results(d, taken(d, outcomes(d, "{ev}", top, settings, windows))))
+
+    first = coarse()
+    coarse_results = judged(first, DEVELOPMENT)
+    scored = run(developed(d, "SELECT * FROM {x}", first), x=coarse_results)
+    seeds = run(f"SELECT DISTINCT cfg FROM (SELECT cfg, row_number() OVER (PARTITION BY dataset_id, pattern_id ORDER BY score DESC, cfg) AS rk FROM {{x}} WHERE score IS NOT NULL) s WHERE rk <= {SEEDS // 4}", x=scored).orderBy("cfg").collect()
+    more = refined([first[r.cfg] for r in seeds], first)
+    every = first + more
+    whole = scored.unionByName(run(developed(d, "SELECT * FROM {x}", every), x=judged(more, DEVELOPMENT))) if more else scored
+    best = " OR ".join(f"r{k} = 1" for k in range(len(LABELS)))
+    ranks = ", ".join(f"row_number() OVER (PARTITION BY dataset_id, pattern_id ORDER BY {order}, cfg) AS r{k}" for k, order in enumerate(LABELS.values()))
+    listed = run(f"SELECT *, row_number() OVER (PARTITION BY dataset_id, pattern_id ORDER BY score DESC, cfg) AS place FROM (SELECT * FROM (SELECT *, {ranks}, row_number() OVER (PARTITION BY dataset_id, pattern_id ORDER BY score DESC, cfg) AS rk FROM {{x}} WHERE score IS NOT NULL) a WHERE rk <= 8 OR {best}) b", x=whole)
+    chosen = {r.cfg for r in listed.select("cfg").distinct().collect()}
+    sealed = judged([s for s in every if s[0] in chosen], SEALED) if chosen else coarse_results.limit(0)
+    of = lambda win: f"(SELECT * FROM {{s}} WHERE win = '{win}')"
+    on = lambda x: f"x.dataset_id = {x}.dataset_id AND x.pattern_id = {x}.pattern_id AND x.cfg = {x}.cfg"
+    settings = d.values(every, FIELDS)
+    return run(f"""
+    SELECT *, row_number() OVER (PARTITION BY dataset_id, pattern_id ORDER BY CASE WHEN eligible THEN 0 ELSE 1 END, place) = 1 AND eligible AS recommended
+    FROM (
+      SELECT x.dataset_id, x.pattern_id, x.place, x.cfg, c.entry, c.stop_mode, c.stop_v, c.target_mode, c.target_v, c.hold, x.trades, x.expectancy_r, x.score, x.good, coalesce(h.trades, 0) AS sealed_trades, coalesce(h.expectancy_r, 0e0) AS sealed_r, h.profit_factor AS sealed_factor, coalesce(t.expectancy_r, 0e0) AS stress_r,
+        x.good >= 3 AND x.mean_r > 0 AND coalesce(h.trades, 0) >= {MIN_SEALED} AND coalesce(h.expectancy_r, 0e0) >= {MIN_EXPECTANCY} AND coalesce(h.profit_factor, 99e0) >= {MIN_FACTOR} AND coalesce(t.expectancy_r, 0e0) > 0 AND coalesce(t.profit_factor, 99e0) > 1 AS eligible
+      FROM {{x}} x JOIN {settings} c ON x.cfg = c.cfg LEFT JOIN {of('sealed')} h ON {on('h')} LEFT JOIN {of('stress')} t ON {on('t')} WHERE x.place <= {FINAL}
+    ) y""", x=listed, s=sealed)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from patternloom import oracles
 from patternloom.operators import align, hygiene, simulate
+from patternloom.operators import catalogue as ct
+from patternloom.operators import crossref as xr
 from patternloom.operators import semantic as sem
 from patternloom.operators import features as fx
 from patternloom.operators import patterns as pt
@@ -198,24 +200,16 @@ two("j9_prior_bar", "dataset_id bar_index src_index", align.prior_daily)
 two("j12_alignment_audit", "dataset_id bars aligned leaks irregular ~coverage", lambda d, lo, hi: align.audit(d, lo, hi, Q, H))
 
 
-def crossings(d: Dialect, bars: str, dataset: str, k: float = 1.0) -> str:
-    """Events of one dataset: the close crosses its mean plus or minus k deviations."""
-    return f"""SELECT bar_index AS event_id, ts_ms AS moment, dataset_id, CASE WHEN close > hi AND p <= hi THEN 'cross above' ELSE 'cross below' END AS kind
-      FROM (SELECT b.*, lag(close) OVER ({src.ORDER}) AS p, m + {k}e0 * s AS hi, m - {k}e0 * s AS lo FROM (SELECT *, avg(close) OVER (PARTITION BY dataset_id) AS m, stddev_pop(close) OVER (PARTITION BY dataset_id) AS s FROM {bars}) b) c
-      WHERE dataset_id = '{dataset}' AND ((close > hi AND p <= hi) OR (close < lo AND p >= lo))"""
-
-
-bar_query("j6_coincidences", "event_id other_id distance", lambda d, b: align.nearest(d, f"({crossings(d, b, 'click')}) ea", f"({crossings(d, b, 'view')}) eb", 2 * H))
+bar_query("j6_coincidences", "event_id dataset_id other_id distance", xr.coincidences)
 bar_query("j11_dataset_selection", "dataset_id bar_index close", lambda d, b: f"SELECT * FROM (SELECT * FROM {b}) s WHERE dataset_id IN (SELECT k FROM {d.values([('click',), ('view',)], 'k')} w)")
 bar_query("j13_prev_day_join", "dataset_id day_no pdh pdl pdc", fx.days)
 bar_query("r1_series_facts", "dataset_id n ~mean ~sd usable", lambda d, b: f"SELECT dataset_id, count(*) AS n, avg(close) AS mean, CASE WHEN stddev_pop(close) = 0 THEN 1e0 ELSE stddev_pop(close) END AS sd, count(close) = count(*) AS usable FROM {b} GROUP BY dataset_id")
-bar_query("r2_cross_events", "event_id moment dataset_id kind", lambda d, b: crossings(d, b, "click"))
-_PAIRS = lambda d, b: align.nearest(d, f"({crossings(d, b, 'click')}) ea", f"({crossings(d, b, 'view')}) eb", 2 * H)
-bar_query("r4_correlation_strength", "matched ~strength band", lambda d, b: f"""
-    SELECT matched, s AS strength, CASE WHEN s >= 0.66e0 THEN 'strong' WHEN s >= 0.33e0 THEN 'moderate' ELSE 'weak' END AS band FROM (
-      SELECT matched, greatest(least(0.45e0 * (1 - coalesce(mean_distance, {2 * H}) / {2 * H}) + 0.4e0 * matched / drivers + 0.15e0 * (1 - least(drivers * 1e0 / bars, 1e0)), 1e0), 0.1e0) AS s
-      FROM (SELECT count(*) AS matched, avg(distance) AS mean_distance FROM ({_PAIRS(d, b)}) p) m CROSS JOIN (SELECT count(*) AS drivers FROM ({crossings(d, b, 'click')}) e) n CROSS JOIN (SELECT count(*) AS bars FROM {b} WHERE dataset_id = 'click') o) a""")
-bar_query("r6_first_contribution", "other_id event_id", lambda d, b: f"SELECT other_id, min(event_id) AS event_id FROM ({_PAIRS(d, b)}) p GROUP BY other_id")
+bar_query("r2_cross_events", "dataset_id event_id moment kind", xr.events)
+bar_query("r3_event_counts", "dataset_id n driver", xr.counts)
+bar_query("r4_correlation_strength", "event_id moment contributors ~strength band", xr.strengths)
+bar_query("r5_event_order", "event_id dataset_id happened place", xr.order_of_events)
+bar_query("r6_first_contribution", "event_id dataset_id other_id place", xr.contributions)
+bar_query("r7_column_union", "label datasets", ct.selected_labels)
 
 # ------------------------------------------------------------------ patterns
 
@@ -309,6 +303,20 @@ bar_query("x2_wilder_atr", "dataset_id bar_index ~atr", tr.wilder)
 pattern_query("x8_objective", "dataset_id pattern_id cfg trades ~complexity ~score", lambda d, ev: tr.objective(d, tr.results(d, "SELECT * FROM {simulated}"), tr.SETTINGS), oracles.OBJECTIVE)
 
 
+bar_query("x17_viability", "dataset_id manipulation wick body location inside entry n ~expectancy good_folds neighbours place viable recommended", simulate.reversal_viability, quarter)
+
+
+def x10_optimizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optimizer on each target's first shortlisted pattern (staged; rows only)."""
+
+    def run(text: str, **tables: DataFrame) -> DataFrame:
+        return written(spark.sql(text, **kept_tables(spark, sf_dir, text), **tables))
+
+    return tr.optimised(run, f"SELECT dataset_id, pattern_id, direction FROM ({tr.systems(SPARK, '{ev}')}) s WHERE pos = 1")
+
+
+QUERIES["x10_optimizer"] = x10_optimizer
+
 # ------------------------------------------------------------------ hygiene and catalogue
 
 bar_query("h2_presence", "dataset_id feature present kept", hygiene.presence)
@@ -316,7 +324,6 @@ bar_query("h3_duplicates", "dataset_id a b", lambda d, b: hygiene.duplicates(d,
 bar_query("h6_statistics", "dataset_id lo hi ~mean p25 p50 p75", hygiene.statistics, x="users")
 bar_query("h7_distribution", "bucket n ~pct", lambda d, b: hygiene.distribution(d, fx.volume(d, b), "rvol_bucket", ("Low", "Normal", "High", "Extreme")))
 bar_query("h9_observed", "feature lo hi", lambda d, b: hygiene.observed(d, f"(SELECT open, close, volume, floor(avg_value * 100) / 100e0 AS avg_value, users, floor(k * 100) / 100e0 AS k FROM {b}) w"))
-bar_query("a28_universe", "~rows_total datasets", lambda d, b: f"SELECT cast(count(*) AS double) AS rows_total, count(DISTINCT dataset_id) AS datasets FROM {b}")
 
 # ------------------------------------------------------------------ saved runs (orders stand for runs: the customer is the owner)
 
@@ -355,18 +362,26 @@ add("s6_column_typing", "t_numeric n_numeric", lambda d, **t: f"SELECT max(CASE
 
 # ------------------------------------------------------------------ more of search, validation and selection
 
-bar_query("p4_state_detection", "dataset_id ~flag_kinds is_state", lambda d, b: f"SELECT dataset_id, cast(count(DISTINCT sign(close - open)) AS double) AS flag_kinds, count(DISTINCT sign(close - open)) <= 3 AS is_state FROM {b} WHERE bar_index % 2 = 0 GROUP BY dataset_id")
-add("p6_manual_thresholds", "lo hi", lambda d, **t: f"SELECT 20 + 60 * k / 5e0 AS lo, 20 + 60 * (k + 1) / 5e0 AS hi FROM {d.values([(k,) for k in range(5)], 'k')} g")
-add("p7_distinct_conditions", "feature op v", lambda d, **t: f"SELECT DISTINCT feature, op, v FROM {d.values([('a', '<', 1.5), ('a', '<', 1.5), ('a', '>', 1.5), ('b', '=', 2.5)], 'feature, op, v')} c")
-add("x17_stable_neighbours", "manipulation wick body neighbours", lambda d, **t: f"SELECT a.manipulation, a.wick, a.body, count(*) AS neighbours FROM ({simulate.grid(d)}) a JOIN ({simulate.grid(d)}) b ON a.location = b.location AND a.inside = b.inside AND a.entry = b.entry AND abs(a.manipulation - b.manipulation) / 5 + abs(a.wick - b.wick) / 10 + abs(a.body - b.body) / 10 = 1 GROUP BY a.manipulation, a.wick, a.body")
-add("c2_resolve_definition", "label definition", lambda d, **t: f"SELECT l.label, CASE WHEN count(x.id) = 1 THEN max(x.id) ELSE 'inferred' END AS definition FROM {d.values([('rsi 14',), ('atr',), ('macd',)], 'label')} l LEFT JOIN {d.values([('d1', 'rsi'), ('d2', 'atr'), ('d3', 'atr')], 'id, alias')} x ON l.label LIKE x.alias || '%' GROUP BY l.label")
-add("c3_merge_definitions", "id body", lambda d, **t: "SELECT id, {m}(body, updated) AS body FROM {v} x GROUP BY id".format(m="arg_max" if d.duck else "max_by", v=d.values([("a", "old", 1), ("a", "new", 3), ("b", "only", 2)], "id, body, updated")))
-add("h8_catalogue_search", "category n", lambda d, **t: f"SELECT category, count(*) AS n FROM {d.values([('candle_body_pct', 'Candle'), ('box_event', 'Box'), ('BOX_position', 'Box'), ('vwap_side', 'VWAP')], 'name, category')} c WHERE lower(name) LIKE '%box%' OR lower(category) LIKE '%candle%' GROUP BY category")
-bar_query("r7_column_union", "label", lambda d, b: f"SELECT DISTINCT label FROM (SELECT 'close' AS label FROM {b} WHERE dataset_id = 'click' UNION ALL SELECT 'users' FROM {b} WHERE users IS NOT NULL) u")
-bar_query("r5_event_order", "other_id first_event", lambda d, b: f"SELECT other_id, CASE WHEN event_id <= other_id THEN 'driver first' ELSE 'other first' END AS first_event FROM ({_PAIRS(d, b)}) p")
 add("d1_next_run_id", "next_id", lambda d, **t: f"SELECT max(id) + 1 AS next_id FROM {_RUNS(d, t)} r")
 add("d5_delete_run", "id owner", lambda d, **t: f"SELECT id, owner FROM {_RUNS(d, t)} r WHERE owner = 42 AND NOT (id = (SELECT min(id) FROM {_RUNS(d, t)} q WHERE owner = 42))")
 
+# ------------------------------------------------------------------ catalogue
+
+bar_query("b36_catalogue", "label category n ~lo ~hi overridden", ct.catalogue)
+bar_query("c1_inferred_roles", "dataset_id label role", ct.inferred)
+bar_query("c2_resolve_definition", "dataset_id label definition", ct.resolved)
+bar_query("c3_merge_definitions", "name origin ~confidence", ct.merged_definitions)
+bar_query("h1_category_gating", "dataset_id label category allowed", ct.gated)
+bar_query("h5_categories", "category n", ct.categories)
+bar_query("h8_catalogue_search", "category n", ct.searched)
+bar_query("h10_toggles", "label category enabled", ct.toggled)
+bar_query("p1b_condition_readings", "dataset_id label op reading n", ct.matchers)
+bar_query("p4_state_detection", "dataset_id label op ~value", ct.state_candidates)
+bar_query("p6_manual_thresholds", "label op ~lo ~hi", ct.manual)
+bar_query("p7_distinct_conditions", "label op ~v made", ct.distinct_conditions)
+bar_query("x4_exit_levels", "dataset_id label n", ct.exit_levels)
+add("a28_universe", "instrument rows_total intervals hierarchy_links", lambda d, **t: ct.universe(d, quarter(d, **t) + " u1", hourly(d, **t) + " u2", f"({src.resample(d, hourly(d, **t) + ' u3')}) u4"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Win rate, baseline and lift of every single and paired condition over hourly bars."""

@@ -75,6 +75,48 @@ class RunStore:
         return {"rows": [[{"name": k, "value": v} for k, v in r.asDict().items()] for r in rows[:n]], "hasMore": len(rows) > n}
 
 
+class DefinitionStore:
+    """One document of definitions per owner, as an appended log: the newest entry of an owner counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _append(self, owner: str | None, document: str | None) -> None:
+        if not owner:
+            raise PermissionError("an anonymous caller has no definitions")
+        self.spark.createDataFrame([(owner, time.time_ns(), document)], "owner string, saved_ns long, document string").coalesce(1).write.mode("append").parquet(self.path)
+
+    def save(self, owner: str | None, document: dict | list) -> None:
+        self._append(owner, json.dumps(document))
+
+    def delete(self, owner: str | None) -> None:
+        self._append(owner, None)
+
+    def get(self, owner: str | None):
+        """The owner's document, or None."""
+        try:
+            log = self.spark.read.schema("owner string, saved_ns long, document string").parquet(self.path)
+        except Exception as e:  # nothing saved yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        row = log.where(F.col("owner") == F.lit(owner or "")).agg(F.max_by("document", "saved_ns").alias("document"), F.max_by(F.col("document").isNull(), "saved_ns").alias("gone")).first()
+        return None if row.gone or row.document is None else json.loads(row.document)
+
+
+#: Columns that each version of the run table added, with the value that older rows get.
+MIGRATIONS: dict[int, dict[str, object]] = {1: {"deleted": False}, 2: {"version": 1}}
+
+
+def migrated(runs: DataFrame, version: int) -> DataFrame:
+    """A run table of an older version with the columns of all later ones."""
+    for step in sorted(v for v in MIGRATIONS if v > version):
+        for name, default in MIGRATIONS[step].items():
+            value = F.lit(default)
+            runs = runs.withColumn(name, value if name not in runs.columns else F.coalesce(F.col(name), value))
+    return runs
+
+
 def encode_run(run: dict) -> str:
     """Archive text of a run; bars are left out."""
     return PREFIX + json.dumps({"version": VERSION, "run": {k: v for k, v in run.items() if k != "bars"}})

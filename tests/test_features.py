@@ -58,13 +58,5 @@ def test_timeframe_labels(spark):
         assert on(src.timeframe, on(src.facts, make(spark, linear(10), step=step))).first().timeframe == label
 
 
-def test_simulator_goldens():
-    bars = pd.DataFrame({"open": [100.0, 100, 100], "high": [100.5, 101.5, 101], "low": [99.5, 99.6, 99.8], "close": [100.0, 101, 100.5]})
-    trades, facts = simulate.simulate_trades(bars, [True, True, False], 1.0, 1.0, 1)
-    assert [t["result"] for t in trades] == ["target"] and facts["skipped_overlapping"] == 1 and facts["net_profit"] == pytest.approx(500)
-    trades, _ = simulate.simulate_trades(bars, [True, False, False], 5.0, None, 1)
-    assert [t["result"] for t in trades] == ["time"]
-
-
 def test_grid_has_all_parameter_sets(spark):
     assert on(lambda d, x: simulate.grid(d) + f" WHERE EXISTS (SELECT 1 FROM {x})", spark.range(1)).count() == 1680

@@ -48,6 +48,25 @@ def test_run_store(spark, tmp_path):
     assert [r.id for r in store.list("ann").collect()] == [b]
 
 
+def test_definition_store(spark, tmp_path):
+    store = stores.DefinitionStore(spark, str(tmp_path / "definitions"))
+    assert store.get("ann") is None
+    with pytest.raises(PermissionError):
+        store.save(None, {})
+    store.save("ann", {"rsi": 1})
+    store.save("ann", {"rsi": 2})
+    store.save("bob", [])
+    assert store.get("ann") == {"rsi": 2} and store.get("bob") == [] and store.get(None) is None
+    store.delete("ann")
+    assert store.get("ann") is None and store.get("bob") == []
+
+
+def test_migrations_add_columns_with_defaults(spark):
+    old = spark.createDataFrame([(1, "ann")], "id long, owner string")
+    assert [tuple(r) for r in stores.migrated(old, 0).collect()] == [(1, "ann", False, 1)]
+    assert stores.migrated(old.selectExpr("*", "true AS deleted"), 1).first().asDict() == {"id": 1, "owner": "ann", "deleted": True, "version": 1}
+
+
 def test_archive_round_trip():
     assert stores.decode_run(stores.encode_run({"name": "x", "bars": [1]})) == {"name": "x"}
     with pytest.raises(ValueError):
