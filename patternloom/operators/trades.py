@@ -117,12 +117,12 @@ def outcomes(d: Dialect, ev: str, systems: str, settings: list[tuple], windows:
     FROM ({pt.matched(d, ev, 'bar_index', False)}) m JOIN ({systems}) s ON m.dataset_id = s.dataset_id AND m.pattern_id = s.pattern_id JOIN {{paths}} p ON m.dataset_id = p.dataset_id AND m.bar_index = p.bar_index
     CROSS JOIN {d.values(settings, FIELDS)} c CROSS JOIN {d.values(windows, 'win, lo, hi, cost')} w"""
     return f"""
-    SELECT dataset_id, pattern_id, win, cfg, i, filled, i + e AS entry_index, entry_price, stop_pct, i + exit_k AS exit_index, result, exit_price, CASE WHEN filled THEN net_pct / stop_pct END AS r, net_pct, path[exit_k].t AS exit_ms
+    SELECT dataset_id, pattern_id, win, cfg, i, filled, i + e AS entry_index, entry_price, stop_pct, i + exit_k AS exit_index, result, exit_price, CASE WHEN filled THEN net_pct / stop_pct END AS r, net_pct, get(path, cast(exit_k AS int)).t AS exit_ms
     FROM (
       SELECT *, dir * (exit_price - entry_price) / abs(entry_price) * 100 - cost AS net_pct
       FROM (
         SELECT *, coalesce(hit, f_last) AS exit_k, CASE WHEN hit IS NULL THEN 'time' WHEN hit = sk AND hit = tk THEN 'ambiguous' WHEN hit = sk THEN 'stop' WHEN hit = tk THEN 'target' WHEN target_mode = 'feature-event' THEN 'feature-exit' ELSE 'invalidation' END AS result,
-          CASE WHEN hit = sk THEN stop_price WHEN hit = tk THEN target_price ELSE path[cast(coalesce(hit, f_last) AS int)].c END AS exit_price
+          CASE WHEN hit = sk THEN stop_price WHEN hit = tk THEN target_price ELSE get(path, cast(coalesce(hit, f_last) AS int)).c END AS exit_price
         FROM (
           SELECT *, least(sk, tk, ek) AS hit
           FROM (
@@ -143,9 +143,9 @@ def outcomes(d: Dialect, ev: str, systems: str, settings: list[tuple], windows:
                   FROM (
                     SELECT *, CASE stop_mode WHEN 'atr-multiple' THEN entry_atr * greatest(0.1e0, stop_v) * 100 / abs(entry_price) WHEN 'fixed-percent' THEN greatest(0.001e0, stop_v) ELSE {STOP}e0 END AS pct, CASE WHEN dir > 0 THEN level_low ELSE level_high END AS level
                     FROM (
-                      SELECT *, coalesce(path[cast(e AS int)].a, abs(entry_price) * CASE WHEN stop_mode = 'fixed-percent' THEN stop_v ELSE {STOP}e0 END / 100) AS entry_atr
+                      SELECT *, coalesce(get(path, cast(e AS int)).a, abs(entry_price) * CASE WHEN stop_mode = 'fixed-percent' THEN stop_v ELSE {STOP}e0 END / 100) AS entry_atr
                       FROM (
-                        SELECT *, nullif(CASE entry WHEN 'signal-close' THEN path[0].c WHEN 'next-open' THEN path[1].o ELSE lim END, 0e0) AS entry_price
+                        SELECT *, nullif(CASE entry WHEN 'signal-close' THEN path[0].c WHEN 'next-open' THEN get(path, 1).o ELSE lim END, 0e0) AS entry_price
                         FROM (SELECT *, cast(CASE entry WHEN 'signal-close' THEN 0 WHEN 'next-open' THEN 1 ELSE {fit('1', 'least(last, i + greatest(1, expiry)) - i', 'path[k].l <= lim AND path[k].h >= lim')} END AS bigint) AS e FROM ({signals}) s0 WHERE i BETWEEN first_signal AND last) s1
                       ) s2
                     ) s3
