@@ -159,6 +159,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = print_of(now)
     while mark[0]:
         now = step(step(now, True), False)
+        release(spark)
         if mark == (mark := print_of(now)):
             break
     return now.toDF("id", "component_id").union(now.select("v", "v").distinct().toDF("id", "component_id"))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patternloom.llm._common import free_name, table, written
+from patternloom.llm._common import free_name, release, table, written
 
 MIN_WORDS = 50
 
@@ -65,6 +65,7 @@ def suffix_ranks(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wo
         ranks = _ranked(pairs.where(F.col(last).isNotNull() & F.col("behind").isNotNull()).select(last, "behind"), last, "behind")
         rows = written(pairs.join(ranks.withColumnRenamed("rank", name), [last, "behind"], "left").select("id", "t", "i", "at", "w", "part", *names, name))
         names.append(name)
+        release(docs.sparkSession)  # the shuffles of a round go once it is written
     return rows, names
 
 
@@ -101,6 +102,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     runs = written(_runs(docs, id, text, min_words))
     place = F.struct("id", "t", "start")
     first = written(runs.groupBy("n", "a", "z").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
+    release(docs.sparkSession)
     later = runs.join(first, ["n", "a", "z"]).where(place > F.col("first")).groupBy("id", "t", "start").agg(F.max("stop").alias("stop"))
     # runs that overlap or touch merge; a window over one document's own runs
     order = Window.partitionBy("id", "t").orderBy("start")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm._common import LOWER, crc_mod, labelled_sample, slices, summed_arrays, table
+from patternloom.llm._common import LOWER, crc_mod, labelled_sample, release, slices, summed_arrays, table
 
 ORDERS = (3, 5, 7)
 BUCKET_BITS = 19
@@ -170,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int
     of = np.frombuffer(lists.buffers()[2], np.uint16) if lists.buffers()[2] is not None else np.zeros(0, np.uint16)
     r = ratio[best]
     w, bias = _descend(of, row_at, y, r, float(np.log(totals[1] / totals[0])))
+    release(docs.sparkSession)
     # the sample is balanced: shift the odds back to those of all training labels
     shift = np.log(known[1] / known[0]) - np.log(totals[1] / totals[0])
     return {"slot": slot, "weights": w * r, "bias": float(bias + shift)}
