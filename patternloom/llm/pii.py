@@ -48,7 +48,7 @@ GENERATORS = {
     "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+)?+::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+)?+|(?:[0-9A-Fa-f]{1,4}:){2,7}+[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f]|:[0-9A-Fa-f:]|\.[0-9])",
     "card": r"(?<![0-9])[0-9]{4}[\x20./_-]{1,2}[0-9]{4,6}[\x20./_-]{1,2}[0-9]{4,5}(?:[\x20./_-]{1,2}[0-9]{1,4})?(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,512}+={0,2}+|(?<=(?i:passw|password|passwd|pwd|secret|token|key)[\"']?\x20?[:=]\x20?[\"']?)[^\s\"',;:=]{6,128}+",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,512}+={0,2}+|(?<=[:=\"']|[:=]\x20)(?<=(?i:passw|password|passwd|pwd|secret|token|key)[\"']?\x20?[:=]\x20?[\"']?)[^\s\"',;:=]{6,128}+",
 }
 #: Shorter readings of a candidate from the same start, as patterns of its value.
 SHORTER = {
@@ -398,7 +398,7 @@ def _possible(kind: str, whole: Column, digit: Column) -> Column:
     if kind == "email":
         return whole.rlike(r"@|\[at\]|\(at\)|\x20at\x20[^\n]{1,80}(?:\.|dot)")
     if kind == "secret":
-        return whole.rlike("[A-Za-z0-9+/_-]{16}|(?i:passw|pwd|secret|token|key)[a-z]{0,4}[\"']?\\x20?[:=]")
+        return whole.rlike("(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16}|(?i:passw|pwd|secret|token|key)[a-z]{0,4}[\"']?\\x20?[:=]")
     return whole.rlike(":[0-9A-Fa-f]{0,4}:") if kind == "ip" else digit
 
 
