@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.llm import bpe, decontaminate, lines, ngram, toxicity
-from patternloom.llm._common import table, written
+from patternloom.llm._common import table, tidy
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,10 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written and read again."""
+    """Apply the stages to ``documents``; each result is written and read again, and goes once the next is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+    with tidy(spark) as tables:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            kept = tables.keep(stage(spark, docs, sf_dir))
+            if k:
+                tables.drop(docs)
+            docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

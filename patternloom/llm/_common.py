@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patternloom.sources.shared import shared_folder, written
+
 U64 = np.uint64
 # freed batches go back to the system; an executor's memory is shared by its workers and the JVM
 pa.set_memory_pool(pa.system_memory_pool())
@@ -28,32 +31,48 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session (tests) may do without the setting; it gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="patternloom-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose plans a checkpoint has made unreachable."""
-    import gc
+_SHUFFLE_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[Tables]:
+    """Tables of the jobs inside, whose shuffle files go as each job ends.
+
+    Only for jobs that write tables or count: a DataFrame that is run again makes its shuffles anew.
+    """
+    before = spark.conf.get(_SHUFFLE_FILES, "false")
+    spark.conf.set(_SHUFFLE_FILES, "true")
+    try:
+        yield Tables(spark)
+    finally:
+        spark.conf.set(_SHUFFLE_FILES, before)
+
+
+class Tables:
+    """Tables that an operator writes to the shared folder, each deleted once no step needs it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back: columnar, without lineage, safe from lost executors."""
+        path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        got = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(got)] = (path, got)
+        return got
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the rows of tables that ``keep`` made (an empty table takes their place)."""
+        for df in tables:
+            path, _ = self.paths.pop(id(df))
+            self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 # --------------------------------------------------------------------------- bytes and hashes
@@ -135,33 +154,33 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Component of each vertex that has an edge: columns ``id`` and ``component_id`` (the least id).
 
     Alternating large-star and small-star steps.  The minimum of a neighbourhood is a partial
-    aggregate, and it is checkpointed before the join back so that adaptive execution can split
-    the rows of a vertex with very many neighbours over several tasks.
+    aggregate, and it is written before the join back so that adaptive execution can split
+    the rows of a vertex with very many neighbours over several tasks.  Tables of a step that is
+    done are deleted.
     """
-    spark = edges.sparkSession
-    now = checkpointed(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )
-
-    def print_of(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    def step(df: DataFrame, large: bool) -> DataFrame:
-        pairs = df.union(df.select("v", "u")).toDF("c", "n") if large else df.toDF("c", "n")
-        least = checkpointed(pairs.groupBy("c").agg(F.min("n").alias("m")).select("c", F.least("c", "m").alias("m")))
-        joined = pairs.join(least, "c")
-        if large:
-            out = joined.where("n > c and n <> m").select(F.col("n").alias("u"), F.col("m").alias("v"))
-        else:
-            out = joined.where("n <> m").select(F.col("n").alias("u"), F.col("m").alias("v")).union(least.select("c", "m").toDF("u", "v"))
-        return checkpointed(out.where("u <> v").distinct())
-
-    mark = print_of(now)
-    while mark[0]:
-        now = step(step(now, True), False)
-        release(spark)
-        if mark == (mark := print_of(now)):
-            break
+    with tidy(edges.sparkSession) as tables:
+
+        def print_of(df: DataFrame) -> tuple:
+            return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+        def step(df: DataFrame, large: bool) -> DataFrame:
+            pairs = df.union(df.select("v", "u")).toDF("c", "n") if large else df.toDF("c", "n")
+            least = tables.keep(pairs.groupBy("c").agg(F.min("n").alias("m")).select("c", F.least("c", "m").alias("m")))
+            joined = pairs.join(least, "c")
+            if large:
+                out = joined.where("n > c and n <> m").select(F.col("n").alias("u"), F.col("m").alias("v"))
+            else:
+                out = joined.where("n <> m").select(F.col("n").alias("u"), F.col("m").alias("v")).union(least.select("c", "m").toDF("u", "v"))
+            got = tables.keep(out.where("u <> v").distinct())
+            tables.drop(df, least)
+            return got
+
+        now = tables.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+        mark = print_of(now)
+        while mark[0]:
+            now = step(step(now, True), False)
+            if mark == (mark := print_of(now)):
+                break
     return now.toDF("id", "component_id").union(now.select("v", "v").distinct().toDF("id", "component_id"))
 
 
@@ -224,10 +243,3 @@ def most_frequent(counts: DataFrame, n: str, most: int) -> list:
             break
         cut = b
     return counts.where(step >= cut).collect()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back (compressed, columnar)."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

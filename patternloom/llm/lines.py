@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patternloom.llm._common import free_name, release, table, written
+from patternloom.llm._common import Tables, free_name, table, tidy
 
 MIN_WORDS = 50
 
@@ -42,40 +42,42 @@ def _line_ids(docs: DataFrame, id: str, text: str) -> DataFrame:
     return base.select("id", "t", "i", F.col("x.at").alias("at"), (spaces + 1).alias("w"), F.xxhash64(line).alias("h"), F.xxhash64(F.lit("line"), line).alias("g"))
 
 
-def _ranked(keys: DataFrame, *by: str) -> DataFrame:
+def _ranked(tables: Tables, keys: DataFrame, *by: str) -> DataFrame:
     """A rank for each key that occurs twice or more: its place in their sorted order."""
     shared = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*by)
-    return written(shared.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()))
+    return tables.keep(shared.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()))
 
 
-def suffix_ranks(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, list[str]]:
+def suffix_ranks(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, tables: Tables | None = None) -> tuple[DataFrame, list[str]]:
     """Lines that stand twice or more, with the ranks of their suffixes, and the ranks' names.
 
     Rows ``id, t, i, at, w, part, r0, r1, ...``: ``part`` numbers stretches of such lines and
     ``rK`` ranks the suffix by its first 2^K lines (null: no other suffix shares them).
     """
+    tables = tables or Tables(docs.sparkSession)
     lines = _line_ids(docs, id, text)
-    ranks = _ranked(lines.select("h", "g"), "h", "g").withColumnRenamed("rank", "r0")
-    shared = lines.join(ranks, ["h", "g"]).select("id", "t", "i", "at", "w", "r0").dropDuplicates(["id", "t", "i"])
-    rows = written(shared.withColumn("part", F.col("i") - F.row_number().over(Window.partitionBy("id", "t").orderBy("i"))))
+    ranks = _ranked(tables, lines.select("h", "g"), "h", "g")
+    shared = lines.join(ranks.withColumnRenamed("rank", "r0"), ["h", "g"]).select("id", "t", "i", "at", "w", "r0").dropDuplicates(["id", "t", "i"])
+    rows = tables.keep(shared.withColumn("part", F.col("i") - F.row_number().over(Window.partitionBy("id", "t").orderBy("i"))))
+    tables.drop(ranks)
     names, order = ["r0"], Window.partitionBy("id", "t", "part").orderBy("i")
     while 1 << len(names) <= min_words:  # a run of enough words has at most min_words lines
         half, last, name = 1 << (len(names) - 1), names[-1], f"r{len(names)}"
         pairs = rows.withColumn("behind", F.lead(last, half).over(order))
-        ranks = _ranked(pairs.where(F.col(last).isNotNull() & F.col("behind").isNotNull()).select(last, "behind"), last, "behind")
-        rows = written(pairs.join(ranks.withColumnRenamed("rank", name), [last, "behind"], "left").select("id", "t", "i", "at", "w", "part", *names, name))
+        ranks = _ranked(tables, pairs.where(F.col(last).isNotNull() & F.col("behind").isNotNull()).select(last, "behind"), last, "behind")
+        more = tables.keep(pairs.join(ranks.withColumnRenamed("rank", name), [last, "behind"], "left").select("id", "t", "i", "at", "w", "part", *names, name))
+        tables.drop(rows, ranks)  # what a finished round has read goes at once
+        rows = more
         names.append(name)
-        release(docs.sparkSession)  # the shuffles of a round go once it is written
     return rows, names
 
 
-def _runs(docs: DataFrame, id: str, text: str, min_words: int) -> DataFrame:
+def _runs(rows: DataFrame, names: list[str], min_words: int) -> DataFrame:
     """Rows ``id, t, n, a, z, start, stop``: the shortest runs of enough words that may stand twice.
 
     ``n, a, z`` name the interval of the suffix array: the number of lines and the ranks of the
     doubled runs that begin and end the run.
     """
-    rows, names = suffix_ranks(docs, id, text, min_words)
     order = Window.partitionBy("id", "t", "part").orderBy("i")
     rows = rows.withColumn("e", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.col("e") - F.col("w"))
     begun = F.struct("at", "b", *names)  # ranks of the doubled runs that begin at a line ...
@@ -99,11 +101,14 @@ def _runs(docs: DataFrame, id: str, text: str, min_words: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Lines to delete: ``id``, ``t`` (hash of the text) and ``cuts``, ascending disjoint [start, stop) line numbers."""
-    runs = written(_runs(docs, id, text, min_words))
-    place = F.struct("id", "t", "start")
-    first = written(runs.groupBy("n", "a", "z").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
-    release(docs.sparkSession)
-    later = runs.join(first, ["n", "a", "z"]).where(place > F.col("first")).groupBy("id", "t", "start").agg(F.max("stop").alias("stop"))
+    with tidy(docs.sparkSession) as tables:
+        rows, names = suffix_ranks(docs, id, text, min_words, tables)
+        runs = tables.keep(_runs(rows, names, min_words))
+        tables.drop(rows)
+        place = F.struct("id", "t", "start")
+        first = tables.keep(runs.groupBy("n", "a", "z").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
+        later = tables.keep(runs.join(first, ["n", "a", "z"]).where(place > F.col("first")).groupBy("id", "t", "start").agg(F.max("stop").alias("stop")))
+        tables.drop(runs, first)
     # runs that overlap or touch merge; a window over one document's own runs
     order = Window.partitionBy("id", "t").orderBy("start")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))

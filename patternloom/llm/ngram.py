@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patternloom.llm._common import U64, checkpointed, connected_components, mix64, most_frequent, release, slices, table, words, written
+from patternloom.llm._common import U64, Tables, connected_components, mix64, most_frequent, slices, table, tidy, words
 
 #: Most frequent shingles that are ordered last; bounds what is broadcast (8 bytes each).
 HEAVY = 1 << 16
@@ -256,19 +256,18 @@ def _bits_of(ids: DataFrame, size: int) -> bytes:
     return whole.tobytes()
 
 
-def _links(docs: DataFrame, prints: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(tables: Tables, docs: DataFrame, prints: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that reach the threshold."""
     short = prints.select("id", "n", "sketch")
     near = pairs.join(short.toDF("a", "a_n", "a_sketch"), "a").join(short.toDF("b", "b_n", "b_sketch"), "b")
     near = near.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
-    pairs = checkpointed(near.mapInArrow(partial(_possible, percent=percent), "a long, b long"))
-    release(docs.sparkSession)
+    pairs = tables.keep(near.mapInArrow(partial(_possible, percent=percent), "a long, b long"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     some, bits = _picked(docs, ids, 2 * pairs.count())
     sets = some.select("id", "text", "bit").mapInArrow(partial(_needed, k=k, bits=bits), "id long, members binary")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    out = checkpointed(both.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
-    release(docs.sparkSession)
+    out = tables.keep(both.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
+    tables.drop(pairs)
     return out
 
 
@@ -283,52 +282,59 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     if not isinstance(kind, T.IntegralType):
         raise TypeError(f"{id} must hold whole numbers, not {kind.simpleString()}")
     base = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    prints = written(base.mapInArrow(partial(_prints, k=k, keep=heavy // 2), "kind int, id long, n long, p1 long, p2 long, sketch binary, " + ", ".join(f"{f} long" for f in _FOLD)))
-    sets = prints.where("kind = 0")
-
-    # bound: `heavy` rows of two longs
-    top = most_frequent(prints.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n > 4"), "n", heavy)
-    late = np.asarray([r.id for r in top], np.int64).view(U64)
-    order = np.argsort(late)
-    rank = np.asarray([r.n for r in top], np.int64)
-    shared = spark.sparkContext.broadcast((late[order], rank[order]))
-
-    classes = checkpointed(sets.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep")))
-    heads, bits = _picked(base, classes.select(F.col("rep").alias("id")), classes.count())
-    heads = heads.select("id", "text", "bit")
-    columns = heads.mapInArrow(partial(_columns, k=k, percent=percent, heavy=shared, bits=bits), T.StructType([T.StructField("token", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType())]))
-    hubs = checkpointed(columns.groupBy("token").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    release(spark)
-    rows = checkpointed(columns.join(hubs, "token"))
-    release(spark)
-
-    near = f"100 * least(n, {{0}}) >= {percent} * greatest(n, {{0}})"
-    first = (
-        rows.where("id <> hub").where(near.format("hub_n")).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
-        .groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
-    )
-    links = _links(base, sets, checkpointed(first), k, percent)
-    parts = connected_components(links, "a", "b")
-
-    named = checkpointed(rows.select("token", "id", "n").join(parts.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")))
-    per = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = checkpointed(per.groupBy("token").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
-    # the folded sketches go along, so that a pair the bound rules out is never made
-    mixed = checkpointed(named.join(main, "token").join(sets.select("id", *_FOLD), "id"))
-    outside = mixed.where("c <> main").select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"), *[F.col(f).alias(f"a_{f}") for f in _FOLD])
-    differ = " + ".join(f"bit_count({f} ^ a_{f})" for f in _FOLD)
-    bound = f"{100 + percent} * (n + a_n - ({differ})) >= {2 * percent} * (n + a_n)"
-    meets = F.expr(f"x.token = y.token AND c <> a_c AND (c = main OR a < id) AND {near.format('a_n')} AND {bound}")
-    met = mixed.alias("x").join(outside.alias("y"), meets).select(
-        F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), (F.col("n") + F.col("a_n")).alias("total"), F.greatest("n", "a_n").alias("most")
-    )
-    shared = met.groupBy("a", "b", "total", "most").agg(F.count(F.lit(1)).alias("shared"))
-    more = shared.where(f"{100 + percent} * (shared + ({percent} * most + 99) div 100 - 1) >= {percent} * total").select("a", "b").distinct()
-    links = links.unionByName(_links(base, sets, checkpointed(more), k, percent))
-    # an id with several texts joins their classes
-    whole = checkpointed(sets.select("id", "n", "p1", "p2").join(classes, ["n", "p1", "p2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
-    one = whole.where("n > 0").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("id", "a")
-    parts = connected_components(links.unionByName(whole.join(one, "id").where("rep <> a").select("a", F.col("rep").alias("b"))), "a", "b")
+    with tidy(spark) as tables:
+        prints = tables.keep(base.mapInArrow(partial(_prints, k=k, keep=heavy // 2), "kind int, id long, n long, p1 long, p2 long, sketch binary, " + ", ".join(f"{f} long" for f in _FOLD)))
+        sets = prints.where("kind = 0")
+
+        # bound: `heavy` rows of two longs
+        top = most_frequent(prints.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n > 4"), "n", heavy)
+        late = np.asarray([r.id for r in top], np.int64).view(U64)
+        order = np.argsort(late)
+        rank = np.asarray([r.n for r in top], np.int64)
+        shared = spark.sparkContext.broadcast((late[order], rank[order]))
+
+        classes = tables.keep(sets.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep")))
+        heads, bits = _picked(base, classes.select(F.col("rep").alias("id")), classes.count())
+        heads = heads.select("id", "text", "bit")
+        columns = heads.mapInArrow(partial(_columns, k=k, percent=percent, heavy=shared, bits=bits), T.StructType([T.StructField("token", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType())]))
+        hubs = tables.keep(columns.groupBy("token").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+        rows = tables.keep(columns.join(hubs, "token"))
+
+        near = f"100 * least(n, {{0}}) >= {percent} * greatest(n, {{0}})"
+        first = (
+            rows.where("id <> hub").where(near.format("hub_n")).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
+            .groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
+        )
+        first = tables.keep(first)
+        links = _links(tables, base, sets, first, k, percent)
+        tables.drop(first)
+        parts = connected_components(links, "a", "b")
+
+        named = tables.keep(rows.select("token", "id", "n").join(parts.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")))
+        tables.drop(rows, hubs)
+        per = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
+        main = tables.keep(per.groupBy("token").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
+        # the folded sketches go along, so that a pair the bound rules out is never made
+        mixed = tables.keep(named.join(main, "token").join(sets.select("id", *_FOLD), "id"))
+        tables.drop(named, main)
+        outside = mixed.where("c <> main").select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"), *[F.col(f).alias(f"a_{f}") for f in _FOLD])
+        differ = " + ".join(f"bit_count({f} ^ a_{f})" for f in _FOLD)
+        bound = f"{100 + percent} * (n + a_n - ({differ})) >= {2 * percent} * (n + a_n)"
+        meets = F.expr(f"x.token = y.token AND c <> a_c AND (c = main OR a < id) AND {near.format('a_n')} AND {bound}")
+        met = mixed.alias("x").join(outside.alias("y"), meets).select(
+            F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), (F.col("n") + F.col("a_n")).alias("total"), F.greatest("n", "a_n").alias("most")
+        )
+        shared = met.groupBy("a", "b", "total", "most").agg(F.count(F.lit(1)).alias("shared"))
+        more = shared.where(f"{100 + percent} * (shared + ({percent} * most + 99) div 100 - 1) >= {percent} * total").select("a", "b").distinct()
+        more = tables.keep(more)
+        tables.drop(mixed)
+        links = links.unionByName(_links(tables, base, sets, more, k, percent))
+        tables.drop(more)
+        # an id with several texts joins their classes
+        whole = tables.keep(sets.select("id", "n", "p1", "p2").join(classes, ["n", "p1", "p2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+        tables.drop(prints, classes)
+        one = whole.where("n > 0").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("id", "a")
+        parts = connected_components(links.unionByName(whole.join(one, "id").where("rep <> a").select("a", F.col("rep").alias("b"))), "a", "b")
 
     out = whole.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     return out.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id")).select(F.col("id").cast(kind).alias(id), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))

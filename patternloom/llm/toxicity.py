@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm._common import LOWER, crc_mod, labelled_sample, release, slices, summed_arrays, table
+from patternloom.llm._common import LOWER, crc_mod, labelled_sample, slices, summed_arrays, table, tidy
 
 ORDERS = (3, 5, 7)
 BUCKET_BITS = 19
@@ -146,6 +146,11 @@ def _descend(of: np.ndarray, row_at: np.ndarray, y: np.ndarray, r: np.ndarray, b
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int = 5, held: int = 0, most: int = MAX_TRAINING_ROWS, kept: int = KEPT_FEATURES) -> dict:
     """Bucket slots, weights and intercept, fitted on at most ``most`` labelled rows."""
+    with tidy(docs.sparkSession):
+        return _fit(docs, labels, target, modulus, held, most, kept)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, most: int, kept: int) -> dict:
     sample, known = labelled_sample(docs, labels, target, modulus, held, most, balanced=True)
     # the sample is small: few tasks count it, each with an array of fixed size
     parts = summed_arrays(sample.repartition(16).mapInArrow(_count, "part int, data binary"), np.int32)
@@ -170,7 +175,6 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int
     of = np.frombuffer(lists.buffers()[2], np.uint16) if lists.buffers()[2] is not None else np.zeros(0, np.uint16)
     r = ratio[best]
     w, bias = _descend(of, row_at, y, r, float(np.log(totals[1] / totals[0])))
-    release(docs.sparkSession)
     # the sample is balanced: shift the odds back to those of all training labels
     shift = np.log(known[1] / known[0]) - np.log(totals[1] / totals[0])
     return {"slot": slot, "weights": w * r, "bias": float(bias + shift)}
