@@ -5,7 +5,7 @@ callables ``(spark, sf_dir) -> DataFrame``; ``ORACLES`` maps those that SQL can
 their DuckDB statement.
 """
 
-from patternloom.llm import bpe, decontaminate, embeddings, licences, lines, ngram, pii, quality, toxicity, urls
+from patternloom.llm import audit, bpe, clusters, decontaminate, embeddings, exact, licences, lines, ngram, pii, quality, toxicity, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -18,5 +18,8 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_licence_scan": licences.op9_licence_scan,
     "op10_embedding_dedup": embeddings.op10_embedding_dedup,
+    "op11_exact_dedup": exact.op11_exact_dedup,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_centroid_clusters": clusters.op13_centroid_clusters,
 }
-ORACLES = {"op6_url_filter": urls.ORACLE}
+ORACLES = {"op6_url_filter": urls.ORACLE, "op11_exact_dedup": exact.ORACLE, "op12_filter_audit": audit.ORACLE, "op13_centroid_clusters": clusters.ORACLE}
