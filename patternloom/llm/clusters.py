@@ -27,6 +27,7 @@ holds is null; an empty table yields no rows; further columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 from functools import partial
 
 import numpy as np
@@ -40,6 +41,7 @@ K, ROUNDS, DIMENSIONS, SCALE = 16, 3, 64, 64
 BLOCK_ROWS = 8192
 #: Components up to which squared distances of ``DIMENSIONS`` fit a long.
 _PLAIN = 1 << 27
+_GREATEST = int(np.finfo(np.float64).max)
 _BLOCK = "ids binary, vectors binary, cluster binary, upper binary, lower binary, sums binary"
 
 
@@ -66,8 +68,12 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _root(squares: np.ndarray) -> np.ndarray:
-    """Square roots, right to a few units in the last place; callers round them outwards."""
-    return np.sqrt(squares.astype(np.float64))
+    """Square roots, right to two units in the last place; callers round them outwards twice."""
+    if squares.dtype != object:
+        return np.sqrt(squares.astype(np.float64))
+    # beyond the doubles the greatest one stands: outwards of it is infinity, inwards a lesser bound
+    whole = [math.sqrt(v) if v < 1 << 106 else min(math.isqrt(v), _GREATEST) for v in squares.ravel().tolist()]
+    return np.array(whole, np.float64).reshape(squares.shape)
 
 
 def _between(centroids: np.ndarray) -> np.ndarray:
@@ -182,8 +188,8 @@ def _added(batches):
 def _replaced(tables: Tables, state: DataFrame, centroids: list) -> list:
     """New centroids: the floor of each cluster's mean; an empty cluster keeps its own."""
     some = state.select("sums").mapInArrow(_added, "sums binary")
-    # the rows of all tasks are added by 64 tasks, and theirs, 64 rows of fixed size, here
-    rows = some.repartition(64, F.xxhash64("sums")).mapInArrow(_added, "sums binary").toArrow()
+    # the rows of all tasks are added by 8 tasks, and theirs, 8 rows of fixed size, here
+    rows = some.repartition(8).mapInArrow(_added, "sums binary").toArrow()
     out = list(centroids)
     for batch in _added(rows.to_batches()):
         for j, (n, *total) in json.loads(batch.column(0)[0].as_py()).items():
