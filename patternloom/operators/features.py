@@ -1,16 +1,14 @@
 """Bar features: candles, structure, volume, volatility, levels, box, bands, trend, sequences.
 
-Every feature of bar t uses bars up to t only.  All row frames share one window order, so one
-sort per dataset serves a whole feature set.
+Every feature of bar t uses bars up to t only.  Bounded frames run in blocks of bars, running
+states are carried from block to block (``plans/blocks.py``), so a dataset is many tasks.
 """
 
 from __future__ import annotations
 
+from patternloom.plans.blocks import ORDER, bounded, carried, split
+from patternloom.plans.dual import SPARK as _SPARK
 from patternloom.plans.dual import Dialect
-from patternloom.sources.bars import ORDER
-
-_ALL = f"{ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-_BEFORE = f"{ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def frame(lo: int, hi: int) -> str:
@@ -34,16 +32,15 @@ def candle(d: Dialect, bars: str) -> str:
 def pivots(d: Dialect, bars: str) -> str:
     """Two-left, two-right pivots, known two bars later: their prices, kinds and the levels so far."""
     lag = lambda c, k: f"lag({c}, {k}) OVER ({ORDER})"
+    lags = ", ".join(f"{lag('high', k)} AS h{k}, {lag('low', k)} AS l{k}" for k in (1, 2, 3, 4))
+    found = split(d, bars, 4, lambda b: f"""
+        SELECT *, CASE WHEN h2 > h3 AND h2 >= h4 AND h2 > h1 AND h2 >= high THEN h2 END AS ph, CASE WHEN l2 < l3 AND l2 <= l4 AND l2 < l1 AND l2 <= low THEN l2 END AS pl
+        FROM (SELECT *, {lags}, {lag('close', 1)} AS prev_close FROM {b}) a""")
+    seen = carried(d, found, prev_high=("last", "ph", "before"), prev_low=("last", "pl", "before"), swing_high=("last", "ph"), swing_low=("last", "pl"))
     return f"""
     SELECT *, CASE WHEN ph IS NOT NULL THEN CASE WHEN prev_high IS NULL OR ph > prev_high THEN 'HH' ELSE 'LH' END END AS high_kind,
       CASE WHEN pl IS NOT NULL THEN CASE WHEN prev_low IS NULL OR pl > prev_low THEN 'HL' ELSE 'LL' END END AS low_kind
-    FROM (
-      SELECT *, {d.last('ph', _BEFORE)} AS prev_high, {d.last('pl', _BEFORE)} AS prev_low, {d.last('ph', _ALL)} AS swing_high, {d.last('pl', _ALL)} AS swing_low
-      FROM (
-        SELECT *, CASE WHEN h2 > h3 AND h2 >= h4 AND h2 > h1 AND h2 >= high THEN h2 END AS ph, CASE WHEN l2 < l3 AND l2 <= l4 AND l2 < l1 AND l2 <= low THEN l2 END AS pl
-        FROM (SELECT *, {', '.join(f'{lag("high", k)} AS h{k}, {lag("low", k)} AS l{k}' for k in (1, 2, 3, 4))}, {lag('close', 1)} AS prev_close FROM {bars}) a
-      ) b
-    ) c"""
+    FROM ({seen}) c"""
 
 
 def structure(d: Dialect, bars: str) -> str:
@@ -60,23 +57,20 @@ def structure(d: Dialect, bars: str) -> str:
 def _structure(d: Dialect, bars: str) -> str:
     up = "prev_close <= swing_high AND close > swing_high"
     down = "prev_close >= swing_low AND close < swing_low"
+    event = "coalesce(low_kind, high_kind)"
+    seen = carried(d, pivots(d, bars), last_event=("last", event), earlier_event=("last", event, "before"), last_high_kind=("last", "high_kind"), last_low_kind=("last", "low_kind"))
     # the events of a bar are its high kind, then its low kind; the one before the last may lie in the same bar
+    second = "CASE WHEN low_kind IS NOT NULL AND high_kind IS NOT NULL THEN high_kind WHEN low_kind IS NOT NULL OR high_kind IS NOT NULL THEN earlier_event END"
+    held = carried(d, seen, before_held=("last", second))
     return f"""
-    SELECT *, CASE WHEN low_kind IS NOT NULL AND high_kind IS NOT NULL THEN high_kind WHEN low_kind IS NOT NULL OR high_kind IS NOT NULL THEN earlier_event ELSE before_held END AS before_event
-    FROM (
-      SELECT *, {d.last('CASE WHEN low_kind IS NOT NULL AND high_kind IS NOT NULL THEN high_kind WHEN low_kind IS NOT NULL OR high_kind IS NOT NULL THEN earlier_event END', _ALL)} AS before_held
-      FROM (
-        SELECT *, {d.last('coalesce(low_kind, high_kind)', _ALL)} AS last_event, {d.last('coalesce(low_kind, high_kind)', _BEFORE)} AS earlier_event,
-          {d.last('high_kind', _ALL)} AS last_high_kind, {d.last('low_kind', _ALL)} AS last_low_kind,
-          CASE WHEN {down} THEN 'Bearish BOS' WHEN {up} THEN 'Bullish BOS' ELSE 'None' END AS break_of_structure,
-          CASE WHEN prev_close IS NOT NULL AND low < swing_low AND close > swing_low AND NOT ({down}) THEN 'Swept Low'
-               WHEN prev_close IS NOT NULL AND high > swing_high AND close < swing_high AND NOT ({up}) THEN 'Swept High' ELSE 'None' END AS liquidity_sweep,
-          coalesce({up}, false) AS bull_break, coalesce({down}, false) AS bear_break,
-          coalesce(prev_close IS NOT NULL AND high > swing_high AND close < swing_high AND NOT ({up}), false) AS high_sweep,
-          coalesce(prev_close IS NOT NULL AND low < swing_low AND close > swing_low AND NOT ({down}), false) AS low_sweep
-        FROM ({pivots(d, bars)}) p
-      ) q
-    ) r"""
+    SELECT *, CASE WHEN low_kind IS NOT NULL AND high_kind IS NOT NULL THEN high_kind WHEN low_kind IS NOT NULL OR high_kind IS NOT NULL THEN earlier_event ELSE before_held END AS before_event,
+      CASE WHEN {down} THEN 'Bearish BOS' WHEN {up} THEN 'Bullish BOS' ELSE 'None' END AS break_of_structure,
+      CASE WHEN prev_close IS NOT NULL AND low < swing_low AND close > swing_low AND NOT ({down}) THEN 'Swept Low'
+           WHEN prev_close IS NOT NULL AND high > swing_high AND close < swing_high AND NOT ({up}) THEN 'Swept High' ELSE 'None' END AS liquidity_sweep,
+      coalesce({up}, false) AS bull_break, coalesce({down}, false) AS bear_break,
+      coalesce(prev_close IS NOT NULL AND high > swing_high AND close < swing_high AND NOT ({up}), false) AS high_sweep,
+      coalesce(prev_close IS NOT NULL AND low < swing_low AND close > swing_low AND NOT ({down}), false) AS low_sweep
+    FROM ({held}) r"""
 
 
 #: Session: zone, regular hours in minutes after midnight, start of the trading day.
@@ -86,12 +80,9 @@ ZONE, OPEN, CLOSE, DAY_START, OPENING = "America/New_York", 570, 960, 1080, 120
 def clocked(d: Dialect, bars: str) -> str:
     """Bars with local minute, trading day (the local date shifted by the day's start) and its ordinal."""
     local, shifted = d.local("ts_ms", ZONE), d.local(f"ts_ms + {(1440 - DAY_START) * 60000}", ZONE)
-    return f"""
-    SELECT *, sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER ({_ALL}) AS day_no
-    FROM (
-      SELECT *, coalesce(day <> lag(day) OVER ({ORDER}), true) AS changed
-      FROM (SELECT *, cast({shifted} AS date) AS day, cast(hour({local}) * 60 + minute({local}) AS bigint) AS minute_of_day FROM {bars}) a
-    ) b"""
+    dated = f"(SELECT *, cast({shifted} AS date) AS day, cast(hour({local}) * 60 + minute({local}) AS bigint) AS minute_of_day FROM {bars}) a"
+    changes = split(d, dated, 1, lambda b: f"SELECT *, coalesce(day <> lag(day) OVER ({ORDER}), true) AS changed FROM {b}")
+    return carried(d, changes, day_no=("sum", "CASE WHEN changed THEN 1 ELSE 0 END"))
 
 
 def calendar(d: Dialect, bars: str) -> str:
@@ -134,6 +125,7 @@ def days(d: Dialect, bars: str) -> str:
     ) a"""
 
 
+@bounded(20)
 def volume(d: Dialect, bars: str) -> str:
     """Volume against the mean of the 20 bars before: relative volume and spike buckets."""
     return f"""
@@ -145,7 +137,7 @@ def volume(d: Dialect, bars: str) -> str:
     ) b"""
 
 
-def ranges(d: Dialect, bars: str) -> str:
+def _ranges(d: Dialect, bars: str) -> str:
     """Bars with true range, 14-bar ATR (none before bar 14) and the ATR that stands in before."""
     return f"""
     SELECT *, coalesce(atr, tr) AS current_atr
@@ -158,6 +150,9 @@ def ranges(d: Dialect, bars: str) -> str:
     ) c"""
 
 
+ranges = bounded(14)(_ranges)
+
+
 def atr(d: Dialect, bars: str) -> str:
     return f"SELECT dataset_id, bar_index, tr AS true_range, atr AS atr_14, current_atr FROM ({ranges(d, bars)}) r"
 
@@ -165,14 +160,44 @@ def atr(d: Dialect, bars: str) -> str:
 def atr_percentile(d: Dialect, bars: str) -> str:
     """Share of the ATR history, the current included, strictly below the current.
 
-    The history grows, so this compares each bar with the bars before it in its dataset.
+    The history grows, so a bar's rank is counted over a binary tree of its dataset's bars.  Bars of one
+    tile are compared with each other; above tiles, a node's later half counts the smaller values of its
+    earlier half by a running sum in the order of values.  That is n log n rows in all, and a node of very
+    many bars is dealt out by ranges of values.
     """
-    return f"""
-    SELECT a.dataset_id, a.bar_index, sum(CASE WHEN b.atr < a.atr THEN 1e0 ELSE 0e0 END) / count(*) * 100 AS atr_percentile
-    FROM ({ranges(d, bars)}) a JOIN ({ranges(d, bars)}) b ON a.dataset_id = b.dataset_id AND b.bar_index <= a.bar_index
-    WHERE a.atr IS NOT NULL AND b.atr IS NOT NULL GROUP BY a.dataset_id, a.bar_index"""
+    if d.duck:
+        return f"""
+        SELECT a.dataset_id, a.bar_index, sum(CASE WHEN b.atr < a.atr THEN 1e0 ELSE 0e0 END) / count(*) * 100 AS atr_percentile
+        FROM ({ranges(d, bars)}) a JOIN ({ranges(d, bars)}) b ON a.dataset_id = b.dataset_id AND b.bar_index <= a.bar_index
+        WHERE a.atr IS NOT NULL AND b.atr IS NOT NULL GROUP BY a.dataset_id, a.bar_index"""
+    known = f"SELECT dataset_id, bar_index, bar_index - 14 AS place, atr AS x FROM ({ranges(d, bars)}) r WHERE atr IS NOT NULL"
+    return f"SELECT dataset_id, bar_index, smaller * 1e0 / (place + 1) * 100 AS atr_percentile FROM ({earlier_smaller(known)}) c"
+
+
+#: Bars of a tile whose values are compared directly, as a power of two; nodes of more bars than 2^17 are dealt out by values.
+TILE_BITS, NODE_BITS, CUTS = 8, 16, 256
+
 
+def earlier_smaller(rows: str) -> str:
+    """Rows ``(dataset_id, bar_index, place, x)`` with ``smaller``, the number of earlier places of the dataset with a lesser ``x``.
 
+    Spark's text only.  Places count from 0 without gaps; ``x`` is not null.
+    """
+    cuts = ", ".join(f"{k / CUTS}" for k in range(1, CUTS))
+    facts = f"SELECT dataset_id, max(place) AS top, approx_percentile(x, array({cuts})) AS cuts FROM ({rows}) r GROUP BY dataset_id"
+    tile = f"PARTITION BY dataset_id, shiftright(place, {TILE_BITS}) ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    own = f"SELECT *, cast(size(filter(w, v -> v < x)) AS bigint) AS here FROM (SELECT *, collect_list(x) OVER ({tile}) AS w FROM ({rows}) r) t"
+    # a node of level k holds 2^(k+1) places; its earlier half has bit k off
+    spread = f"""
+    SELECT named_struct('own', r.dataset_id, 'level', k, 'node', shiftright(place, k + 1)) AS dataset_id, place, x, CASE WHEN k < {NODE_BITS} THEN 0 ELSE size(filter(cuts, v -> v < x)) END AS part, getbit(place, k) = 1 AS late
+    FROM (SELECT r.*, f.cuts, explode(sequence({TILE_BITS}, 62)) AS k, f.top FROM ({rows}) r JOIN ({facts}) f ON r.dataset_id = f.dataset_id) r
+    WHERE shiftleft(1L, k) <= top AND (getbit(place, k) = 1 OR shiftleft(shiftright(place, k) + 1, k) <= top)"""
+    counted = carried(_SPARK, spread, at="struct(x, NOT late)", block="part", smaller=("sum", "CASE WHEN late THEN 0 ELSE 1 END"))
+    above = f"SELECT dataset_id.own AS dataset_id, place, sum(smaller) AS above FROM ({counted}) c WHERE late GROUP BY dataset_id.own, place"
+    return f"SELECT o.dataset_id, o.bar_index, o.place, o.here + coalesce(a.above, 0) AS smaller FROM ({own}) o LEFT JOIN ({above}) a ON o.dataset_id = a.dataset_id AND o.place = a.place"
+
+
+@bounded(19)
 def range_percentile(d: Dialect, bars: str) -> str:
     """Share of the last 20 raw ranges, the current included, strictly below the current."""
     return f"""
@@ -183,7 +208,7 @@ def range_percentile(d: Dialect, bars: str) -> str:
 def _with_days(d: Dialect, bars: str) -> str:
     return f"""
     SELECT c.*, y.first_bar, y.day_open, y.pdh, y.pdl, y.pdc
-    FROM (SELECT *, lag(close) OVER ({ORDER}) AS prev_close FROM ({clocked(d, f"({ranges(d, bars)})" + " rr")}) cc) c JOIN ({days(d, bars)}) y ON c.dataset_id = y.dataset_id AND c.day_no = y.day_no"""
+    FROM (SELECT *, prev AS prev_close FROM ({clocked(d, f"({ranges(d, bars)}) rr")}) cc) c JOIN ({days(d, bars)}) y ON c.dataset_id = y.dataset_id AND c.day_no = y.day_no"""
 
 
 _LEVEL_EVENT = """CASE WHEN pdh IS NULL THEN NULL WHEN high > pdh AND close < pdh THEN 'Swept PDH' WHEN low < pdl AND close > pdl THEN 'Swept PDL'
@@ -212,11 +237,12 @@ def gap(d: Dialect, bars: str) -> str:
 def previous_hour(d: Dialect, bars: str) -> str:
     """Location within the range of the hour before (earlier bars only)."""
     over = "PARTITION BY dataset_id ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND 1 PRECEDING"
+    seen = split(d, bars, 3_600_000, lambda b: f"SELECT *, max(high) OVER ({over}) AS ph, min(low) OVER ({over}) AS pl FROM {b}", at="ts_ms", unit=3_600_000)
     return f"""
-    SELECT dataset_id, bar_index, (close - pl) / (CASE WHEN ph = pl THEN 1e-9 ELSE ph - pl END) * 100 AS prev_hour_location
-    FROM (SELECT *, max(high) OVER ({over}) AS ph, min(low) OVER ({over}) AS pl FROM {bars}) a WHERE ph IS NOT NULL"""
+    SELECT dataset_id, bar_index, (close - pl) / (CASE WHEN ph = pl THEN 1e-9 ELSE ph - pl END) * 100 AS prev_hour_location FROM ({seen}) a WHERE ph IS NOT NULL"""
 
 
+@bounded(20)
 def box(d: Dialect, bars: str) -> str:
     """Position in and events at the box of the 20 bars before."""
     return f"""
@@ -237,6 +263,7 @@ def opening_range(d: Dialect, bars: str) -> str:
     WHERE hi IS NOT NULL AND minute_of_day >= {OPEN + OPENING} AND minute_of_day < {CLOSE}"""
 
 
+@bounded(118)
 def bollinger(d: Dialect, bars: str) -> str:
     """20-bar bands of two population deviations: location, width, %B and the regime of the width."""
     return f"""
@@ -258,52 +285,47 @@ def bollinger(d: Dialect, bars: str) -> str:
     ) f"""
 
 
+@bounded(34)
 def trend(d: Dialect, bars: str) -> str:
     """Least-squares slope of 20 closes and its strength against the ATR."""
     return f"""
     SELECT dataset_id, bar_index, slope AS trend_slope, CASE WHEN x <= 0.05e0 THEN 'Choppy' WHEN x <= 0.12e0 THEN 'Weak' WHEN x <= 0.2e0 THEN 'Moderate' ELSE 'Strong' END AS trend_strength
     FROM (
       SELECT *, CASE WHEN current_atr > 1e-12 THEN abs(slope) / current_atr ELSE 0e0 END AS x
-      FROM (SELECT *, {d.slope('close', 'cast(bar_index AS double)')} OVER ({frame(-19, 0)}) AS slope FROM ({ranges(d, bars)}) r) a WHERE bar_index >= 20
+      FROM (SELECT *, {d.slope('close', 'cast(bar_index AS double)')} OVER ({frame(-19, 0)}) AS slope FROM ({_ranges(d, bars)}) r) a WHERE bar_index >= 20
     ) b"""
 
 
 def streak(d: Dialect, bars: str) -> str:
     """Consecutive closes in one direction (an equal close counts as up)."""
+    moves = split(d, bars, 1, lambda b: f"SELECT dataset_id, bar_index, close >= lag(close) OVER ({ORDER}) AS up FROM {b}")
+    placed = carried(d, moves, earlier=("last", "up", "before"), place=("sum", "CASE WHEN up IS NOT NULL THEN 1 ELSE 0 END"))
+    runs = carried(d, f"SELECT * FROM ({placed}) p WHERE up IS NOT NULL", opened=("last", "CASE WHEN coalesce(up <> earlier, true) THEN place END"))
     return f"""
     SELECT dataset_id, bar_index, n AS streak, CASE WHEN n <= 1 THEN 'Neutral' ELSE concat(CASE WHEN up THEN 'Up' ELSE 'Down' END, CASE WHEN n >= 3 THEN ' x3+' ELSE '' END) END AS consecutive_direction
-    FROM (
-      SELECT *, row_number() OVER (PARTITION BY dataset_id, run ORDER BY bar_index) AS n
-      FROM (
-        SELECT *, sum(CASE WHEN flip THEN 1 ELSE 0 END) OVER ({_ALL}) AS run
-        FROM (
-          SELECT *, coalesce(up <> lag(up) OVER ({ORDER}), true) AS flip
-          FROM (SELECT dataset_id, bar_index, close >= lag(close) OVER ({ORDER}) AS up FROM {bars}) a WHERE up IS NOT NULL
-        ) b
-      ) c
-    ) e"""
+    FROM (SELECT *, place - opened + 1 AS n FROM ({runs}) r) e"""
 
 
 def sequences(d: Dialect, bars: str) -> str:
     """Sweep then reclaim, and break then retest, within one to five bars."""
-    last = lambda test, x: d.last(f"CASE WHEN {test} THEN {x} END", _ALL)
-    return f"""
-    SELECT dataset_id, bar_index,
-      CASE WHEN bar_index - hs BETWEEN 1 AND 5 AND (coalesce(level_event, '') = 'Reclaimed PDH' OR close > swing_high) THEN 'High Sweep → Reclaim'
-           WHEN bar_index - ls BETWEEN 1 AND 5 AND (coalesce(level_event, '') = 'Reclaimed PDL' OR close > swing_low) THEN 'Low Sweep → Reclaim' ELSE 'None' END AS sweep_reclaim_sequence,
-      CASE WHEN bar_index - ub BETWEEN 1 AND 5 AND low <= ul AND close >= ul THEN 'Bullish Break → Retest' WHEN bar_index - db BETWEEN 1 AND 5 AND high >= dl AND close <= dl THEN 'Bearish Break → Retest' ELSE 'None' END AS break_retest_sequence
-    FROM (
-      SELECT *, {last("high_sweep OR coalesce(level_event, '') = 'Swept PDH'", 'bar_index')} AS hs, {last("low_sweep OR coalesce(level_event, '') = 'Swept PDL'", 'bar_index')} AS ls,
-        {last('up_level IS NOT NULL', 'bar_index')} AS ub, {d.last('up_level', _ALL)} AS ul, {last('down_level IS NOT NULL', 'bar_index')} AS db, {d.last('down_level', _ALL)} AS dl
-      FROM (
+    rows = f"""
         SELECT s.*, l.level_event,
           CASE WHEN x.box_event = 'Breakout Up' THEN x.exit_box_high WHEN l.level_event = 'Broke PDH' THEN l.pdh WHEN s.bull_break THEN s.swing_high END AS up_level,
           CASE WHEN x.box_event = 'Breakout Down' THEN x.exit_box_low WHEN l.level_event = 'Broke PDL' THEN l.pdl WHEN s.bear_break THEN s.swing_low END AS down_level
         FROM ({_structure(d, bars)}) s
         LEFT JOIN (SELECT dataset_id, bar_index, pdh, pdl, {_LEVEL_EVENT} AS level_event FROM ({_with_days(d, bars)}) w) l ON s.dataset_id = l.dataset_id AND s.bar_index = l.bar_index
-        LEFT JOIN ({box(d, bars)}) x ON s.dataset_id = x.dataset_id AND s.bar_index = x.bar_index
-      ) a
-    ) b"""
+        LEFT JOIN ({box(d, bars)}) x ON s.dataset_id = x.dataset_id AND s.bar_index = x.bar_index"""
+    last = lambda test, x: ("last", f"CASE WHEN {test} THEN {x} END")
+    seen = carried(
+        d, rows, hs=last("high_sweep OR coalesce(level_event, '') = 'Swept PDH'", "bar_index"), ls=last("low_sweep OR coalesce(level_event, '') = 'Swept PDL'", "bar_index"),
+        ub=last("up_level IS NOT NULL", "bar_index"), ul=("last", "up_level"), db=last("down_level IS NOT NULL", "bar_index"), dl=("last", "down_level"),
+    )
+    return f"""
+    SELECT dataset_id, bar_index,
+      CASE WHEN bar_index - hs BETWEEN 1 AND 5 AND (coalesce(level_event, '') = 'Reclaimed PDH' OR close > swing_high) THEN 'High Sweep → Reclaim'
+           WHEN bar_index - ls BETWEEN 1 AND 5 AND (coalesce(level_event, '') = 'Reclaimed PDL' OR close > swing_low) THEN 'Low Sweep → Reclaim' ELSE 'None' END AS sweep_reclaim_sequence,
+      CASE WHEN bar_index - ub BETWEEN 1 AND 5 AND low <= ul AND close >= ul THEN 'Bullish Break → Retest' WHEN bar_index - db BETWEEN 1 AND 5 AND high >= dl AND close <= dl THEN 'Bearish Break → Retest' ELSE 'None' END AS break_retest_sequence
+    FROM ({seen}) b"""
 
 
 def adjusted_box(d: Dialect, bars: str) -> str:

@@ -20,6 +20,7 @@ from math import comb
 
 from patternloom.operators import features as fx
 from patternloom.operators.features import frame
+from patternloom.plans.blocks import split as in_blocks
 from patternloom.plans.dual import Dialect
 from patternloom.sources.bars import ORDER
 
@@ -57,10 +58,11 @@ def feature_row(d: Dialect, bars: str) -> str:
         return f"""
         SELECT a.dataset_id, a.bar_index, a.candle_direction, a.candle_body_pct, b.box_event, b.box_position, v.rvol_bucket, s.structure_state
         FROM ({fx.candle(d, bars)}) a LEFT JOIN ({fx.box(d, bars)}) b ON {on.format('b')} LEFT JOIN ({fx.volume(d, bars)}) v ON {on.format('v')} LEFT JOIN ({fx.structure(d, bars)}) s ON {on.format('s')}"""
-    return f"SELECT dataset_id, bar_index, candle_direction, candle_body_pct, box_event, box_position, rvol_bucket, structure_state FROM ({_featured(d, bars)}) f"
+    columns = "dataset_id, bar_index, candle_direction, candle_body_pct, box_event, box_position, rvol_bucket, structure_state"
+    return f"SELECT {columns} FROM ({in_blocks(d, f'({fx._structure(d, bars)}) s', 20, _boxed)}) f"
 
 
-def _featured(d: Dialect, bars: str) -> str:
+def _boxed(structure: str) -> str:
     """All columns of the bars and the same features by one pass of window functions."""
     return f"""
     SELECT *, abs(close - open) / rng * 100 AS candle_body_pct, CASE WHEN abs(close - open) < rng * 0.05e0 THEN 'Doji' WHEN close >= open THEN 'Up' ELSE 'Down' END AS candle_direction,
@@ -71,7 +73,7 @@ def _featured(d: Dialect, bars: str) -> str:
     FROM (
       SELECT *, {fx.GUARD} AS rng, max(high) OVER ({frame(-20, -1)}) AS box_high, min(low) OVER ({frame(-20, -1)}) AS box_low,
         CASE WHEN bar_index < 20 THEN 1e0 WHEN avg(volume) OVER ({frame(-20, -1)}) > 0 THEN volume / avg(volume) OVER ({frame(-20, -1)}) ELSE 1e0 END AS rvol
-      FROM ({fx._structure(d, bars)}) s
+      FROM {structure}
     ) w"""
 
 
@@ -90,15 +92,14 @@ def evaluated(d: Dialect, bars: str) -> str:
     over = ", ".join(f"lead(close, {h}) OVER ({ORDER}) AS x{h}, max(high) OVER ({frame(1, h)}) AS top{h}, min(low) OVER ({frame(1, h)}) AS low{h}" for h in HORIZONS)
     moves = ", ".join(f"(x{h} - close) / scale * 100 AS r{h}, CASE WHEN x{h} IS NOT NULL THEN (greatest(close, top{h}) - close) / scale * 100 END AS u{h}, CASE WHEN x{h} IS NOT NULL THEN (close - least(close, low{h})) / scale * 100 END AS w{h}" for h in HORIZONS)
     touch = ", ".join(f"nullif(array_position(transform(highs, v -> (v - close) / scale * 100 >= {t}e0), true), 0) AS hu{t}, nullif(array_position(transform(lows, v -> (close - v) / scale * 100 >= {t}e0), true), 0) AS hd{t}" for t in TOUCHES)
+    windows = lambda b: f"""
+        SELECT *, {over}, collect_list(high) OVER ({frame(1, HORIZON)}) AS highs, collect_list(low) OVER ({frame(1, HORIZON)}) AS lows, avg(close) OVER ({frame(-49, 0)}) AS sma
+        FROM ({_boxed(b)}) f"""
+    reached = in_blocks(d, f"({fx._structure(d, bars)}) s", 49, windows, ahead=max(HORIZONS))
     return f"""
-    SELECT dataset_id, bar_index, ts_ms, close, c, market, conds, x{HORIZON} - close AS dx, {moves}, {touch}
-    FROM (
-      SELECT *, {_SCALE} AS scale, CASE WHEN bar_index >= 50 AND close < sma THEN 'bear' ELSE 'bull' END AS market, array_compact(array({conds})) AS conds
-      FROM (
-        SELECT *, {over}, collect_list(high) OVER ({frame(1, HORIZON)}) AS highs, collect_list(low) OVER ({frame(1, HORIZON)}) AS lows, avg(close) OVER ({frame(-49, 0)}) AS sma, count(*) OVER (PARTITION BY dataset_id) AS c
-        FROM ({_featured(d, bars)}) f
-      ) g
-    ) h"""
+    SELECT h.dataset_id, bar_index, ts_ms, close, c, market, conds, x{HORIZON} - close AS dx, {moves}, {touch}
+    FROM (SELECT *, {_SCALE} AS scale, CASE WHEN bar_index >= 50 AND close < sma THEN 'bear' ELSE 'bull' END AS market, array_compact(array({conds})) AS conds FROM ({reached}) g) h
+    JOIN (SELECT dataset_id, count(*) AS c FROM {bars} GROUP BY dataset_id) n ON h.dataset_id = n.dataset_id"""
 
 
 def _evaluated_by_joins(d: Dialect, bars: str) -> str:
@@ -205,8 +206,7 @@ def trades(d: Dialect, ev: str) -> str:
 def picked(d: Dialect, rows: str) -> str:
     """Rows (dataset_id, pattern_id, h, bar_index, move) with a flag of those that do not overlap, chosen greedily.
 
-    The next row is at least ``h`` bars after the last chosen.  A row ``h`` or more after the one
-    before it begins a chain of its own, so state is carried through one chain at a time.
+    The next row is at least ``h`` bars after the last chosen.
     """
     key = "dataset_id, pattern_id, h"
     if d.duck:
@@ -216,19 +216,41 @@ def picked(d: Dialect, rows: str) -> str:
           r AS (SELECT {key}, min(bar_index) AS bar_index FROM a GROUP BY {key} UNION ALL SELECT r.dataset_id, r.pattern_id, r.h, nxt.follow FROM r JOIN nxt ON r.dataset_id = nxt.dataset_id AND r.pattern_id = nxt.pattern_id AND r.h = nxt.h AND r.bar_index = nxt.bar_index)
           SELECT * FROM r
         ) g ON w.dataset_id = g.dataset_id AND w.pattern_id = g.pattern_id AND w.h = g.h AND w.bar_index = g.bar_index"""
-    over = f"PARTITION BY {key} ORDER BY bar_index"
-    flag = "named_struct('bar_index', v.bar_index, 'move', v.move, 'picked', v.bar_index >= s.nxt)"
-    step = f"(s, v) -> named_struct('nxt', CASE WHEN v.bar_index >= s.nxt THEN v.bar_index + h ELSE s.nxt END, 'got', concat(s.got, array({flag})))"
-    start = "named_struct('nxt', cast(-1 AS bigint), 'got', cast(array() AS array<struct<bar_index: bigint, move: double, picked: boolean>>))"
-    return f"""
-    SELECT {key}, got.* FROM (
-      SELECT {key}, explode(aggregate(chain, {start}, {step}, s -> s.got)) AS got
-      FROM (
-        SELECT {key}, part, sort_array(collect_list(struct(bar_index, move))) AS chain
-        FROM (SELECT *, sum(CASE WHEN bar_index - before < h THEN 0 ELSE 1 END) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM (SELECT *, lag(bar_index) OVER ({over}) AS before FROM ({rows}) q) a) b
-        GROUP BY {key}, part
-      ) c
-    ) e"""
+    return _picked_in_blocks(rows, key)
+
+
+#: Bars of a block, and blocks of a stretch, in which a choice is carried.
+PICK_BLOCK, PICK_STRETCH = 1024, 1024
+
+
+def _picked_in_blocks(rows: str, key: str) -> str:
+    """The greedy choice carried from block to block.
+
+    What a block does to the choice is a function of how many of its first bars are still covered by
+    the row chosen before (0 to h - 1), so each block is a list of h numbers: the cover that it leaves to
+    the next one.  Lists of a stretch of blocks are composed, stretches are gone through in order, then
+    each block is chosen from with the cover that reaches it.  No list is longer than a block, a stretch
+    or the number of stretches (one for a million bars).
+    """
+    size, many = PICK_BLOCK, PICK_STRETCH
+    on = lambda a, b, *more: " AND ".join(f"{a}.{k} = {b}.{k}" for k in (*key.split(", "), *more))
+    step = "(free, v) -> transform(free, a -> CASE WHEN v.bar_index >= a THEN v.bar_index + h ELSE a END)"
+    blocks = f"""
+    SELECT *, transform(aggregate(chain, transform(sequence(0L, h - 1), e -> block * {size} + e), {step}), a -> greatest(a - (block + 1) * {size}, 0L)) AS leaves
+    FROM (SELECT {key}, bar_index DIV {size} AS block, sort_array(collect_list(struct(bar_index, move))) AS chain FROM ({rows}) q GROUP BY {key}, bar_index DIV {size}) b"""
+    # cover reaches the next block only; a missing block has no rows and leaves none
+    apply = "named_struct('at', b.block, 'cover', transform(s.cover, e -> b.leaves[cast(CASE WHEN b.block = s.at + 1 THEN e ELSE 0L END AS int)]))"
+    stretches = f"""
+    SELECT {key}, stretch, list, CASE WHEN done.at % {many} = {many - 1} THEN done.cover ELSE transform(done.cover, e -> 0L) END AS leaves
+    FROM (SELECT *, aggregate(list, named_struct('at', stretch * {many} - 1, 'cover', sequence(0L, h - 1)), (s, b) -> {apply}) AS done
+      FROM (SELECT {key}, block DIV {many} AS stretch, sort_array(collect_list(struct(block, leaves))) AS list FROM ({blocks}) b GROUP BY {key}, block DIV {many}) c) e"""
+    walk = lambda items, at, first: f"aggregate({items}, named_struct('at', {first}, 'cover', {{0}}, 'got', cast(array() AS array<struct<at: bigint, cover: bigint>>)), (s, b) -> named_struct('at', b.{at}, 'cover', b.leaves[cast(CASE WHEN b.{at} = s.at + 1 THEN s.cover ELSE 0L END AS int)], 'got', concat(s.got, array(named_struct('at', b.{at}, 'cover', CASE WHEN b.{at} = s.at + 1 THEN s.cover ELSE 0L END)))), s -> s.got)"
+    entered = f"SELECT {key}, inline({walk('list', 'stretch', '-1L').format('0L')}) AS (stretch, cover) FROM (SELECT {key}, sort_array(collect_list(struct(stretch, leaves))) AS list FROM ({stretches}) t GROUP BY {key}) u"
+    reached = f"SELECT {key}, inline({walk('list', 'block', f'stretch * {many} - 1').format('cover')}) AS (block, cover) FROM (SELECT t.*, n.cover FROM ({stretches}) t JOIN ({entered}) n ON {on('t', 'n', 'stretch')}) v"
+    choice = "named_struct('free', CASE WHEN v.bar_index >= s.free THEN v.bar_index + h ELSE s.free END, 'got', concat(s.got, array(v.bar_index >= s.free)))"
+    flags = f"aggregate(chain, named_struct('free', block * {size} + cover, 'got', cast(array() AS array<boolean>)), (s, v) -> {choice}, s -> s.got)"
+    marked = f"zip_with(chain, {flags}, (v, p) -> named_struct('bar_index', v.bar_index, 'move', v.move, 'picked', p))"
+    return f"SELECT {key}, inline({marked}) FROM (SELECT b.*, r.cover FROM ({blocks}) b JOIN ({reached}) r ON {on('b', 'r', 'block')}) w"
 
 
 def spaced(d: Dialect, ev: str) -> str:

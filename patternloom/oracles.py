@@ -25,12 +25,12 @@ tail AS (
   SELECT *, least(1.0, greatest(0.0, 2 * 0.3989423 * exp(-z * z / 2) * (0.3193815 * t - 0.3565638 * t ** 2 + 1.781478 * t ** 3 - 1.821256 * t ** 4 + 1.330274 * t ** 5))) AS p
   FROM (SELECT *, 1 / (1 + 0.2316419 * z) AS t FROM (SELECT *, abs(win / 100 - q0) / sqrt(q0 * (1 - q0) / n) AS z FROM (SELECT *, greatest(0.000001, least(0.999999, bl / 100)) AS q0 FROM pat) a) b) c)"""
 _SIDES = """
-won AS (SELECT h.*, p.dir, CASE p.dir WHEN 'bullish' THEN h.r > 0 ELSE h.r < 0 END AS good, h.b >= floor(0.7 * h.c) AS late FROM hit h JOIN pat p USING (ds, pid) WHERE h.r IS NOT NULL),
+won AS (SELECT h.*, p.dir, CASE p.dir WHEN 'bullish' THEN h.r > 0 ELSE h.r < 0 END AS good, h.b >= floor(0.7e0 * h.c) AS late FROM hit h JOIN pat p USING (ds, pid) WHERE h.r IS NOT NULL),
 side AS (
   SELECT ds, pid, dir, count(*) FILTER (WHERE late) AS n1, count(*) FILTER (WHERE NOT late) AS n0, coalesce(100.0 * count(*) FILTER (WHERE late AND good) / nullif(count(*) FILTER (WHERE late), 0), 0) AS w1,
     coalesce(100.0 * count(*) FILTER (WHERE NOT late AND good) / nullif(count(*) FILTER (WHERE NOT late), 0), 0) AS w0, coalesce(avg(r) FILTER (WHERE late), 0) AS m1, coalesce(sum(dx) FILTER (WHERE late), 0) AS d1
   FROM won GROUP BY ds, pid, dir),
-edge AS (SELECT ds, c, f, floor(c * (0.4 + 0.6 * f / 4)) AS lo, floor(c * (0.4 + 0.6 * (f + 1) / 4)) AS hi FROM (SELECT DISTINCT dataset_id AS ds, c FROM ev) x, (SELECT unnest([0, 1, 2, 3]) AS f) y),
+edge AS (SELECT ds, c, f, floor(c * (0.4e0 + 0.6e0 * f / 4)) AS lo, floor(c * (0.4e0 + 0.6e0 * (f + 1) / 4)) AS hi FROM (SELECT DISTINCT dataset_id AS ds, c FROM ev) x, (SELECT unnest([0, 1, 2, 3]) AS f) y),
 fold AS (
   SELECT p.ds, p.pid, p.dir, e.f, count(w.b) AS n, coalesce(100.0 * count(*) FILTER (WHERE w.good) / nullif(count(w.b), 0), 0) AS rate, coalesce(avg(w.r), 0) AS mv
   FROM pat p JOIN edge e USING (ds) LEFT JOIN won w ON w.ds = p.ds AND w.pid = p.pid AND w.b >= e.lo AND w.b < e.hi GROUP BY p.ds, p.pid, p.dir, e.f),
@@ -51,7 +51,7 @@ SELECT ds AS dataset_id, pid AS pattern_id, n, 0.1 * log10(greatest(n, 10)) + 0.
 WALK_FORWARD = f"WITH {_HITS}, {_SIDES} SELECT ds AS dataset_id, pid AS pattern_id, f AS fold, n, rate AS win_rate, mv AS move, ok AS passed FROM walk"
 HELD_UP = f"WITH {_HITS}, {_SIDES} SELECT ds AS dataset_id, pid AS pattern_id, ok AS passed, mean AS mean_win, worst AS worst_win, why AS failure, CASE why WHEN 'none' THEN 'held' ELSE 'degraded' END AS status FROM held"
 PER_CONDITION = f"""
-WITH {_HITS}, all_rows AS (SELECT ds, k, CASE WHEN b < floor(0.7 * c) THEN 'in' ELSE 'out' END AS side, coalesce(r, 0) AS r FROM one)
+WITH {_HITS}, all_rows AS (SELECT ds, k, CASE WHEN b < floor(0.7e0 * c) THEN 'in' ELSE 'out' END AS side, coalesce(r, 0) AS r FROM one)
 SELECT p.ds AS dataset_id, p.pid AS pattern_id, a.k - 1 AS cond, a.side, count(*) AS n, 100.0 * count(*) FILTER (WHERE CASE p.dir WHEN 'bullish' THEN a.r > 0 ELSE a.r < 0 END) / count(*) AS win_rate, avg(a.r) AS move
 FROM pat p JOIN all_rows a ON a.ds = p.ds AND a.k IN (p.pid % 21, (p.pid // 21) % 21, p.pid // 441) GROUP BY p.ds, p.pid, a.k, a.side"""
 SURVIVAL = f"""

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+from patternloom.plans.blocks import ORDER, numbered, split
 from patternloom.plans.dual import Dialect
 
-HOUR = 3_600_000
-#: Identity and order of bars everywhere.
-ORDER = "PARTITION BY dataset_id ORDER BY bar_index"
+HOUR, DAY = 3_600_000, 86_400_000
 
 
 def tick_bars(d: Dialect, events: str, interval: int = HOUR) -> str:
@@ -15,14 +14,12 @@ def tick_bars(d: Dialect, events: str, interval: int = HOUR) -> str:
     Ties in time are broken by event id.  Empty intervals make no bar.
     """
     ms = d.epoch_ms("ts")
-    return f"""
-    SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY ts_ms) - cast(1 AS bigint) AS bar_index, ts_ms, open, high, low, close, volume, avg_value, users, k
-    FROM (
+    rows = f"""
       SELECT event_type AS dataset_id, {d.div(ms, str(interval))} * cast({interval} AS bigint) AS ts_ms,
         {_by('min', 'value', 'ts', 'event_id', d)} AS open, max(value) AS high, min(value) AS low, {_by('max', 'value', 'ts', 'event_id', d)} AS close,
         cast(count(*) AS double) AS volume, avg(value) AS avg_value, cast(count(DISTINCT user_id) AS double) AS users, avg({d.json_long('props', 'k')}) AS k
-      FROM {events} WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type, {d.div(ms, str(interval))}
-    ) b"""
+      FROM {events} WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type, {d.div(ms, str(interval))}"""
+    return f"SELECT dataset_id, bar_index, ts_ms, open, high, low, close, volume, avg_value, users, k FROM ({numbered(d, rows, interval)}) b"
 
 
 def _by(which: str, value: str, first: str, second: str, d: Dialect) -> str:
@@ -32,13 +29,11 @@ def _by(which: str, value: str, first: str, second: str, d: Dialect) -> str:
 def daily_bars(d: Dialect, lineitem: str) -> str:
     """Line items to daily bars of the unit price: one dataset per return flag."""
     order = ("l_extendedprice / l_quantity", "l_orderkey", "l_linenumber")
-    return f"""
-    SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY ts_ms) - cast(1 AS bigint) AS bar_index, ts_ms, open, high, low, close, volume
-    FROM (
+    rows = f"""
       SELECT l_returnflag AS dataset_id, {d.epoch_ms('l_shipdate')} AS ts_ms, {_by('min', *order, d)} AS open, max(l_extendedprice / l_quantity) AS high,
         min(l_extendedprice / l_quantity) AS low, {_by('max', *order, d)} AS close, sum(l_quantity) AS volume
-      FROM {lineitem} GROUP BY l_returnflag, l_shipdate
-    ) b"""
+      FROM {lineitem} GROUP BY l_returnflag, l_shipdate"""
+    return f"SELECT dataset_id, bar_index, ts_ms, open, high, low, close, volume FROM ({numbered(d, rows, DAY)}) b"
 
 
 def resample(d: Dialect, bars: str, n: int = 4) -> str:
@@ -85,5 +80,5 @@ def calibration(d: Dialect, bars: str) -> str:
     SELECT dataset_id, round(stddev_pop(r), 6) AS return_sd, round(avg(tr), 4) AS mean_tr_pct, round({d.at(d.sorted(d.items('tr')), 'floor(count(tr) / 2e0) + 1')}, 4) AS median_tr_pct, round(stddev_pop(gap), 6) AS gap_sd
     FROM (
       SELECT dataset_id, CASE WHEN p > 0 THEN close / p - 1 END AS r, CASE WHEN p > 0 THEN greatest(high - low, abs(high - p), abs(low - p)) / p * 100 END AS tr, CASE WHEN p > 0 THEN open / p - 1 END AS gap
-      FROM (SELECT *, lag(close) OVER ({ORDER}) AS p FROM {bars}) a
+      FROM ({split(d, bars, 1, lambda b: f"SELECT *, lag(close) OVER ({ORDER}) AS p FROM {b}")}) a
     ) b GROUP BY dataset_id"""
