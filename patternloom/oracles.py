@@ -170,3 +170,33 @@ FOLDS = f"{_BOOK} SELECT b.ds AS dataset_id, b.pid AS pattern_id, b.cfg, least(3
 R_METRICS = f"""{_BOOK}, run AS (SELECT *, sum(r) OVER (PARTITION BY ds, pid, cfg ORDER BY i) AS t FROM book WHERE state = 'trade'),
 top AS (SELECT *, greatest(0, max(t) OVER (PARTITION BY ds, pid, cfg ORDER BY i)) - t AS fall FROM run)
 SELECT ds AS dataset_id, pid AS pattern_id, cfg, count(*) AS n, 100.0 * count(*) FILTER (WHERE r > 0) / count(*) AS win_rate, avg(r) AS expectancy, coalesce(sum(r) FILTER (WHERE r > 0), 0) / nullif(-sum(r) FILTER (WHERE r < 0), 0) AS profit_factor, sum(r) AS net_r, max(fall) AS max_drawdown, avg(r - 0.05 / pct) AS stressed FROM top GROUP BY ds, pid, cfg"""
+
+#: The level-wise search by rows of bars: sets as joins, match sets as lists, the choice row by row.
+LEVELS = """
+late AS MATERIALIZED (SELECT dataset_id AS ds, bar_index AS b, r12 AS r FROM ev WHERE r12 IS NOT NULL),
+every AS (SELECT l.dataset_id AS ds, l.bar_index AS b, m.cond, m.feature FROM long l JOIN made m USING (dataset_id, feature)
+  WHERE (m.op = 'lt' AND l.num < m.v) OR (m.op = 'gt' AND l.num > m.v) OR (m.op = 'eq' AND l.num = m.v) OR (m.op = 'neq' AND l.num <> m.v) OR (m.op = 'is' AND l.txt = m.t)),
+often AS MATERIALIZED (SELECT e.*, t.r, count(*) OVER (PARTITION BY e.ds, e.cond) AS times FROM every e JOIN late t USING (ds, b) QUALIFY times >= 120),
+very AS MATERIALIZED (SELECT * FROM often WHERE times >= 400),
+met AS MATERIALIZED (
+  SELECT ds, b, r, [cond] AS conds, [feature] AS features FROM often
+  UNION ALL SELECT x.ds, x.b, x.r, [x.cond, y.cond], [x.feature, y.feature] FROM often x JOIN often y ON x.ds = y.ds AND x.b = y.b AND x.cond < y.cond AND x.feature <> y.feature
+  UNION ALL SELECT x.ds, x.b, x.r, [x.cond, y.cond, z.cond], [x.feature, y.feature, z.feature] FROM very x JOIN very y ON x.ds = y.ds AND x.b = y.b AND x.cond < y.cond AND x.feature <> y.feature JOIN very z ON y.ds = z.ds AND y.b = z.b AND y.cond < z.cond AND z.feature <> y.feature AND z.feature <> x.feature),
+sets AS MATERIALIZED (
+  SELECT ds AS dataset_id, array_to_string(conds, ' + ') AS pattern, array_to_string(list_sort(features), '|') AS family, len(conds) AS depth, count(*) AS n, count(*) FILTER (WHERE r > 0) AS ups, count(*) FILTER (WHERE r < 0) AS downs, conds
+  FROM met GROUP BY ds, conds, list_sort(features), features HAVING count(*) >= CASE len(conds) WHEN 3 THEN 400 ELSE 120 END),
+base AS (SELECT ds, 100.0 * count(*) FILTER (WHERE r > 0) / count(*) AS bu, 100.0 * count(*) FILTER (WHERE r < 0) / count(*) AS bd FROM late GROUP BY ds),
+rated AS MATERIALIZED (SELECT s.*, s.dataset_id AS ds, CASE WHEN ups >= downs THEN 100.0 * ups / n ELSE 100.0 * downs / n END AS win_rate, CASE WHEN ups >= downs THEN 100.0 * ups / n - bu ELSE 100.0 * downs / n - bd END AS lift FROM sets s JOIN base ON base.ds = s.dataset_id),
+weak AS (SELECT DISTINCT s.ds, s.pattern FROM rated s JOIN rated p ON p.ds = s.ds AND p.depth = s.depth - 1 AND list_has_all(s.conds, p.conds) WHERE s.win_rate < CASE WHEN s.ups >= s.downs THEN p.ups ELSE p.downs END * 100.0 / p.n + 0.5),
+passed AS MATERIALIZED (SELECT r.*, row_number() OVER (PARTITION BY ds, family ORDER BY depth, pattern) AS i FROM rated r WHERE win_rate >= 52 AND lift >= 3 AND NOT EXISTS (SELECT 1 FROM weak w WHERE w.ds = r.ds AND w.pattern = r.pattern)),
+bars AS MATERIALIZED (SELECT p.ds, p.family, p.i, p.pattern, p.n, list(m.b) AS bs FROM passed p JOIN met m ON m.ds = p.ds AND m.conds = p.conds GROUP BY ALL),
+twins AS MATERIALIZED (SELECT x.ds, x.family, x.i, y.i AS j, x.pattern AS early, y.pattern AS late, len(list_intersect(x.bs, y.bs)) * 1.0 / (x.n + y.n - len(list_intersect(x.bs, y.bs))) AS jaccard
+  FROM bars x JOIN bars y ON x.ds = y.ds AND x.family = y.family AND x.i < y.i WHERE abs(x.n - y.n) <= 0.1 * greatest(x.n, y.n) AND jaccard >= 0.95),
+line AS (SELECT ds, family, i, coalesce((SELECT list(t.i) FROM twins t WHERE t.ds = p.ds AND t.family = p.family AND t.j = p.i), []) AS before FROM passed p),
+walk AS (
+  SELECT DISTINCT ds, family, 0::BIGINT AS i, []::BIGINT[] AS stays FROM passed
+  UNION ALL SELECT l.ds, l.family, l.i, CASE WHEN list_has_any(w.stays, l.before) THEN w.stays ELSE list_append(w.stays, l.i) END FROM walk w JOIN line l ON l.ds = w.ds AND l.family = w.family AND l.i = w.i + 1),
+ends AS (SELECT ds, family, arg_max(stays, i) AS stays FROM walk GROUP BY ds, family),
+decided AS (
+  SELECT r.ds, r.pattern, r.depth, r.n, r.win_rate, r.lift, CASE WHEN r.win_rate < 52 THEN '2 win rate' WHEN r.lift < 3 THEN '3 lift' WHEN p.i IS NULL THEN '4 redundant condition' WHEN list_contains(e.stays, p.i) THEN 'kept' ELSE '5 near duplicate' END AS reason
+  FROM rated r LEFT JOIN passed p ON p.ds = r.ds AND p.pattern = r.pattern LEFT JOIN ends e ON e.ds = p.ds AND e.family = p.family)"""

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from patternloom import oracles
 from patternloom.operators import align, hygiene, simulate
 from patternloom.operators import catalogue as ct
+from patternloom.operators import conjunctions as cj
 from patternloom.operators import crossref as xr
 from patternloom.operators import semantic as sem
 from patternloom.operators import features as fx
@@ -89,6 +90,12 @@ def kept_tables(spark: SparkSession, sf_dir: str, body: str) -> dict[str, DataFr
 
 _BARS = f"({src.tick_bars(SPARK, '{events}')}) b"
 pt.STORED["ev"] = lambda d, ev: pt.evaluated(d, _BARS)
+pt.STORED["long"] = lambda d, ev: cj.long_features(d, _BARS)
+pt.STORED["met"] = lambda d, ev: cj.met("{long}", "{ev}")
+pt.STORED["frequent"] = lambda d, ev: cj.frequent("{met}")
+pt.STORED["words"] = lambda d, ev: cj.words("{met}", "{frequent}")
+pt.STORED["pairs"] = lambda d, ev: cj.pairs("{words}")
+pt.STORED["found"] = lambda d, ev: cj.levels("{words}", "{pairs}", "{frequent}")
 pt.STORED["paths"] = lambda d, ev: tr.paths(d, _BARS, ev)
 
 
@@ -106,6 +113,18 @@ def pattern_query(name: str, spec: str, operator: Operator, oracle: str | None =
 EVALUATED = pt.evaluated(DUCKDB, f"({src.tick_bars(DUCKDB, 'events')})")
 
 
+def level_query(name: str, spec: str, text: str, oracle: str) -> None:
+    """A query over the stored tables of the level-wise search; the oracle reads ``long``, ``made`` and ``ev``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        body = f"SELECT {columns(spec)} FROM ({text}) q"
+        return spark.sql(body, **kept_tables(spark, sf_dir, body))
+
+    QUERIES[name] = run
+    features = cj.long_features(DUCKDB, f"({src.tick_bars(DUCKDB, 'events')})")
+    ORACLES[name] = f"WITH RECURSIVE ev AS MATERIALIZED ({EVALUATED}), long AS MATERIALIZED ({features}), made AS MATERIALIZED ({cj.made(DUCKDB, 'long')}), {oracles.LEVELS} SELECT {columns(spec)} FROM ({oracle}) q"
+
+
 def bar_query(name: str, spec: str, operator: Operator, source=hourly, **options) -> None:
     add(name, spec, lambda d, **t: operator(d, source(d, **t) + " bb", **options))
 
@@ -278,6 +297,15 @@ pattern_query("o10_intersection", "a b dataset_id bar_index", lambda d, ev: f"SE
 pattern_query("o11_top_rejections", "dataset_id reason patterns", lambda d, ev: f"SELECT dataset_id, reason, patterns FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY patterns DESC, reason) AS rk FROM ({pt.filtered(d, ev)}) f WHERE reason <> 'kept') g WHERE rk <= 3")
 pattern_query("p12_confluence", "dataset_id pattern_id families accepted", lambda d, ev: f"SELECT dataset_id, pattern_id, families, families >= 2 AS accepted FROM (SELECT dataset_id, pattern_id, " + " + ".join(f"max(CASE WHEN k IN ({ks}) THEN 1 ELSE 0 END)" for ks in ("1, 2, 12", "3, 4, 5, 10, 11", "6, 7", "8, 9")) + " AS families FROM (" + " UNION ALL ".join(f"SELECT dataset_id, pattern_id, {x} AS k FROM ({pt.evaluate(d, ev)}) e{n}" for n, x in enumerate(pt.digits(d, "pattern_id"))) + ") a GROUP BY dataset_id, pattern_id) b")
 
+# ------------------------------------------------------------------ level-wise search over all feature columns
+
+bar_query("p3_eligibility", "label eligible", lambda d, b: f"SELECT label, NOT {cj.drifting(d, 'label', 'true')} AS eligible FROM ({ct.catalogue(d, b)}) c")
+level_query("p5_conditions", "dataset_id cond op ~v t", cj.made(SPARK, "{long}"), "SELECT * FROM made")
+level_query("p8_levelwise", "dataset_id pattern family depth n ups downs", "SELECT * FROM {found}", "SELECT * FROM sets")
+level_query("a16_near_twins", "dataset_id early late ~jaccard", cj.similar("{words}", cj.judged("{ev}", "{found}")), "SELECT ds AS dataset_id, early, late, jaccard FROM twins")
+level_query("a18_levelwise_filters", "dataset_id reason depth patterns", f"SELECT dataset_id, reason, depth, count(*) AS patterns FROM ({cj.filtered('{words}', '{ev}', '{found}')}) f GROUP BY dataset_id, reason, depth", "SELECT ds AS dataset_id, reason, depth, count(*) AS patterns FROM decided GROUP BY ALL")
+level_query("a18_levelwise_kept", "dataset_id pattern depth n ~win_rate ~lift", f"SELECT * FROM ({cj.filtered('{words}', '{ev}', '{found}')}) f WHERE reason = 'kept'", "SELECT ds AS dataset_id, pattern, depth, n, win_rate, lift FROM decided WHERE reason = 'kept'")
+
 # ------------------------------------------------------------------ simulation
 
 bar_query("x3_exit_triggers", "dataset_id bar_index cross_above cross_below newly_equal", simulate.exit_triggers)
