@@ -1,20 +1,26 @@
 """Licence scans by a positional rare-token index.  DataFrame functions only.
 
 Words are runs of a-z, digits and non-ASCII characters after A-Z are lowered.  Base labels come
-from three phrases.  The method adds labels of its own: every template of the list is known by
-the words of it that are rarest over all documents (inverse document frequency; a rank, so it
-holds however frequent a licence is), indexed as postings (word -> template, position).  A
-file's words that the index holds are its highest-IDF licence words; all of them are looked up.
-Postings that agree on the offset text position - template position vote for that template
-there; a template that collects enough of its words and whose mandatory phrases all stand in
-the text is a label.
+from three phrases.  The method adds labels of its own from a list of templates (notices, headings
+and SPDX tags):
+
+1. The words of all templates are ranked by their inverse document frequency over all documents (a
+   rank, so it holds however frequent a licence is).  The rarest mandatory word of each template looks
+   up the files that may hold it (all that do have it).
+2. Those files' words meet the postings (word -> template, position) of each template's rarest words
+   and of its mandatory phrases.  Postings that agree on the offset text position - template position
+   intersect there.
+3. A template is found where, at one offset, every word of its mandatory phrases stands in its place
+   and enough of its rarest words do.  So a version number counts within its own notice only, and a
+   licence that is merely mentioned is none.
 
 The templates are a fixed list, so postings and frequencies that are broadcast or inlined have
 a fixed size.  Votes are counted per row, so rows that share an id or have none keep apart.
 
-Defined results: null and empty texts have no words, no labels and score 0; rows without an id
-and repeated rows are scanned and reported each; of words equally rare the first by name counts
-as rarer; an empty table yields no rows; further columns are ignored.
+Defined results: null and empty texts have no words, no labels and score 0; very long texts are read
+whole; rows without an id and repeated rows are scanned and reported each; of words equally rare the
+first by name counts as rarer; an empty table yields no rows; further columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -53,10 +59,26 @@ TEMPLATES = [
     ("licensed under cc by nc 4 0", "cc-by-nc", ["cc by nc"]),
     ("licensed under cc by sa 4 0", "cc-by-sa", ["cc by sa"]),
     ("licensed under a creative commons attribution 4 0 international license", "cc-by", ["creative commons attribution", "international license"]),
+    ("gnu general public license version 3 29 june 2007", "gpl-3", ["gnu general public license version 3 29 june 2007"]),
+    ("gnu general public license version 2 june 1991", "gpl-2", ["gnu general public license version 2 june 1991"]),
+    ("gnu lesser general public license version 3 29 june 2007", "lgpl", ["gnu lesser general public license version 3 29 june 2007"]),
+    ("gnu lesser general public license version 2 1 february 1999", "lgpl", ["gnu lesser general public license version 2 1 february 1999"]),
+    ("gnu affero general public license version 3 19 november 2007", "agpl", ["gnu affero general public license version 3 19 november 2007"]),
+    ("apache license version 2 0 january 2004", "apache-2", ["apache license version 2 0 january 2004"]),
+    ("mozilla public license version 2 0 1 definitions", "mpl-2", ["mozilla public license version 2 0 1 definitions"]),
+    ("mit license copyright c", "mit", ["mit license copyright c"]),
+    ("isc license copyright c", "isc", ["isc license copyright c"]),
+    ("boost software license version 1 0 august 17th 2003", "bsl-1", ["boost software license version 1 0 august 17th 2003"]),
 ]
-#: Words by which each template is known, its rarest, and the share of them that must agree.
+#: Identifiers behind the SPDX tag, as words, and their labels.
+SPDX = {
+    "mit": "mit", "isc": "isc", "apache 2 0": "apache-2", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "mpl 2 0": "mpl-2",
+    "unlicense": "unlicense", "bsl 1 0": "bsl-1", "zlib": "zlib", "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc",
+}
+TEMPLATES += [(f"spdx license identifier {name}", label, [f"spdx license identifier {name}"]) for name, label in SPDX.items()]
+#: Words by which each template is known, its rarest; the share of them that must agree, of templates under ``SHORT`` words and of longer ones.
 RARE_WORDS = 12
-AGREEMENT = 0.6
+SHORT, AGREEMENT_SHORT, AGREEMENT = 16, 0.8, 0.6
 
 
 def _padded(text: str) -> Column:
@@ -95,32 +117,46 @@ def _marked(docs: DataFrame, id: str, text: str) -> DataFrame:
     )
 
 
+def _postings(df: dict[str, int]) -> tuple[list[tuple[str, int, int, bool, bool]], list[str]]:
+    """Rows (word, template, position, rare, mandatory), and the words that look files up."""
+    rows, looked_up = [], set()
+    for t, (text, _, phrases) in enumerate(TEMPLATES):
+        own = text.split(" ")
+        rare = sorted(set(own), key=lambda w: (df.get(w, 0), w))[:RARE_WORDS]
+        must = set()
+        for phrase in phrases:
+            x = phrase.split(" ")
+            at = next(k for k in range(len(own)) if own[k : k + len(x)] == x)
+            must.update(range(at, at + len(x)))
+        rows += [(w, t, k, w in rare, k in must) for k, w in enumerate(own) if w in rare or k in must]
+        looked_up.add(min((own[k] for k in must), key=lambda w: (df.get(w, 0), w)))
+    return rows, sorted(looked_up)
+
+
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: words, base places and labels, all labels, and a score from 0 to 1."""
-    verified = F.filter(
-        F.array(*[F.when(reduce(Column.__and__, [F.contains("p", F.lit(f" {m} ")) for m in must]), F.lit(t)) for t, (_, _, must) in enumerate(TEMPLATES)]),
-        lambda t: t.isNotNull(),
-    )
+    spark = docs.sparkSession
     vocabulary = F.array(*map(F.lit, _vocabulary()))
-    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(vocabulary, x["w"]))
-    # one pass over the texts: template words of every row, and their places where a mandatory phrase stands
-    marked = _marked(docs, id, text).withColumn("words", F.split(F.trim("p"), " ")).withColumn("seen", F.array_intersect("words", vocabulary)).withColumn("verified", verified)
-    marked = written(marked.withColumn("hits", F.when(F.size("verified") > 0, placed)).drop("p", "words"))
-    df = {r.w: r.n for r in marked.select(F.explode("seen").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    known = [sorted(set(x.split(" ")), key=lambda w: (df.get(w, 0), w))[:RARE_WORDS] for x, *_ in TEMPLATES]
-    postings = [(w, t, k) for t, (x, *_) in enumerate(TEMPLATES) for k, w in enumerate(x.split(" ")) if w in known[t]]
-    by_word = {w: [(t, k) for x, t, k in postings if x == w] for w in sorted({p[0] for p in postings})}
-    expected = {t: sum(p[1] == t for p in postings) for t in range(len(TEMPLATES))}
-    posts = F.create_map(*[c for w, ps in by_word.items() for c in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in ps]))])
-    hits = marked.where("size(hits) > 0").select("row", "verified", F.explode("hits").alias("hit"))
-    votes = hits.select("row", "verified", F.col("hit.i").alias("i"), F.explode(F.element_at(posts, F.col("hit.w"))).alias("post")).where(F.array_contains("verified", F.col("post.t")))
-    agreed = votes.groupBy("row", F.col("post.t").alias("t"), (F.col("i") - F.col("post.k")).alias("offset")).agg(F.countDistinct("post.k").alias("votes"))
-    need = F.element_at(F.create_map(*[F.lit(x) for t, n in expected.items() for x in (t, n)]), F.col("t"))
-    label = F.element_at(F.array(*[F.lit(x[1]) for x in TEMPLATES]), F.col("t") + 1)
-    added = agreed.select("row", label.alias("label"), (F.col("votes") / need).alias("share")).where(F.col("share") >= AGREEMENT)
-    added = added.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
-    out = marked.drop("hits", "verified", "seen").join(added, "row", "left")
+    seen = docs.select(F.explode(F.array_intersect(F.split(F.trim(_padded(text)), " "), vocabulary)).alias("w"))
+    df = {r.w: r.n for r in seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # template words at most
+    rows, looked_up = _postings(df)
+    posts = spark.createDataFrame(rows, "w string, t int, k int, rare boolean, must boolean")  # fixed size
+
+    words = F.split(F.trim("p"), " ")
+    marked = _marked(docs, id, text).withColumn("words", words)
+    marked = written(marked.withColumn("words", F.when(F.arrays_overlap("words", F.array(*map(F.lit, looked_up))), F.col("words"))).drop("p"))
+    placed = marked.where("words is not null").select("row", F.posexplode("words").alias("i", "w"))
+    votes = placed.join(F.broadcast(posts), "w").groupBy("row", "t", (F.col("i") - F.col("k")).alias("offset")).agg(F.count_if("rare").alias("rare"), F.count_if("must").alias("must"))
+
+    facts = []
+    for t, (whole, label, _) in enumerate(TEMPLATES):
+        mine = [r for r in rows if r[1] == t]
+        facts.append((t, label, sum(r[3] for r in mine), sum(r[4] for r in mine), AGREEMENT_SHORT if len(whole.split(" ")) < SHORT else AGREEMENT))
+    known = spark.createDataFrame(facts, "t int, label string, n_rare int, n_must int, least double")  # fixed size
+    share = F.col("rare") / F.col("n_rare")
+    found = votes.join(F.broadcast(known), "t").where((F.col("must") == F.col("n_must")) & (share >= F.col("least")))
+    added = found.groupBy("row").agg(F.collect_set("label").alias("added"), F.max(share).alias("share"))
+    out = marked.drop("words").join(added, "row", "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("added", F.array().cast("array<string>")))))
     return out.select(
         F.col("id").alias(id), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
