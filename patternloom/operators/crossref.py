@@ -39,17 +39,17 @@ def coincidences(d: Dialect, bars: str, tolerance: int = TOLERANCE) -> str:
 
 
 def strengths(d: Dialect, bars: str, tolerance: int = TOLERANCE) -> str:
-    """Strength of each coincidence: tightness, coverage and rarity, at most 1 and at least 0.1, and its band."""
+    """Strength of each coincidence: tightness, coverage and rarity, at most 1, and its band; those below 0.1 are left out."""
     rarity = "least(1e0, coverage * tight / sqrt(greatest(1e0, total * 1e0 / datasets) / 100))"
     return f"""
     SELECT *, CASE WHEN strength >= 0.66e0 THEN 'High' WHEN strength >= 0.33e0 THEN 'Medium' ELSE 'Low' END AS band
     FROM (
-      SELECT event_id, moment, contributors, greatest(0.1e0, least(1e0, 0.45e0 * tight + 0.4e0 * coverage + 0.15e0 * {rarity})) AS strength
+      SELECT event_id, moment, contributors, least(1e0, 0.45e0 * tight + 0.4e0 * coverage + 0.15e0 * {rarity}) AS strength
       FROM (
         SELECT p.event_id, p.moment, count(*) + 1 AS contributors, (count(*) + 1) * 1e0 / max(c.datasets) AS coverage, greatest(0e0, 1 - coalesce(avg(CASE WHEN p.distance > 0 THEN p.distance END), 0e0) / {tolerance}) AS tight, max(c.total) AS total, max(c.datasets) AS datasets
         FROM ({coincidences(d, bars, tolerance)}) p JOIN ({counts(d, bars)}) c ON p.driver_id = c.dataset_id GROUP BY p.event_id, p.moment
       ) a
-    ) b"""
+    ) b WHERE strength >= 0.1e0"""
 
 
 def order_of_events(d: Dialect, bars: str) -> str:

@@ -267,13 +267,22 @@ def drawdown(d: Dialect, ev: str) -> str:
     FROM (SELECT *, max(total) OVER ({over}) AS peak FROM (SELECT *, sum(move) OVER ({over}) AS total FROM ({signed(d, ev)}) s) a) b GROUP BY dataset_id, pattern_id"""
 
 
+_ENTERED = "SELECT m.dataset_id, m.pattern_id, m.bar_index, e.direction FROM ({0}) m JOIN ({1}) e ON m.dataset_id = e.dataset_id AND m.pattern_id = e.pattern_id WHERE m.bar_index < m.c - 1"
+
+
 def profile(d: Dialect, ev: str) -> str:
-    """Medians, hit rates of a target and a stop, bars to target, which comes first, failure rate."""
-    target, stop = "CASE direction WHEN 'bullish' THEN hu20 ELSE hd20 END", "CASE direction WHEN 'bullish' THEN hd20 ELSE hu20 END"
-    return f"""
-    SELECT dataset_id, pattern_id, count(*) AS n, {d.quantile('move', 0.5)} AS median_move, {d.quantile('f', 0.5)} AS median_mfe, {d.quantile('a', 0.5)} AS median_mae, avg(CASE WHEN hit IS NOT NULL THEN 100e0 ELSE 0e0 END) AS target_rate,
-      avg(CASE WHEN lost IS NOT NULL THEN 100e0 ELSE 0e0 END) AS stop_rate, {d.quantile('hit', 0.5)} AS median_bars, avg(CASE WHEN hit < coalesce(lost, 9999) THEN 100e0 ELSE 0e0 END) AS target_first, avg(CASE WHEN move <= 0 THEN 100e0 ELSE 0e0 END) AS failure_rate
-    FROM (SELECT *, {target} AS hit, {stop} AS lost, CASE direction WHEN 'bullish' THEN up ELSE dn END AS f, CASE direction WHEN 'bullish' THEN dn ELSE up END AS a FROM ({signed(d, ev)}) s) x GROUP BY dataset_id, pattern_id"""
+    """Medians of move and excursions and the failure rate over all matches with a bar behind them (stored ``entries``)."""
+    rows = _ENTERED.format(matched(d, ev, "bar_index, c", False), evaluate(d, ev))
+    signed_ = "CASE h.direction WHEN 'bullish' THEN x.move ELSE -x.move END AS move, CASE h.direction WHEN 'bullish' THEN x.up ELSE x.dn END AS f, CASE h.direction WHEN 'bullish' THEN x.dn ELSE x.up END AS a"
+    return f"SELECT dataset_id, pattern_id, count(*) AS n, {d.quantile('move', 0.5)} AS median_move, {d.quantile('f', 0.5)} AS median_mfe, {d.quantile('a', 0.5)} AS median_mae, avg(CASE WHEN move <= 0 THEN 100e0 ELSE 0e0 END) AS failure_rate FROM (SELECT h.dataset_id, h.pattern_id, {signed_} FROM ({rows}) h JOIN {{entries}} x ON h.dataset_id = x.dataset_id AND h.bar_index = x.bar_index) y GROUP BY dataset_id, pattern_id"
+
+
+def first_touches(d: Dialect, ev: str) -> str:
+    """Per pattern, target and stop: hit rates, bars to the target, and how often the target comes before the stop (stored ``touches``)."""
+    rows = _ENTERED.format(matched(d, ev, "bar_index, c", False), evaluate(d, ev))
+    side = "CASE h.direction WHEN 'bullish' THEN {0} ELSE {1} END"
+    both = f"SELECT h.dataset_id, h.pattern_id, t.pct AS target, s.pct AS stop, t.bars AS hit, s.bars AS lost FROM ({rows}) h JOIN {{touches}} t ON h.dataset_id = t.dataset_id AND h.bar_index = t.bar_index AND t.side = {side.format(1, -1)} JOIN {{touches}} s ON h.dataset_id = s.dataset_id AND h.bar_index = s.bar_index AND s.side = {side.format(-1, 1)}"
+    return f"SELECT dataset_id, pattern_id, target, stop, count(*) AS n, avg(CASE WHEN hit IS NOT NULL THEN 100e0 ELSE 0e0 END) AS target_rate, {d.quantile('hit', 0.5)} AS median_bars, avg(CASE WHEN lost IS NOT NULL THEN 100e0 ELSE 0e0 END) AS stop_rate, avg(CASE WHEN hit IS NOT NULL AND (lost IS NULL OR hit < lost) THEN 100e0 ELSE 0e0 END) AS target_first FROM ({both}) b GROUP BY dataset_id, pattern_id, target, stop"
 
 
 def p_values(d: Dialect, ev: str) -> str:
@@ -313,8 +322,12 @@ def similarity(d: Dialect, ev: str) -> str:
 
 
 def signatures(d: Dialect, ev: str) -> str:
-    """Order-free signature of each match set (size and two power sums) and the first pattern that has it."""
-    return f"SELECT *, min(pattern_id) OVER (PARTITION BY dataset_id, n, s1, s2) AS first_pattern FROM (SELECT dataset_id, pattern_id, count(*) AS n, cast(sum(bar_index) AS bigint) AS s1, cast(sum(bar_index * bar_index) AS bigint) AS s2 FROM ({matched(d, ev)}) m WHERE pattern_id > 0 GROUP BY dataset_id, pattern_id) a"
+    """Size of each match set and the first pattern of its family that has the same set.
+
+    Spark compares sets by two independent 64-bit hash sums of their bars, DuckDB by the sets.
+    """
+    same = "list(bar_index ORDER BY bar_index) AS own" if d.duck else "named_struct('a', sum(cast(xxhash64(bar_index) AS decimal(38, 0))), 'b', sum(cast(xxhash64('set', bar_index) AS decimal(38, 0)))) AS own"
+    return f"SELECT dataset_id, pattern_id, n, min(pattern_id) OVER (PARTITION BY dataset_id, {family(d)}, n, own) AS first_pattern FROM (SELECT dataset_id, pattern_id, count(*) AS n, {same} FROM ({matched(d, ev)}) m WHERE pattern_id > 0 GROUP BY dataset_id, pattern_id) a"
 
 
 def log10(x: str) -> str:
@@ -337,7 +350,7 @@ def confidence(lift: str, n: str) -> str:
 def judged(d: Dialect, ev: str) -> str:
     """Every pattern with the first search filter that rejects it ('kept' if none does).
 
-    Of patterns with one match set the first stays; a set of a family is one condition column each.
+    Of patterns of one family (the columns of their conditions) with one match set the first stays.
     """
     return f"""
     SELECT s.*, CASE WHEN s.n < {LEAST} THEN '1 few samples' WHEN s.win_rate < {WIN}e0 THEN '2 win rate' WHEN s.lift < {LIFT}e0 THEN '3 lift' WHEN NOT coalesce(v.adds_value, true) THEN '4 redundant condition' WHEN g.first_pattern < s.pattern_id THEN '5 duplicate' ELSE 'kept' END AS reason

@@ -7,6 +7,7 @@ joins of condition rows, ranks and folds from counting, match sets are compared
 from __future__ import annotations
 
 from patternloom.operators import trades as tr
+from patternloom.operators.patterns import CONDITIONS
 from patternloom.plans.dual import DUCKDB
 from patternloom.sources.bars import tick_bars
 
@@ -63,13 +64,14 @@ ADDS_VALUE = f"""
 WITH {_HITS}, less AS (SELECT ds, pid, CASE WHEN pid >= 441 THEN unnest([pid // 21, pid % 441, (pid // 441) * 21 + pid % 21]) ELSE unnest([pid // 21, pid % 21, pid % 21]) END AS parent FROM pat WHERE pid >= 21)
 SELECT p.ds AS dataset_id, p.pid AS pattern_id, p.win AS win_rate, max(CASE p.dir WHEN 'bullish' THEN q.up ELSE q.dn END * 100.0 / q.n) AS best_part, bool_and(p.win >= CASE p.dir WHEN 'bullish' THEN q.up ELSE q.dn END * 100.0 / q.n + 0.5) AS adds_value
 FROM pat p JOIN less l USING (ds, pid) JOIN pat q ON q.ds = l.ds AND q.pid = l.parent GROUP BY p.ds, p.pid, p.win"""
-_KEPT = """
-sets AS (SELECT ds, pid, list(b ORDER BY b) AS bars FROM hit WHERE r IS NOT NULL GROUP BY ds, pid),
+_COLUMN = str([c[0] for c in CONDITIONS])
+_KEPT = f"""
+sets AS (SELECT ds, pid, list(b ORDER BY b) AS bars, list_sort(list_filter([pid % 21, (pid // 21) % 21, pid // 441], lambda k: k > 0).list_transform(lambda k: {_COLUMN}[k])) AS family FROM hit WHERE r IS NOT NULL GROUP BY ds, pid),
 more AS (SELECT * FROM (SELECT ds, pid, CASE WHEN pid >= 441 THEN unnest([pid // 21, pid % 441, (pid // 441) * 21 + pid % 21]) ELSE unnest([pid // 21, pid % 21, pid % 21]) END AS parent FROM pat WHERE pid >= 21)),
 kept AS (
   SELECT p.* FROM pat p WHERE n >= 30 AND win >= 52 AND win - bl >= 3
     AND NOT EXISTS (SELECT 1 FROM more m JOIN pat q ON q.ds = m.ds AND q.pid = m.parent WHERE m.ds = p.ds AND m.pid = p.pid AND p.win < CASE p.dir WHEN 'bullish' THEN q.up ELSE q.dn END * 100.0 / q.n + 0.5)
-    AND NOT EXISTS (SELECT 1 FROM sets a JOIN sets z ON a.ds = z.ds AND a.bars = z.bars AND z.pid < a.pid WHERE a.ds = p.ds AND a.pid = p.pid))"""
+    AND NOT EXISTS (SELECT 1 FROM sets a JOIN sets z ON a.ds = z.ds AND a.bars = z.bars AND a.family = z.family AND z.pid < a.pid WHERE a.ds = p.ds AND a.pid = p.pid))"""
 RATIO_SEARCH = f"""
 WITH {_HITS}, {_KEPT}, rated AS (SELECT k.*, (SELECT CASE k.dir WHEN 'bullish' THEN CASE WHEN avg(w) > 0 THEN avg(u) / avg(w) WHEN avg(u) > 0 THEN 1e9 ELSE 0 END ELSE CASE WHEN avg(u) > 0 THEN avg(w) / avg(u) WHEN avg(w) > 0 THEN 1e9 ELSE 0 END END FROM hit h WHERE h.ds = k.ds AND h.pid = k.pid AND h.r IS NOT NULL) AS ratio FROM kept k),
 grid AS (SELECT DISTINCT ds, g FROM rated, (SELECT unnest([0, 0.5, 1, 1.25, 1.5, 2, 2.5, 3, 4, 5]::DOUBLE[]) AS g) t),
@@ -171,6 +173,20 @@ R_METRICS = f"""{_BOOK}, run AS (SELECT *, sum(r) OVER (PARTITION BY ds, pid, cf
 top AS (SELECT *, greatest(0, max(t) OVER (PARTITION BY ds, pid, cfg ORDER BY i)) - t AS fall FROM run)
 SELECT ds AS dataset_id, pid AS pattern_id, cfg, count(*) AS n, 100.0 * count(*) FILTER (WHERE r > 0) / count(*) AS win_rate, avg(r) AS expectancy, coalesce(sum(r) FILTER (WHERE r > 0), 0) / nullif(-sum(r) FILTER (WHERE r < 0), 0) AS profit_factor, sum(r) AS net_r, max(fall) AS max_drawdown, avg(r - 0.05 / pct) AS stressed FROM top GROUP BY ds, pid, cfg"""
 
+_PATHS = f"""
+px AS MATERIALIZED (SELECT dataset_id AS ds, bar_index AS b, high, low, close, greatest(abs(close), 1e-9) AS s, max(bar_index) OVER (PARTITION BY dataset_id) AS final FROM ({tick_bars(DUCKDB, 'events')}) t),
+seen AS MATERIALIZED (SELECT a.ds, a.b, z.b - a.b AS j, (z.high - a.close) / a.s * 100 AS up, (a.close - z.low) / a.s * 100 AS dn, (z.close - a.close) / a.s * 100 AS mv FROM px a JOIN px z ON z.ds = a.ds AND z.b > a.b AND z.b <= a.b + 12),
+entered AS (SELECT h.ds, h.pid, h.b, p.dir FROM hit h JOIN pat p USING (ds, pid) WHERE h.b < h.c - 1)"""
+PROFILE = f"""
+WITH {_HITS}, {_PATHS}, done AS (SELECT ds, b, arg_max(mv, j) AS mv, greatest(0, max(up)) AS up, greatest(0, max(dn)) AS dn FROM seen GROUP BY ds, b),
+own AS (SELECT e.ds, e.pid, CASE e.dir WHEN 'bullish' THEN mv ELSE -mv END AS mv, CASE e.dir WHEN 'bullish' THEN up ELSE dn END AS f, CASE e.dir WHEN 'bullish' THEN dn ELSE up END AS a FROM entered e JOIN done USING (ds, b))
+SELECT ds AS dataset_id, pid AS pattern_id, count(*) AS n, median(mv) AS median_move, median(f) AS median_mfe, median(a) AS median_mae, 100.0 * count(*) FILTER (WHERE mv <= 0) / count(*) AS failure_rate FROM own GROUP BY ds, pid"""
+FIRST_TOUCHES = f"""
+WITH {_HITS}, {_PATHS}, sizes AS (SELECT unnest([5, 10, 20, 40]::DOUBLE[]) AS pct),
+first AS MATERIALIZED (SELECT s.ds, s.b, z.pct, min(j) FILTER (WHERE up >= pct) AS ub, min(j) FILTER (WHERE dn >= pct) AS db FROM seen s, sizes z GROUP BY s.ds, s.b, z.pct),
+own AS (SELECT e.ds, e.pid, t.pct AS target, s.pct AS stop, CASE e.dir WHEN 'bullish' THEN t.ub ELSE t.db END AS hit, CASE e.dir WHEN 'bullish' THEN s.db ELSE s.ub END AS lost FROM entered e JOIN first t USING (ds, b) JOIN first s USING (ds, b))
+SELECT ds AS dataset_id, pid AS pattern_id, target, stop, count(*) AS n, 100.0 * count(hit) / count(*) AS target_rate, median(hit) AS median_bars, 100.0 * count(lost) / count(*) AS stop_rate, 100.0 * count(*) FILTER (WHERE hit < coalesce(lost, 99)) / count(*) AS target_first FROM own GROUP BY ALL"""
+
 #: The level-wise search by rows of bars: sets as joins, match sets as lists, the choice row by row.
 LEVELS = """
 late AS MATERIALIZED (SELECT dataset_id AS ds, bar_index AS b, r12 AS r FROM ev WHERE r12 IS NOT NULL),

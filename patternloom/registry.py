@@ -19,6 +19,7 @@ from patternloom.operators import conjunctions as cj
 from patternloom.operators import crossref as xr
 from patternloom.operators import semantic as sem
 from patternloom.operators import features as fx
+from patternloom.operators import passage as ps
 from patternloom.operators import patterns as pt
 from patternloom.operators import trades as tr
 from patternloom.plans.dual import DUCKDB, SPARK, Dialect, Operator
@@ -90,6 +91,9 @@ def kept_tables(spark: SparkSession, sf_dir: str, body: str) -> dict[str, DataFr
 
 _BARS = f"({src.tick_bars(SPARK, '{events}')}) b"
 pt.STORED["ev"] = lambda d, ev: pt.evaluated(d, _BARS)
+pt.STORED["reach"] = lambda d, ev: ps.reach(_BARS)
+pt.STORED["entries"] = lambda d, ev: ps.entries(_BARS)
+pt.STORED["touches"] = lambda d, ev: ps.touches("{entries}", "{reach}")
 pt.STORED["long"] = lambda d, ev: cj.long_features(d, _BARS)
 pt.STORED["met"] = lambda d, ev: cj.met("{long}", "{ev}")
 pt.STORED["frequent"] = lambda d, ev: cj.frequent("{met}")
@@ -249,13 +253,14 @@ pattern_query("a8_non_overlapping", "dataset_id pattern_id n first_at last_at",
 pattern_query("a9_drawdown", "dataset_id pattern_id ~sd ~max_drawdown", pt.drawdown)
 pattern_query("a10_horizon_curve", "dataset_id pattern_id h n ~win_rate ~mean_move trades ~trade_win ~avg_net ~max_drawdown ~delta ~base ~rec eligible", pt.horizons, oracles.HORIZONS)
 pattern_query("a10_recommended_hold", "dataset_id pattern_id h", lambda d, ev: f"SELECT dataset_id, pattern_id, h FROM ({pt.horizons(d, ev)}) x WHERE choice = 1")
-pattern_query("a11_outcome_profile", "dataset_id pattern_id n ~median_move ~median_mfe ~median_mae ~target_rate ~stop_rate ~median_bars ~target_first ~failure_rate", pt.profile)
+pattern_query("a11_outcome_profile", "dataset_id pattern_id n ~median_move ~median_mfe ~median_mae ~failure_rate", pt.profile, oracles.PROFILE)
+pattern_query("a11_first_touches", "dataset_id pattern_id target stop n ~target_rate ~median_bars ~stop_rate ~target_first", pt.first_touches, oracles.FIRST_TOUCHES)
 pattern_query("a12_p_value", "dataset_id pattern_id n ~z ~p", pt.p_values, oracles.P_VALUES)
 pattern_query("a13_bh_qvalue", "dataset_id pattern_id ~p ~q", pt.q_values, oracles.Q_VALUES)
 pattern_query("a14_frozen_direction", "dataset_id pattern_id ~win_rate", pt.frozen)
 pattern_query("a15_adds_value", "dataset_id pattern_id ~win_rate ~best_part adds_value", pt.adds_value, oracles.ADDS_VALUE)
 pattern_query("a16_similarity", "dataset_id a b ~jaccard", pt.similarity)
-pattern_query("a16_signatures", "dataset_id pattern_id n s1 s2 first_pattern", pt.signatures)
+pattern_query("a16_signatures", "dataset_id pattern_id n first_pattern", pt.signatures)
 pattern_query("a17_score_confidence", "dataset_id pattern_id n ~score confidence", pt.scores, oracles.SCORES)
 pattern_query("a18_filter_audit", "dataset_id reason patterns", pt.filtered, oracles.FILTERED)
 pattern_query("a20_ratio_search", "dataset_id ~threshold patterns ~set_score best", pt.ratio_search, oracles.RATIO_SEARCH)
