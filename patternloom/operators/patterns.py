@@ -21,8 +21,8 @@ from math import comb
 from patternloom.operators import features as fx
 from patternloom.operators.features import frame
 from patternloom.plans.blocks import split as in_blocks
-from patternloom.plans.dual import Dialect
-from patternloom.sources.bars import ORDER
+from patternloom.plans.dual import SPARK, Dialect
+from patternloom.sources.bars import ORDER, tick_bars
 
 HORIZON = 12
 #: Hold windows that are compared.
@@ -605,6 +605,52 @@ def survival(d: Dialect, ev: str) -> str:
     FROM (SELECT o.*, k.others FROM ({o}) o CROSS JOIN (SELECT count(DISTINCT dataset_id) - 1 AS others FROM {ev}) k) t JOIN ({o}) s ON t.pattern_id = s.pattern_id WHERE t.others > 0 GROUP BY t.dataset_id, t.pattern_id"""
 
 
+#: Bar intervals in minutes that a pattern is tried on, and its own.
+INTERVALS, OWN_INTERVAL = (30, 60, 120, 240), 60
+
+
+def interval_bars(d: Dialect, events: str) -> str:
+    """Bars of all intervals as datasets of their own (``name@minutes``), with ``symbol`` and ``minutes``."""
+    name = lambda m: f"concat(dataset_id, '@{m}')"
+    return " UNION ALL ".join(f"SELECT dataset_id AS symbol, cast({m} AS bigint) AS minutes, {name(m)} AS dataset_id, bar_index, ts_ms, open, high, low, close, volume FROM ({tick_bars(d, events, m * 60_000)}) b{m}" for m in INTERVALS)
+
+
+def rescaled(minutes: int, horizon: int = HORIZON) -> int:
+    """The horizon in bars of another interval that is nearest in time, one at least (halves up)."""
+    return max(1, int(horizon * OWN_INTERVAL / minutes + 0.5))
+
+
+def on_intervals(bars: str) -> str:
+    """Rows (dataset_id, minutes, bar_index, c, conds, dx) over bars of all intervals; ``dx`` spans the same time everywhere.
+
+    Spark's text only.
+    """
+    spans = {m: rescaled(m) for m in INTERVALS}
+    conds = ", ".join(f"CASE WHEN {compiled(*x)} THEN cast({k} AS bigint) END" for k, x in enumerate(CONDITIONS))
+    exits = "CASE minutes " + " ".join(f"WHEN {m} THEN x{h}" for m, h in spans.items()) + " END"
+    leads = ", ".join(f"lead(close, {h}) OVER ({ORDER}) AS x{h}" for h in sorted(set(spans.values())))
+    reached = in_blocks(SPARK, f"({fx._structure(SPARK, bars)}) s", 20, lambda b: f"SELECT *, {leads} FROM ({_boxed(b)}) f", ahead=max(spans.values()))
+    return f"SELECT g.dataset_id, minutes, bar_index, c, array_compact(array({conds})) AS conds, {exits} - close AS dx FROM ({reached}) g JOIN (SELECT dataset_id, count(*) AS c FROM {bars} GROUP BY dataset_id) n ON g.dataset_id = n.dataset_id"
+
+
+def survival_on_intervals(d: Dialect, ev: str) -> str:
+    """Share of datasets of all symbols and intervals, and of the other intervals alone, on which a pattern is profitable late.
+
+    Every dataset counts, without late matches as a failure; the pattern's own counts where it has
+    matches.  Reads the stored ``grid``.
+    """
+    late = f"SELECT dataset_id, minutes, pattern_id, count(*) AS n, sum(dx) AS dx FROM ({matched(d, '(SELECT * FROM {grid} WHERE dx IS NOT NULL AND bar_index >= floor(c * 0.7e0)) g', 'minutes, dx', False)}) m GROUP BY dataset_id, minutes, pattern_id"
+    count = f"SELECT count(*) AS total, sum(CASE WHEN minutes <> {OWN_INTERVAL} THEN 1 ELSE 0 END) AS elsewhere FROM (SELECT DISTINCT dataset_id, minutes FROM {{grid}}) g"
+    good = "CASE t.direction WHEN 'bullish' THEN s.dx > 0 ELSE s.dx < 0 END"
+    return f"""
+    SELECT dataset_id, pattern_id, others + own AS evaluated, good * 1e0 / nullif(others + own, 0) AS survival, elsewhere, good_elsewhere * 1e0 / nullif(elsewhere, 0) AS interval_survival
+    FROM (
+      SELECT t.dataset_id, t.pattern_id, max(k.total) - 1 AS others, max(k.elsewhere) AS elsewhere, coalesce(max(CASE WHEN s.dataset_id = concat(t.dataset_id, '@{OWN_INTERVAL}') THEN 1 END), 0) AS own,
+        sum(CASE WHEN {good} THEN 1 ELSE 0 END) AS good, sum(CASE WHEN {good} AND s.minutes <> {OWN_INTERVAL} THEN 1 ELSE 0 END) AS good_elsewhere
+      FROM ({evaluate(d, ev)}) t CROSS JOIN ({count}) k LEFT JOIN ({late}) s ON t.pattern_id = s.pattern_id GROUP BY t.dataset_id, t.pattern_id
+    ) a"""
+
+
 def validation_summary(d: Dialect, ev: str) -> str:
     """Pass rate and mean figures over all patterns; figures that are missing are left out."""
     return f"SELECT count(*) AS patterns, avg(CASE WHEN h.status = 'held' THEN 100e0 ELSE 0e0 END) AS pass_rate, avg(s.survival) AS mean_survival, avg(CASE WHEN o.mae_out > 0 THEN o.mfe_out / o.mae_out END) AS mean_ratio FROM ({held_up(d, ev)}) h LEFT JOIN ({survival(d, ev)}) s ON h.dataset_id = s.dataset_id AND h.pattern_id = s.pattern_id JOIN ({out_of_sample(d, ev)}) o ON h.dataset_id = o.dataset_id AND h.pattern_id = o.pattern_id"

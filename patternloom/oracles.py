@@ -7,7 +7,7 @@ joins of condition rows, ranks and folds from counting, match sets are compared
 from __future__ import annotations
 
 from patternloom.operators import trades as tr
-from patternloom.operators.patterns import CONDITIONS
+from patternloom.operators.patterns import CONDITIONS, evaluated
 from patternloom.plans.dual import DUCKDB
 from patternloom.sources.bars import tick_bars
 
@@ -173,6 +173,17 @@ R_METRICS = f"""{_BOOK}, run AS (SELECT *, sum(r) OVER (PARTITION BY ds, pid, cf
 top AS (SELECT *, greatest(0, max(t) OVER (PARTITION BY ds, pid, cfg ORDER BY i)) - t AS fall FROM run)
 SELECT ds AS dataset_id, pid AS pattern_id, cfg, count(*) AS n, 100.0 * count(*) FILTER (WHERE r > 0) / count(*) AS win_rate, avg(r) AS expectancy, coalesce(sum(r) FILTER (WHERE r > 0), 0) / nullif(-sum(r) FILTER (WHERE r < 0), 0) AS profit_factor, sum(r) AS net_r, max(fall) AS max_drawdown, avg(r - 0.05 / pct) AS stressed FROM top GROUP BY ds, pid, cfg"""
 
+_OTHER = {30: 24, 120: 6, 240: 3, 60: 12}
+# every interval on its own: conditions as for hourly bars, the exit after twelve hours
+_EACH = " UNION ALL ".join(f"SELECT e.dataset_id AS ds, {m} AS m, e.bar_index AS b, e.c, e.conds, z.close - e.close AS dx FROM ({evaluated(DUCKDB, '(' + tick_bars(DUCKDB, 'events', m * 60_000) + ')')}) e JOIN ({tick_bars(DUCKDB, 'events', m * 60_000)}) z ON z.dataset_id = e.dataset_id AND z.bar_index = e.bar_index + {h}" for m, h in _OTHER.items())
+_WHICH = " UNION ALL ".join(f"SELECT DISTINCT dataset_id AS ds, {m} AS m FROM ({tick_bars(DUCKDB, 'events', m * 60_000)}) b" for m in _OTHER)
+SURVIVAL_ON_INTERVALS = f"""
+WITH {_HITS}, lone AS MATERIALIZED (SELECT ds, m, b, dx, unnest(conds) + 1 AS k FROM ({_EACH}) e WHERE b >= floor(0.7e0 * c)),
+combos AS (SELECT ds, m, dx, k AS pid FROM lone UNION ALL SELECT x.ds, x.m, x.dx, 21 * x.k + y.k FROM lone x JOIN lone y ON x.ds = y.ds AND x.m = y.m AND x.b = y.b AND x.k < y.k
+  UNION ALL SELECT x.ds, x.m, x.dx, 441 * x.k + 21 * y.k + z.k FROM lone x JOIN lone y ON x.ds = y.ds AND x.m = y.m AND x.b = y.b AND x.k < y.k JOIN lone z ON y.ds = z.ds AND y.m = z.m AND y.b = z.b AND y.k < z.k),
+gains AS MATERIALIZED (SELECT ds, m, pid, sum(dx) AS dx FROM combos GROUP BY ds, m, pid), places AS MATERIALIZED ({_WHICH}),
+tried AS (SELECT p.ds, p.pid, o.m, coalesce(CASE p.dir WHEN 'bullish' THEN g.dx > 0 ELSE g.dx < 0 END, false) AS good FROM pat p JOIN places o ON true LEFT JOIN gains g ON g.ds = o.ds AND g.m = o.m AND g.pid = p.pid WHERE NOT (o.ds = p.ds AND o.m = 60 AND g.pid IS NULL))
+SELECT ds AS dataset_id, pid AS pattern_id, count(*) AS evaluated, count(*) FILTER (WHERE good) * 1.0 / count(*) AS survival, count(*) FILTER (WHERE m <> 60) AS elsewhere, count(*) FILTER (WHERE good AND m <> 60) * 1.0 / count(*) FILTER (WHERE m <> 60) AS interval_survival FROM tried GROUP BY ds, pid"""
 _PATHS = f"""
 px AS MATERIALIZED (SELECT dataset_id AS ds, bar_index AS b, high, low, close, greatest(abs(close), 1e-9) AS s, max(bar_index) OVER (PARTITION BY dataset_id) AS final FROM ({tick_bars(DUCKDB, 'events')}) t),
 seen AS MATERIALIZED (SELECT a.ds, a.b, z.b - a.b AS j, (z.high - a.close) / a.s * 100 AS up, (a.close - z.low) / a.s * 100 AS dn, (z.close - a.close) / a.s * 100 AS mv FROM px a JOIN px z ON z.ds = a.ds AND z.b > a.b AND z.b <= a.b + 12),

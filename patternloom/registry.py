@@ -91,6 +91,7 @@ def kept_tables(spark: SparkSession, sf_dir: str, body: str) -> dict[str, DataFr
 
 _BARS = f"({src.tick_bars(SPARK, '{events}')}) b"
 pt.STORED["ev"] = lambda d, ev: pt.evaluated(d, _BARS)
+pt.STORED["grid"] = lambda d, ev: pt.on_intervals(f"({pt.interval_bars(d, '{events}')}) b")
 pt.STORED["reach"] = lambda d, ev: ps.reach(_BARS)
 pt.STORED["entries"] = lambda d, ev: ps.entries(_BARS)
 pt.STORED["touches"] = lambda d, ev: ps.touches("{entries}", "{reach}")
@@ -279,6 +280,7 @@ pattern_query("v6_by_year", "dataset_id pattern_id y n ~win_rate", pt.by_year)
 pattern_query("v7_per_condition", "dataset_id pattern_id cond side n ~win_rate ~move", pt.per_condition, oracles.PER_CONDITION)
 pattern_query("v8_degradation", "dataset_id pattern_id degraded", pt.out_of_sample)
 pattern_query("v9_survival", "dataset_id pattern_id evaluated ~survival", pt.survival, oracles.SURVIVAL)
+pattern_query("v9_survival_on_intervals", "dataset_id pattern_id evaluated ~survival elsewhere ~interval_survival", pt.survival_on_intervals, oracles.SURVIVAL_ON_INTERVALS)
 pattern_query("v10_held_up", "dataset_id pattern_id passed ~mean_win ~worst_win failure status", pt.held_up, oracles.HELD_UP)
 pattern_query("v11_final_status", "dataset_id pattern_id final confidence", pt.finalised)
 pattern_query("v12_summary", "patterns ~pass_rate ~mean_survival ~mean_ratio", pt.validation_summary)
