@@ -38,20 +38,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 _SHUFFLE_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[Tables]:
+def tidy(spark: SparkSession, batch_rows: int | None = None) -> Iterator[Tables]:
     """Tables of the jobs inside, whose shuffle files go as each job ends.
 
     Only for jobs that write tables or count: a DataFrame that is run again makes its shuffles anew.
+    ``batch_rows`` bounds the rows that the jobs hand to Python at a time, where rows are wide.
     """
-    before = spark.conf.get(_SHUFFLE_FILES, "false")
-    spark.conf.set(_SHUFFLE_FILES, "true")
+    new = {_SHUFFLE_FILES: "true"} | ({_BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield Tables(spark)
     finally:
-        spark.conf.set(_SHUFFLE_FILES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Tables:

@@ -51,6 +51,8 @@ from patternloom.llm._common import U64, Tables, connected_components, mix64, mo
 HEAVY = 1 << 16
 #: Bytes of text, or of packed sets, that a task works on at a time.
 PIECE = 1 << 20
+#: Rows handed to Python at a time: texts and packed sets are wide, and the JVM holds a batch as well.
+BATCH_ROWS = 512
 _FACTOR = (np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 64, dtype=np.int64).astype(U64) << U64(1)) | U64(1)
 
 
@@ -282,7 +284,7 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     if not isinstance(kind, T.IntegralType):
         raise TypeError(f"{id} must hold whole numbers, not {kind.simpleString()}")
     base = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    with tidy(spark) as tables:
+    with tidy(spark, BATCH_ROWS) as tables:
         prints = tables.keep(base.mapInArrow(partial(_prints, k=k, keep=heavy // 2), "kind int, id long, n long, p1 long, p2 long, sketch binary, " + ", ".join(f"{f} long" for f in _FOLD)))
         sets = prints.where("kind = 0")
 
