@@ -227,3 +227,22 @@ ends AS (SELECT ds, family, arg_max(stays, i) AS stays FROM walk GROUP BY ds, fa
 decided AS (
   SELECT r.ds, r.pattern, r.depth, r.n, r.win_rate, r.lift, CASE WHEN r.win_rate < 52 THEN '2 win rate' WHEN r.lift < 3 THEN '3 lift' WHEN p.i IS NULL THEN '4 redundant condition' WHEN list_contains(e.stays, p.i) THEN 'kept' ELSE '5 near duplicate' END AS reason
   FROM rated r LEFT JOIN passed p ON p.ds = r.ds AND p.pattern = r.pattern LEFT JOIN ends e ON e.ds = p.ds AND e.family = p.family)"""
+
+_TWO = f"""
+lo AS MATERIALIZED (SELECT dataset_id AS ds, bar_index AS i, ts_ms AS t, open AS o, high AS h, low AS l, close AS c FROM ({tick_bars(DUCKDB, 'events', 900_000)}) x),
+hi AS MATERIALIZED (SELECT dataset_id AS ds, bar_index AS i, ts_ms AS t, high AS h, low AS l FROM ({tick_bars(DUCKDB, 'events')}) x)"""
+#: The forming candle from the bars of its hour so far, each bar joined with them.
+DEVELOPING = f"""
+WITH {_TWO}, forming AS (SELECT x.ds, x.i, x.c, (x.t + 900000 - s.t) / 36000.0 AS progress, p.h AS ph, p.l AS pl, y.i AS j, y.o, y.h, y.l FROM lo x JOIN hi s ON s.ds = x.ds AND x.t >= s.t AND x.t + 900000 < s.t + 3600000 JOIN lo y ON y.ds = x.ds AND y.t >= s.t AND y.i <= x.i LEFT JOIN hi p ON p.ds = s.ds AND p.i = s.i - 1),
+facts AS (SELECT ds, i, any_value(c) AS c, any_value(progress) AS progress, arg_min(o, j) AS o, max(h) AS h, min(l) AS l, list(j ORDER BY j) FILTER (WHERE h > ph) AS up, list(j ORDER BY j) FILTER (WHERE l < pl) AS dn FROM forming GROUP BY ds, i)
+SELECT ds AS dataset_id, i AS bar_index, progress, CASE WHEN o = 0 THEN 0 ELSE 100 * (c - o) / abs(o) END AS body_pct, CASE WHEN o = 0 THEN 0 ELSE 100 * (h - l) / abs(o) END AS range_pct, CASE WHEN h = l THEN 50 ELSE 100 * (c - l) / (h - l) END AS location,
+  CASE WHEN up IS NULL AND dn IS NULL THEN 'Inside prior range' WHEN dn IS NULL THEN 'Swept prior high' WHEN up IS NULL THEN 'Swept prior low' WHEN up[1] < dn[1] THEN 'Swept prior high before prior low' ELSE 'Swept prior low before prior high' END AS sweep_order FROM facts"""
+INTRABAR = f"""
+WITH {_TWO}, inside AS (SELECT x.ds, s.i AS tgt, x.*, p.h AS ph, p.l AS pl FROM lo x JOIN hi s ON s.ds = x.ds AND x.t >= s.t AND x.t + 900000 <= s.t + 3600000 LEFT JOIN hi p ON p.ds = s.ds AND p.i = s.i - 1),
+lists AS (SELECT ds, tgt, count(*) AS n, list(o ORDER BY i) AS os, list(c ORDER BY i) AS cs, list(h ORDER BY i) AS hs, list(l ORDER BY i) AS ls, any_value(ph) AS ph, any_value(pl) AS pl FROM inside GROUP BY ds, tgt),
+moved AS (SELECT *, list_prepend(cs[1] - os[1], list_transform(range(2, n + 1), lambda k: cs[k] - cs[k - 1])) AS ms FROM lists),
+signs AS (SELECT *, list_filter(list_transform(ms, lambda m: sign(m)), lambda g: g <> 0) AS gs, list_position(list_transform(hs, lambda v: v > ph), true) AS a, list_position(list_transform(ls, lambda v: v < pl), true) AS b, list_position(hs, list_max(hs)) AS ha, list_position(ls, list_min(ls)) AS la FROM moved)
+SELECT ds AS dataset_id, tgt AS bar_index, n AS intrabars, least(100, n * 25.0) AS coverage, CASE WHEN ha = la THEN 'High and low in same intrabar' WHEN ha < la THEN 'High before low' ELSE 'Low before high' END AS extreme_order,
+  CASE WHEN coalesce(a, 0) = 0 AND coalesce(b, 0) = 0 THEN 'No prior-range sweep' WHEN coalesce(b, 0) = 0 THEN 'Prior high swept only' WHEN coalesce(a, 0) = 0 THEN 'Prior low swept only' WHEN a = b THEN 'Both swept in same intrabar' WHEN a < b THEN 'Prior high swept before prior low' ELSE 'Prior low swept before prior high' END AS sweep_order,
+  CASE WHEN list_sum(list_transform(ms, lambda m: abs(m))) > 0 THEN 100 * abs(cs[n] - os[1]) / list_sum(list_transform(ms, lambda m: abs(m))) ELSE 0 END AS efficiency, cast(len(list_filter(range(2, len(gs) + 1), lambda k: gs[k] <> gs[k - 1])) AS bigint) AS turns,
+  100 * (list_max(hs) - os[1]) / greatest(abs(os[1]), 1e-9) AS up_excursion, 100 * (os[1] - list_min(ls)) / greatest(abs(os[1]), 1e-9) AS down_excursion FROM signs"""

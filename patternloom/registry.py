@@ -216,12 +216,16 @@ def two(name: str, spec: str, operator: Operator, **options) -> None:
 two("j1_asof_completed", "dataset_id bar_index ts_ms src_index", lambda d, lo, hi: align.completed(d, lo, hi, Q, H))
 two("j2_asof_context", "dataset_id bar_index src_index mtf_close mtf_volume", lambda d, lo, hi: align.context(d, lo, hi, Q, H, "close volume"))
 two("j3_exit_levels", "dataset_id bar_index ~mtf_exit_box_high ~mtf_exit_box_low", lambda d, lo, hi: align.context(d, lo, f"(SELECT h.*, x.exit_box_high, x.exit_box_low FROM {hi.removesuffix(' hb')} h LEFT JOIN ({fx.box(d, hi)}) x ON h.dataset_id = x.dataset_id AND h.bar_index = x.bar_index) hx", Q, H, "exit_box_high exit_box_low"))
-two("j4_developing_candle", "dataset_id bar_index ~progress ~body_pct ~range_pct ~location", lambda d, lo, hi: align.developing(d, lo, hi, Q, H))
-two("j5_intrabar_path", "dataset_id bar_index intrabars ~coverage ~efficiency turns ~up_excursion ~down_excursion", lambda d, lo, hi: align.intrabar(d, hi, lo, H, Q))
+two("j4_developing_candle", "dataset_id bar_index ~progress ~body_pct ~range_pct ~location sweep_order", lambda d, lo, hi: align.developing(d, lo, hi, Q, H))
+two("j5_intrabar_path", "dataset_id bar_index intrabars ~coverage extreme_order sweep_order ~efficiency turns ~up_excursion ~down_excursion", lambda d, lo, hi: align.intrabar(d, hi, lo, H, Q))
 two("j7_contained_bars", "dataset_id src_index n", lambda d, lo, hi: f"SELECT dataset_id, src_index, count(*) AS n FROM ({align.covering(d, lo, hi, H)}) c GROUP BY dataset_id, src_index")
 two("j8_covering_bar", "dataset_id bar_index src_index", lambda d, lo, hi: align.covering(d, lo, hi, H))
 two("j9_prior_bar", "dataset_id bar_index src_index", align.prior_daily)
-two("j12_alignment_audit", "dataset_id bars aligned leaks irregular ~coverage", lambda d, lo, hi: align.audit(d, lo, hi, Q, H))
+_AUDIT = "dataset_id relationship bars aligned leaks irregular ~coverage age_ms ~progress contained status"
+two("j12_alignment_audit", _AUDIT, lambda d, lo, hi: align.audit(d, lo, hi, Q, H))
+two("j12_lower_audit", _AUDIT, lambda d, lo, hi: align.audit(d, hi, lo, H, Q))
+ORACLES["j4_developing_candle"] = f"SELECT dataset_id, bar_index, {columns('~progress ~body_pct ~range_pct ~location')}, sweep_order FROM ({oracles.DEVELOPING}) q"
+ORACLES["j5_intrabar_path"] = f"SELECT dataset_id, bar_index, intrabars, {columns('~coverage ~efficiency ~up_excursion ~down_excursion')}, extreme_order, sweep_order, turns FROM ({oracles.INTRABAR}) q"
 
 
 bar_query("j6_coincidences", "event_id dataset_id other_id distance", xr.coincidences)

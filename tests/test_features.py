@@ -30,7 +30,7 @@ def test_asof_uses_completed_bars_only(spark):
 def test_developing_progress(spark):
     low, high = make(spark, linear(10), start=1_767_600_000_000), make(spark, linear(3), step=300_000, start=1_767_600_000_000)
     got = {r.bar_index: r.progress for r in on(align.developing, low, high, target_ms=60_000, source_ms=300_000).collect()}
-    assert got[5] == pytest.approx(20.0) and got[4] == pytest.approx(100.0)
+    assert got[5] == pytest.approx(20.0) and got[3] == pytest.approx(80.0) and 4 not in got  # complete at its end
 
 
 def test_intrabar_path(spark):
