@@ -190,3 +190,22 @@ def filtered(words_: str, ev: str, found: str) -> str:
     lined = f"SELECT dataset_id, family, sort_array(collect_list(struct(depth, pattern, coalesce(twins, cast(array() AS array<string>)) AS twins))) AS line FROM ({sets}) s LEFT JOIN ({twins}) t ON s.dataset_id = t.td AND s.pattern = t.late WHERE reason = 'kept' GROUP BY dataset_id, family"
     chosen = f"SELECT dataset_id AS cd, explode(aggregate(line, cast(array() AS array<string>), (s, v) -> CASE WHEN arrays_overlap(s, v.twins) THEN s ELSE concat(s, array(v.pattern)) END)) AS stays FROM ({lined}) l"
     return f"SELECT s.dataset_id, s.pattern, s.family, s.depth, s.n, s.win_rate, s.lift, CASE WHEN s.reason = 'kept' AND c.stays IS NULL THEN '5 near duplicate' ELSE s.reason END AS reason FROM ({sets}) s LEFT JOIN ({chosen}) c ON s.dataset_id = c.cd AND s.pattern = c.stays"
+
+
+#: Bars that screening looks at, at least; values that a score needs; features that go on.
+SCREEN_ROWS, SCREEN_LEAST, SCREENED = 256, 8, 1200
+
+
+def screened(long: str, ev: str, most: int = SCREENED) -> str:
+    """Features by their association with the next bar's return on evenly strided bars, the strongest ``most`` of a dataset.
+
+    A numeric feature scores by its absolute correlation, a categorical one by the spread of the mean
+    returns of its values that occur twice; with too few values the score is 0.
+    """
+    sample = f"SELECT dataset_id AS ds, bar_index AS b, r1 / 100 AS y FROM {ev} WHERE r1 IS NOT NULL AND bar_index < c - 1 AND bar_index % greatest(1, (c - 1) DIV {SCREEN_ROWS}) = 0"
+    met = f"SELECT l.dataset_id, l.feature, l.num, l.txt, s.y FROM {long} l LEFT JOIN ({sample}) s ON l.dataset_id = s.ds AND l.bar_index = s.b"
+    x = "CASE WHEN y IS NOT NULL THEN num END"
+    numeric = f"SELECT dataset_id, feature, CASE WHEN count(y) >= {SCREEN_LEAST} AND stddev_pop({x}) > 1e-12 THEN coalesce(abs(try_divide(covar_pop(num, y), stddev_pop({x}) * stddev_pop(y))), 0e0) ELSE 0e0 END AS score FROM ({met}) m WHERE num IS NOT NULL GROUP BY dataset_id, feature"
+    groups = f"SELECT dataset_id, feature, txt, count(y) AS n, avg(y) AS mean FROM ({met}) m WHERE txt IS NOT NULL GROUP BY dataset_id, feature, txt"
+    spread = f"SELECT dataset_id, feature, CASE WHEN sum(n) >= {SCREEN_LEAST} AND count_if(n >= 2) >= 2 THEN max(CASE WHEN n >= 2 THEN mean END) - min(CASE WHEN n >= 2 THEN mean END) ELSE 0e0 END AS score FROM ({groups}) g GROUP BY dataset_id, feature"
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY floor(score * 1e9) DESC, feature) AS place FROM ({numeric} UNION ALL {spread}) u) v WHERE place <= {most}"

@@ -1,20 +1,11 @@
-"""Driver-side planning of the pattern search: eligibility, candidates, combinations, budgets."""
+"""Driver-side planning of the pattern search: candidates, combinations, budgets."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
-#: Price-like names that drift with the price and so make no threshold.
-DRIFTING = re.compile(r"^(open|high|low|close|price|vwap|volume)$|(_|^)(price|level|upper|lower|basis|equity|cumulative)(_|$)", re.I)
-
-
-def eligible(name: str) -> bool:
-    return not DRIFTING.search(name)
-
-
 def candidates(name: str, kind: str, buckets: list[str] | None = None, cuts: list[float] | None = None, override: dict | None = None) -> list[tuple]:
     """Conditions of one feature: equality per bucket, below and above each cut; overrides replace cuts."""
     if kind == "categorical":

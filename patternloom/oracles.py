@@ -200,6 +200,7 @@ SELECT ds AS dataset_id, pid AS pattern_id, target, stop, count(*) AS n, 100.0 *
 
 #: The level-wise search by rows of bars: sets as joins, match sets as lists, the choice row by row.
 LEVELS = """
+strided AS (SELECT dataset_id, bar_index, r1 FROM ev WHERE r1 IS NOT NULL AND bar_index < c - 1 AND bar_index % greatest(1, (c - 1) // 256) = 0),
 late AS MATERIALIZED (SELECT dataset_id AS ds, bar_index AS b, r12 AS r FROM ev WHERE r12 IS NOT NULL),
 every AS (SELECT l.dataset_id AS ds, l.bar_index AS b, m.cond, m.feature FROM long l JOIN made m USING (dataset_id, feature)
   WHERE (m.op = 'lt' AND l.num < m.v) OR (m.op = 'gt' AND l.num > m.v) OR (m.op = 'eq' AND l.num = m.v) OR (m.op = 'neq' AND l.num <> m.v) OR (m.op = 'is' AND l.txt = m.t)),
@@ -246,3 +247,8 @@ SELECT ds AS dataset_id, tgt AS bar_index, n AS intrabars, least(100, n * 25.0)
   CASE WHEN coalesce(a, 0) = 0 AND coalesce(b, 0) = 0 THEN 'No prior-range sweep' WHEN coalesce(b, 0) = 0 THEN 'Prior high swept only' WHEN coalesce(a, 0) = 0 THEN 'Prior low swept only' WHEN a = b THEN 'Both swept in same intrabar' WHEN a < b THEN 'Prior high swept before prior low' ELSE 'Prior low swept before prior high' END AS sweep_order,
   CASE WHEN list_sum(list_transform(ms, lambda m: abs(m))) > 0 THEN 100 * abs(cs[n] - os[1]) / list_sum(list_transform(ms, lambda m: abs(m))) ELSE 0 END AS efficiency, cast(len(list_filter(range(2, len(gs) + 1), lambda k: gs[k] <> gs[k - 1])) AS bigint) AS turns,
   100 * (list_max(hs) - os[1]) / greatest(abs(os[1]), 1e-9) AS up_excursion, 100 * (os[1] - list_min(ls)) / greatest(abs(os[1]), 1e-9) AS down_excursion FROM signs"""
+SCREENED = """
+SELECT dataset_id, feature, score, row_number() OVER (PARTITION BY dataset_id ORDER BY floor(score * 1e9) DESC, feature) AS place FROM (
+  SELECT dataset_id, feature, CASE WHEN n >= 8 AND spread > 1e-12 THEN sqrt(r2) ELSE 0 END AS score FROM (SELECT dataset_id, feature, count(e.r1) AS n, coalesce(stddev_pop(num) FILTER (WHERE e.r1 IS NOT NULL), 0) AS spread, regr_r2(e.r1, num) AS r2 FROM long LEFT JOIN strided e USING (dataset_id, bar_index) WHERE num IS NOT NULL GROUP BY ALL) a
+  UNION ALL SELECT dataset_id, feature, CASE WHEN sum(n) >= 8 AND count(*) FILTER (WHERE n > 1) > 1 THEN (max(m) FILTER (WHERE n > 1) - min(m) FILTER (WHERE n > 1)) / 100 ELSE 0 END FROM (SELECT dataset_id, feature, txt, count(e.r1) AS n, avg(e.r1) AS m FROM long LEFT JOIN strided e USING (dataset_id, bar_index) WHERE txt IS NOT NULL GROUP BY ALL) b GROUP BY ALL)
+QUALIFY place <= 1200"""

@@ -24,7 +24,7 @@ from patternloom.operators import patterns as pt
 from patternloom.operators import trades as tr
 from patternloom.plans.dual import DUCKDB, SPARK, Dialect, Operator
 from patternloom.sources import bars as src
-from patternloom.sources.shared import written
+from patternloom.sources.shared import emptied, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,29 +67,43 @@ _held: dict[str, DataFrame] = {}
 _held_of: list = []
 
 
+def _state(events: DataFrame) -> tuple:
+    """Which files a table has now: their number, sizes and times."""
+    files = events.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(files.selectExpr("count(*)", "sum(file_size)", "max(file_modification_time)").first())
+
+
 def kept_tables(spark: SparkSession, sf_dir: str, body: str) -> dict[str, DataFrame]:
-    """The tables that a text names: the evaluated bars and the stored pattern tables of a folder.
+    """The tables that a text names: bars, evaluated bars and the stored tables of patterns of a folder.
 
     Each is computed once and written to the shared folder for the queries of the folder, so no
-    query carries another's plan and a lost executor loses none of them; only the last folder's
-    tables are remembered.
+    query carries another's plan and a lost executor loses none of them.  Only the tables of the last
+    folder are kept, as long as its files stay as they are; others are emptied.
     """
-    if _held_of != [spark.sparkContext.applicationId, sf_dir]:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    now = [spark.sparkContext.applicationId, sf_dir, _state(events)]
+    if _held_of != now:
+        if _held_of[:1] == now[:1]:
+            for df in _held.values():
+                emptied(df)
         _held.clear()
-        _held_of[:] = [spark.sparkContext.applicationId, sf_dir]
-    got = {}
-    for name in pt.STORED:
-        if "{" + name + "}" in body:
-            if name not in _held:
-                text = pt.STORED[name](SPARK, "{ev}")
-                _held[name] = written(spark.sql(text, **kept_tables(spark, sf_dir, text)))
-            got[name] = _held[name]
-    if "{events}" in body:
-        got["events"] = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return got
-
-
-_BARS = f"({src.tick_bars(SPARK, '{events}')}) b"
+        _held_of[:] = now
+
+    def tables(text: str) -> dict[str, DataFrame]:
+        got = {"events": events} if "{events}" in text else {}
+        for name in pt.STORED:
+            if "{" + name + "}" in text:
+                if name not in _held:
+                    own = pt.STORED[name](SPARK, "{ev}")
+                    _held[name] = written(spark.sql(own, **tables(own)))
+                got[name] = _held[name]
+        return got
+
+    return tables(body)
+
+
+pt.STORED["bars"] = lambda d, ev: src.tick_bars(d, "{events}")
+_BARS = "{bars} b"
 pt.STORED["ev"] = lambda d, ev: pt.evaluated(d, _BARS)
 pt.STORED["grid"] = lambda d, ev: pt.on_intervals(f"({pt.interval_bars(d, '{events}')}) b")
 pt.STORED["reach"] = lambda d, ev: ps.reach(_BARS)
@@ -312,6 +326,7 @@ pattern_query("p12_confluence", "dataset_id pattern_id families accepted", lambd
 
 bar_query("p3_eligibility", "label eligible", lambda d, b: f"SELECT label, NOT {cj.drifting(d, 'label', 'true')} AS eligible FROM ({ct.catalogue(d, b)}) c")
 level_query("p5_conditions", "dataset_id cond op ~v t", cj.made(SPARK, "{long}"), "SELECT * FROM made")
+level_query("p11_screened_features", "dataset_id feature ~score place", cj.screened("{long}", "{ev}"), oracles.SCREENED)
 level_query("p8_levelwise", "dataset_id pattern family depth n ups downs", "SELECT * FROM {found}", "SELECT * FROM sets")
 level_query("a16_near_twins", "dataset_id early late ~jaccard", cj.similar("{words}", cj.judged("{ev}", "{found}")), "SELECT ds AS dataset_id, early, late, jaccard FROM twins")
 level_query("a18_levelwise_filters", "dataset_id reason depth patterns", f"SELECT dataset_id, reason, depth, count(*) AS patterns FROM ({cj.filtered('{words}', '{ev}', '{found}')}) f GROUP BY dataset_id, reason, depth", "SELECT ds AS dataset_id, reason, depth, count(*) AS patterns FROM decided GROUP BY ALL")

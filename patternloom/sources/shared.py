@@ -27,3 +27,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def emptied(df: DataFrame) -> None:
+    """Delete the rows of a table that ``written`` made; an empty table takes its place."""
+    path = df.inputFiles()
+    if path:
+        df.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(path[0].rsplit("/", 1)[0])
