@@ -73,7 +73,7 @@ DECOYS = {
     "phone": ("isbn", "page", "item", "order", "room"),
     "secret": ("commit", "sha", "md5", "etag", "checksum", "rev", "file", "class", "see"),
 }
-FEATURES = ("length", "digits", "letters", "separators", "spaces", "groups", "brackets", "cue", "luhn", "before", "after", "words", "decoy", "capitals", "hex", "assigned", "changes", "domain")
+FEATURES = ("length", "digits", "letters", "separators", "spaces", "groups", "brackets", "cue", "luhn", "before", "after", "words", "decoy", "capitals", "hex", "assigned", "changes", "domain", "dashes")
 _DOMAIN = r"(?i:\b(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu|example))$"
 _CHANGE = "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
 EXAMPLES = 4_000
@@ -180,7 +180,7 @@ def features(kind: str, v: Column, before: Column, after: Column) -> list[Column
         F.length(v), digits, count("[A-Za-z]"), count("[-./_:@]"), count(" "), F.size(F.split(v, "[^0-9A-Za-z]+")), count(r"[()\[\]]"), cue.cast("int"),
         F.when(digits.between(12, 19), luhn(v)).otherwise(F.lit(False)).cast("int"), F.substring(before, -1, 1).rlike("[0-9A-Za-z.,/-]").cast("int"), F.substring(after, 1, 1).rlike("[0-9A-Za-z/_-]").cast("int"),
         F.size(F.split(v, r"\b(?:at|dot)\b")) - 1, F.lower(before).rlike(r"\b(?:" + "|".join(DECOYS[kind]) + r")\b").cast("int"), count("[A-Z]"),
-        v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("int"), before.rlike("[=:]\\x20?[\"']?$").cast("int"), F.size(F.split(v, _CHANGE)) - 1, v.rlike(_DOMAIN).cast("int"),
+        v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("int"), before.rlike("[=:]\\x20?[\"']?$").cast("int"), F.size(F.split(v, _CHANGE)) - 1, v.rlike(_DOMAIN).cast("int"), count("-"),
     ]
 
 
@@ -239,6 +239,8 @@ def examples(kind: str, n: int, seed: int = 5) -> list[tuple[str, str, str, int]
                 before += pick(["mail ", "contact ", "", ""])
             else:
                 v = f"{word()} at {word()}.{word().capitalize()}" if r.random() < 0.7 else f"{word()} at {word()} dot {word()}s{word()}"
+                if r.random() < 0.3:  # a sentence that ends, and one that begins with a short word
+                    v = f"{word()} at {word()}. {pick(['Es', 'De', 'It', 'Fr', 'Co', 'In', 'No', word().capitalize()])}"
                 v = v if r.random() < 0.6 else f"{word()} at {num(2)}.{num(2)}"
         elif kind == "ip":
             if yes:
@@ -273,10 +275,12 @@ def examples(kind: str, n: int, seed: int = 5) -> list[tuple[str, str, str, int]
         else:
             if yes:
                 v = pick([f"({num(3)}) 555-{num(4)}", f"{num(3)}-555-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"])
-                before += pick(["tel ", "phone ", "call ", "mobile "])
+                bare = v[0] == "(" or "-" in v  # written as a phone: it needs no cue word
+                before += pick(["tel ", "phone ", "call ", "mobile ", *(["", "us ", "office ", "the "] if bare else [])])
             else:
-                v = pick([f"{num(4)}-{num(4)}", f"{num(4)} {num(3)} {num(3)}", f"{num(3)}/{num(3)}{num(4)}", f"{num(2)}.{num(4)}", f"{num(3)}-{num(3)}-{num(4)}"])
-                before += pick(["", "", "page ", "item "])
+                v = pick([f"{num(4)}-{num(4)}", f"{num(4)} {num(3)} {num(3)}", f"{num(3)}/{num(3)}{num(4)}", f"{num(2)}.{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"])
+                phone_like = v.count("-") == 2
+                before += pick(["page ", "item ", "isbn ", "order ", "room "] if phone_like else ["", "", "page ", "item "])
                 after = pick([after, "/", "-"])
         out.append((v, before, after, yes))
     return out
@@ -291,7 +295,7 @@ def _numpy_features(kind: str, rows: list[tuple[str, str, str, int]]) -> np.ndar
         ok = 12 <= len(digits) <= 19 and _luhn_digit(digits[:-1]) == digits[-1]
         cue = re.search(r"\b(?:" + "|".join(CUES[kind]) + ")", before.lower())
         return [len(v), len(digits), count("[A-Za-z]"), count("[-./_:@]"), count(" "), len(re.split("[^0-9A-Za-z]+", v)), count(r"[()\[\]]"), bool(cue), ok, bool(re.match("[0-9A-Za-z.,/-]", before[-1:])), bool(re.match("[0-9A-Za-z/_-]", after[:1])), len(re.split(r"\b(?:at|dot)\b", v)) - 1,
-                bool(re.search(r"\b(?:" + "|".join(DECOYS[kind]) + r")\b", before.lower())), count("[A-Z]"), bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)), bool(re.search("[=:]\\x20?[\"']?$", before)), len(re.split(_CHANGE, v)) - 1, bool(re.search(_DOMAIN, v))]
+                bool(re.search(r"\b(?:" + "|".join(DECOYS[kind]) + r")\b", before.lower())), count("[A-Z]"), bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)), bool(re.search("[=:]\\x20?[\"']?$", before)), len(re.split(_CHANGE, v)) - 1, bool(re.search(_DOMAIN, v)), count("-")]
 
     return np.asarray([one(*r[:3]) for r in rows], float)
 
@@ -375,7 +379,7 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             out = out.withColumn(b, F.transform(_kept(F.when(there, _matches(whole, BASE[kind])), kind), _spanned(rank, kind)))
             base.append(b)
         out = out.withColumn(c, F.when(_possible(kind, whole, digit), _candidates(whole, kind)))
-        out = out.withColumn(c, F.transform(c, _described(kind, whole)))
+        out = out.withColumn(c, _described(kind, whole, c))
         out = out.withColumn(c, _accepted(rank, kind, c, b if kind in BASE else None))
         more.append(c)
     all_of = lambda names: F.array_sort(F.concat(*[F.coalesce(n, F.array().cast(_SPANS)) for n in names]))
@@ -384,6 +388,7 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 _SPANS = "array<struct<start:int,rank:int,kind:string,stop:int>>"
+_ITEMS = "array<struct<start:int,stop:int,loss:double>>"
 
 
 def _kept(matches: Column, kind: str) -> Column:
@@ -402,24 +407,64 @@ def _possible(kind: str, whole: Column, digit: Column) -> Column:
     return whole.rlike(":[0-9A-Fa-f]{0,4}:") if kind == "ip" else digit
 
 
-def _described(kind: str, whole: Column):
-    def one(m):
-        before = F.substring(whole, F.greatest(m["start"] - _CONTEXT + 1, F.lit(1)), F.least(m["start"], F.lit(_CONTEXT)))
-        after = F.substring(whole, m["stop"] + 1, F.lit(1))
-        return F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.array(*[c.cast("double") for c in features(kind, m["value"], before, after)]).alias("x"))
+#: Characters of a piece in which contexts are looked up.
+_PIECE = 1024
 
-    return one
+
+def _described(kind: str, whole: Column, candidates: str) -> Column:
+    """Candidates as (start, stop, x): places and features.
+
+    Contexts are read from pieces of the text, so a candidate far into a long text costs no more than one
+    at its beginning.
+    """
+
+    def described(pieces):
+        piece = lambda k: F.coalesce(F.get(pieces, k.cast("int")), F.lit(""))
+
+        def one(m):
+            first = F.greatest(m["start"] - _CONTEXT, F.lit(0))
+            k = F.floor(first / _PIECE)
+            before = F.substring(F.concat(piece(k), piece(k + 1)), (first % _PIECE + 1).cast("int"), m["start"] - first)
+            after = F.substring(piece(F.floor(m["stop"] / _PIECE)), (m["stop"] % _PIECE + 1).cast("int"), F.lit(1))
+            seen = F.struct(m["value"].alias("v"), before.alias("before"), after.alias("after"))
+            x = _let(seen, lambda c: F.array(*[f.cast("double") for f in features(kind, c["v"], c["before"], c["after"])]))
+            return F.struct(m["start"].alias("start"), m["stop"].alias("stop"), x.alias("x"))
+
+        return F.transform(candidates, one)
+
+    return F.when(F.size(candidates) > 0, _let(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), described))
 
 
 def _accepted(rank: int, kind: str, candidates: str, base: str | None) -> Column:
-    none = F.array().cast(_SPANS)
-    apart = lambda spans, m: ~F.exists(spans, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
-    scored = F.transform(candidates, lambda m: F.struct((-score(kind, m["x"])).alias("loss"), (m["start"] - m["stop"]).alias("short"), m["start"].alias("start"), m["stop"].alias("stop")))
-    held = F.coalesce(F.col(base), none) if base else none
-    fit_in = F.filter(scored, lambda m: (m["loss"] <= -fit(kind)[3]) & apart(held, m))
-    # best first; each stays unless it overlaps a better one
-    step = lambda kept, m: F.when(apart(kept, m), F.concat(kept, F.array(_spanned(rank, kind)(m)))).otherwise(kept)
-    return F.aggregate(F.array_sort(fit_in), none, step)
+    """The candidates over the threshold that overlap no base span and no better candidate.
+
+    Spans are swept in order of their start into groups that touch no other group; within a group the best
+    come first, base spans before all.
+    """
+    item = lambda loss, start, stop: F.struct(start.alias("start"), stop.alias("stop"), loss.alias("loss"))
+    # equal features have one score
+    kinds = F.array_distinct(F.transform(candidates, lambda m: m["x"]))
+    losses = _let(kinds, lambda k: F.struct(k.alias("k"), F.transform(k, lambda x: -score(kind, x)).alias("loss")))
+    scored = _let(losses, lambda t: F.transform(candidates, lambda m: item(F.element_at(t["loss"], F.array_position(t["k"], m["x"]).cast("int")), m["start"], m["stop"])))
+    spans = F.filter(scored, lambda m: m["loss"] <= -fit(kind)[3])
+    if base:
+        held = F.transform(F.coalesce(F.col(base), F.array().cast(_SPANS)), lambda m: item(F.lit(-2.0), m["start"], m["stop"]))
+        spans = F.concat(held, spans)
+    empty = F.array().cast(_ITEMS)
+    start = F.struct(F.lit(0).alias("stop"), empty.alias("own"), F.array().cast(f"array<{_ITEMS}>").alias("done"))
+
+    def sweep(a, m):
+        joins = m["start"] < a["stop"]
+        own = F.when(joins, F.concat(a["own"], F.array(m))).otherwise(F.array(m))
+        return F.struct(F.when(joins, F.greatest(a["stop"], m["stop"])).otherwise(m["stop"]).alias("stop"), own.alias("own"), F.when(joins, a["done"]).otherwise(F.concat(a["done"], F.array(a["own"]))).alias("done"))
+
+    groups = F.aggregate(F.array_sort(spans), start, sweep, lambda a: F.concat(a["done"], F.array(a["own"])))
+    apart = lambda kept, m: ~F.exists(kept, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
+    step = lambda kept, m: F.when(apart(kept, m), F.concat(kept, F.array(item(m["loss"], m["start"], m["stop"])))).otherwise(kept)
+    order = lambda g: F.array_sort(F.transform(g, lambda m: F.struct(m["loss"].alias("loss"), (m["start"] - m["stop"]).alias("short"), m["start"].alias("start"), m["stop"].alias("stop"))))
+    best = lambda g: F.when(F.size(g) < 2, g).otherwise(F.aggregate(order(g), empty, step))
+    kept = F.filter(F.flatten(F.transform(groups, best)), lambda m: m["loss"] > -1.5)
+    return F.when(F.size(candidates) > 0, F.transform(kept, _spanned(rank, kind)))
 
 
 def _written(spans: Column) -> Column:
