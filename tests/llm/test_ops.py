@@ -118,6 +118,33 @@ def test_pii_secrets_of_the_corpus_are_found(spark):
     assert sum(len(r.added_spans) for r in rows) <= 1.1 * len(planted)
 
 
+def test_pii_recall_and_precision_of_planted_values(spark):
+    """Values of a seed that no model has seen, each in a text of its own; found is a span of its kind over most of it."""
+    rows, texts = [], []
+    for kind in pii.KINDS:
+        for v, before, after, y in pii.examples(kind, 150, seed=77):
+            gap = " " if after[:1].isalnum() else ""  # a letter behind it would belong to the value
+            text = f"some words first {before}{v}{gap}{after} and words behind"
+            rows.append((kind, len("some words first ") + len(before), len(v), y))
+            texts.append(text)
+    got = {r.doc_id: [*r.base_spans, *r.added_spans] for r in pii.find_spans(frame(spark, texts)).collect()}
+    for kind in pii.KINDS:
+        right = wrong = missed = 0
+        for k, (own, at, n, y) in enumerate(rows):
+            if own == kind:
+                over = max((min(s.stop, at + n) - max(s.start, at) for s in got[k] if s.kind == kind), default=0)
+                right += y and over >= 0.8 * n
+                missed += y and over < 0.8 * n
+                wrong += not y and over > 0
+        assert right / (right + missed) >= 0.9 and right / (right + wrong) >= 0.9, (kind, right, missed, wrong)
+
+
+def test_pii_phones_without_cue_words_and_lookalikes(spark):
+    cases = {"reach us 212-555-0147": 1, "the office (212) 555-0147, upstairs": 1, "isbn 212-555-0147": 0, "page 123-456-7890": 0, "call 212.555.0147 soon": 1, "rate 212.555.0147 soon": 0, "haly at th at thhablewh. Es war": 0}
+    got = {r.doc_id: len(r.base_spans) + len(r.added_spans) for r in pii.find_spans(frame(spark, list(cases))).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
 def test_pii_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co", 1, 2, 3, 4)], "doc_id long, text string, _b0 int, _c4 int, base_spans int, `x.y` int")
     row = pii.find_spans(docs).first()
