@@ -38,15 +38,18 @@ def catalogue(d: Dialect, bars: str, overrides: tuple = (("percent b", 0.0, 100.
     FROM (SELECT label, category, count(value) AS n, min(value) AS low, max(value) AS high FROM ({long_columns(d, bars)}) l GROUP BY label, category) c LEFT JOIN {d.values([tuple(o) for o in overrides], 'label, lo, hi')} o ON c.label = o.label"""
 
 
-def inferred(d: Dialect, bars: str, sample: int = 5000) -> str:
-    """Role of each column of a dataset: by alias, then by its values and the words of its label."""
+def inferred(d: Dialect, bars: str, sample: int = 5000, long: str | None = None) -> str:
+    """Role of each column of a dataset: by alias, then by its values and the words of its label.
+
+    ``long`` names other columns than those of the catalogue.
+    """
     word = lambda *ws: " OR ".join(f"concat(' ', label, ' ') LIKE '% {w} %'" for w in ws)
     alias = "CASE " + " ".join(f"WHEN label LIKE '%{a}%' THEN '{r}'" for a, r in ALIASES.items()) + " END"
     return f"""
     SELECT dataset_id, label, CASE WHEN kinds BETWEEN 2 AND 5 AND whole THEN 'binary-event' WHEN {word('upper')} THEN 'upper-band' WHEN {word('lower')} THEN 'lower-band' WHEN {word('basis', 'middle', 'midline', 'center')} THEN 'basis'
       WHEN {word('price', 'vwap', 'support', 'resistance', 'pivot', 'level', 'session')} THEN 'price-level' WHEN instr(label, '%') > 0 OR {word('pct', 'percent', 'ratio', 'bandwidth', 'return')} THEN 'percentage'
       WHEN n > 10 AND ((lo >= 0 AND hi <= 100) OR (lo >= -1 AND hi <= 1)) THEN 'oscillator' ELSE coalesce({alias}, 'generic-series') END AS role
-    FROM (SELECT dataset_id, label, count(value) AS n, count(DISTINCT value) AS kinds, min(value) AS lo, max(value) AS hi, min(CASE WHEN value = floor(value) THEN 1 ELSE 0 END) = 1 AS whole FROM ({long_columns(d, bars)}) l WHERE bar_index < {sample} AND value IS NOT NULL GROUP BY dataset_id, label) a"""
+    FROM (SELECT dataset_id, label, count(value) AS n, count(DISTINCT value) AS kinds, min(value) AS lo, max(value) AS hi, min(CASE WHEN value = floor(value) THEN 1 ELSE 0 END) = 1 AS whole FROM ({long or long_columns(d, bars)}) l WHERE bar_index < {sample} AND value IS NOT NULL GROUP BY dataset_id, label) a"""
 
 
 #: Stored definitions: id, name, reviewed, updated.

@@ -107,10 +107,10 @@ def divergence(d: Dialect, bars: str, x: str) -> str:
 
 
 def recency(d: Dialect, events: str, event: str) -> str:
-    """Bars since an event column was last active: Now, up to 3, up to 10 or Not recent."""
+    """Bars since an event column was last active: Now, Within 3 bars, Within 10 bars or Not recent."""
     active = f"NOT ({event} LIKE 'No %' OR {event} LIKE 'None%' OR {event} LIKE 'Off%' OR {event} LIKE 'Flat%' OR {event} LIKE 'Middle%')"
     return f"""
-    SELECT dataset_id, bar_index, CASE WHEN bar_index = seen THEN 'Now' WHEN bar_index - seen <= 3 THEN '1-3 bars' WHEN bar_index - seen <= 10 THEN '4-10 bars' ELSE 'Not recent' END AS recency
+    SELECT dataset_id, bar_index, CASE WHEN bar_index = seen THEN 'Now' WHEN bar_index - seen <= 3 THEN 'Within 3 bars' WHEN bar_index - seen <= 10 THEN 'Within 10 bars' ELSE 'Not recent' END AS recency
     FROM ({carried(d, events, seen=('last', f'CASE WHEN {active} THEN bar_index END'))}) f"""
 
 

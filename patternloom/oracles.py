@@ -7,6 +7,8 @@ joins of condition rows, ranks and folds from counting, match sets are compared
 from __future__ import annotations
 
 from patternloom.operators import trades as tr
+from patternloom.operators import uploads as up
+from patternloom.operators.catalogue import inferred
 from patternloom.operators.patterns import CONDITIONS, evaluated
 from patternloom.plans.dual import DUCKDB
 from patternloom.sources.bars import tick_bars
@@ -252,3 +254,45 @@ SELECT dataset_id, feature, score, row_number() OVER (PARTITION BY dataset_id OR
   SELECT dataset_id, feature, CASE WHEN n >= 8 AND spread > 1e-12 THEN sqrt(r2) ELSE 0 END AS score FROM (SELECT dataset_id, feature, count(e.r1) AS n, coalesce(stddev_pop(num) FILTER (WHERE e.r1 IS NOT NULL), 0) AS spread, regr_r2(e.r1, num) AS r2 FROM long LEFT JOIN strided e USING (dataset_id, bar_index) WHERE num IS NOT NULL GROUP BY ALL) a
   UNION ALL SELECT dataset_id, feature, CASE WHEN sum(n) >= 8 AND count(*) FILTER (WHERE n > 1) > 1 THEN (max(m) FILTER (WHERE n > 1) - min(m) FILTER (WHERE n > 1)) / 100 ELSE 0 END FROM (SELECT dataset_id, feature, txt, count(e.r1) AS n, avg(e.r1) AS m FROM long LEFT JOIN strided e USING (dataset_id, bar_index) WHERE txt IS NOT NULL GROUP BY ALL) b GROUP BY ALL)
 QUALIFY place <= 1200"""
+
+# ------------------------------------------------------------------ uploaded columns: one row per bar and column, joined with itself
+_VALUES = ", ".join(f"('{label}', {k}, cast({x} AS double))" for k, (label, x) in enumerate(up.COLUMNS))
+_UPLOADS = f"""
+up AS MATERIALIZED (SELECT w.dataset_id AS ds, w.bar_index AS i, w.close, w.atr, v.label, v.pos, CASE WHEN isfinite(v.x) THEN v.x END AS x FROM ({up.wide(DUCKDB, f"({tick_bars(DUCKDB, 'events')}) b")}) w, LATERAL (SELECT * FROM (VALUES {_VALUES}) AS t(label, pos, x)) v),
+col AS MATERIALIZED (SELECT r.dataset_id AS ds, r.label, r.role, p.pos FROM ({inferred(DUCKDB, '', long='SELECT ds AS dataset_id, i AS bar_index, label, x AS value FROM up')}) r JOIN (SELECT DISTINCT label, pos FROM up) p USING (label))"""
+_BANDS = f"""
+{_UPLOADS},
+named AS (SELECT *, array_to_string(list_filter(string_split(lower(label), ' '), lambda w: w NOT IN ('upper', 'lower', 'basis', 'middle', 'midline', 'band')), ' ') AS grp FROM col),
+mate AS (
+  SELECT u.ds, u.label AS upper, u.pos, coalesce((SELECT arg_min(l.label, l.pos) FROM named l WHERE l.ds = u.ds AND l.role = 'lower-band' AND l.grp = u.grp),
+    CASE WHEN (SELECT count(*) FROM named l WHERE l.ds = u.ds AND l.role = 'upper-band') = 1 AND (SELECT count(*) FROM named l WHERE l.ds = u.ds AND l.role = 'lower-band') = 1 THEN (SELECT min(l.label) FROM named l WHERE l.ds = u.ds AND l.role = 'lower-band') END) AS lower
+  FROM named u WHERE u.role = 'upper-band'),
+band AS (SELECT a.ds, a.upper, a.lower, (SELECT count(*) FROM mate b WHERE b.ds = a.ds AND b.lower IS NOT NULL AND b.pos <= a.pos) AS no FROM mate a WHERE a.lower IS NOT NULL),
+width AS MATERIALIZED (SELECT b.ds, b.no, b.upper, b.lower, h.i, CASE WHEN h.close <> 0 THEN 100 * (h.x - l.x) / abs(h.close) END AS pct, CASE WHEN h.atr > 1e-12 THEN (h.x - l.x) / h.atr END AS atrs FROM band b JOIN up h ON h.ds = b.ds AND h.label = b.upper JOIN up l ON l.ds = b.ds AND l.label = b.lower AND l.i = h.i WHERE b.no <= 8)"""
+BAND_WIDTHS = f"""
+WITH {_BANDS}
+SELECT n.ds AS dataset_id, n.i AS bar_index, n.upper, n.lower, n.pct AS width_pct, n.atrs AS width_atr,
+  CASE WHEN n.pct IS NULL OR o.pct IS NULL THEN NULL WHEN abs(n.pct - o.pct) <= greatest(1e-12, 1e-10 * abs(o.pct)) THEN 'Flat' WHEN n.pct > o.pct THEN 'Expanding' ELSE 'Compressing' END AS expansion
+FROM width n LEFT JOIN width o ON o.ds = n.ds AND o.no = n.no AND o.i = n.i - 3 WHERE n.pct IS NOT NULL OR n.atrs IS NOT NULL"""
+WIDTH_RATIOS = f"WITH {_BANDS} SELECT p.ds AS dataset_id, p.i AS bar_index, p.upper AS a, q.upper AS b, p.pct / q.pct AS width_ratio FROM width p JOIN width q ON q.ds = p.ds AND q.i = p.i AND q.no > p.no AND q.no <= 4 WHERE abs(q.pct) > 1e-12 AND p.pct IS NOT NULL"
+PAIR_RELATIONS = f"""
+WITH {_UPLOADS}, free AS (SELECT * FROM col WHERE role NOT IN ('price-level', 'upper-band', 'lower-band', 'basis', 'binary-event')),
+two AS (SELECT x.ds, x.label AS a, y.label AS b FROM free x JOIN free y ON x.ds = y.ds AND x.pos < y.pos QUALIFY row_number() OVER (PARTITION BY x.ds ORDER BY x.pos * 1000 + y.pos) <= 12),
+gap AS MATERIALIZED (SELECT t.*, m.i, m.x - n.x AS s FROM two t JOIN up m ON m.ds = t.ds AND m.label = t.a JOIN up n ON n.ds = t.ds AND n.label = t.b AND n.i = m.i),
+-- the bar before is the row whose number is one less
+met AS (SELECT g.*, CASE WHEN h.s <= 0 AND g.s > 0 THEN 1 WHEN h.s >= 0 AND g.s < 0 THEN -1 ELSE 0 END AS side FROM gap g LEFT JOIN gap h ON h.ds = g.ds AND h.a = g.a AND h.b = g.b AND h.i = g.i - 1),
+told AS (SELECT *, i - max(i) FILTER (WHERE side <> 0) OVER (PARTITION BY ds, a, b ORDER BY i) AS since, count(s) OVER w AS c, avg(s) OVER w AS m, stddev_pop(s) OVER w AS sd FROM met WINDOW w AS (PARTITION BY ds, a, b ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+SELECT ds AS dataset_id, i AS bar_index, a, b, CASE WHEN s IS NOT NULL AND c >= 10 THEN CASE WHEN sd > 1e-6 THEN (s - m) / sd ELSE 0 END END AS spread_z,
+  CASE WHEN abs(s) <= 1e-12 THEN 'Equal' WHEN s IS NOT NULL THEN a || CASE WHEN s > 0 THEN ' above ' ELSE ' below ' END || b END AS relation,
+  CASE side WHEN 0 THEN 'No cross' ELSE a || CASE side WHEN 1 THEN ' crossed above ' ELSE ' crossed below ' END || b END AS cross_event,
+  CASE WHEN since = 0 THEN 'Now' WHEN since BETWEEN 1 AND 3 THEN 'Within 3 bars' WHEN since BETWEEN 4 AND 10 THEN 'Within 10 bars' ELSE 'Not recent' END AS recency
+FROM told"""
+ZONES = f"""
+WITH {_UPLOADS}, ends(label, lo, hi) AS (VALUES {", ".join(f"('{n}', {lo}e0, {hi}e0)" for n, lo, hi in up.RANGES)}),
+cut AS (SELECT c.ds, c.label, coalesce(any_value(0.8e0 * e.lo + 0.2e0 * e.hi), quantile_cont(u.x, 0.2)) AS low, coalesce(any_value(0.2e0 * e.lo + 0.8e0 * e.hi), quantile_cont(u.x, 0.8)) AS high FROM col c JOIN up u ON u.ds = c.ds AND u.label = c.label LEFT JOIN ends e ON e.label = c.label WHERE c.role = 'oscillator' GROUP BY c.ds, c.label)
+SELECT u.ds AS dataset_id, u.i AS bar_index, u.label, CASE WHEN u.x <= c.low THEN 'Low' WHEN u.x < c.high THEN 'Middle' ELSE 'High' END AS zone FROM up u JOIN cut c USING (ds, label) WHERE u.x IS NOT NULL"""
+LEVELS_OR_CHANGES = f"""
+WITH {_UPLOADS}, own AS (SELECT u.ds, u.label, u.i, u.x, c.role NOT IN ('price', 'cumulative') AS steady FROM up u JOIN col c USING (ds, label) WHERE c.role NOT IN ('price-level', 'upper-band', 'lower-band', 'basis', 'binary-event')),
+step AS (SELECT n.*, n.x - o.x AS y FROM own n LEFT JOIN own o ON o.ds = n.ds AND o.label = n.label AND o.i = n.i - 1),
+told AS (SELECT *, count(y) OVER w AS c, avg(y) OVER w AS m, stddev_pop(y) OVER w AS sd FROM step WINDOW w AS (PARTITION BY ds, label ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+SELECT ds AS dataset_id, i AS bar_index, label, CASE WHEN steady THEN 'value' ELSE 'change' END AS kind, CASE WHEN steady THEN x WHEN y IS NOT NULL AND c >= 10 THEN CASE WHEN sd > 1e-6 THEN (y - m) / sd ELSE 0 END END AS reading FROM told WHERE x IS NOT NULL"""

@@ -22,6 +22,7 @@ from patternloom.operators import features as fx
 from patternloom.operators import passage as ps
 from patternloom.operators import patterns as pt
 from patternloom.operators import trades as tr
+from patternloom.operators import uploads as up
 from patternloom.plans.dual import DUCKDB, SPARK, Dialect, Operator
 from patternloom.sources import bars as src
 from patternloom.sources.shared import emptied, written
@@ -115,6 +116,8 @@ pt.STORED["frequent"] = lambda d, ev: cj.frequent("{met}")
 pt.STORED["words"] = lambda d, ev: cj.words("{met}", "{frequent}")
 pt.STORED["pairs"] = lambda d, ev: cj.pairs("{words}")
 pt.STORED["found"] = lambda d, ev: cj.levels("{words}", "{pairs}", "{frequent}")
+pt.STORED["uploads"] = lambda d, ev: up.uploads(d, _BARS)
+pt.STORED["roles"] = lambda d, ev: up.roles(d, "{uploads}")
 pt.STORED["paths"] = lambda d, ev: tr.paths(d, _BARS, ev)
 
 
@@ -217,6 +220,25 @@ bar_query("c22_change_score", "dataset_id bar_index ~z", sem.change_score, x="us
 bar_query("c23_band_acceleration", "dataset_id bar_index ~acceleration", sem.bands, upper="(high + 1)", lower="low")
 bar_query("c24_column_summary", "dataset_id n lo hi ~mean ~sd kinds", sem.summary, x="users")
 
+
+
+def upload_query(name: str, spec: str, operator: Callable[..., str], oracle: str) -> None:
+    """A query over all uploaded columns; the columns' roles and labels plan it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        body = f"SELECT {columns(spec)} FROM ({operator('{uploads}', '{roles}')}) q"
+        return spark.sql(body, **kept_tables(spark, sf_dir, body))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT {columns(spec)} FROM ({oracle}) q"
+
+
+upload_query("c18_all_bands", "dataset_id bar_index upper lower ~width_pct ~width_atr expansion", up.band_widths, oracles.BAND_WIDTHS)
+upload_query("c19_all_width_ratios", "dataset_id bar_index a b ~width_ratio", up.width_ratios, oracles.WIDTH_RATIOS)
+upload_query("c20_all_pairs", "dataset_id bar_index a b relation cross_event recency ~spread_z", up.pair_relations, oracles.PAIR_RELATIONS)
+upload_query("c21_all_zones", "dataset_id bar_index label zone", up.zones, oracles.ZONES)
+upload_query("c22_levels_or_changes", "dataset_id bar_index label kind ~reading", up.levels_or_changes, oracles.LEVELS_OR_CHANGES)
+
 # ------------------------------------------------------------------ alignment
 
 H, Q = src.HOUR, 900_000
