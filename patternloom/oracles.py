@@ -296,3 +296,28 @@ WITH {_UPLOADS}, own AS (SELECT u.ds, u.label, u.i, u.x, c.role NOT IN ('price',
 step AS (SELECT n.*, n.x - o.x AS y FROM own n LEFT JOIN own o ON o.ds = n.ds AND o.label = n.label AND o.i = n.i - 1),
 told AS (SELECT *, count(y) OVER w AS c, avg(y) OVER w AS m, stddev_pop(y) OVER w AS sd FROM step WINDOW w AS (PARTITION BY ds, label ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
 SELECT ds AS dataset_id, i AS bar_index, label, CASE WHEN steady THEN 'value' ELSE 'change' END AS kind, CASE WHEN steady THEN x WHEN y IS NOT NULL AND c >= 10 THEN CASE WHEN sd > 1e-6 THEN (y - m) / sd ELSE 0 END END AS reading FROM told WHERE x IS NOT NULL"""
+
+# ------------------------------------------------------------------ coverage: matches numbered one by one
+_OCC = f"""
+{_HITS},
+occ AS MATERIALIZED (SELECT h.ds, h.pid, e.ts_ms AS t, coalesce(e.r1 > 0, false) AS rose, coalesce(e.r1 < 0, false) AS fell FROM hit h JOIN ev e ON e.dataset_id = h.ds AND e.bar_index = h.b WHERE h.r IS NOT NULL),
+past AS (SELECT dataset_id AS ds, count(*) AS bars, max(ts_ms) - min(ts_ms) AS span FROM ev GROUP BY dataset_id)"""
+PERIODS = f"""
+WITH {_OCC}, dated AS (SELECT *, extract(year FROM make_timestamp(t * 1000)) AS y FROM occ),
+wide AS (SELECT ds, pid, t, y FROM dated UNION ALL SELECT '*', pid, t, y FROM dated), all_past AS (SELECT ds, bars FROM past UNION ALL SELECT '*', sum(bars) FROM past)
+SELECT w.ds AS dataset_id, w.pid AS pattern_id, w.y, count(*) AS n, min(w.t) AS first_ms, max(w.t) AS last_ms, 100.0e0 * count(*) / any_value(p.bars) AS share
+FROM (SELECT * FROM wide UNION ALL SELECT ds, pid, t, 0 FROM wide) w JOIN all_past p USING (ds) GROUP BY w.ds, w.pid, w.y"""
+COVERAGE_FLAGS = f"""
+WITH {_OCC}, won AS (SELECT o.ds, o.pid, o.t, CASE p.dir WHEN 'bullish' THEN o.rose ELSE o.fell END AS good, row_number() OVER (PARTITION BY o.ds, o.pid ORDER BY o.t) AS place, count(*) OVER (PARTITION BY o.ds, o.pid) AS n FROM occ o JOIN pat p USING (ds, pid)),
+both_ AS (SELECT ds, pid, n, max(t) - min(t) AS took, 100.0e0 * avg(good::int) FILTER (WHERE 2 * place <= n) AS early, 100.0e0 * avg(good::int) FILTER (WHERE 2 * place > n) AS late FROM won GROUP BY ds, pid, n)
+SELECT ds AS dataset_id, pid AS pattern_id, n, early AS early_win, late AS late_win, n = 1 OR abs(early - late) <= 10 AS steady,
+  'symbol-specific,timeframe-specific' || CASE WHEN n < 30 THEN ',few-occurrences' ELSE '' END || CASE WHEN span > 0 AND 4 * took < span THEN ',concentrated-in-short-period' ELSE '' END AS flags
+FROM both_ JOIN past USING (ds)"""
+PER_SYMBOL = f"WITH {_HITS}, grid AS (SELECT d.ds, p.pid FROM (SELECT DISTINCT dataset_id AS ds FROM ev) d, (SELECT DISTINCT pid FROM pat) p) SELECT g.ds AS dataset_id, g.pid AS pattern_id, coalesce(p.n, 0) AS n, coalesce(p.win, 0) AS win_rate, coalesce(p.mv, 0) AS avg_move FROM grid g LEFT JOIN pat p USING (ds, pid)"
+POOLED = f"""
+WITH {_OCC}, ranked AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY t, ds) AS place, count(*) OVER (PARTITION BY pid) AS n FROM occ),
+parts AS (SELECT pid, n, 100.0e0 * avg(rose::int) FILTER (WHERE 2 * place <= n) AS eu, 100.0e0 * avg(rose::int) FILTER (WHERE 2 * place > n) AS lu, 100.0e0 * avg(fell::int) FILTER (WHERE 2 * place <= n) AS ed, 100.0e0 * avg(fell::int) FILTER (WHERE 2 * place > n) AS ld FROM ranked GROUP BY pid, n),
+results AS (SELECT pid, count(*) AS symbols, sum(win * n) / sum(n) AS win_rate, avg(win) AS equal_rate, sum(mv * n) / sum(n) AS avg_move, avg(mv) AS equal_move, list(win) FILTER (WHERE n >= 30) AS wins FROM pat GROUP BY pid)
+SELECT pid AS pattern_id, symbols, n, win_rate, equal_rate, avg_move, equal_move, coalesce(len(wins) >= 2 AND list_max(wins) - list_min(wins) <= 10, false) AS broad, n = 1 OR abs(eu - lu) <= 10 AS steady_up, n = 1 OR abs(ed - ld) <= 10 AS steady_down,
+  CASE WHEN symbols <= 1 THEN 'symbol-specific,' ELSE '' END || 'timeframe-specific' || CASE WHEN n < 30 THEN ',few-occurrences' ELSE '' END AS flags
+FROM parts JOIN results USING (pid)"""

@@ -16,6 +16,7 @@ from patternloom import oracles
 from patternloom.operators import align, hygiene, simulate
 from patternloom.operators import catalogue as ct
 from patternloom.operators import conjunctions as cj
+from patternloom.operators import coverage as cov
 from patternloom.operators import crossref as xr
 from patternloom.operators import semantic as sem
 from patternloom.operators import features as fx
@@ -116,6 +117,7 @@ pt.STORED["frequent"] = lambda d, ev: cj.frequent("{met}")
 pt.STORED["words"] = lambda d, ev: cj.words("{met}", "{frequent}")
 pt.STORED["pairs"] = lambda d, ev: cj.pairs("{words}")
 pt.STORED["found"] = lambda d, ev: cj.levels("{words}", "{pairs}", "{frequent}")
+pt.STORED["spans"] = lambda d, ev: cov.spans(ev)
 pt.STORED["uploads"] = lambda d, ev: up.uploads(d, _BARS)
 pt.STORED["roles"] = lambda d, ev: up.roles(d, "{uploads}")
 pt.STORED["paths"] = lambda d, ev: tr.paths(d, _BARS, ev)
@@ -308,6 +310,10 @@ pattern_query("a20_ratio_search", "dataset_id ~threshold patterns ~set_score bes
 pattern_query("a21_rank", "dataset_id pattern_id h n ~win_rate ~lift ~score rk ~q", pt.ranked, oracles.RANKED)
 pattern_query("a22_coverage", "dataset_id pattern_id n first_ms last_ms ~share ~early_win ~late_win", pt.coverage)
 pattern_query("a23_cross_symbol", "pattern_id symbols ~pooled ~equal ~pooled_move ~equal_move broad", pt.by_symbol)
+pattern_query("a22_periods", "dataset_id pattern_id y n first_ms last_ms ~share", lambda d, ev: cov.periods(ev, "{spans}"), oracles.PERIODS)
+pattern_query("a22_flags", "dataset_id pattern_id n ~early_win ~late_win steady flags", lambda d, ev: cov.flagged(ev, "{spans}"), oracles.COVERAGE_FLAGS)
+pattern_query("a23_per_symbol", "dataset_id pattern_id n ~win_rate ~avg_move", lambda d, ev: cov.per_symbol(ev), oracles.PER_SYMBOL)
+pattern_query("a23_pooled_coverage", "pattern_id symbols n ~win_rate ~equal_rate ~avg_move ~equal_move broad steady_up steady_down flags", lambda d, ev: cov.pooled(ev, "{spans}"), oracles.POOLED)
 pattern_query("a24_histogram", "dataset_id pattern_id bin n", pt.histogram)
 pattern_query("a25_wilson", "dataset_id pattern_id n ~lo ~hi", pt.wilson)
 pattern_query("a26_costs", "dataset_id pattern_id ~net_move ~cost_multiple cushion economic", pt.costs)
