@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import csv
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 #: Header names of the standard columns, matched without spaces, ``_`` and ``-``.
 ALIASES = {
@@ -38,16 +40,82 @@ def sniff(line: str) -> str:
     return max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
 
 
+#: Names of the files that a folder scan reads, in either case.
+DATA_FILES = "*.{[cC][sS][vV],[tT][xX][tT],[mM][dD]}"
+
+
 def read_delimited(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All columns as text under unique normalized keys, and ``source_file``."""
+    """All columns as text under unique normalized keys, and ``source_file``; files of one header.
+
+    Of a folder, the files named ``.csv``, ``.txt`` or ``.md`` are read.
+    """
     paths = [paths] if isinstance(paths, str) else paths
-    head = spark.read.text(paths).where("length(trim(value)) > 0").first()[0]
+    head = spark.read.option("pathGlobFilter", DATA_FILES).text(paths).where("length(trim(value)) > 0").first()[0]
+    return _read_under(spark, paths, head)
+
+
+def _read_under(spark: SparkSession, paths: list[str], head: str) -> DataFrame:
     sep = sniff(head)
     keys = unique_keys(next(csv.reader([head], delimiter=sep)))
-    raw = spark.read.option("header", True).option("sep", sep).schema(", ".join(f"`{k}` string" for k in keys)).csv(paths)
+    raw = spark.read.option("header", True).option("sep", sep).option("pathGlobFilter", DATA_FILES).schema(", ".join(f"`{k}` string" for k in keys)).csv(paths)
     return raw.withColumn("source_file", F.input_file_name())
 
 
+def layouts(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Files by header line (the first line with text); files without a line after it are left out.
+
+    One job reads the first block of each file; what returns is a line and a name per file.
+    """
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at")).where("block = 0 AND length(trim(value)) > 0")
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    found: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        found.setdefault(row.head.lstrip("\ufeff").strip(), []).append(row.file)
+    return found
+
+
+def folder_bars(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """Bars of files that may differ in header: one dataset per file, columns that a file lacks are null.
+
+    A layout without times or numbers makes no bars; None where no file makes any.
+    """
+    parts = []
+    for head, files in layouts(spark, paths).items():
+        raw = _read_under(spark, files, head)
+        types = column_types(raw)
+        roles = detected(list(types))
+        if "timestamp" in roles and ("close" in roles or "numeric" in types.values()):
+            parts.append(to_bars(raw))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+
+def stream_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 64, **trigger) -> StreamingQuery:
+    """Watch a folder: bars of each arriving ``.csv``, ``.txt`` or ``.md`` file go to ``out``, once.
+
+    The stream carries only names of files, ``files_per_batch`` at a time; each batch is read and written by
+    Spark like a batch scan, under ``out/batch=<id>``, and a batch that is repeated after a failure takes the
+    place of its own output.  ``trigger`` is that of ``DataStreamWriter.trigger``, by default all that is there.
+    """
+    names = (
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        .option("pathGlobFilter", DATA_FILES).option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
+    )
+
+    def arrived(batch: DataFrame, batch_id: int) -> None:
+        paths = [r.path for r in batch.collect()]
+        bars = folder_bars(batch.sparkSession, paths) if paths else None
+        if bars is not None:
+            bars.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return names.writeStream.foreachBatch(arrived).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def streamed_bars(spark: SparkSession, out: str) -> DataFrame:
+    """The bars that ``stream_folder`` has written so far."""
+    return spark.read.option("mergeSchema", True).option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
+
+
 def detected(columns: list[str]) -> dict[str, str]:
     """First column that matches each alias."""
     compact = {c: re.sub(r"[\s_-]", "", c.lower()) for c in columns}

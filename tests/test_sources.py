@@ -17,6 +17,48 @@ def test_delimited_text_to_bars(spark, tmp_path):
     assert [(r.bar_index, r.open, r.volume, r.signal_a) for r in rows] == [(0, 1000.0, 0.0, None), (1, 1001.0, 7.0, 0.5)] and rows[0].ts_ms == 1_767_605_400_000
 
 
+def _file(folder, name, text):
+    """A file that appears whole."""
+    (folder / f".{name}.part").write_text(text)
+    (folder / f".{name}.part").rename(folder / name)
+
+
+def test_streamed_folder_gives_the_rows_of_the_batch_scan(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    key = lambda df: sorted((r.dataset_id.rsplit("/", 1)[-1], r.bar_index, r.ts_ms, r.open, r.close, r.volume, r.rsi) for r in df.collect())
+    _file(folder, "a.csv", "time,open,high,low,close,volume,rsi\n2026-01-05T09:45:00Z,2,3,1,2.5,7,40\n2026-01-05T09:30:00Z,1,2,1,2,,30\n")
+    _file(folder, "notes.json", '{"time": 1}\n{"close": 2}\n')
+    _file(folder, "empty.csv", "")
+    _file(folder, "head.txt", "time,close\n")
+    delimited.stream_folder(spark, str(folder), out, state).awaitTermination()
+    assert key(delimited.streamed_bars(spark, out)) == [("a.csv", 0, 1_767_605_400_000, 1.0, 2.0, 0.0, 30.0), ("a.csv", 1, 1_767_606_300_000, 2.0, 2.5, 7.0, 40.0)]
+    _file(folder, "B.TXT", "\nclose;date\n5;1767605400\n6;1767606300\n")
+    _file(folder, "c.md", "time,open,high,low,close,volume,rsi\n2026-01-05T09:30:00Z,1,2,1,2,3,x\n")
+    _file(folder, "words.txt", "no table here\njust words\n")
+    delimited.stream_folder(spark, str(folder), out, state, files_per_batch=1).awaitTermination()
+    files = [str(folder / n) for n in ("a.csv", "B.TXT", "c.md", "empty.csv", "head.txt", "words.txt")]
+    assert key(delimited.streamed_bars(spark, out)) == key(delimited.folder_bars(spark, files))
+    assert [r[0] for r in key(delimited.streamed_bars(spark, out))] == ["B.TXT", "B.TXT", "a.csv", "a.csv", "c.md"]
+    delimited.stream_folder(spark, str(folder), out, state).awaitTermination()
+    assert delimited.streamed_bars(spark, out).count() == 5
+
+
+def test_a_repeated_batch_takes_its_own_place(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    _file(folder, "a.csv", "time,close\n1767605400,2\n")
+    for state in ("one", "two"):  # the second run knows nothing of the first: batch 0 is done again
+        delimited.stream_folder(spark, str(folder), out, str(tmp_path / state)).awaitTermination()
+    assert delimited.streamed_bars(spark, out).count() == 1
+
+
+def test_folder_scan_reads_data_files_only(spark, tmp_path):
+    _file(tmp_path, "a.csv", "time,close\n1767605400,2\n")
+    _file(tmp_path, "a.log", "time,close\n1767605400,3\n")
+    assert [r.close for r in delimited.read_delimited(spark, str(tmp_path)).collect()] == ["2"]
+
+
 def test_instrument_key():
     assert {delimited.instrument_key(f"01_DJ30.R_{t}.csv") for t in ("1D", "1h", "15")} == {"dj30_r"}
 
