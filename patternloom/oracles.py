@@ -321,3 +321,13 @@ results AS (SELECT pid, count(*) AS symbols, sum(win * n) / sum(n) AS win_rate,
 SELECT pid AS pattern_id, symbols, n, win_rate, equal_rate, avg_move, equal_move, coalesce(len(wins) >= 2 AND list_max(wins) - list_min(wins) <= 10, false) AS broad, n = 1 OR abs(eu - lu) <= 10 AS steady_up, n = 1 OR abs(ed - ld) <= 10 AS steady_down,
   CASE WHEN symbols <= 1 THEN 'symbol-specific,' ELSE '' END || 'timeframe-specific' || CASE WHEN n < 30 THEN ',few-occurrences' ELSE '' END AS flags
 FROM parts JOIN results USING (pid)"""
+
+# ------------------------------------------------------------------ sessions and sources: looked up one by one
+USABLE_SESSIONS = f"""
+WITH q AS MATERIALIZED ({tick_bars(DUCKDB, 'events', 900_000)}), day AS MATERIALIZED ({tick_bars(DUCKDB, 'events', 86_400_000)}),
+tr AS (SELECT n.dataset_id AS ds, n.bar_index AS i, n.ts_ms AS t, list_max([n.high - n.low, abs(n.high - coalesce(o.close, n.high)), abs(n.low - coalesce(o.close, n.low))]) AS tr FROM day n LEFT JOIN day o ON o.dataset_id = n.dataset_id AND o.bar_index = n.bar_index - 1),
+atr AS MATERIALIZED (SELECT a.ds, a.i, a.t, sum(b.tr) / 14 AS v FROM tr a JOIN tr b ON b.ds = a.ds AND b.i BETWEEN a.i - 13 AND a.i GROUP BY a.ds, a.i, a.t HAVING count(*) = 14),
+local AS (SELECT dataset_id AS ds, ts_ms, make_timestamp(ts_ms * 1000) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS w FROM q),
+ses AS (SELECT ds, cast(w AS date) AS dy, min(ts_ms) AS open_ms, count(*) AS bars FROM local WHERE w::time >= TIME '09:30:00' AND w::time < TIME '16:00:00' GROUP BY ds, cast(w AS date))
+SELECT ds AS dataset_id, open_ms, bars, (SELECT arg_max(v, t) FROM atr a WHERE a.ds = s.ds AND a.t < s.open_ms) AS prior_atr, (SELECT arg_max(v, t) FROM atr a WHERE a.ds = s.ds AND a.t + 86400000 <= s.open_ms) AS completed_atr
+FROM ses s WHERE bars >= 6 AND EXISTS (SELECT 1 FROM atr a WHERE a.ds = s.ds AND a.t < s.open_ms)"""

@@ -19,6 +19,7 @@ from patternloom.operators import conjunctions as cj
 from patternloom.operators import coverage as cov
 from patternloom.operators import crossref as xr
 from patternloom.operators import semantic as sem
+from patternloom.operators import sessions as ses
 from patternloom.operators import features as fx
 from patternloom.operators import passage as ps
 from patternloom.operators import patterns as pt
@@ -464,6 +465,21 @@ bar_query("p7_distinct_conditions", "label op ~v made", ct.distinct_conditions)
 bar_query("x4_exit_levels", "dataset_id label n", ct.exit_levels)
 add("a28_universe", "instrument rows_total intervals hierarchy_links", lambda d, **t: ct.universe(d, quarter(d, **t) + " u1", hourly(d, **t) + " u2", f"({src.resample(d, hourly(d, **t) + ' u3')}) u4"))
 
+def _intervals(d: Dialect, **t: str) -> str:
+    return ses.measured(d, **{n: f"({src.tick_bars(d, t['events'], ms)}) {n}" for n, ms in (("quarter", Q), ("hour", H), ("four_hours", 4 * H), ("day", src.DAY))})
+
+
+def _days(d: Dialect, **t: str) -> str:
+    return f"({src.tick_bars(d, t['events'], src.DAY)}) dd"
+
+
+add("x13_session_atr", "dataset_id open_ms bars ~prior_atr ~completed_atr", lambda d, **t: ses.usable_sessions(d, quarter(d, **t) + " qs", _days(d, **t)))
+ORACLES["x13_session_atr"] = f"SELECT {columns('dataset_id open_ms bars ~prior_atr ~completed_atr')} FROM ({oracles.USABLE_SESSIONS}) q"
+add("j9_prior_daily_atr", "dataset_id open_ms ~prior_atr", lambda d, **t: ses.prior_atr(d, quarter(d, **t) + " qs", _days(d, **t)))
+add("x18_sources_by_instrument", "dataset_id interval_ms daily_source inner_source", lambda d, **t: ses.source_choice(d, _intervals(d, **t)))
+add("a28_universe_totals", "instruments datasets rows_total links input_columns", lambda d, **t: ses.universe_totals(d, _intervals(d, **t), hourly(d, **t) + " hb"))
+two("p12_confluence_of_intervals", "dataset_id a b origins accepted n", lambda d, lo, hi: ses.confluence(d, lo, hi, Q, H))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Win rate, baseline and lift of every single and paired condition over hourly bars."""
