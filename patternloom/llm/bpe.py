@@ -10,8 +10,9 @@ Texts are cut where the byte-level pattern always cuts: before a space or at a l
 stands between two non-space characters.  Other white space goes through the full pattern.
 The special token's own string becomes its id, as the tokenizers library does by default.
 
-Null texts encode as empty; empty texts have no ids and decode to the empty text.  Rows with
-equal or null ids are encoded like any other; extra columns are ignored.
+Defined results: null texts encode as empty; empty texts have no ids and decode to the empty text;
+very long texts are encoded whole; rows with equal or null ids are encoded like any other; an empty
+table yields no rows; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ A retrieved item counts as contamination when enough 3-word shingles of its ques
 up to the last line break, else up to the last sentence) and of its answer (the rest) stand in
 the window; a part of fewer than eight words is judged with its neighbours.  Case is ignored.
 
-Defined results: null and empty texts hold no item; items without words match nothing; repeated
-rows are judged each; an empty benchmark marks nothing; further columns are ignored.
+Defined results: null and empty texts hold no item; items without words match nothing; very
+long texts are read whole; repeated rows and rows without an id are judged each; an empty benchmark
+marks nothing; an empty table yields no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -28,8 +28,8 @@ costs the square of their number in comparisons (joins split such a column over
 The rows of wanted ids (class heads, members of candidate pairs) are picked from the texts by a
 bitmap while one of 32 MB suits their number, by a semi-join beyond; both give the same result.
 
-Defined results: null, empty and white-space texts have no shingles and stand alone; equal
-texts share a class; repeated rows of an id yield one row, which links as any of its texts does
+Defined results: null, empty and white-space texts have no shingles and stand alone; very long
+texts count whole; equal texts share a class; repeated rows of an id yield one row, which links as any of its texts does
 and counts the shingles of the largest; rows without an id are left out; ids are whole numbers
 (others raise a TypeError); an empty table yields no rows; further columns are ignored.
 """

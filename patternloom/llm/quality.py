@@ -8,8 +8,8 @@ with a few shares of token kinds.  A network of one hidden layer, fitted in nump
 sample of labelled rows, gives a logit; a temperature fitted on rows kept from training
 calibrates it.
 
-Defined results: null and empty texts are pooled as zeros and scored like any other; repeated
-rows are scored each; without labelled rows of both classes every score is the share of label 1
+Defined results: null and empty texts are pooled as zeros and scored like any other; very long
+texts are pooled whole; repeated rows are scored each; without labelled rows of both classes every score is the share of label 1
 (0.5 without labels); an empty table yields no rows; further columns are ignored.
 """
 

@@ -6,8 +6,8 @@ bounded sample of labelled rows, half of each class, each n-gram gets its log-co
 n-grams with the strongest evidence, scaled by that ratio, feed a logistic regression.  The
 whole text is scored.
 
-Defined results: null and empty texts score as the model's intercept; repeated rows are scored
-each; without labelled rows of both classes every score is the share of toxic labels (0 where
+Defined results: null and empty texts score as the model's intercept; very long texts are scored
+whole; repeated rows are scored each; without labelled rows of both classes every score is the share of toxic labels (0 where
 there are none); an empty table yields no rows; further columns are ignored.
 """
 

@@ -11,8 +11,9 @@ the longer rule, so any number of rules is exact.  Pages are not moved by host:
 third of all pages stays dealt over its input partitions.
 
 Defined results: a null url or one without ``://`` has an empty host and path and gets the
-default verdict; repeated rows are judged each; an empty table yields no rows; further columns
-are ignored.  Rules with equal host and path: the first wins.
+default verdict; very long urls are read whole; repeated rows and rows without an id are judged
+each; an empty table yields no rows; further columns, whatever their names, are ignored.  Rules
+with equal host and path: the first wins.
 """
 
 from __future__ import annotations
