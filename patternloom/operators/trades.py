@@ -26,6 +26,7 @@ SPAN = 43
 #: Capital, risk per trade in per cent, costs in per cent, default stop in per cent.
 CAPITAL, RISK, COST, STOP = 50_000.0, 1.0, 0.05, 10.0
 FIELDS = "cfg, entry, expiry, stop_mode, stop_v, target_mode, target_v, hold, event, event_v"
+#: Names of entries, stops and targets.
 ENTRIES, STOPS = ("next-open", "signal-close", "box-boundary-limit"), ("fixed-percent", "atr-multiple", "price-level")
 TARGETS = ("fixed-percent", "risk-multiple", "atr-multiple", "time-only", "box-midpoint", "price-level", "feature-event", "signal-invalidation")
 
@@ -207,16 +208,25 @@ def results(d: Dialect, taken: str) -> str:
     FROM ({signals}) s LEFT JOIN ({facts}) f ON {on('f')} LEFT JOIN ({daily}) y ON {on('y')}"""
 
 
+#: Deductions by execution (any entry but the first, target, stop, a hold of more bars than given).
+LATE_ENTRY, LONG_HOLD = 0.08, (21, 0.04)
+TARGET_PENALTY = {"box-midpoint": 0.04, "time-only": -0.03, "atr-multiple": 0.02, "price-level": 0.03, "feature-event": 0.05, "signal-invalidation": 0.02}
+STOP_PENALTY = {"atr-multiple": 0.02, "price-level": 0.03}
+#: Weights of expectancy, profit factor (at most four), evidence and drawdown in the objective.
+EXPECTANCY_WEIGHT, FACTOR_WEIGHT, EVIDENCE_WEIGHT, DRAWDOWN_WEIGHT = 2.4, 0.25, 0.25, 0.035
+
+
 def penalty() -> str:
     """Deduction for complicated execution."""
-    return """(CASE WHEN entry <> 'next-open' THEN 0.08e0 ELSE 0e0 END + CASE target_mode WHEN 'box-midpoint' THEN 0.04e0 WHEN 'time-only' THEN -0.03e0 WHEN 'atr-multiple' THEN 0.02e0 WHEN 'price-level' THEN 0.03e0 WHEN 'feature-event' THEN 0.05e0 WHEN 'signal-invalidation' THEN 0.02e0 ELSE 0e0 END
-      + CASE stop_mode WHEN 'atr-multiple' THEN 0.02e0 WHEN 'price-level' THEN 0.03e0 ELSE 0e0 END + CASE WHEN hold > 21 THEN 0.04e0 ELSE 0e0 END)"""
+    by = lambda column, table: f"CASE {column} {' '.join(f"WHEN '{k}' THEN {v}e0" for k, v in table.items())} ELSE 0e0 END"
+    return f"""(CASE WHEN entry <> '{ENTRIES[0]}' THEN {LATE_ENTRY}e0 ELSE 0e0 END + {by('target_mode', TARGET_PENALTY)}
+      + {by('stop_mode', STOP_PENALTY)} + CASE WHEN hold > {LONG_HOLD[0]} THEN {LONG_HOLD[1]}e0 ELSE 0e0 END)"""
 
 
 def objective(d: Dialect, results: str, settings: list[tuple], least: str = "15") -> str:
     """Score of each system: expectancy, profit factor, evidence, less drawdown and complexity; null below ``least`` trades."""
     return f"""
-    SELECT r.*, {penalty()} AS complexity, CASE WHEN trades >= {least} THEN expectancy_r * 2.4e0 + (least(4e0, coalesce(profit_factor, 4e0)) - 1) * 0.25e0 + least(1.5e0, {pt.log10('(trades + 1e0)')} / 1.5e0) * 0.25e0 - max_drawdown_pct * 0.035e0 - {penalty()} END AS score
+    SELECT r.*, {penalty()} AS complexity, CASE WHEN trades >= {least} THEN expectancy_r * {EXPECTANCY_WEIGHT}e0 + (least(4e0, coalesce(profit_factor, 4e0)) - 1) * {FACTOR_WEIGHT}e0 + least(1.5e0, {pt.log10('(trades + 1e0)')} / 1.5e0) * {EVIDENCE_WEIGHT}e0 - max_drawdown_pct * {DRAWDOWN_WEIGHT}e0 - {penalty()} END AS score
     FROM ({results}) r JOIN {d.values(settings, FIELDS)} c ON r.cfg = c.cfg"""
 
 
@@ -266,9 +276,10 @@ LABELS = {"highest expectancy": "floor(expectancy_r * 1e6) DESC", "lowest drawdo
 
 # ------------------------------------------------------------------ the system optimizer
 
-#: The last fifth of the bars is sealed; four folds lie behind the first two fifths of the rest.
+#: The last fifth of the bars is sealed; four folds lie behind the first two fifths of the rest.
 DEVELOPMENT = [("dev", 0.0, 0.8, COST), *[(f"fold{k}", 0.32 + 0.12 * k, 0.44 + 0.12 * k, COST) for k in range(4)]]
 SEALED = [("sealed", 0.8, 1.0, COST), ("stress", 0.8, 1.0, 2 * COST)]
+#: Seeds, most settings, finalists; least trades in development and when sealed, least expectancy and profit factor.
 SEEDS, MOST, FINAL = 16, 240, 12
 MIN_DEVELOPMENT, MIN_SEALED, MIN_EXPECTANCY, MIN_FACTOR = 20, 10, 0.1, 1.3
 
