@@ -229,7 +229,8 @@ def summed_arrays(parts: DataFrame, dtype=np.int64) -> dict[int, np.ndarray]:
     # two levels, so that no group holds an array of every task
     salted = parts.withColumn("salt", F.spark_partition_id() % 64)
     some = salted.groupBy("part", "salt").applyInArrow(add, "part int, data binary")
-    rows = some.groupBy("part").applyInArrow(add, "part int, data binary").toLocalIterator()
+    # collected in one action: an iterator would still read shuffles that ``tidy`` deletes as its action ends
+    rows = some.groupBy("part").applyInArrow(add, "part int, data binary").collect()
     return {r.part: np.frombuffer(bytes(r.data), dtype) for r in rows}
 
 

@@ -246,7 +246,8 @@ def _indexes(benchmark: DataFrame):
     """Broadcast indexes of the items, each over at most about MAX_ITEM_BYTES of text."""
     from pyspark.sql import functions as F
 
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    # written: the iterators below must read no shuffle, which ``tidy`` deletes as an iterator is made
+    items = written(benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct())
     pieces = -(-int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // MAX_ITEM_BYTES) or 1
     facts = None if pieces == 1 else Facts.of(r.text for r in items.toLocalIterator())
     for k in range(pieces):

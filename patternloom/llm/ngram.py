@@ -253,7 +253,8 @@ def _bits_of(ids: DataFrame, size: int) -> bytes:
     at = ids.select((_bit("id", size) + 1).alias("bit"))
     parts = at.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     whole = np.zeros((size // 32768, 4096), np.uint8)
-    for r in parts.toLocalIterator():
+    # bound: the map itself; an iterator would still read shuffles that ``tidy`` deletes as its action ends
+    for r in parts.collect():
         whole[r.part - 1] = np.frombuffer(r.bits, np.uint8)
     return whole.tobytes()
 

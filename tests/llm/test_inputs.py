@@ -1,6 +1,30 @@
 """Odd rows and columns: repeated rows, null ids, extra columns named like the operators' own."""
 
-from patternloom.llm import decontaminate, licences, pii, urls
+import numpy as np
+import pyarrow as pa
+
+from patternloom.llm import decontaminate, licences, ngram, pii, urls
+from patternloom.llm._common import summed_arrays, tidy
+
+
+def test_sums_and_bitmaps_run_their_source_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def parts(batches):
+        runs.add(1)
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([np.ones(2000, np.int64).tobytes()] * 64, pa.binary())], ["part", "data"])
+
+    def ids(batches):
+        runs.add(1)
+        yield from batches
+
+    with tidy(spark):
+        got = summed_arrays(spark.range(0, 8, 1, 4).mapInArrow(parts, "part int, data binary"))
+        assert sorted(got) == list(range(64)) and all((x == 4).all() for x in got.values()) and runs.value == 4
+        bits = ngram._bits_of(spark.range(0, 1000, 1, 4).mapInArrow(ids, "id long"), 1 << 23)
+    assert 900 < np.unpackbits(np.frombuffer(bits, np.uint8)).sum() <= 1000 and runs.value == 8
 
 
 def test_pii_repeated_rows_and_null_ids_are_scanned_each(spark):
