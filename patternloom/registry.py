@@ -34,8 +34,14 @@ ORACLES: dict[str, str] = {}
 TABLES = ("events", "lineitem", "orders", "customer", "nation", "region", "part", "supplier")
 
 
-def columns(spec: str) -> str:
-    return ", ".join(f"floor({c[1:]} * 1e4 + 0.50001e0) / 1e4 AS {c[1:]}" if c[0] == "~" else c for c in spec.split())
+def columns(d: Dialect, spec: str) -> str:
+    return ", ".join(f"{_rounded(d, c[1:])} AS {c[1:]}" if c[0] == "~" else c for c in spec.split())
+
+
+def _rounded(d: Dialect, c: str) -> str:
+    """Four digits.  Spark's floor is a long, so NaN, infinite and very large values (whole at this scale) go without it."""
+    up = f"{c} * 1e4 + 0.50001e0"
+    return f"floor({up}) / 1e4" if d.duck else f"CASE WHEN abs({c}) < 1e14 THEN floor({up}) / 1e4 ELSE ({up}) / 1e4 END"
 
 
 def hourly(d: Dialect, **t: str) -> str:
@@ -51,7 +57,7 @@ def daily(d: Dialect, **t: str) -> str:
 
 
 def spoken(build: Callable[..., str], d: Dialect, spec: str, **t: str) -> str:
-    return f"SELECT {columns(spec)} FROM ({build(d, **t)}) q"
+    return f"SELECT {columns(d, spec)} FROM ({build(d, **t)}) q"
 
 
 def _run(build: Callable[..., str], spec: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +134,11 @@ def pattern_query(name: str, spec: str, operator: Operator, oracle: str | None =
     """A query over the evaluated bars; ``oracle`` is a statement written apart from the operator."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        body = f"SELECT {columns(spec)} FROM ({operator(SPARK, '{ev}', **options)}) q"
+        body = f"SELECT {columns(SPARK, spec)} FROM ({operator(SPARK, '{ev}', **options)}) q"
         return spark.sql(body, **kept_tables(spark, sf_dir, body))
 
     QUERIES[name] = run
-    ORACLES[name] = f"WITH ev AS MATERIALIZED ({EVALUATED}) SELECT {columns(spec)} FROM ({oracle or operator(DUCKDB, 'ev', **options)}) q"
+    ORACLES[name] = f"WITH ev AS MATERIALIZED ({EVALUATED}) SELECT {columns(DUCKDB, spec)} FROM ({oracle or operator(DUCKDB, 'ev', **options)}) q"
 
 
 EVALUATED = pt.evaluated(DUCKDB, f"({src.tick_bars(DUCKDB, 'events')})")
@@ -142,12 +148,12 @@ def level_query(name: str, spec: str, text: str, oracle: str) -> None:
     """A query over the stored tables of the level-wise search; the oracle reads ``long``, ``made`` and ``ev``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        body = f"SELECT {columns(spec)} FROM ({text}) q"
+        body = f"SELECT {columns(SPARK, spec)} FROM ({text}) q"
         return spark.sql(body, **kept_tables(spark, sf_dir, body))
 
     QUERIES[name] = run
     features = cj.long_features(DUCKDB, f"({src.tick_bars(DUCKDB, 'events')})")
-    ORACLES[name] = f"WITH RECURSIVE ev AS MATERIALIZED ({EVALUATED}), long AS MATERIALIZED ({features}), made AS MATERIALIZED ({cj.made(DUCKDB, 'long')}), {oracles.LEVELS} SELECT {columns(spec)} FROM ({oracle}) q"
+    ORACLES[name] = f"WITH RECURSIVE ev AS MATERIALIZED ({EVALUATED}), long AS MATERIALIZED ({features}), made AS MATERIALIZED ({cj.made(DUCKDB, 'long')}), {oracles.LEVELS} SELECT {columns(DUCKDB, spec)} FROM ({oracle}) q"
 
 
 def bar_query(name: str, spec: str, operator: Operator, source=hourly, **options) -> None:
@@ -229,11 +235,11 @@ def upload_query(name: str, spec: str, operator: Callable[..., str], oracle: str
     """A query over all uploaded columns; the columns' roles and labels plan it."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        body = f"SELECT {columns(spec)} FROM ({operator('{uploads}', '{roles}')}) q"
+        body = f"SELECT {columns(SPARK, spec)} FROM ({operator('{uploads}', '{roles}')}) q"
         return spark.sql(body, **kept_tables(spark, sf_dir, body))
 
     QUERIES[name] = run
-    ORACLES[name] = f"SELECT {columns(spec)} FROM ({oracle}) q"
+    ORACLES[name] = f"SELECT {columns(DUCKDB, spec)} FROM ({oracle}) q"
 
 
 upload_query("c18_all_bands", "dataset_id bar_index upper lower ~width_pct ~width_atr expansion", up.band_widths, oracles.BAND_WIDTHS)
@@ -263,8 +269,8 @@ two("j9_prior_bar", "dataset_id bar_index src_index", align.prior_daily)
 _AUDIT = "dataset_id relationship bars aligned leaks irregular ~coverage age_ms ~progress contained status"
 two("j12_alignment_audit", _AUDIT, lambda d, lo, hi: align.audit(d, lo, hi, Q, H))
 two("j12_lower_audit", _AUDIT, lambda d, lo, hi: align.audit(d, hi, lo, H, Q))
-ORACLES["j4_developing_candle"] = f"SELECT dataset_id, bar_index, {columns('~progress ~body_pct ~range_pct ~location')}, sweep_order FROM ({oracles.DEVELOPING}) q"
-ORACLES["j5_intrabar_path"] = f"SELECT dataset_id, bar_index, intrabars, {columns('~coverage ~efficiency ~up_excursion ~down_excursion')}, extreme_order, sweep_order, turns FROM ({oracles.INTRABAR}) q"
+ORACLES["j4_developing_candle"] = f"SELECT dataset_id, bar_index, {columns(DUCKDB, '~progress ~body_pct ~range_pct ~location')}, sweep_order FROM ({oracles.DEVELOPING}) q"
+ORACLES["j5_intrabar_path"] = f"SELECT dataset_id, bar_index, intrabars, {columns(DUCKDB, '~coverage ~efficiency ~up_excursion ~down_excursion')}, extreme_order, sweep_order, turns FROM ({oracles.INTRABAR}) q"
 
 
 bar_query("j6_coincidences", "event_id dataset_id other_id distance", xr.coincidences)
@@ -380,8 +386,8 @@ pattern_query("x5_exit_states", "dataset_id cond n", tr.exit_states)
 pattern_query("x9_system_folds", "dataset_id pattern_id cfg fold n ~mean_r", lambda d, ev: f"SELECT t.dataset_id, t.pattern_id, t.cfg, cast(least(floor(t.i * 4e0 / e.c), 3) AS bigint) AS fold, count(*) AS n, avg(t.r) AS mean_r FROM {{simulated}} t JOIN (SELECT DISTINCT dataset_id, c FROM {ev}) e ON t.dataset_id = e.dataset_id WHERE t.state = 'trade' GROUP BY t.dataset_id, t.pattern_id, t.cfg, cast(least(floor(t.i * 4e0 / e.c), 3) AS bigint)", oracles.FOLDS)
 _METRICS = "dataset_id pattern_id cfg n ~win_rate ~expectancy ~profit_factor ~net_r ~max_drawdown ~stressed"
 pattern_query("x15_r_metrics", _METRICS, lambda d, ev: tr.r_metrics(d), oracles.R_METRICS)
-_BEST = lambda table: " UNION ALL ".join(f"SELECT dataset_id, pattern_id, '{label}' AS label, cfg FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, pattern_id ORDER BY {order}, cfg) AS rk FROM ({table}) o WHERE score IS NOT NULL) w WHERE rk = 1" for label, order in tr.LABELS.items())
-pattern_query("x11_candidate_labels", "dataset_id pattern_id label cfg", lambda d, ev: _BEST(tr.objective(d, tr.results(d, "SELECT * FROM {simulated}"), tr.SETTINGS)), f"WITH judged AS MATERIALIZED ({oracles.OBJECTIVE}) {_BEST('SELECT * FROM judged')}")
+_BEST = lambda d, table: " UNION ALL ".join(f"SELECT dataset_id, pattern_id, '{label}' AS label, cfg FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, pattern_id ORDER BY {tr.floored(d, order)}, cfg) AS rk FROM ({table}) o WHERE score IS NOT NULL) w WHERE rk = 1" for label, order in tr.LABELS.items())
+pattern_query("x11_candidate_labels", "dataset_id pattern_id label cfg", lambda d, ev: _BEST(d, tr.objective(d, tr.results(d, "SELECT * FROM {simulated}"), tr.SETTINGS)), f"WITH judged AS MATERIALIZED ({oracles.OBJECTIVE}) {_BEST(DUCKDB, 'SELECT * FROM judged')}")
 bar_query("x2_wilder_atr", "dataset_id bar_index ~atr", tr.wilder)
 pattern_query("x8_objective", "dataset_id pattern_id cfg trades ~complexity ~score", lambda d, ev: tr.objective(d, tr.results(d, "SELECT * FROM {simulated}"), tr.SETTINGS), oracles.OBJECTIVE)
 
@@ -474,7 +480,7 @@ def _days(d: Dialect, **t: str) -> str:
 
 
 add("x13_session_atr", "dataset_id open_ms bars ~prior_atr ~completed_atr", lambda d, **t: ses.usable_sessions(d, quarter(d, **t) + " qs", _days(d, **t)))
-ORACLES["x13_session_atr"] = f"SELECT {columns('dataset_id open_ms bars ~prior_atr ~completed_atr')} FROM ({oracles.USABLE_SESSIONS}) q"
+ORACLES["x13_session_atr"] = f"SELECT {columns(DUCKDB, 'dataset_id open_ms bars ~prior_atr ~completed_atr')} FROM ({oracles.USABLE_SESSIONS}) q"
 add("j9_prior_daily_atr", "dataset_id open_ms ~prior_atr", lambda d, **t: ses.prior_atr(d, quarter(d, **t) + " qs", _days(d, **t)))
 add("x18_sources_by_instrument", "dataset_id interval_ms daily_source inner_source", lambda d, **t: ses.source_choice(d, _intervals(d, **t)))
 add("a28_universe_totals", "instruments datasets rows_total links input_columns", lambda d, **t: ses.universe_totals(d, _intervals(d, **t), hourly(d, **t) + " hb"))

@@ -1,10 +1,11 @@
 """Golden trades on constructed bars, search statistics against plain Python, and optimizer gates."""
 
-from math import log10
+from math import isnan, log10
 
 import pandas as pd
 import pytest
 
+from patternloom import registry
 from patternloom.operators import patterns as pt
 from patternloom.operators import trades as tr
 from patternloom.plans.dual import SPARK
@@ -69,6 +70,16 @@ def test_bars_that_meet_stop_or_target_exactly(spark):
     assert [(r.result, r.exit_index) for r in (long[0], short[1])] == [("stop", 2), ("target", 2)]
 
 
+def test_an_entry_at_zero_is_filled_and_has_no_r(spark):
+    settings = [tr.setting(0, "next-open", ("fixed-percent", 20), ("risk-multiple", 1), 2), tr.setting(1, "next-open", ("atr-multiple", 1), ("fixed-percent", 20), 2)]
+    bars = [(1.0, 1.0, 1.0, 1.0), (0.0, 2.0, 0.0, 1.0), (1.0, 2.0, 0.5, 1.0), (1.0, 2.0, 0.5, 1.0), (1.0, 2.0, 0.5, 1.0)]
+    rows, facts = trade(spark, bars, [[0], [0], [0], [], []], settings)
+    assert [(r.cfg, r.i, r.state, r.result, r.exit_index, isnan(r.r)) for r in rows if r.i == 0] == [(0, 0, "trade", "stop", 1, True), (1, 0, "trade", "ambiguous", 1, True)]
+    assert isnan(facts.expectancy_r) and isnan(facts.net_profit)
+    got = spark.sql(f"SELECT {registry.columns(SPARK, '~v')} FROM VALUES (double('NaN')), (double('-Infinity')), (1e300), (1.00005e0), (cast(NULL AS double)) AS t(v)").collect()
+    assert [str(r.v) for r in got] == ["nan", "-inf", "1e+300", "1.0001", "None"]
+
+
 def test_wilder_blocks_equal_the_recursion(spark):
     rows = [(10 + (i * 7) % 13, 14 + (i * 7) % 13, 6 + (i * 5) % 11, 9 + (i * 3) % 12) for i in range(400)]
     b, _, _ = world(spark, rows, [[]] * 400)
