@@ -13,17 +13,20 @@ matrix with its transpose.  The product is taken in steps:
    shingles that occur all over the corpus last, so boilerplate rarely is among the columns.
 3. Rows of one column (n-gram) are first multiplied with one hub only, the least id; each
    document's hub of greatest accumulated overlap is verified.
-4. After components are known, a column that lies in one component is done.  The product of
-   the others is taken for all pairs of different components: overlaps are accumulated per
-   pair, and a pair is discarded whose overlap in these columns plus all shingles of the larger
-   set outside them (``ceil(t*n) - 1``) stays below the overlap that its sizes ask for.
+4. After components are known, a column that lies in one component is done.  In the others a
+   document is multiplied with each larger component as one row, not with its documents.  The
+   columns a document shares with a component are at least those it shares with any document of
+   it; where these and all shingles of the larger set outside the columns stay below the overlap
+   that every size in the component asks for, none of its documents links.  Only the components
+   left are taken apart into pairs.
 5. The pairs left are multiplied in full, in blocks of the hash range (``_overlaps``): overlaps
    are accumulated block by block, and a pair goes as soon as what is left of its smaller set
    cannot make up the overlap that its sizes ask for.
 
 No link between different sets is lost: a pair of rows in a column is skipped only when both
-are already in one component.  Nothing is capped.  A column that very many components share
-costs the square of their number in comparisons (joins split such a column over tasks).
+are already in one component, or when the bound rules it out.  Nothing is capped.  A column that
+very many components share costs the square of their number in comparisons (joins split such a
+column over tasks).
 
 The rows of wanted ids (class heads, members of candidate pairs) are picked from the texts by a
 bitmap while one of 32 MB suits their number, by a semi-join beyond; both give the same result.
@@ -274,6 +277,18 @@ def _links(tables: Tables, docs: DataFrame, prints: DataFrame, pairs: DataFrame,
     return out
 
 
+def _met(named: DataFrame, percent: int) -> DataFrame:
+    """A row for each column, document and larger component in it (by documents, then least id) of a possible size.
+
+    ``named`` holds rows (token, id, n), each with its component ``c`` of ``w`` documents.  A document
+    meets a component once in a column, whatever the number of the component's rows there.
+    """
+    per = named.groupBy("token", "c", "w").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    own = named.select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"), F.col("w").alias("a_w"))
+    meets = F.expr(f"x.token = y.token AND (w > a_w OR w = a_w AND c < a_c) AND 100 * hi >= {percent} * a_n AND 100 * a_n >= {percent} * lo")
+    return per.alias("x").join(own.alias("y"), meets).select("a", "a_n", "c", "lo", "hi")
+
+
 def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, heavy: int = HEAVY) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``.
 
@@ -313,24 +328,23 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
         tables.drop(first)
         parts = connected_components(links, "a", "b")
 
-        named = tables.keep(rows.select("token", "id", "n").join(parts.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")))
+        sized = parts.join(parts.groupBy("component_id").agg(F.count(F.lit(1)).alias("w")), "component_id").select("id", F.col("component_id").alias("c"), "w")
+        named = tables.keep(rows.select("token", "id", "n").join(sized, "id", "left").withColumn("c", F.coalesce("c", "id")).withColumn("w", F.coalesce("w", F.lit(1))))
         tables.drop(rows, hubs)
-        per = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
-        main = tables.keep(per.groupBy("token").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
+        met = _met(named, percent).groupBy("a", "a_n", "c").agg(F.count(F.lit(1)).alias("shared"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        met = met.withColumn("lo", F.expr(f"greatest(lo, ({percent} * a_n + 99) div 100)")).withColumn("hi", F.expr(f"least(hi, 100 * a_n div {percent})"))
+        # convex in the partner's size, so one end of the sizes allows the most
+        reach = " OR ".join(f"{100 + percent} * (100 * shared + {percent} * greatest(a_n, {x})) >= {100 * percent} * (a_n + {x})" for x in ("lo", "hi"))
+        met = tables.keep(met.where(f"lo <= hi AND ({reach})").select("a", "a_n", "c"))
         # the folded sketches go along, so that a pair the bound rules out is never made
-        mixed = tables.keep(named.join(main, "token").join(sets.select("id", *_FOLD), "id"))
-        tables.drop(named, main)
-        outside = mixed.where("c <> main").select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"), *[F.col(f).alias(f"a_{f}") for f in _FOLD])
+        member = tables.keep(named.select("id", "n", "c").distinct().join(sets.select("id", "n", *_FOLD), ["id", "n"]))
+        tables.drop(named)
+        whom = met.join(member.select(F.col("id").alias("a"), F.col("n").alias("a_n"), *[F.col(f).alias(f"a_{f}") for f in _FOLD]), ["a", "a_n"])
         differ = " + ".join(f"bit_count({f} ^ a_{f})" for f in _FOLD)
         bound = f"{100 + percent} * (n + a_n - ({differ})) >= {2 * percent} * (n + a_n)"
-        meets = F.expr(f"x.token = y.token AND c <> a_c AND (c = main OR a < id) AND {near.format('a_n')} AND {bound}")
-        met = mixed.alias("x").join(outside.alias("y"), meets).select(
-            F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), (F.col("n") + F.col("a_n")).alias("total"), F.greatest("n", "a_n").alias("most")
-        )
-        shared = met.groupBy("a", "b", "total", "most").agg(F.count(F.lit(1)).alias("shared"))
-        more = shared.where(f"{100 + percent} * (shared + ({percent} * most + 99) div 100 - 1) >= {percent} * total").select("a", "b").distinct()
-        more = tables.keep(more)
-        tables.drop(mixed)
+        pairs = member.alias("x").join(whom.alias("y"), F.expr(f"x.c = y.c AND {near.format('a_n')} AND {bound}"))
+        more = tables.keep(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+        tables.drop(met, member)
         links = links.unionByName(_links(tables, base, sets, more, k, percent))
         tables.drop(more)
         # an id with several texts joins their classes

@@ -4,6 +4,7 @@ Every small table holds null, empty and very long texts, equal rows and a clashi
 """
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 from itertools import combinations
@@ -202,6 +203,31 @@ def test_ngram_groups_equal_brute_force(spark, heavy):
     assert got == groups(dict(enumerate(texts)))
 
 
+def test_ngram_columns_meet_a_component_once(spark):
+    rows = [(7, k, 20 + k % 3, 0, 50) for k in range(50)] + [(7, 100, 21, 100, 1), (7, 101, 22, 101, 1), (7, 102, 90, 102, 1), (8, 3, 20, 0, 50), (8, 4, 21, 0, 50)]
+    met = ngram._met(spark.createDataFrame(rows, "token long, id long, n int, c long, w long"), 75)
+    assert sorted(tuple(r) for r in met.collect()) == [(100, 21, 0, 20, 22), (101, 22, 0, 20, 22), (101, 22, 100, 21, 21)]
+
+
+def test_ngram_chains_of_several_sizes_equal_brute_force(spark):
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(260)]
+    texts = [" ".join(words[3 * k : 3 * k + r.choice((50, 60, 72))]) for k in range(60) if k % 13] * 2
+    for k in range(40):
+        some = texts[k].split()
+        for _ in range(r.randrange(1, 4)):
+            some[r.randrange(len(some))] = f"x{r.randrange(9)}"
+        texts.append(" ".join(some))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    least = list(range(len(texts)))
+    links = [(i, j) for i in least for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: (len(s), least[k]) for k, s in enumerate(sets)} and len(set(least)) > 1
+
+
 def test_ngram_empty_table(spark):
     assert ngram.near_duplicate_groups(frame(spark, ["a"]).limit(0)).count() == 0
 
