@@ -39,9 +39,12 @@ def columns(d: Dialect, spec: str) -> str:
 
 
 def _rounded(d: Dialect, c: str) -> str:
-    """Four digits.  Spark's floor is a long, so NaN, infinite and very large values (whole at this scale) go without it."""
+    """Four digits.  Spark's floor is a long, so NaN, infinite and very large values (whole at this scale) go without it.
+
+    NaN gets the sign bit that a processor gives 0 / 0, and so DuckDB's; Spark's stored tables drop it.
+    """
     up = f"{c} * 1e4 + 0.50001e0"
-    return f"floor({up}) / 1e4" if d.duck else f"CASE WHEN abs({c}) < 1e14 THEN floor({up}) / 1e4 ELSE ({up}) / 1e4 END"
+    return f"floor({up}) / 1e4" if d.duck else f"CASE WHEN abs({c}) < 1e14 THEN floor({up}) / 1e4 WHEN isnan({c}) THEN -abs(cast({c} AS double)) ELSE ({up}) / 1e4 END"
 
 
 def hourly(d: Dialect, **t: str) -> str:

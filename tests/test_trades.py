@@ -1,14 +1,17 @@
 """Golden trades on constructed bars, search statistics against plain Python, and optimizer gates."""
 
 from math import isnan, log10
+from struct import pack
 
+import duckdb
 import pandas as pd
 import pytest
 
 from patternloom import registry
 from patternloom.operators import patterns as pt
 from patternloom.operators import trades as tr
-from patternloom.plans.dual import SPARK
+from patternloom.plans.dual import DUCKDB, SPARK
+from patternloom.sources.shared import written
 
 FLAT = [(100.0, 100.5, 99.5, 100.0), (100.0, 101.5, 99.6, 101.0), (100.0, 101.0, 99.8, 100.5)]
 
@@ -80,6 +83,13 @@ def test_an_entry_at_zero_is_filled_and_has_no_r(spark):
     assert [str(r.v) for r in got] == ["nan", "-inf", "1e+300", "1.0001", "None"]
 
 
+def test_a_missing_r_of_a_stored_table_is_the_nan_of_the_sql(spark):
+    bits = lambda v: pack(">d", v).hex()
+    stored = written(spark.sql("SELECT double('NaN') AS r"))
+    sql = duckdb.execute(f"SELECT {registry.columns(DUCKDB, '~r')} FROM (SELECT x / x AS r FROM (SELECT i * 0e0 AS x FROM range(1) t(i)) a) b").fetchall()
+    assert bits(spark.sql(f"SELECT {registry.columns(SPARK, '~r')} FROM {{stored}}", stored=stored).first().r) == bits(sql[0][0])
+
+
 def test_wilder_blocks_equal_the_recursion(spark):
     rows = [(10 + (i * 7) % 13, 14 + (i * 7) % 13, 6 + (i * 5) % 11, 9 + (i * 3) % 12) for i in range(400)]
     b, _, _ = world(spark, rows, [[]] * 400)
