@@ -2,7 +2,8 @@
 
 ``Query`` names an operator, its inputs and the columns it returns; the Spark plan and the
 oracle text come from it.  Columns marked ``~`` are rounded to four digits by the same double
-arithmetic on both sides (the engines' own ``round`` treat ties differently).
+arithmetic on both sides (the engines' own ``round`` treat ties differently); ``~r:flag`` names a column
+of the Spark plan that tells which NaN have no sign bit.
 """
 
 from __future__ import annotations
@@ -35,16 +36,18 @@ TABLES = ("events", "lineitem", "orders", "customer", "nation", "region", "part"
 
 
 def columns(d: Dialect, spec: str) -> str:
-    return ", ".join(f"{_rounded(d, c[1:])} AS {c[1:]}" if c[0] == "~" else c for c in spec.split())
+    return ", ".join(f"{_rounded(d, *c[1:].split(':'))} AS {c[1:].split(':')[0]}" if c[0] == "~" else c for c in spec.split())
 
 
-def _rounded(d: Dialect, c: str) -> str:
+def _rounded(d: Dialect, c: str, unsigned: str = "false") -> str:
     """Four digits.  Spark's floor is a long, so NaN, infinite and very large values (whole at this scale) go without it.
 
-    NaN gets the sign bit that a processor gives 0 / 0, and so DuckDB's; Spark's stored tables drop it.
+    NaN gets the sign bit that a processor gives 0 / 0, and so DuckDB's, unless ``unsigned`` holds; Spark's stored tables drop it.
     """
     up = f"{c} * 1e4 + 0.50001e0"
-    return f"floor({up}) / 1e4" if d.duck else f"CASE WHEN abs({c}) < 1e14 THEN floor({up}) / 1e4 WHEN isnan({c}) THEN -abs(cast({c} AS double)) ELSE ({up}) / 1e4 END"
+    nan = f"abs(cast({c} AS double))"
+    nan = f"-{nan}" if unsigned == "false" else f"CASE WHEN {unsigned} THEN {nan} ELSE -{nan} END"
+    return f"floor({up}) / 1e4" if d.duck else f"CASE WHEN abs({c}) < 1e14 THEN floor({up}) / 1e4 WHEN isnan({c}) THEN {nan} ELSE ({up}) / 1e4 END"
 
 
 def hourly(d: Dialect, **t: str) -> str:
@@ -383,8 +386,8 @@ bar_query("x18_source_choice", "dataset_id interval_ms", lambda d, b: f"SELECT d
 _FACTS = "dataset_id pattern_id cfg signals unfilled overlapping trades wins ambiguous ~win_rate ~expectancy_r ~profit_factor ~max_drawdown_pct ~daily_log ~capital_log"
 _LOGS = f"SELECT *, {pt.log10('(1 + max_daily_drawdown)')} AS daily_log, {pt.log10('(%s + net_profit)' % tr.CAPITAL)} AS capital_log FROM ({{}}) r"
 pattern_query("x1_simulate", _FACTS, lambda d, ev: _LOGS.format(tr.results(d, "SELECT * FROM {simulated}")), _LOGS.format(oracles.SIMULATED))
-pattern_query("x1_trades", "dataset_id pattern_id cfg i exit_index state result ~r", lambda d, ev: "SELECT * FROM {simulated} WHERE state = 'trade'", oracles.TRADES)
-pattern_query("x1_first_exit", "dataset_id pattern_id cfg i filled exit_index result ~r", lambda d, ev: f"SELECT dataset_id, pattern_id, cfg, i, filled, CASE WHEN filled THEN exit_index END AS exit_index, CASE WHEN filled THEN result END AS result, r FROM ({tr.exits(d, ev)}) x", oracles.FIRST_EXIT)
+pattern_query("x1_trades", "dataset_id pattern_id cfg i exit_index state result ~r:unsigned", lambda d, ev: "SELECT * FROM {simulated} WHERE state = 'trade'", oracles.TRADES)
+pattern_query("x1_first_exit", "dataset_id pattern_id cfg i filled exit_index result ~r:unsigned", lambda d, ev: f"SELECT dataset_id, pattern_id, cfg, i, filled, CASE WHEN filled THEN exit_index END AS exit_index, CASE WHEN filled THEN result END AS result, r, unsigned FROM ({tr.exits(d, ev)}) x", oracles.FIRST_EXIT)
 pattern_query("x5_exit_states", "dataset_id cond n", tr.exit_states)
 pattern_query("x9_system_folds", "dataset_id pattern_id cfg fold n ~mean_r", lambda d, ev: f"SELECT t.dataset_id, t.pattern_id, t.cfg, cast(least(floor(t.i * 4e0 / e.c), 3) AS bigint) AS fold, count(*) AS n, avg(t.r) AS mean_r FROM {{simulated}} t JOIN (SELECT DISTINCT dataset_id, c FROM {ev}) e ON t.dataset_id = e.dataset_id WHERE t.state = 'trade' GROUP BY t.dataset_id, t.pattern_id, t.cfg, cast(least(floor(t.i * 4e0 / e.c), 3) AS bigint)", oracles.FOLDS)
 _METRICS = "dataset_id pattern_id cfg n ~win_rate ~expectancy ~profit_factor ~net_r ~max_drawdown ~stressed"

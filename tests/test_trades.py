@@ -7,10 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from patternloom import registry
+from patternloom import oracles, registry
 from patternloom.operators import patterns as pt
 from patternloom.operators import trades as tr
 from patternloom.plans.dual import DUCKDB, SPARK
+from patternloom.sources.bars import tick_bars
 from patternloom.sources.shared import written
 
 FLAT = [(100.0, 100.5, 99.5, 100.0), (100.0, 101.5, 99.6, 101.0), (100.0, 101.0, 99.8, 100.5)]
@@ -90,6 +91,25 @@ def test_a_missing_r_of_a_stored_table_is_the_nan_of_the_sql(spark):
     assert bits(spark.sql(f"SELECT {registry.columns(SPARK, '~r')} FROM {{stored}}", stored=stored).first().r) == bits(sql[0][0])
 
 
+def test_trades_at_zero_equal_the_sql_bit_by_bit(spark, tmp_path):
+    """Every setting both ways over hours that open or close at 0: the same trades as in the SQL, NaN with its sign."""
+    file, con = f"{tmp_path}/events.parquet", duckdb.connect()
+    con.execute(f"COPY (SELECT h * 3 + k AS event_id, make_timestamp((1704067200 + h * 3600 + k * 900) * 1000000) AS ts, h % 4 + k AS user_id, 'd' AS event_type, CASE WHEN (h * 3 + k) % 11 = 0 THEN 0e0 ELSE (h * 7 + k * 5) % 13 + 1e0 END AS value, '{{}}' AS props FROM range(90) a(h), range(3) b(k)) TO '{file}' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{file}'")
+    ways, out = [(1, "bullish"), (2, "bearish")], "pattern_id cfg i exit_index state result ~r:unsigned"
+    body = f"ev AS (SELECT dataset_id, bar_index, count(*) OVER () AS c, [0, 1] AS conds FROM ({tick_bars(DUCKDB, 'events')}) b), hit AS (SELECT dataset_id AS ds, bar_index AS b, c, unnest(conds) + 1 AS pid FROM ev), pat AS (SELECT 'd' AS ds, pid, dir FROM {DUCKDB.values(ways, 'pid, dir')} w), placed AS (SELECT ds, pid FROM pat), held AS (SELECT ds, pid, 'none' AS why FROM pat), {oracles._WALK}"
+    sql = con.execute(f"SELECT {registry.columns(DUCKDB, out)} FROM (WITH RECURSIVE {body} {oracles.TRADES[oracles.TRADES.rindex('SELECT ds'):]}) q").fetchall()
+    b = spark.sql(tick_bars(SPARK, "{events}"), events=spark.read.parquet(file)).cache()
+    ev = spark.sql("SELECT dataset_id, bar_index, count(*) OVER (PARTITION BY dataset_id) AS c, array(0L, 1L) AS conds FROM {b}", b=b)
+    systems = spark.createDataFrame([("d", *w) for w in ways], "dataset_id string, pattern_id long, direction string")
+    text = tr.outcomes(SPARK, "{evt}", "SELECT * FROM {systems}", tr.SETTINGS)
+    made = written(spark.sql(tr.taken(SPARK, text), evt=ev, systems=systems, paths=written(spark.sql(tr.paths(SPARK, "{b} b", "{evt}"), b=b, evt=ev))))
+    got = spark.sql(f"SELECT {registry.columns(SPARK, out)} FROM {{made}} WHERE state = 'trade'", made=made).collect()
+    bits = lambda rows: sorted((*r[:-1], pack(">d", r[-1]).hex()) for r in rows)
+    assert bits(got) == bits(sql)
+    assert {pack(">d", r[-1]).hex() for r in sql if isnan(r[-1])} == {"7ff8000000000000", "fff8000000000000"}
+
+
 def test_wilder_blocks_equal_the_recursion(spark):
     rows = [(10 + (i * 7) % 13, 14 + (i * 7) % 13, 6 + (i * 5) % 11, 9 + (i * 3) % 12) for i in range(400)]
     b, _, _ = world(spark, rows, [[]] * 400)
